@@ -37,17 +37,17 @@ class Query:
 REGISTRY: dict[str, Query] = {}
 
 
-def rounded(df: DataFrame) -> DataFrame:
-    """Doubles to six decimals, so that two engines print the same values."""
+def rounded(df: DataFrame, digits: int = DIGITS) -> DataFrame:
+    """Doubles to a few decimals, so that two engines print the same values."""
     return df.select(
         *[
-            F.round(F.col(f"`{f.name}`"), DIGITS).alias(f.name) if f.dataType == T.DoubleType() else F.col(f"`{f.name}`")
+            F.round(F.col(f"`{f.name}`"), digits).alias(f.name) if f.dataType == T.DoubleType() else F.col(f"`{f.name}`")
             for f in df.schema.fields
         ]
     )
 
 
-def query(name: str, sql: str | None = None, ctes: list[str] | None = None, doubles: str = ""):
+def query(name: str, sql: str | None = None, ctes: list[str] | None = None, doubles: str = "", digits: int = DIGITS):
     """Register a query. ``doubles`` lists the twin's double columns (rounded on both sides)."""
 
     def register(build: Callable[[Tables], DataFrame]):
@@ -56,13 +56,13 @@ def query(name: str, sql: str | None = None, ctes: list[str] | None = None, doub
             body = f"SELECT * FROM ({sql}) AS _q"
             if doubles:
                 swaps = ", ".join(
-                    f"round({c}::DOUBLE, {DIGITS}) + 0.0 AS {c}" for c in doubles.split()
+                    f"round({c}::DOUBLE, {digits}) + 0.0 AS {c}" for c in doubles.split()
                 )
                 body = f"SELECT * REPLACE ({swaps}) FROM ({sql}) AS _q"
             text = ("WITH " + ",\n".join(ctes) + "\n" if ctes else "") + body
         if name in REGISTRY:
             raise ValueError(f"query {name} registered twice")
-        REGISTRY[name] = Query(name, lambda t: rounded(build(t)), text)
+        REGISTRY[name] = Query(name, lambda t: rounded(build(t), digits), text)
         return build
 
     return register
