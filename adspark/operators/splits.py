@@ -109,13 +109,11 @@ def _merged_bins(sizes: dict[int, int]) -> dict[int, int]:
 
 
 def merge_single_bins(binned: DataFrame, keys: list[str]) -> DataFrame:
-    """Join bins that hold one row to a neighbouring bin; works on the bin counts only."""
+    """(keys, bin, stratum): bins that hold one row join a neighbour; works on bin counts only."""
     sizes = binned.groupBy(*keys, "bin").agg(F.count(F.lit(1)).alias("n"))
-    group = keys or ["_all"]
-    sizes = sizes if keys else sizes.withColumn("_all", F.lit(0))
     known = {f.name: f.dataType for f in sizes.schema.fields}
     schema = T.StructType(
-        [T.StructField(k, known[k]) for k in group]
+        [T.StructField(k, known[k]) for k in keys]
         + [T.StructField("bin", T.IntegerType()), T.StructField("stratum", T.IntegerType())]
     )
 
@@ -123,7 +121,7 @@ def merge_single_bins(binned: DataFrame, keys: list[str]) -> DataFrame:
         target = _merged_bins(dict(zip(pdf["bin"], pdf["n"])))
         return pdf.assign(stratum=pdf["bin"].map(target).astype("int32"))[schema.fieldNames()]
 
-    return sizes.groupBy(*group).applyInPandas(merge, schema).drop("_all")
+    return sizes.groupBy(*keys).applyInPandas(merge, schema)
 
 
 def continuous_split(df: DataFrame, id_col: str, value: str, fraction: float, seed: int, keys: list[str] = ()) -> DataFrame:

@@ -1 +1,210 @@
-"""Registered queries."""
+"""Registered queries: forests, calibrated probabilities and conformal intervals with fitted models.
+
+MLlib forests have no SQL twin; these queries are checked by their properties in the tests.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..functions.bits import unpack_bits
+from ..operators import domain as D
+from ..operators import intervals as I
+from ..operators import models as M
+from ..operators.clean import big_enough
+from ..operators.metrics import class_statistics, regression_statistics
+from ..operators.neighbours import Space
+from .registry import query
+from .testbed import SIG_LEVELS, bit_rows, descriptors, train_test
+
+SEED = 42
+TREES = 25
+DEPTH = 10
+SMALL = {"trees": TREES, "depth": DEPTH}
+
+
+def class_rows(t):
+    return train_test(descriptors(t).select("id", "y", "features"))
+
+
+def value_rows(t):
+    """Regression rows: the first descriptor is the endpoint, the others describe it."""
+    rows = descriptors(t).select(
+        "id",
+        (F.col("features")[0] * 10 + F.col("features")[1] * 5).alias("y"),
+        F.slice("features", 2, 63).alias("features"),
+    )
+    return train_test(rows)
+
+
+@query("f1_forest_regression")
+def f1(t):
+    train, test = value_rows(t)
+    model = M.fit_regressor(train, SEED, 100, DEPTH)
+    return model.transform(M.with_vector(test)).select("id", "y", F.col("prediction").alias("pred"))
+
+
+@query("f2_forest_classification")
+def f2(t):
+    train, test = class_rows(t)
+    return M.score_classes(M.fit_classifier(train, SEED, 101, DEPTH), test).select("id", "y", "score")
+
+
+@query("f3_grid_search")
+def f3(t):
+    train, test = class_rows(t)
+    model = M.fit_classifier(train, SEED, 11, DEPTH, grid={"maxDepth": [3, 6]})
+    return M.score_classes(model, test).select("id", "y", "score")
+
+
+@query("f4_tree_predictions")
+def f4(t):
+    train, test = value_rows(t)
+    return M.with_tree_outputs(M.fit_regressor(train, SEED, **SMALL), test).select("id", "trees")
+
+
+@query("f4_tree_probabilities")
+def f4p(t):
+    train, test = class_rows(t)
+    return M.with_tree_outputs(M.fit_classifier(train, SEED, **SMALL), test, probability=True).select("id", "trees")
+
+
+@query("f5_tree_spread_of_forest")
+def f5(t):
+    train, test = value_rows(t)
+    return M.score_values(M.fit_regressor(train, SEED, **SMALL), test).select("id", "pred", "spread")
+
+
+@query("f7_native_classes")
+def f7(t):
+    train, test = class_rows(t)
+    return M.native_classes(M.fit_classifier(train, SEED, **SMALL), test).select("id", "prob", "pred_class")
+
+
+@query("f8_ivap_workflow")
+def f8(t):
+    train, test = class_rows(t)
+    return M.ivap_probabilities(train, test, SEED, **SMALL)
+
+
+@query("f13_ivap_and_cvap_workflows")
+def f13(t):
+    train, test = class_rows(t)
+    parts = [
+        M.class_probabilities(m, train, test, SEED, **SMALL).withColumn("method", F.lit(m)) for m in ("Native", "IVAP", "CVAP")
+    ]
+    return M.union_all(parts)
+
+
+@query("f20_icp_workflow")
+def f20(t):
+    train, test = value_rows(t)
+    return M.icp_intervals(train, test, SIG_LEVELS, SEED, **SMALL)
+
+
+@query("f21_acp_workflow")
+def f21(t):
+    train, test = value_rows(t)
+    return M.acp_intervals(train, test, SIG_LEVELS, SEED, n=5, **SMALL)
+
+
+@query("f23_scp_workflow")
+def f23(t):
+    train, test = value_rows(t)
+    return M.scp_intervals(train, test, SIG_LEVELS, SEED, parts=5, **SMALL)
+
+
+@query("f24_native_intervals")
+def f24(t):
+    train, test = value_rows(t)
+    pi = M.native_intervals(train, test, (0.1, 0.32, 0.5), SEED, variant="PI", **SMALL)
+    ens = M.native_intervals(train, test, (0.1, 0.32, 0.5), SEED, variant="ENS", **SMALL)
+    return pi.withColumn("variant", F.lit("PI")).unionByName(ens.withColumn("variant", F.lit("ENS")))
+
+
+@query("f26_level_sweep")
+def f26(t):
+    train, test = value_rows(t)
+    out = M.icp_intervals(train, test, SIG_LEVELS, SEED, **SMALL)
+    return I.interval_checks(out, ["sig_level"])
+
+
+@query("f27_regression_methods")
+def f27(t):
+    train, test = value_rows(t)
+    parts = []
+    for method, extra in (("Native", {}), ("ICP", {}), ("ACP", {"n": 3}), ("SCP", {"parts": 3})):
+        out = M.regression_intervals(method, train, test, (0.32,), SEED, trees=10, depth=6, **extra)
+        parts.append(out.withColumn("method", F.lit(method)))
+    return M.union_all(parts)
+
+
+@query("e12_forest_agreement_classification")
+def e12(t):
+    return M.agreement_weights(class_rows(t)[0], 100, regression=False, depth=DEPTH)
+
+
+@query("e13_forest_agreement_regression")
+def e13(t):
+    return M.agreement_weights(value_rows(t)[0], 100, regression=True, depth=DEPTH)
+
+
+@query("e16_rdn_with_forests")
+def e16(t):
+    train, test = class_rows(t)
+    weights = M.agreement_weights(train, 100, regression=False, depth=DEPTH).select("id", "weight")
+    return D.rdn_status(train.join(weights, "id"), test, Space(), 3).select("id", "inside")
+
+
+@query("e21_principal_components")
+def e21(t):
+    dense = bit_rows(t).select("id", unpack_bits("features", 64).cast("array<double>").alias("bits"))
+    scores, explained = M.principal_components(dense, "bits", 2, 64)
+    return scores.select(
+        "id",
+        F.col("components")[0].alias("pc1"),
+        F.col("components")[1].alias("pc2"),
+        F.lit(explained[0]).alias("explained_1"),
+        F.lit(explained[1]).alias("explained_2"),
+    )
+
+
+def time_points(t):
+    """Descriptor rows with one of four time points (by md5 of the id)."""
+    digit = F.conv(F.substring(F.md5(F.col("id").cast("string")), 2, 1), 16, 10).cast("int")
+    return descriptors(t).select("id", "y", "features", F.floor(digit / 4).cast("int").alias("time"))
+
+
+@query("i20_time_update_classification")
+def i20(t):
+    """Updates T1..T3: train on everything earlier, test on the time point itself."""
+    rows = time_points(t)
+    scored, status, sizes = [], [], []
+    for update in (1, 2, 3):
+        train, test = rows.where(F.col("time") < update), rows.where(F.col("time") == update)
+        tag = F.lit(f"T{update}").alias("update")
+        for seed in (42, 100):
+            out = M.native_classes(M.fit_classifier(train, seed, **SMALL), test)
+            scored.append(out.select(tag, F.lit(seed).alias("seed"), "id", "y", "prob"))
+        status.append(D.nunc_status(train.drop("y", "time"), test, Space(), [3]).select(tag, "id", "inside"))
+        sizes.append(big_enough(test.withColumn("update", F.lit(f"T{update}")), ["update"], "y", per_class=5))
+    usable = M.union_all(sizes).where("usable").select("update")
+    tagged = D.tag_subsets(M.union_all(scored).join(M.union_all(status), ["update", "id"]))
+    return class_statistics(tagged.join(usable, "update", "left_semi"), ["update", "seed", "subset"], p_values=False)
+
+
+@query("i20_time_update_regression")
+def i20r(t):
+    """Regression twin: ICP intervals and regression statistics per update."""
+    rows = time_points(t).select(
+        "id", "time", (F.col("features")[0] * 10 + F.col("features")[1] * 5).alias("y"), F.slice("features", 2, 63).alias("features")
+    )
+    scored, status = [], []
+    for update in (1, 2, 3):
+        train, test = rows.where(F.col("time") < update).drop("time"), rows.where(F.col("time") == update).drop("time")
+        tag = F.lit(f"T{update}").alias("update")
+        out = M.icp_intervals(train, test, (0.1, 0.32, 0.5), SEED, trees=10, depth=6).join(test.select("id", "y"), "id")
+        scored.append(out.select(tag, "*"))
+        status.append(D.nunc_status(train.drop("y"), test, Space(), [3]).select(tag, "id", "inside"))
+    tagged = D.tag_subsets(M.union_all(scored).join(M.union_all(status), ["update", "id"]))
+    return regression_statistics(tagged, ["update", "subset"], p_values=False)
