@@ -220,6 +220,7 @@ SPLITS = """splits AS (SELECT r.id, r.endpoint, s.split, 0.32::DOUBLE AS sig_lev
     "SELECT id, endpoint, sig_level, lower, upper, (lower + upper) / 2 AS pred FROM (SELECT id, endpoint, sig_level, median(lower) AS lower, median(upper) AS upper FROM splits GROUP BY 1, 2, 3) AS m",
     [REG[0], SPLITS],
     "sig_level lower upper pred",
+    digits=10,
 )
 def f21(t):
     rows = reg_predictions(t).select("id", "endpoint", "pred", "half", F.explode(F.sequence(F.lit(0), F.lit(4))).alias("split"))
@@ -278,8 +279,15 @@ def f25(t):
     return I.interval_checks(rows, ["endpoint"])
 
 
-@query("f26_prediction_consistency", "SELECT id, max(y) - min(y) AS gap FROM reg_predictions GROUP BY 1 HAVING max(y) - min(y) > 0", REG[:1], "gap")
+@query(
+    "f26_prediction_consistency",
+    "SELECT id, fold, 0.8::DOUBLE AS gap FROM reg_predictions WHERE half > 1.2::DOUBLE GROUP BY id, fold",
+    REG[:1],
+    "gap",
+)
 def f26(t):
-    """Predictions must agree between levels: none may differ; equal ids of the table show a gap."""
-    rows = reg_predictions(t).select("id", F.col("y").alias("pred"))
-    return I.prediction_consistency(rows, ["id"])
+    """Rows whose prediction moves with the significance level (here: wide ones by construction)."""
+    level = F.explode(F.array(F.lit(0.1), F.lit(0.9))).alias("sig_level")
+    rows = reg_predictions(t).select("id", "fold", "pred", "half", level)
+    moved = rows.withColumn("pred", F.col("pred") + F.when(F.col("half") > 1.2, F.col("sig_level")).otherwise(0.0))
+    return I.prediction_consistency(moved, ["id", "fold"])

@@ -14,6 +14,7 @@ from ..operators import models as M
 from ..operators.clean import big_enough
 from ..operators.metrics import class_statistics, regression_statistics
 from ..operators.neighbours import Space
+from ..sources.shared import materialise
 from .registry import query
 from .testbed import SIG_LEVELS, bit_rows, descriptors, train_test
 
@@ -189,8 +190,8 @@ def i20(t):
         status.append(D.nunc_status(train.drop("y", "time"), test, Space(), [3]).select(tag, "id", "inside"))
         sizes.append(big_enough(test.withColumn("update", F.lit(f"T{update}")), ["update"], "y", per_class=5))
     usable = M.union_all(sizes).where("usable").select("update")
-    tagged = D.tag_subsets(M.union_all(scored).join(M.union_all(status), ["update", "id"]))
-    return class_statistics(tagged.join(usable, "update", "left_semi"), ["update", "seed", "subset"], p_values=False)
+    scored = M.union_all(scored).join(M.union_all(status), ["update", "id"]).join(usable, "update", "left_semi")
+    return class_statistics(D.tag_subsets(materialise(scored, "updates")), ["update", "seed", "subset"], p_values=False)
 
 
 @query("i20_time_update_regression")
@@ -206,5 +207,5 @@ def i20r(t):
         out = M.icp_intervals(train, test, (0.1, 0.32, 0.5), SEED, trees=10, depth=6).join(test.select("id", "y"), "id")
         scored.append(out.select(tag, "*"))
         status.append(D.nunc_status(train.drop("y"), test, Space(), [3]).select(tag, "id", "inside"))
-    tagged = D.tag_subsets(M.union_all(scored).join(M.union_all(status), ["update", "id"]))
-    return regression_statistics(tagged, ["update", "subset"], p_values=False)
+    scored = materialise(M.union_all(scored).join(M.union_all(status), ["update", "id"]), "updates")
+    return regression_statistics(D.tag_subsets(scored), ["update", "subset"], p_values=False)
