@@ -61,23 +61,25 @@ def block_distances(a: np.ndarray, b: np.ndarray, metric: str) -> np.ndarray:
     and whichever side it is on, so equality with a threshold taken from a distance holds.
     """
     if metric == "jaccard":
-        both = np.zeros((len(a), len(b)), np.int64)
+        both = np.zeros((len(a), len(b)), np.int32)
         for j in range(a.shape[1]):
-            both += np.bitwise_count(a[:, j, None] & b[None, :, j])
+            both += np.bitwise_count(a[:, j, None] & np.ascontiguousarray(b[:, j])[None, :])
         size_a = np.bitwise_count(a).sum(axis=1, dtype=np.int64)
         size_b = np.bitwise_count(b).sum(axis=1, dtype=np.int64)
         union = size_a[:, None] + size_b[None, :] - both
         return np.where(union == 0, 0.0, 1.0 - both / np.maximum(union, 1))
     out = np.empty((len(a), len(b)))
-    step = max(1, 65536 // max(1, len(b)))
+    left, right = np.ascontiguousarray(a.T), np.ascontiguousarray(b.T)
+    step = max(1, 16384 // max(1, len(b)))  # tiles that stay in the cache
+    work = np.empty((step, len(b)))
     for start in range(0, len(a), step):
         tile = out[start : start + step]
-        rows = a[start : start + step]
+        d = work[: len(tile)]
         tile[:] = 0.0
-        for j in range(a.shape[1]):
-            d = rows[:, j, None] - b[None, :, j]
+        for j in range(len(left)):
+            np.subtract(left[j, start : start + step, None], right[j][None, :], out=d)
             if metric == "euclidean":
-                d *= d
+                np.multiply(d, d, out=d)
             else:
                 np.abs(d, out=d)
             tile += d

@@ -10,10 +10,10 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from ..functions.hashing import order_key
-from ..functions.ordered import hash_rank, running_totals
+from ..functions.hashing import order_bucket, order_key
+from ..functions.ordered import running_totals
 from ..functions.scalar import is_infinite
-from ..sources.shared import materialise
+from ..sources.shared import materialise, spread
 from . import metrics as M
 
 ORIGINAL = -1
@@ -152,16 +152,13 @@ def redraw(
     """
     group = [*keys, "perm"]
     quota = df.groupBy(*keys, "stratum").agg(F.count_if(F.col("inside")).alias("_quota"))
-    rows = df.drop("inside")
+    rows = spread(df.drop("inside"))
     wanted = rows.withColumn("perm", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
     kept = []
     for attempt in range(MAX_TRIES):
         parts = [F.col(id_col), *[F.col(k) for k in group], F.lit(seed), F.lit(attempt)]
-        ranked = hash_rank(wanted.withColumn("_h", order_key(parts, method)), [*group, "stratum"], "_h", id_col, "_rn")
-        drawn = ranked.join(quota, [*keys, "stratum"]).select(
-            *rows.columns, "perm", (F.col("_rn") <= F.col("_quota")).alias("inside")
-        )
-        drawn = materialise(drawn, "redraw")
+        keyed = wanted.withColumn("_h", order_key(parts, method))
+        drawn = materialise(smallest_by_hash(keyed, [*group, "stratum"], quota, [*keys, "stratum"], id_col), "redraw")
         failed = _one_sided(drawn, group, score)
         if delta is not None:
             failed = failed.unionByName(_constant_observed(drawn, group, delta)).distinct()
@@ -174,6 +171,32 @@ def redraw(
     return reduce(lambda a, b: a.unionByName(b), kept)
 
 
+def smallest_by_hash(keyed: DataFrame, group: list[str], quota: DataFrame, quota_keys: list[str], id_col: str) -> DataFrame:
+    """Mark the ``_quota`` rows of each group with the smallest hash ``_h`` as ``inside``.
+
+    Counts per hash bucket show in which bucket a quota ends. Rows of other buckets are decided
+    where they are; only the rows of that one bucket are ranked, so a group's rows are neither
+    shuffled nor sorted as a whole.
+    """
+    columns = [c for c in keyed.columns if c != "_h"]
+    cut = keyed.withColumn("_b", order_bucket(F.col("_h")))
+    counts = cut.groupBy(*group, "_b").agg(F.count(F.lit(1)).alias("_c"))
+    order = W.partitionBy(*group).orderBy("_b").rowsBetween(W.unboundedPreceding, 0)
+    upto = counts.withColumn("_cum", F.sum("_c").over(order)).join(quota, quota_keys)
+    # the first bucket whose running count reaches the quota (none for a quota of zero)
+    before = F.col("_cum") - F.col("_c")
+    edge = upto.where((before < F.col("_quota")) & (F.col("_quota") <= F.col("_cum"))).select(
+        *group, F.col("_b").alias("_edge"), (F.col("_quota") - before).alias("_left")
+    )
+    placed = cut.join(materialise(edge, "edges"), group, "left")
+    sure = placed.where(F.col("_edge").isNull() | (F.col("_b") != F.col("_edge"))).select(
+        *columns, F.coalesce(F.col("_b") < F.col("_edge"), F.lit(False)).alias("inside")
+    )
+    rank = F.row_number().over(W.partitionBy(*group).orderBy("_h", id_col))
+    split = placed.where(F.col("_b") == F.col("_edge")).withColumn("_rn", rank)
+    return sure.unionByName(split.select(*columns, (F.col("_rn") <= F.col("_left")).alias("inside")))
+
+
 def with_original(df: DataFrame, redraws: DataFrame) -> DataFrame:
     """Original split (perm -1) and redraws, with ``subset`` Inside / Outside."""
     both = df.withColumn("perm", F.lit(ORIGINAL)).unionByName(redraws)

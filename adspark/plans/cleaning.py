@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions.bits import bit_total, pack_positions, token_positions, unpack_bits
+from ..functions.bits import bit_total, set_positions, text_fingerprints
 from ..operators import clean as C
 from .registry import query
 from .testbed import CLASS, DESCRIPTORS, class_scores, class_subsets, descriptors, train_test
@@ -263,9 +263,8 @@ TOKENS = """positions AS (
 
 @query("b17_text_fingerprints", "SELECT doc_id, count(DISTINCT p) AS bits, sum(DISTINCT p)::BIGINT AS checksum FROM positions GROUP BY 1", [TOKENS])
 def b17(t):
-    packed = t.documents.select("doc_id", pack_positions(token_positions("text")).alias("words"))
-    on = F.filter(F.transform(unpack_bits("words"), lambda b, i: F.when(b == 1, i)), lambda i: i.isNotNull())
-    checksum = F.aggregate(on, F.lit(0).cast("bigint"), lambda s, i: s + i)
+    packed = text_fingerprints(t.documents, "doc_id", "text")
+    checksum = F.aggregate(set_positions("words"), F.lit(0).cast("bigint"), lambda s, i: s + i)
     return packed.select("doc_id", bit_total("words").cast("bigint").alias("bits"), checksum.alias("checksum"))
 
 

@@ -7,11 +7,16 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
+from ..sources.shared import spread
+
 TABLES = (
     "region nation customer supplier part orders lineitem events documents embeddings pages "
     "benchmark labels conversations"
 ).split()
 
+# tables that grow with the scale factor and feed row-multiplying operators
+LARGE = {"lineitem", "orders", "events", "documents", "embeddings"}
+
 DIGITS = 6
 
 
@@ -24,7 +29,8 @@ class Tables:
     def __getattr__(self, name: str) -> DataFrame:
         if name not in TABLES:
             raise AttributeError(name)
-        return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+        df = self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+        return spread(df) if name in LARGE else df
 
 
 @dataclass(frozen=True)

@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import functions as F, types as T
 
-from ..functions.bits import token_positions, pack_positions, unpack_bits
+from ..functions.bits import text_fingerprints, unpack_bits
 from ..sources import files as S
 from ..sources.shared import shared_folder
 from .registry import query
@@ -109,6 +109,6 @@ def a7(t):
 )
 def a8(t):
     """Packed fingerprints expanded to (row, set position)."""
-    packed = t.documents.select("doc_id", pack_positions(token_positions("text")).alias("words"))
+    packed = text_fingerprints(t.documents, "doc_id", "text")
     bits = packed.select("doc_id", F.posexplode(unpack_bits("words")).alias("position", "bit"))
     return bits.where("bit = 1").select("doc_id", "position")

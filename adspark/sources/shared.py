@@ -32,3 +32,13 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Repartition input that comes in fewer partitions than the session runs tasks.
+
+    Small files hold few bytes but may stand for much work (redraws, levels, pairs); large inputs
+    already have more partitions than tasks and pass unchanged.
+    """
+    tasks = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= tasks else df.repartition(tasks)
