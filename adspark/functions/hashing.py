@@ -8,8 +8,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
-HASH_BUCKETS = 256
-
 
 def order_key(parts: list, method: str = "md5") -> Column:
     """Hexadecimal order key of the given columns or literals."""
@@ -21,6 +19,6 @@ def order_key(parts: list, method: str = "md5") -> Column:
     raise ValueError(f"unknown hash method {method!r}")
 
 
-def order_bucket(key: Column) -> Column:
-    """First byte of an order key, so that buckets follow the order and hold equal shares."""
-    return F.conv(F.substring(key, 1, 2), 16, 10).cast("int")
+def order_bucket(key: Column, digits: int = 2) -> Column:
+    """Leading digits of an order key: buckets follow the order and hold equal shares."""
+    return F.substring(key, 1, digits)

@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+from ..sources.shared import materialise
 from .hashing import order_bucket
 
 BUCKETS = 256
@@ -42,7 +43,8 @@ def running_totals(
         if span is not None:
             bucket = value_bucket(value, F.lit(float(span[0])), F.lit(float(span[1])))
         else:
-            limits = df.groupBy(*keys).agg(F.min(value).alias("_lo"), F.max(value).alias("_hi"))
+            # written once: the planner sees the real size and broadcasts it only if it is small
+            limits = materialise(df.groupBy(*keys).agg(F.min(value).alias("_lo"), F.max(value).alias("_hi")), "limits")
             df = df.join(limits, keys) if keys else with_scalars(df, limits)
             bucket = value_bucket(value, F.col("_lo"), F.col("_hi"))
     df = df.withColumn("_bucket", bucket).drop("_lo", "_hi")
@@ -91,9 +93,10 @@ def hash_rank(df: DataFrame, keys: list[str], order_col: str, id_col: str, out:
 
 
 def distinct_values(df: DataFrame, keys: list[str], value: str, weight: str | None = None) -> DataFrame:
-    """Distinct non-null values per group with their number of rows ``c``."""
+    """Distinct non-null values per group with their number of rows ``c``, written once."""
     count = F.count(F.lit(1)) if weight is None else F.sum(weight)
-    return df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(count.cast("long").alias("c"))
+    values = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(count.cast("long").alias("c"))
+    return materialise(values, "values")
 
 
 def average_ranks(
@@ -157,11 +160,12 @@ def weighted_pearson(df: DataFrame, keys: list[str], a: str, b: str, weight: str
 
 def spearman(df: DataFrame, keys: list[str], x: str, y: str, out: str) -> DataFrame:
     """Spearman correlation with average ranks; NULL when one side is constant."""
-    pairs = (
+    counted = (
         df.where(F.col(x).isNotNull() & F.col(y).isNotNull())
         .groupBy(*keys, x, y)
         .agg(F.count(F.lit(1)).alias("_w"))
     )
+    pairs = materialise(counted, "pairs")
     rx = average_ranks(pairs, keys, x, "_rx", weight="_w").drop("_n", "c")
     ry = average_ranks(pairs, keys, y, "_ry", weight="_w").drop("_n", "c")
     ranked = pairs.join(rx, [*keys, x]).join(ry, [*keys, y])

@@ -134,9 +134,11 @@ def point_limits(train: Layout, ks: list[int], nearest_only: bool = False, fill_
     near = nearest_points(train, None, max(ks))
     radii = reference_values(near, space, ks)
     if nearest_only:
-        kept = [
-            F.filter(F.slice("dists", 1, k), lambda d, j=j: d <= F.col("radii")[j]) for j, k in enumerate(ks)
-        ]
+
+        def within(j, k):
+            return F.filter(F.slice("dists", 1, k), lambda d: d <= F.col("radii")[j])
+
+        kept = [within(j, k) for j, k in enumerate(ks)]
         means = F.array(*[F.when(F.size(v) > 0, mean_of(v)).otherwise(0.0) for v in kept])
         limits = attach(near, radii, space.keys).select(*space.keys, "point", means.alias("limits"))
     else:

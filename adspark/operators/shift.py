@@ -151,14 +151,20 @@ def redraw(
     with ``delta`` also one with constant observed probabilities.
     """
     group = [*keys, "perm"]
-    quota = df.groupBy(*keys, "stratum").agg(F.count_if(F.col("inside")).alias("_quota"))
+    sizes = df.groupBy(*keys, "stratum").agg(
+        F.count_if(F.col("inside")).alias("_quota"), F.count(F.lit(1)).alias("_size")
+    )
+    quota = materialise(sizes, "quota")
+    largest = quota.agg(F.max("_size")).first()[0] or 0
+    digits = 1 if largest < 100_000 else 3  # 16 or 4096 hash buckets per group
+    quota = quota.drop("_size")
     rows = spread(df.drop("inside"))
     wanted = rows.withColumn("perm", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
     kept = []
     for attempt in range(MAX_TRIES):
         parts = [F.col(id_col), *[F.col(k) for k in group], F.lit(seed), F.lit(attempt)]
         keyed = wanted.withColumn("_h", order_key(parts, method))
-        drawn = materialise(smallest_by_hash(keyed, [*group, "stratum"], quota, [*keys, "stratum"], id_col), "redraw")
+        drawn = materialise(smallest_by_hash(keyed, [*group, "stratum"], quota, [*keys, "stratum"], id_col, digits), "redraw")
         failed = _one_sided(drawn, group, score)
         if delta is not None:
             failed = failed.unionByName(_constant_observed(drawn, group, delta)).distinct()
@@ -171,7 +177,7 @@ def redraw(
     return reduce(lambda a, b: a.unionByName(b), kept)
 
 
-def smallest_by_hash(keyed: DataFrame, group: list[str], quota: DataFrame, quota_keys: list[str], id_col: str) -> DataFrame:
+def smallest_by_hash(keyed: DataFrame, group: list[str], quota: DataFrame, quota_keys: list[str], id_col: str, digits: int = 2) -> DataFrame:
     """Mark the ``_quota`` rows of each group with the smallest hash ``_h`` as ``inside``.
 
     Counts per hash bucket show in which bucket a quota ends. Rows of other buckets are decided
@@ -179,7 +185,7 @@ def smallest_by_hash(keyed: DataFrame, group: list[str], quota: DataFrame, quota
     shuffled nor sorted as a whole.
     """
     columns = [c for c in keyed.columns if c != "_h"]
-    cut = keyed.withColumn("_b", order_bucket(F.col("_h")))
+    cut = keyed.withColumn("_b", order_bucket(F.col("_h"), digits))
     counts = cut.groupBy(*group, "_b").agg(F.count(F.lit(1)).alias("_c"))
     order = W.partitionBy(*group).orderBy("_b").rowsBetween(W.unboundedPreceding, 0)
     upto = counts.withColumn("_cum", F.sum("_c").over(order)).join(quota, quota_keys)
