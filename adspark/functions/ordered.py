@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..sources.shared import materialise
-from .hashing import order_bucket
+from .hashing import order_bucket, order_key
 
 BUCKETS = 256
 
@@ -110,6 +110,23 @@ def average_ranks(
     return ranked.select(*keys, value, (rank - (F.col("_n") + 1) / 2).alias(out), "_n", "c")
 
 
+def row_positions(df: DataFrame, keys: list[str], value: str, id_col: str, out: str) -> DataFrame:
+    """Position 1..n of every row along ``value``, ties in the hash order of the id; ``<out>_n`` = n.
+
+    Distinct values are placed first; tied rows are then ranked by hash, so that a value shared by
+    very many rows is spread as well.
+    """
+    placed = running_totals(
+        distinct_values(df, keys, value), keys, [value], {"_cum": "c"}, totals={f"{out}_n": "c"}
+    )
+    joined = df.join(placed.withColumn("_before", F.col("_cum") - F.col("c")), [*keys, value])
+    columns = [*df.columns, f"{out}_n"]
+    alone = joined.where("c = 1").select(*columns, F.col("_cum").alias(out))
+    tied = joined.where("c > 1").withColumn("_h", order_key([F.col(id_col)]))
+    ranked = hash_rank(tied, [*keys, value], "_h", id_col, "_tie")
+    return alone.unionByName(ranked.select(*columns, (F.col("_before") + F.col("_tie")).alias(out)))
+
+
 def exact_quantiles(
     df: DataFrame, keys: list[str], value: str, quantiles: dict[str, float], weight: str | None = None, span=None
 ) -> DataFrame:

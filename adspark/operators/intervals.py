@@ -82,8 +82,8 @@ def conformal_quantiles(calibration: DataFrame, keys: list[str], levels, alpha:
 
 
 def conformal_intervals(test: DataFrame, quantiles: DataFrame, keys: list[str]) -> DataFrame:
-    """pred -/+ alpha_s * scale for every test row and significance level."""
-    joined = test.join(quantiles, keys) if keys else test.crossJoin(F.broadcast(quantiles))
+    """pred -/+ alpha_s * scale for every test row and significance level of its calibration set."""
+    joined = test.join(quantiles, keys)
     half = F.col("alpha_s") * F.col("scale")
     return joined.select(
         *test.columns, "sig_level", (F.col("pred") - half).alias("lower"), (F.col("pred") + half).alias("upper")

@@ -413,15 +413,11 @@ def ence_bins(df: DataFrame, keys: list[str], id_col: str = "id", bin_rows: int
     """RMSE and root mean variance per variance-ordered bin of about ``bin_rows`` rows."""
     rows = df.select(
         *keys, id_col, (F.col("pred") - F.col("y")).alias("_err"), estimated_variance().alias("_var")
-    ).withColumn("_one", F.lit(1).cast("long"))
-    # infinite variances sort last; they share a finite order value so that buckets stay defined
-    placed = ordered.running_totals(
-        rows.withColumn("_ord", F.when(is_infinite("_var"), F.lit(1.7e308)).otherwise(F.col("_var"))),
-        keys,
-        ["_ord", id_col],
-        {"_rn": "_one"},
-        totals={"_n": "_one"},
     )
+    # infinite variances share a finite order value, so that buckets stay defined
+    ordered_by = F.when(is_infinite("_var"), F.lit(1.7e308)).otherwise(F.col("_var"))
+    rows = materialise(rows.withColumn("_ord", ordered_by), "variances")
+    placed = ordered.row_positions(rows, keys, "_ord", id_col, "_rn").withColumnRenamed("_rn_n", "_n")
     bins = F.greatest(F.floor(F.col("_n") / bin_rows), F.lit(1))
     size, extra = F.floor(F.col("_n") / bins), F.col("_n") % bins
     at = F.col("_rn") - 1

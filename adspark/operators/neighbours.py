@@ -21,6 +21,9 @@ from ..functions.distance import as_matrix, block_distances
 from ..functions.ordered import with_scalars
 from ..sources.shared import materialise
 
+MIN_BLOCK, MAX_BLOCK = 1024, 16384
+MAX_CELLS = 4_000_000  # entries of one distance matrix
+
 
 @dataclass(frozen=True)
 class Space:
@@ -31,7 +34,7 @@ class Space:
     metric: str = "euclidean"
     by: tuple[str, ...] = ()
     pivots: int = 16
-    block_rows: int = 1024
+    block_rows: int | None = None  # by the number of points, see ``lay_out``
 
     @property
     def keys(self) -> list[str]:
@@ -93,7 +96,12 @@ def lay_out(rows: DataFrame, space: Space, pivots: np.ndarray | None = None) ->
     nearest = F.array_min("_pd")
     points = points.withColumn("_r", nearest)
     points = points.withColumn("_cell", F.array_position("_pd", F.col("_r")).cast("int") - 1)
-    return Layout(space, pivots, materialise(points, "points"))
+    points = materialise(points, "points")
+    if space.block_rows is None:
+        # larger blocks copy rows to fewer tasks, smaller ones keep all tasks busy
+        size = max(MIN_BLOCK, min(MAX_BLOCK, points.count() // 64))
+        space = replace(space, block_rows=size)
+    return Layout(space, pivots, points)
 
 
 def attach(df: DataFrame, per_group: DataFrame, keys: list[str]) -> DataFrame:
@@ -161,12 +169,17 @@ def block_reduce(queries: DataFrame, layout: Layout, bound, kernel, schema: T.St
     def compare(key, q: pd.DataFrame, x: pd.DataFrame) -> pd.DataFrame:
         if len(q) == 0 or len(x) == 0:
             return pd.DataFrame({n: [] for n in names})
-        d = block_distances(as_matrix(q[feat], metric), as_matrix(x[feat], metric), metric)
-        out = kernel(q, d, x)
-        for name, value in zip(group, key):
-            if name in names:
-                out[name] = value
-        return pd.DataFrame(out)[names]
+        points = as_matrix(x[feat], metric)
+        step = max(1, MAX_CELLS // len(x))
+        parts = []
+        for start in range(0, len(q), step):
+            some = q.iloc[start : start + step]
+            out = pd.DataFrame(kernel(some, block_distances(as_matrix(some[feat], metric), points, metric), x))
+            for name, value in zip(group, key):
+                if name in names:
+                    out[name] = value
+            parts.append(out[names])
+        return pd.concat(parts)
 
     # a fixed number of partitions: few bytes stand for much arithmetic, so do not coalesce them
     tasks = int(queries.sparkSession.conf.get("spark.sql.shuffle.partitions"))

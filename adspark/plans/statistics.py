@@ -351,7 +351,7 @@ ENCE = f"""ence_bins AS (
         FROM (SELECT *, n // b AS size, n % b AS extra
               FROM (SELECT *, greatest(n // 20, 1) AS b FROM (
                 SELECT {K}, pred - y AS err, pow((upper - lower) / 2, 2) AS var,
-                       row_number() OVER (PARTITION BY {K} ORDER BY pow((upper - lower) / 2, 2), id) - 1 AS pos,
+                       row_number() OVER (PARTITION BY {K} ORDER BY pow((upper - lower) / 2, 2), md5(id), id) - 1 AS pos,
                        count(*) OVER (PARTITION BY {K}) AS n
                 FROM reg_intervals WHERE sig_level = 0.32::DOUBLE) AS a) AS b) AS c) AS d
   GROUP BY {K}, bin),

@@ -89,6 +89,14 @@ def test_ence_bins(spark):
     assert math.isinf(M.ence(zero, ["g"]).first().ence)
 
 
+def test_row_positions_with_a_hot_value(spark):
+    values = [2.0] * 60 + [1.0, 3.0, 3.0] + [0.5 * i for i in range(20)]
+    df = spark.createDataFrame([(1, i, v) for i, v in enumerate(values)], "g int, id int, v double")
+    got = ordered.row_positions(df, ["g"], "v", "id", "pos").orderBy("pos").collect()
+    assert [r.pos for r in got] == list(range(1, len(values) + 1)) and {r.pos_n for r in got} == {len(values)}
+    assert [r.v for r in got] == sorted(values)
+
+
 def test_incomplete_beta_and_correlation_tail():
     assert incomplete_beta(2, 3, 0.4) == pytest.approx(0.5248)
     # r = 0.5, n = 12: t = 1.825742, two-tail p of Student's t with 10 degrees of freedom
