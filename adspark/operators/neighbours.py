@@ -75,6 +75,14 @@ class Layout:
     space: Space
     pivots: np.ndarray
     points: DataFrame
+    size: int  # number of points
+
+    def tasks(self) -> int:
+        """Comparing tasks: one per cell and block, within what the session allows."""
+        session = self.points.sparkSession
+        blocks = -(-self.size // self.space.block_rows) * len(self.pivots)
+        allowed = int(session.conf.get("spark.sql.shuffle.partitions"))
+        return min(allowed, max(session.sparkContext.defaultParallelism, blocks))
 
     def cells(self, reach: Column | None = None) -> DataFrame:
         """One row per group: array of its cells with size, ring radii and largest reach."""
@@ -97,11 +105,11 @@ def lay_out(rows: DataFrame, space: Space, pivots: np.ndarray | None = None) ->
     points = points.withColumn("_r", nearest)
     points = points.withColumn("_cell", F.array_position("_pd", F.col("_r")).cast("int") - 1)
     points = materialise(points, "points")
+    size = points.count()
     if space.block_rows is None:
         # larger blocks copy rows to fewer tasks, smaller ones keep all tasks busy
-        size = max(MIN_BLOCK, min(MAX_BLOCK, points.count() // 64))
-        space = replace(space, block_rows=size)
-    return Layout(space, pivots, points)
+        space = replace(space, block_rows=max(MIN_BLOCK, min(MAX_BLOCK, size // 64)))
+    return Layout(space, pivots, points, size)
 
 
 def attach(df: DataFrame, per_group: DataFrame, keys: list[str]) -> DataFrame:
@@ -182,7 +190,7 @@ def block_reduce(queries: DataFrame, layout: Layout, bound, kernel, schema: T.St
         return pd.concat(parts)
 
     # a fixed number of partitions: few bytes stand for much arithmetic, so do not coalesce them
-    tasks = int(queries.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    tasks = layout.tasks()
     left, right = left.repartition(tasks, *group), right.repartition(tasks, *group)
     return left.groupBy(*group).cogroup(right.groupBy(*group)).applyInPandas(compare, schema)
 
