@@ -13,6 +13,8 @@ import __spark_entry__ as entry
 from tests.check_catalog import compare, duck
 
 FOLDER = "/root/testdata/sf0.001"
+# the twins of the permutation tests expect every first redraw to be varied, which tiny groups are not
+LARGER = "/root/testdata/sf0.01"
 SOME = """a2_tsv_scan a5_metadata_from_paths b2_endpoint_rows b5b_ids_by_key b7_rule_rejects b9_dedup_classes
 b10_dedup_values b17_text_fingerprints c1_temporal_split c3_stratified_split c7_repeated_splits d9_band_self_join
 d11_pairwise_overlap d14_step_lookup e6_dknn_thresholds e10_nunc_status e11_tanimoto_status e14_rdn_thresholds
@@ -23,16 +25,12 @@ i5_masked_shifts i12_trend_table i15_merged_statistics""".split()
 QUERIES, TWINS = entry.queries(), entry.oracle_sql()
 
 
-@pytest.fixture(scope="module")
-def con():
-    return duck(FOLDER)
-
-
 @pytest.mark.parametrize("name", sorted(QUERIES) if os.environ.get("FULL_CATALOG") else SOME)
-def test_query_equals_its_twin(spark, con, name):
-    df = QUERIES[name](spark, FOLDER)
+def test_query_equals_its_twin(spark, name):
+    folder = LARGER if name.startswith(("h", "d6")) else FOLDER
+    df = QUERIES[name](spark, folder)
     if name in TWINS:
-        problem = compare(df, con, TWINS[name])
+        problem = compare(df, duck(folder), TWINS[name])
         assert problem is None or problem.startswith("no rows"), problem
     else:
         assert df.collect()
