@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from . import quality_rules
+from . import quality_rules, sharding, warc
 
 QUERIES = {
     "op1_quality_rules": quality_rules.op1_quality_rules,
+    "op2_reshard": sharding.op2_reshard,
+    "op3_warc": warc.op3_warc,
 }
 
 SQL = {
     "op1_quality_rules": quality_rules.SQL,
+    "op3_warc": warc.SQL,
 }
