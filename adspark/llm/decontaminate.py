@@ -24,9 +24,9 @@ from pyspark.sql import Column, DataFrame, functions as F
 from .common import written
 
 K1, B = 1.2, 0.75
-#: Words of the items of one index, and items of one block of a posting list.
-INDEX_WORDS = 2_000_000
-BLOCK = 32
+#: Words of the items of one index, and the most blocks of items that posting lists have.
+INDEX_WORDS = 100_000
+BLOCKS = 64
 SHINGLE = 5
 PUNCTUATION = string.punctuation.encode()
 
@@ -53,17 +53,24 @@ def overlap(wanted: list[bytes], words: list[bytes]) -> float:
 
 @dataclass
 class Index:
-    """Items of one length group: posting lists with share-of-item weights, and the maximum of each block."""
+    """Items of one length group: posting lists with share-of-item weights, and the maxima of their blocks.
+
+    ``lists`` and the rows of ``blocks`` (term x block of items) go by the number of the term, ``most``
+    is the maximum of each row.
+    """
 
     length: int
     items: list[tuple]
-    lists: list[tuple[np.ndarray, np.ndarray, np.ndarray]]
-    term: dict[bytes, int]
-    most: np.ndarray
+    lists: dict[int, tuple[np.ndarray, np.ndarray]]
+    blocks: np.ndarray
+    block_items: int
+
+    def __post_init__(self):
+        self.most = self.blocks.max(axis=1)
 
     def search(self, terms: list[int], threshold: float) -> list[tuple[int, float]]:
         """Items whose score reaches the threshold, by block-max WAND over the lists of distinct terms."""
-        cursors = [[self.lists[t], 0, self.most[t]] for t in terms]
+        cursors = [[self.lists[t], 0, self.most[t], self.blocks[t]] for t in terms if t in self.lists]
         found = []
         eps = 1e-9
         while True:
@@ -81,11 +88,11 @@ class Index:
             while pivot + 1 < len(cursors) and cursors[pivot + 1][0][0][cursors[pivot + 1][1]] == item:
                 pivot += 1
             # bound by the blocks in which the pivot item would lie
-            block_bound, reach = 0.0, len(self.items)
-            for ids, _, blocks in (c[0] for c in cursors[: pivot + 1]):
-                at = item // BLOCK
-                block_bound += blocks[at]
-                reach = min(reach, (at + 1) * BLOCK)
+            block_bound = 0.0
+            at = item // self.block_items
+            reach = (at + 1) * self.block_items
+            for c in cursors[: pivot + 1]:
+                block_bound += c[3][at]
             if block_bound < threshold - eps:
                 if pivot + 1 < len(cursors):
                     reach = min(reach, int(cursors[pivot + 1][0][0][cursors[pivot + 1][1]]))
@@ -104,8 +111,12 @@ class Index:
                     c[1] = int(np.searchsorted(c[0][0], item))
 
 
-def build_indexes(items: list[tuple], df: dict[bytes, int], n: int, mean_words: float) -> list[Index]:
-    """Indexes by length group of (id, question words, answer words); ``df`` counts all items with a word."""
+def build_indexes(items: list[tuple], df: dict[bytes, int], n: int, mean_words: float) -> tuple[dict[bytes, int], list[Index]]:
+    """Numbers of the terms, and indexes by length group, of (id, question words, answer words).
+
+    ``df`` counts the items with a word, out of ``n`` items of ``mean_words`` words.
+    """
+    term = {w: t for t, w in enumerate(sorted({w for _, q, a in items for w in q + a}))}
     groups = defaultdict(list)
     for item in sorted(items, key=lambda x: (x[0] is None, x[0])):
         size = len(item[1]) + len(item[2])
@@ -123,44 +134,44 @@ def build_indexes(items: list[tuple], df: dict[bytes, int], n: int, mean_words:
             }
             total = sum(weights.values())
             for w, x in weights.items():
-                postings[w].append((k, x / total))
-        term = {w: t for t, w in enumerate(sorted(postings))}
-        lists = []
-        for w in term:
-            ids = np.array([k for k, _ in postings[w]], dtype=np.int64)
-            weights = np.array([x for _, x in postings[w]])
-            blocks = np.zeros(len(members) // BLOCK + 1)
-            np.maximum.at(blocks, ids // BLOCK, weights)
-            lists.append((ids, weights, blocks))
-        out.append(Index(length, members, lists, term, np.array([x[2].max() for x in lists])))
-    return out
-
-
-def passages(words: list[bytes], index: Index, threshold: float) -> Iterator[tuple[int, list[int]]]:
-    """Start and distinct terms of the passages whose upper bound reaches the threshold (WAND's first pivot)."""
-    get = index.term.get
-    ids = np.array([get(w, -1) for w in words], dtype=np.int64)
-    at = np.flatnonzero(ids >= 0)
-    if not len(at):
-        return
+                postings[term[w]].append((k, x / total))
+        lists = {t: (np.array([k for k, _ in p]), np.array([x for _, x in p])) for t, p in postings.items()}
+        block_items = math.ceil(len(members) / BLOCKS)
+        blocks = np.zeros((len(term), math.ceil(len(members) / block_items)))
+        for t, (ids, weights) in lists.items():
+            np.maximum.at(blocks[t], ids // block_items, weights)
+        out.append(Index(length, members, lists, blocks, block_items))
+    return term, out
+
+
+def passages(ids: np.ndarray, index: Index, threshold: float) -> Iterator[tuple[int, list[int]]]:
+    """Start and distinct terms of the passages in which some block of items may reach the threshold.
+
+    ``ids`` are the terms of a text's words, -1 for words in no item. First the lists' maxima are
+    added up for all passages at once, then the blocks' maxima for those that are left.
+    """
     bound = np.zeros(len(ids) + 1)
-    bound[at + 1] = index.most[ids[at]]
+    known = ids >= 0
+    bound[1:][known] = index.most[ids[known]]
     bound = np.cumsum(bound)
     starts = np.arange(0, max(1, len(ids) - index.length), index.length)
     ends = np.minimum(starts + 2 * index.length, len(ids))
-    for s, e in zip(starts, ends):
-        if bound[e] - bound[s] >= threshold - 1e-9:
-            terms = np.unique(ids[s:e])
-            terms = terms[terms >= 0]
-            if index.most[terms].sum() >= threshold - 1e-9:
-                yield int(s), terms.tolist()
+    likely = np.flatnonzero(bound[ends] - bound[starts] >= threshold - 1e-9)
+    for s, e in zip(starts[likely].tolist(), ends[likely].tolist()):
+        terms = np.unique(ids[s:e])
+        if terms[0] < 0:
+            terms = terms[1:]
+        if index.blocks[terms].sum(axis=0).max() >= threshold - 1e-9:
+            yield s, terms.tolist()
 
 
-def leaks_of(words: list[bytes], indexes: list[Index], threshold: float, verified: float) -> dict:
+def leaks_of(words: list[bytes], term: dict[bytes, int], indexes: list[Index], threshold: float, verified: float) -> dict:
     """item id -> [score, question overlap, answer overlap, passages] of the verified items of one text."""
     found: dict = {}
-    for index in indexes:
-        for start, terms in passages(words, index, threshold):
+    get = term.get
+    ids = np.array([get(w, -1) for w in words], dtype=np.int64)
+    for index in indexes if (ids >= 0).any() else ():
+        for start, terms in passages(ids, index, threshold):
             for k, score in index.search(terms, threshold):
                 item, question, answer = index.items[k]
                 near = words[max(0, start - index.length) : start + 3 * index.length]
@@ -219,7 +230,7 @@ def decontaminate(
                 columns: list[list] = [[] for _ in range(6)]
                 for i in range(batch.num_rows):
                     text = batch.column(1)[i].as_py()
-                    for item, values in leaks_of(tokens(text), shared.value, threshold, verified).items():
+                    for item, values in leaks_of(tokens(text), *shared.value, threshold, verified).items():
                         for column, value in zip(columns, [i, item, *values]):
                             column.append(value)
                 ids = batch.column(0).take(pa.array(columns[0], pa.int64()))

@@ -160,9 +160,10 @@ def license_scan(files: DataFrame, templates: list[tuple[str, str]] = TEMPLATES,
 
 
 def document_paths(docs: DataFrame) -> DataFrame:
-    """``documents`` as files: below source and language, the digits of the id are nested directories."""
-    digits = F.array_join(F.split(F.col("doc_id").cast("string"), "(?<=[0-9])(?=[0-9])"), "/")
-    return docs.select(F.concat_ws("/", "source", "lang", digits).alias("path"), F.col("doc_id").alias("file"), "text")
+    """``documents`` as files in directories of source, language and two remainders of the id, to a depth of id % 4."""
+    names = F.array(F.col("source"), F.col("lang"), (F.col("doc_id") % 5).cast("string"), (F.col("doc_id") % 3).cast("string"))
+    directory = F.array_join(F.slice(names, 1, (F.col("doc_id") % 4 + 1).cast("int")), "/")
+    return docs.select(F.concat_ws("/", directory, F.col("doc_id").cast("string")).alias("path"), F.col("doc_id").alias("file"), "text")
 
 
 def op7_license_scan(spark, folder: str) -> DataFrame:
@@ -178,7 +179,8 @@ def _sql() -> str:
 WITH tw(template, licence, word, weight) AS (VALUES {weights}),
 kn(word, idf) AS (VALUES {known}),
 f AS (
-    SELECT doc_id, text, source || '/' || lang || '/' || array_to_string(string_split(doc_id::VARCHAR, ''), '/') AS path
+    SELECT doc_id, text, array_to_string(list_append(
+        ([source, lang, (doc_id % 5)::VARCHAR, (doc_id % 3)::VARCHAR])[1:doc_id % 4 + 1], doc_id::VARCHAR), '/') AS path
     FROM documents
 ),
 p AS (SELECT *, regexp_extract(path, '^(.*)/[^/]*$', 1) AS directory FROM f),

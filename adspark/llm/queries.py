@@ -2,15 +2,21 @@
 
 from __future__ import annotations
 
-from . import quality_rules, sharding, warc
+from . import decontaminate, licenses, packing, quality_rules, sharding, simhash, token_counts, warc
 
 QUERIES = {
     "op1_quality_rules": quality_rules.op1_quality_rules,
     "op2_reshard": sharding.op2_reshard,
     "op3_warc": warc.op3_warc,
+    "op5_decontamination": decontaminate.op5_decontamination,
+    "op6_token_counts": token_counts.op6_token_counts,
+    "op7_license_scan": licenses.op7_license_scan,
+    "op8_best_fit_packing": packing.op8_best_fit_packing,
+    "op9_simhash": simhash.op9_simhash,
 }
 
 SQL = {
     "op1_quality_rules": quality_rules.SQL,
     "op3_warc": warc.SQL,
+    "op7_license_scan": licenses.SQL,
 }

@@ -13,6 +13,7 @@ from __future__ import annotations
 
 from collections import defaultdict
 from dataclasses import dataclass, field
+from itertools import permutations
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
@@ -110,8 +111,7 @@ def _even_out(plan: Plan, spots: dict[tuple[int, int], dict[int, int]], dests: d
     for _ in range(30):
         before = list(over)
         for spot, rows in spots.items():
-            here = sorted(dests[spot], key=lambda j: (over[j], j))
-            for a, b in [(here[-1 - k], here[k]) for k in range(len(here) // 2)]:
+            for a, b in permutations(sorted(dests[spot]), 2):
                 want = (over[a] - over[b]) // 2
                 for key in order[spot]:
                     if at[spot][key] == a and 0 < rows[key] <= want:
@@ -183,7 +183,8 @@ def plan_reshard(keyed: DataFrame, old_shards: int, shards: int, capacities: lis
 
     dests: dict[tuple[int, int], set[int]] = defaultdict(set)
     for i, runs in ends.items():
-        plan.runs[i] = []
+        if runs:
+            plan.runs[i] = []
         for (at, j), (_, after) in zip(runs, runs[1:]):
             spot, start = next((s, x[0]) for s, x in cut_blocks.items() if s[0] == i and x[0] < at <= sum(x))
             key, real = _cut(spots[spot], start, at)
