@@ -1,7 +1,7 @@
 """Licence scan: TF-IDF cosine of a text's lines to licence templates, then inheritance by directory.
 
-A file's own licence is the template nearest to one of its lines. A licence file, one whose first
-line with a word is such a notice, covers its directory; a file without a licence of its own takes
+A file's own licence is the template nearest to one of its lines. A licence file, one that begins or
+ends with such a notice, covers its directory; a file without a licence of its own takes
 that of the nearest directory above it that a licence file covers. Inheritance is worked out once
 for each directory, by a join of its ancestors' paths, and given to the files by a join on their
 directory.
@@ -70,9 +70,9 @@ def _distinctive(rows: list[tuple[int, str, str, float]], threshold: float) -> l
 
 
 def own_licences(files: DataFrame, templates: list[tuple[str, str]], threshold: float) -> DataFrame:
-    """Licence of each file with a line near a template: (path, file, licence, cosine, opens).
+    """Licence of each file with a line near a template: (path, file, licence, cosine, covers).
 
-    ``opens``: the file's first line with a word reaches the threshold. Of several licences the
+    ``covers``: the file's first or last line with a word reaches the threshold. Of several licences the
     nearest counts, of equally near ones (to nine digits) the first by name.
     """
     rows, idf, unseen = _weights(templates)
@@ -86,7 +86,7 @@ def own_licences(files: DataFrame, templates: list[tuple[str, str]], threshold:
     lines = likely.select("path", "file", F.posexplode(F.split("text", "\n")).alias("line", "content"))
     lines = lines.where(F.col("content").rlike(r"[^\x20\x09-\x0D]"))
     found = lines.withColumn("words", F.regexp_extract_all(F.lower("content"), F.lit(f"({WORD})"), F.lit(1)))
-    first = lines.groupBy("path", "file").agg(F.min("line").alias("first"))
+    first = lines.groupBy("path", "file").agg(F.min("line").alias("first"), F.max("line").alias("last"))
     # a line is known by its file and number; repeated rows of a file are one file
     counted = found.where(F.col("words").cast("string").rlike(pattern)).select("path", "file", "line", "words").distinct()
     counted = counted.select("path", "file", "line", F.explode("words").alias("word"))
@@ -106,10 +106,10 @@ def own_licences(files: DataFrame, templates: list[tuple[str, str]], threshold:
 
     near = dots.join(norm, same(dots, norm, keys)).select(*[dots[c] for c in keys], "licence", F.round(F.col("dot") / F.col("norm"), 9).alias("cosine"))
     near = near.where(F.col("cosine") >= threshold)
-    placed = near.join(first, same(near, first, ["path", "file"])).select(*[near[c] for c in keys], "licence", "cosine", "first")
+    placed = near.join(first, same(near, first, ["path", "file"])).select(*[near[c] for c in keys], "licence", "cosine", F.col("line").isin(F.col("first"), F.col("last")).alias("edge"))
     best = F.min(F.struct((-F.col("cosine")).alias("c"), "licence"))
-    return placed.groupBy("path", "file").agg(best.alias("best"), F.max(F.col("line") == F.col("first")).alias("opens")).select(
-        "path", "file", F.col("best.licence").alias("licence"), (-F.col("best.c")).alias("cosine"), "opens"
+    return placed.groupBy("path", "file").agg(best.alias("best"), F.max("edge").alias("covers")).select(
+        "path", "file", F.col("best.licence").alias("licence"), (-F.col("best.c")).alias("cosine"), "covers"
     )
 
 
@@ -135,7 +135,7 @@ def license_scan(files: DataFrame, templates: list[tuple[str, str]] = TEMPLATES,
     """
     files = files.select(F.col("path").cast("string"), "file", F.col("text").cast("string"))
     own = written(own_licences(files, templates, threshold), "own-licences")
-    covering = own.where("opens AND path IS NOT NULL").withColumn("directory", _parent(F.col("path")))
+    covering = own.where("covers AND path IS NOT NULL").withColumn("directory", _parent(F.col("path")))
     best = F.min(F.struct((-F.col("cosine")).alias("c"), "licence"))
     covered = covering.groupBy("directory").agg(best.alias("best")).select("directory", F.col("best.licence").alias("licence"))
 
@@ -189,7 +189,7 @@ l AS (
     FROM (SELECT doc_id, text, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS i FROM f)
     WHERE regexp_matches(string_split(text, chr(10))[i], '[^\x20\x09-\x0D]')
 ),
-fst AS (SELECT doc_id, min(i) AS first FROM l GROUP BY 1),
+fst AS (SELECT doc_id, min(i) AS first, max(i) AS last FROM l GROUP BY 1),
 w AS (SELECT doc_id, i, unnest(regexp_extract_all(lower(line), '[a-z]+|[0-9]+(?:\.[0-9]+)*')) AS word FROM l),
 c AS (
     SELECT doc_id, i, word, count(*) * coalesce(any_value(idf), {unseen!r}) AS value
@@ -201,10 +201,10 @@ s AS (
     FROM c JOIN tw USING (word) JOIN n USING (doc_id, i) GROUP BY doc_id, i, template, licence
 ),
 own AS (
-    SELECT doc_id, min(struct_pack(c := -cosine, licence := licence)) AS best, max(i = first) AS opens
+    SELECT doc_id, min(struct_pack(c := -cosine, licence := licence)) AS best, max(i = first OR i = last) AS covers
     FROM s JOIN fst USING (doc_id) WHERE cosine >= 0.8 GROUP BY doc_id
 ),
-cov AS (SELECT directory, min(best).licence AS licence FROM own JOIN p USING (doc_id) WHERE opens GROUP BY 1),
+cov AS (SELECT directory, min(best).licence AS licence FROM own JOIN p USING (doc_id) WHERE covers GROUP BY 1),
 inh AS (
     SELECT doc_id, max_by(struct_pack(l := cov.licence, d := cov.directory), length(cov.directory)) AS x
     FROM p JOIN cov ON cov.directory = '' OR p.directory = cov.directory OR starts_with(p.directory, cov.directory || '/')

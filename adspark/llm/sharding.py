@@ -11,6 +11,7 @@ numbers, without a join, and one shuffle writes the files.
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections import defaultdict
 from dataclasses import dataclass, field
 from itertools import permutations
@@ -117,6 +118,14 @@ def _even_out(plan: Plan, spots: dict[tuple[int, int], dict[int, int]], dests: d
                     if at[spot][key] == a and 0 < rows[key] <= want:
                         at[spot][key] = b
                         over[a], over[b], want = over[a] - rows[key], over[b] + rows[key], want - rows[key]
+                # or a row changes places with a smaller one, which brings the two closer than any single row
+                small = sorted((rows[k], k) for k in rows if at[spot][k] == b)
+                for key in order[spot] if small and want > 0 else ():
+                    other = bisect_left(small, (rows[key] - want,))
+                    if at[spot][key] == a and other < len(small) and 0 < (gain := rows[key] - small[other][0]) <= want:
+                        at[spot][key], at[spot][small[other][1]] = b, a
+                        over[a], over[b] = over[a] - gain, over[b] + gain
+                        break
         if over == before:
             break
     for (i, _), keys in at.items():
