@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, licenses, packing, quality_rules, sharding, simhash, token_counts, warc
+from . import decontaminate, licenses, packing, quality_rules, repeats, sharding, simhash, token_counts, warc
 
 QUERIES = {
     "op1_quality_rules": quality_rules.op1_quality_rules,
@@ -13,6 +13,7 @@ QUERIES = {
     "op7_license_scan": licenses.op7_license_scan,
     "op8_best_fit_packing": packing.op8_best_fit_packing,
     "op9_simhash": simhash.op9_simhash,
+    "op10_repeated_passages": repeats.op10_repeated_passages,
 }
 
 SQL = {
