@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import decontaminate, licenses, packing, quality_rules, repeats, sharding, simhash, token_counts, warc
+from . import decontaminate, licenses, packing, quality_rules, repeats, rule_ensemble, sharding, simhash, token_counts, warc
 
 QUERIES = {
     "op1_quality_rules": quality_rules.op1_quality_rules,
     "op2_reshard": sharding.op2_reshard,
     "op3_warc": warc.op3_warc,
+    "op4_quality_classifier": rule_ensemble.op4_quality_classifier,
     "op5_decontamination": decontaminate.op5_decontamination,
     "op6_token_counts": token_counts.op6_token_counts,
     "op7_license_scan": licenses.op7_license_scan,
