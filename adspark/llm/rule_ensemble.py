@@ -148,18 +148,24 @@ def training_table(docs: DataFrame, labels: DataFrame, train_rows: int, id_col:
 
 
 def quality_scores(
-    docs: DataFrame, labels: DataFrame, train_rows: int = 20_000, id_col: str = "doc_id", text_col: str = "text"
+    docs: DataFrame,
+    labels: DataFrame,
+    train_rows: int = 20_000,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    carry: list[str] | None = None,
 ) -> DataFrame:
-    """(doc_id, held_out, score, predicted) of every document.
+    """(doc_id, held_out, score, predicted[, carried columns]) of every document.
 
     ``labels`` has the id and ``quality`` 0 or 1; labels of held-out rows are never read for fitting,
     and at most ``train_rows`` others are, chosen by hash of the id. NULL and empty texts are scored
     by their zeros; without labels every score is one half. Repeated rows give a row each, with equal
-    scores; a NULL id is not held out. Other input columns are left out.
+    scores; a NULL id is not held out. ``carry`` names columns to hand through (no features may have
+    their names; a struct holds any); the others are left out.
     """
     ensemble = fit(training_table(docs, labels, train_rows, id_col, text_col))
-    scored = statistics(docs, id_col, text_col).select("doc_id", held_out().alias("held_out"), ensemble.score().alias("score"))
-    return scored.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
+    scored = statistics(docs, id_col, text_col, carry).withColumns({"held_out": held_out(), "score": ensemble.score()})
+    return scored.select("doc_id", "held_out", "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), *(carry or []))
 
 
 def op4_quality_classifier(spark, folder: str) -> DataFrame:

@@ -58,18 +58,23 @@ def fingerprint_of(data: bytes, shingle: int = 3) -> int:
     return sum(1 << int(b) for b in set_bits)
 
 
+def _tag(text_col: str) -> Column:
+    """Checksum of a text, to tell apart rows with the same id."""
+    return F.crc32(F.coalesce(F.col(text_col).cast("string"), F.lit("")))
+
+
 def fingerprints(docs: DataFrame, shingle: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, fp) with the fingerprint's 64 bits as a long; texts without words, and NULL, have 0."""
+    """(doc_id, tag, fp): checksum of the text and its fingerprint's 64 bits as longs; texts without words, and NULL, have 0."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             values = [fingerprint_of((t.as_py() or "").encode(), shingle) for t in batch.column(1)]
             fp = pa.array(np.array(values, dtype=np.uint64).view(np.int64))
-            yield pa.RecordBatch.from_arrays([batch.column(0), fp], names=["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), fp], names=["doc_id", "tag", "fp"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    narrow = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return narrow.mapInArrow(run, f"doc_id {kind}, fp long")
+    narrow = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"), _tag(text_col).alias("tag"))
+    return narrow.mapInArrow(run, f"doc_id {kind}, tag long, fp long")
 
 
 def _key(fp: Column, positions: tuple[int, ...]) -> Column:
@@ -164,6 +169,18 @@ def near_links(distinct: DataFrame, bits: int = 2) -> DataFrame:
     return _linked(dealt, bits, partitions)
 
 
+def _rooted(docs: DataFrame, bits: int, shingle: int, id_col: str, text_col: str) -> DataFrame:
+    """(doc_id, tag, fp, root, component_id) of every row; ``root`` is the component's least fingerprint."""
+    prints = written(fingerprints(docs, shingle, id_col, text_col), "fingerprints")
+    least = written(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct-fingerprints")
+    joined = components(near_links(least.select("fp"), bits))
+    named = least.join(joined, least["fp"] == joined["node"], "left").select(
+        least["fp"], "least", F.coalesce("component", least["fp"]).alias("root")
+    )
+    roots = named.groupBy("root").agg(F.min("least").alias("component_id"))
+    return prints.join(written(named.select("fp", "root").join(roots, "root"), "fingerprint-components"), "fp")
+
+
 def near_duplicates(
     docs: DataFrame, bits: int = 2, shingle: int = 3, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
@@ -174,18 +191,24 @@ def near_duplicates(
     link like any other. Repeated rows give a row each; NULL ids never name a component, and a
     component of NULL ids only has a NULL name. Other input columns are left out.
     """
-    prints = written(fingerprints(docs, shingle, id_col, text_col), "fingerprints")
-    least = written(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct-fingerprints")
-    joined = components(near_links(least.select("fp"), bits))
-    named = least.join(joined, least["fp"] == joined["node"], "left").select(
-        least["fp"], "least", F.coalesce("component", least["fp"]).alias("root")
-    )
-    roots = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    table = written(named.join(roots, "root").select("fp", "component_id"), "fingerprint-components")
-    return prints.join(table, "fp").select(
+    return _rooted(docs, bits, shingle, id_col, text_col).select(
         "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
     )
 
 
+def keep_one_of_each(docs: DataFrame, bits: int = 2, shingle: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Rows of ``docs``, with all columns, of which one stays for each component of near-duplicates.
+
+    It is the row with the smallest id (NULL is the largest), then with the smallest checksum of its
+    text; of rows with equal id and text one stays.
+    """
+    found = _rooted(docs, bits, shingle, id_col, text_col)
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "tag")).alias("x")
+    kept = written(found.groupBy("root").agg(first).select(F.col("x.doc_id").alias("kept_id"), F.col("x.tag").alias("kept_tag")), "kept")
+    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col(id_col).alias("id"), _tag(text_col).alias("tag"))
+    stay = rows.join(kept, rows["id"].eqNullSafe(kept["kept_id"]) & (rows["tag"] == kept["kept_tag"]), "left_semi")
+    return stay.dropDuplicates(["id", "tag"]).select("row.*")
+
+
 def op9_simhash(spark, folder: str) -> DataFrame:
     return near_duplicates(spark.read.parquet(f"{folder}/documents.parquet"))
