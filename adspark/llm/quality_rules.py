@@ -101,8 +101,9 @@ def statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     )
 
 
-#: The base: too short, or made of repeats.
-BASE_FAILED = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
+def base_failed() -> Column:
+    """Too short, or made of repeats."""
+    return (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
 
 
 def default_rules() -> list[Rule]:
@@ -138,7 +139,7 @@ def measure(sample: DataFrame, rules: list[Rule]) -> list[Measured]:
 
 def cascade(measured: list[Measured]) -> Column:
     """True for documents that no rule rejects; rules in the order of their worth."""
-    kept = F.when(BASE_FAILED, False)
+    kept = F.when(base_failed(), False)
     for m in sorted(measured, key=lambda m: (-m.worth, m.rule.name)):
         kept = kept.when(m.rule.rejects, False)
     return kept.otherwise(True)
@@ -160,7 +161,7 @@ def quality_rules(
     narrow = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     share = min(1.0, sample_rows / max(1, docs.count()))
     # base columns are part of what the cascade is given, so only the rules' own work is timed
-    sample = written(statistics(narrow.sample(share, seed=7)).where(~BASE_FAILED), "rule-sample")
+    sample = written(statistics(narrow.sample(share, seed=7)).where(~base_failed()), "rule-sample")
     kept = cascade(measure(sample, rules))
     return statistics(narrow).select(
         "doc_id",
@@ -169,7 +170,7 @@ def quality_rules(
         "n_symbols",
         "n_dup_lines",
         "n_repeat_words",
-        BASE_FAILED.alias("base_failed"),
+        base_failed().alias("base_failed"),
         kept.alias("kept"),
     )
 

@@ -89,6 +89,12 @@ class Trie:
         return node[1]
 
 
+@lru_cache(maxsize=1)
+def trie_of(path: str) -> tuple[Trie, dict[bytes, int]]:
+    """The trie of a Python worker and the terminal counts by word, kept from task to task."""
+    return Trie(*vocabulary(path)), {}
+
+
 def token_counts(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_pretokens, n_distinct, n_tokens) of every whole text.
 
@@ -100,8 +106,7 @@ def token_counts(docs: DataFrame, model: str, id_col: str = "doc_id", text_col:
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        trie = Trie(*vocabulary(model))
-        known: dict[bytes, int] = {}
+        trie, known = trie_of(model)
         for batch in batches:
             counts: list[list[int]] = [[], [], []]
             for text in batch.column(1):

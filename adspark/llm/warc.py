@@ -27,6 +27,7 @@ CHUNK = 1 << 16
 #: Fixed values of the format.
 VERSION = b"WARC/1.1"
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
+VERSION_LINE = re.compile(rb"WARC/1\.\d\r\n")
 GZIP_MAGIC = b"\x1f\x8b\x08"
 
 
@@ -137,7 +138,7 @@ def _member(file, at: int, end: int) -> tuple[bytes, int]:
 def parse(data: bytes, at: int = 0) -> tuple[dict[str, str], bytes, int]:
     """Headers, block and end of the record at a byte of ``data``; raises Damaged if a check fails."""
     split = data.find(b"\r\n\r\n", at)
-    if not data.startswith(b"WARC/1.", at):
+    if not VERSION_LINE.match(data, at):
         raise Damaged("no version line")
     if split < 0:
         raise Damaged("headers do not end")
@@ -177,7 +178,9 @@ def _next_start(file, at: int, end: int) -> int:
 def _plain(file, at: int, end: int) -> tuple[bytes, int]:
     """Bytes and end of the uncompressed record at a byte."""
     file.seek(at)
-    data = b""
+    data = file.read(10)
+    if not VERSION_LINE.match(data):
+        raise Damaged("no version line")
     while b"\r\n\r\n" not in data:
         chunk = file.read(min(CHUNK, end - at - len(data)))
         if not chunk:
