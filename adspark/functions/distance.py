@@ -28,7 +28,10 @@ def jaccard_distance(a, b) -> Column:
 
 
 def dense_distance(a, b, metric: str, width: int | None = None) -> Column:
-    """Euclidean or Manhattan distance; a known width unrolls into generated code."""
+    """Euclidean or Manhattan distance; a known width unrolls into generated code.
+
+    With a width, arrays of any other size are an error.
+    """
 
     def term(x, y):
         d = x.cast("double") - y.cast("double")
@@ -36,7 +39,8 @@ def dense_distance(a, b, metric: str, width: int | None = None) -> Column:
 
     if width:
         a, b = (F.col(c) if isinstance(c, str) else c for c in (a, b))
-        total = term(a[0], b[0])
+        fits = F.assert_true(F.coalesce((F.size(a) == width) & (F.size(b) == width), F.lit(True)), F.lit(f"vectors do not have {width} values"))
+        total = F.when(fits.isNull(), term(a[0], b[0]))
         for i in range(1, width):
             total = total + term(a[i], b[i])
     else:

@@ -19,6 +19,6 @@ def order_key(parts: list, method: str = "md5") -> Column:
     raise ValueError(f"unknown hash method {method!r}")
 
 
-def order_bucket(key: Column, digits: int = 2) -> Column:
+def order_bucket(key: Column, digits: int = 4) -> Column:
     """Leading digits of an order key: buckets follow the order and hold equal shares."""
     return F.substring(key, 1, digits)

@@ -2,8 +2,10 @@
 
 A plain ``Window.partitionBy(group).orderBy(value)`` sorts a whole group in one task. Here a
 group is cut into order-preserving buckets: every bucket is ordered on its own, and the bucket
-totals (a few hundred rows per group) are accumulated separately. Groups of any size therefore
-spread over the cluster, and equal values are merged into counts before anything is shuffled.
+totals are accumulated separately. The borders of the buckets are quantiles of the group's own
+values, so buckets hold about equal shares however skewed the values are, infinite ones included.
+Equal values are merged into counts before anything is shuffled, so a value that very many rows
+share is one row. Groups whose key is NULL are groups like any other.
 """
 
 from __future__ import annotations
@@ -12,14 +14,32 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..sources.shared import materialise
 from .hashing import order_bucket, order_key
+from .joining import join_on
 
-BUCKETS = 256
+#: Buckets of a group: two levels of this many.
+FAN = 32
+#: Rank error of the quantiles that serve as borders: one in this many rows.
+ACCURACY = 10_000
 
 
-def value_bucket(value: Column, low: Column, high: Column, buckets: int = BUCKETS) -> Column:
-    """Order-preserving bucket of a value within [low, high]."""
-    cell = F.floor((value - low) / (high - low) * buckets).cast("int")
-    return F.when(high > low, F.least(F.greatest(cell, F.lit(0)), F.lit(buckets - 1))).otherwise(0)
+def value_buckets(df: DataFrame, keys: list[str], value: str) -> DataFrame:
+    """Add ``_bucket``: place of the value among FAN * FAN - 1 quantiles of its group.
+
+    The borders are written once, so that every use of the result sees the same ones.
+    """
+    shares = F.array(*[F.lit(i / (FAN * FAN)) for i in range(1, FAN * FAN)])
+    number = F.col(value).cast("double")
+    borders = df.groupBy(*keys).agg(F.percentile_approx(number, shares, ACCURACY).alias("_fine"))
+    coarse = F.transform(F.sequence(F.lit(FAN), F.lit(FAN * FAN - FAN), F.lit(FAN)), lambda i: F.element_at("_fine", i))
+    table = materialise(borders.withColumn("_coarse", F.when(F.col("_fine").isNotNull(), coarse)), "borders")
+    joined = join_on(df, table, keys) if keys else with_scalars(df, table)
+
+    def below(borders: Column) -> Column:
+        return F.coalesce(F.size(F.filter(borders, lambda b: b < number)), F.lit(0))
+
+    joined = joined.withColumn("_upper", F.greatest(below(F.col("_coarse")), F.lit(0)))
+    own = F.slice("_fine", F.col("_upper") * FAN + 1, F.lit(FAN - 1))
+    return joined.withColumn("_bucket", F.col("_upper") * FAN + F.greatest(below(own), F.lit(0))).drop("_upper", "_fine", "_coarse")
 
 
 def running_totals(
@@ -28,26 +48,16 @@ def running_totals(
     order: list[str],
     sums: dict[str, str],
     bucket: Column | None = None,
-    span: tuple[float, float] | None = None,
     totals: dict[str, str] | None = None,
 ) -> DataFrame:
     """Inclusive running sums along ``order`` within ``keys``.
 
     ``sums`` maps new column -> summed column, ``totals`` maps new column -> column summed over
-    the whole group. ``order[0]`` is the numeric value that is bucketed unless ``bucket`` gives
-    the bucket directly; a known ``span`` of that value saves the min/max pass.
+    the whole group. ``order[0]`` is the numeric value whose quantiles part the buckets unless
+    ``bucket`` gives the bucket directly.
     """
     totals = totals or {}
-    if bucket is None:
-        value = F.col(order[0]).cast("double")
-        if span is not None:
-            bucket = value_bucket(value, F.lit(float(span[0])), F.lit(float(span[1])))
-        else:
-            # written once: the planner sees the real size and broadcasts it only if it is small
-            limits = materialise(df.groupBy(*keys).agg(F.min(value).alias("_lo"), F.max(value).alias("_hi")), "limits")
-            df = df.join(limits, keys) if keys else with_scalars(df, limits)
-            bucket = value_bucket(value, F.col("_lo"), F.col("_hi"))
-    df = df.withColumn("_bucket", bucket).drop("_lo", "_hi")
+    df = value_buckets(df, keys, order[0]) if bucket is None else df.withColumn("_bucket", bucket)
 
     summed = sorted(set(sums.values()) | set(totals.values()))
     part = df.groupBy(*keys, "_bucket").agg(*[F.sum(c).alias(f"_part_{c}") for c in summed])
@@ -63,7 +73,7 @@ def running_totals(
     local = df.select(
         "*", *[F.sum(c).over(inside).alias(f"_run_{name}") for name, c in sums.items()]
     )
-    joined = local.join(offsets, [*keys, "_bucket"])
+    joined = join_on(local, offsets, [*keys, "_bucket"])
     return joined.select(
         *df.drop("_bucket").columns,
         *[(F.col(f"_run_{name}") + F.col(f"_off_{c}")).alias(name) for name, c in sums.items()],
@@ -100,18 +110,18 @@ def distinct_values(df: DataFrame, keys: list[str], value: str, weight: str | No
 
 
 def average_ranks(
-    df: DataFrame, keys: list[str], value: str, out: str, weight: str | None = None, span=None
+    df: DataFrame, keys: list[str], value: str, out: str, weight: str | None = None
 ) -> DataFrame:
     """Distinct values with their tie-averaged rank, centred on the mean rank of the group."""
     ranked = running_totals(
-        distinct_values(df, keys, value, weight), keys, [value], {"_cum": "c"}, span=span, totals={"_n": "c"}
+        distinct_values(df, keys, value, weight), keys, [value], {"_cum": "c"}, totals={"_n": "c"}
     )
     rank = F.col("_cum") - (F.col("c") - 1) / 2
     return ranked.select(*keys, value, (rank - (F.col("_n") + 1) / 2).alias(out), "_n", "c")
 
 
 def row_positions(df: DataFrame, keys: list[str], value: str, id_col: str, out: str) -> DataFrame:
-    """Position 1..n of every row along ``value``, ties in the hash order of the id; ``<out>_n`` = n.
+    """Position 1..n of every row with a ``value``, ties in the hash order of the id; ``<out>_n`` = n.
 
     Distinct values are placed first; tied rows are then ranked by hash, so that a value shared by
     very many rows is spread as well.
@@ -119,7 +129,7 @@ def row_positions(df: DataFrame, keys: list[str], value: str, id_col: str, out:
     placed = running_totals(
         distinct_values(df, keys, value), keys, [value], {"_cum": "c"}, totals={f"{out}_n": "c"}
     )
-    joined = df.join(placed.withColumn("_before", F.col("_cum") - F.col("c")), [*keys, value])
+    joined = join_on(df, placed.withColumn("_before", F.col("_cum") - F.col("c")), [*keys, value])
     columns = [*df.columns, f"{out}_n"]
     alone = joined.where("c = 1").select(*columns, F.col("_cum").alias(out))
     tied = joined.where("c > 1").withColumn("_h", order_key([F.col(id_col)]))
@@ -128,11 +138,11 @@ def row_positions(df: DataFrame, keys: list[str], value: str, id_col: str, out:
 
 
 def exact_quantiles(
-    df: DataFrame, keys: list[str], value: str, quantiles: dict[str, float], weight: str | None = None, span=None
+    df: DataFrame, keys: list[str], value: str, quantiles: dict[str, float], weight: str | None = None
 ) -> DataFrame:
     """Linear-interpolation quantiles per group; same values as the exact ``percentile``."""
     ranked = running_totals(
-        distinct_values(df, keys, value, weight), keys, [value], {"_cum": "c"}, span=span, totals={"_n": "c"}
+        distinct_values(df, keys, value, weight), keys, [value], {"_cum": "c"}, totals={"_n": "c"}
     )
 
     def at(position: Column) -> Column:
@@ -185,5 +195,5 @@ def spearman(df: DataFrame, keys: list[str], x: str, y: str, out: str) -> DataFr
     pairs = materialise(counted, "pairs")
     rx = average_ranks(pairs, keys, x, "_rx", weight="_w").drop("_n", "c")
     ry = average_ranks(pairs, keys, y, "_ry", weight="_w").drop("_n", "c")
-    ranked = pairs.join(rx, [*keys, x]).join(ry, [*keys, y])
+    ranked = join_on(join_on(pairs, rx, [*keys, x]), ry, [*keys, y])
     return weighted_pearson(ranked, keys, "_rx", "_ry", "_w", out)

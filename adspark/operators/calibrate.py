@@ -14,6 +14,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
+from ..functions.joining import join_on
 from ..functions.ordered import running_totals
 from ..sources.shared import materialise
 
@@ -92,7 +93,6 @@ def _cumulative(calibration: DataFrame, keys: list[str]) -> DataFrame:
         keys,
         ["score"],
         {"n_cum": "c", "s_cum": "s", "pos": "_one"},
-        span=(0.0, 1.0),
         totals={"groups": "_one"},
     )
 
@@ -127,7 +127,7 @@ def venn_abers_table(calibration: DataFrame, keys: list[str], range_rows: int =
     hulls = points.groupBy(*keys, "_range").applyInPandas(reduce_range, hull_schema)
     ranges = points.select(*keys, "_range").distinct().withColumnRenamed("_range", "_target")
     # hull vertices of all other ranges travel to each range; own points go in full
-    others = hulls.join(ranges, keys)
+    others = join_on(hulls, ranges, keys)
     others = others.where(F.col("_range") != F.col("_target")).select(
         *keys, F.col("_target").alias("_range"), "pos", "n_cum", "s_cum", F.lit(False).alias("own")
     )
@@ -161,7 +161,7 @@ def step_positions(calibration: DataFrame, test: DataFrame, keys: list[str]) ->
         steps.unionByName(asked.withColumn("kind", F.lit(0)))
         .unionByName(asked.withColumn("kind", F.lit(2)))
     )
-    total = running_totals(line, keys, ["score", "kind"], {"_cum": "_one"}, span=(0.0, 1.0), totals={"groups": "_one"})
+    total = running_totals(line, keys, ["score", "kind"], {"_cum": "_one"}, totals={"groups": "_one"})
     found = (
         total.where("kind <> 1")
         .groupBy(*keys, "score")
@@ -171,7 +171,7 @@ def step_positions(calibration: DataFrame, test: DataFrame, keys: list[str]) ->
             F.max("groups").alias("groups"),
         )
     )
-    return test.join(found, [*keys, "score"])
+    return join_on(test, found, [*keys, "score"])
 
 
 def venn_abers(calibration: DataFrame, test: DataFrame, keys: list[str], range_rows: int = 4096) -> DataFrame:
@@ -186,7 +186,7 @@ def venn_abers(calibration: DataFrame, test: DataFrame, keys: list[str], range_r
     placed = placed.withColumn("_pos1", F.least(F.col("upto"), F.col("groups") - 1))
     p1 = table.select(*keys, F.col("pos").alias("_pos1"), "p1")
     p0 = table.select(*keys, F.col("pos").alias("below"), F.when(F.col("pos") == 0, 0.0).otherwise(F.col("p0")).alias("p0"))
-    joined = placed.join(p0, [*keys, "below"]).join(p1, [*keys, "_pos1"])
+    joined = join_on(join_on(placed, p0, [*keys, "below"]), p1, [*keys, "_pos1"])
     return joined.select(*test.columns, "p0", "p1")
 
 

@@ -6,6 +6,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+from ..functions.joining import join_on
 from ..functions.ordered import with_scalars
 from ..functions.scalar import count_where
 from ..sources.shared import materialise
@@ -44,7 +45,7 @@ def dense_ids(df: DataFrame, key: str, out: str = "id") -> DataFrame:
     before = W.orderBy("_p").rowsBetween(W.unboundedPreceding, -1)  # one row per partition
     offsets = sizes.select("_p", F.coalesce(F.sum("_c").over(before), F.lit(0)).alias("_o"))
     ids = numbered.join(offsets, "_p").select(key, (F.col("_i") + F.col("_o")).alias(out))
-    return df.drop(out).join(ids, key) if out != key else ids
+    return join_on(df.drop(out), ids, [key]) if out != key else ids
 
 
 def split_by_rules(df: DataFrame, rules: dict[str, Column]) -> tuple[DataFrame, DataFrame]:
@@ -98,14 +99,14 @@ def without_outliers(df: DataFrame, keys: list[str], value: str, n_sd: float = 3
         gap = F.abs(c) * n / (n - 1)
         spread = F.greatest(F.col("_v") * n - c * c * n / (n - 1), F.lit(0.0)) / (n - 1)
         out = F.when((n >= 3) & F.col("_varies"), gap > limit * F.sqrt(spread)).otherwise(False)
-        tested = materialise(active.join(moments, keys).select(*columns, out.alias("_out")), "outliers")
+        tested = materialise(join_on(active, moments, keys).select(*columns, out.alias("_out")), "outliers")
         changed = tested.where("_out").select(*keys).distinct()
         kept = tested.where(~F.col("_out")).select(*columns)
         if changed.isEmpty():
             finished.append(kept)
             return reduce(lambda a, b: a.unionByName(b), finished)
-        finished.append(kept.join(changed, keys, "left_anti"))
-        active, limit = kept.join(changed, keys, "left_semi"), 3.0
+        finished.append(join_on(kept, changed, keys, "left_anti"))
+        active, limit = join_on(kept, changed, keys, "left_semi"), 3.0
 
 
 def dedup_values(df: DataFrame, key: str, value: str, order: list[str], n_sd: float = 3.0, max_deviation: float | None = None) -> DataFrame:
@@ -120,7 +121,7 @@ def dedup_values(df: DataFrame, key: str, value: str, order: list[str], n_sd: fl
         mean = mean.where(F.col("_sd") <= max_deviation)
     rest = [c for c in df.columns if c not in (key, value)]
     first = df.groupBy(key).agg(F.min_by(F.struct(*rest), F.struct(*order)).alias("_first"))
-    joined = mean.join(first, key)
+    joined = join_on(mean, first, [key])
     return joined.select(
         key, F.col("_mean").alias(value), *[F.col(f"_first.{c}").alias(c) for c in rest]
     ).select(*df.columns)
@@ -159,7 +160,7 @@ def integrity(train: DataFrame, test: DataFrame, id_col: str, required: list[str
             F.coalesce(F.sum("_miss"), F.lit(0)).alias(f"{name}_missing"),
         )
 
-    shared = train.select(id_col).distinct().join(test.select(id_col), id_col, "left_semi")
+    shared = join_on(train.select(id_col).distinct(), test.select(id_col), [id_col], "left_semi")
     overlap = shared.agg(F.count(F.lit(1)).alias("shared_ids"))
     return with_scalars(with_scalars(side(train, "train"), side(test, "test")), overlap)
 

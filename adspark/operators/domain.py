@@ -10,6 +10,7 @@ from dataclasses import replace
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from ..functions.joining import join_on
 from ..functions.ordered import exact_quantiles
 from ..functions.scalar import Z_UPPER_5_PERCENT, normal_upper_tail, ratio
 from ..sources.shared import materialise
@@ -92,7 +93,7 @@ def nunc_status(train: DataFrame, test: DataFrame, space: Space, ks: list[int])
     by_k = replace(space, by=(*space.by, "k"))
     stats = nunc_training_stats(long, by_k, F.col("m"), F.col("weight"))
     scored = new.select(*space.keys, space.id, means()).select(*space.keys, space.id, "_m.k", "_m.m")
-    scored = scored.join(stats, [*space.keys, "k"])
+    scored = join_on(scored, stats, [*space.keys, "k"])
     sigma = F.when(F.col("sigma") == 0, F.lit(1e-10)).otherwise(F.col("sigma"))
     z = (F.col("m") - F.col("mu")) / sigma
     return scored.select(
@@ -146,7 +147,7 @@ def point_limits(train: Layout, ks: list[int], nearest_only: bool = False, fill_
         entry = F.struct("j", F.coalesce(ratio("total", "near"), F.lit(0.0)).alias("t"))
         found = sums.groupBy(*space.keys, "point").agg(F.sort_array(F.collect_list(entry)).alias("_l"))
         none = F.array(*[F.lit(0.0)] * len(ks))
-        limits = near.select(*space.keys, "point").join(found, [*space.keys, "point"], "left").select(
+        limits = join_on(near.select(*space.keys, "point"), found, [*space.keys, "point"], "left").select(
             *space.keys, "point", F.coalesce(F.transform("_l", lambda s: s["t"]), none).alias("limits")
         )
     limits = materialise(limits, "limits")
@@ -225,7 +226,7 @@ def agreement_weight(agree: Column, std: Column) -> Column:
 
 
 def scale_by_k(k: int) -> float:
-    """Optional scaling of RDN thresholds by the neighbourhood size."""
+    """Optional scaling of RDN thresholds by the neighbourhood size (fixed values)."""
     return 1 / 3 if k < 31 else 1 / 2 if k < 41 else 1.0
 
 
@@ -237,7 +238,7 @@ def rdn_status(train: DataFrame, test: DataFrame, space: Space, k: int, scale: f
     layout = lay_out(train.select(*space.keys, space.id, space.features), space)
     limits = back_to_rows(train, layout, point_limits(layout, [k]), ["limits"])
     weighted = weighted_limits(limits, train.select(*space.keys, space.id, "weight"), space, scale)
-    rows = train.select(*space.keys, space.id, space.features).join(weighted, [*space.keys, space.id])
+    rows = join_on(train.select(*space.keys, space.id, space.features), weighted, [*space.keys, space.id])
     largest = F.array(F.max(F.col("limits")[0])).alias("limits")
     per_point = rows.groupBy(*space.keys, space.features).agg(F.min(space.id).alias("point"), largest)
     per_point = materialise(per_point.select(*space.keys, "point", "limits"), "limits")
@@ -246,7 +247,7 @@ def rdn_status(train: DataFrame, test: DataFrame, space: Space, k: int, scale: f
 
 def weighted_limits(limits: DataFrame, weights: DataFrame, space: Space, scale: float = 1.0) -> DataFrame:
     """dk-NN thresholds times the row's agreement weight (keys, id, weight)."""
-    return limits.join(weights, [*space.keys, space.id]).select(
+    return join_on(limits, weights, [*space.keys, space.id]).select(
         *space.keys,
         space.id,
         F.transform("limits", lambda t: t * F.col("weight") * scale).alias("limits"),

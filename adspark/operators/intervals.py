@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from ..functions.joining import join_on
 from ..functions.ordered import running_totals
 from ..functions.scalar import is_infinite
 from .domain import mean_of, spread_of
@@ -73,8 +74,7 @@ def conformal_quantiles(calibration: DataFrame, keys: list[str], levels, alpha:
     values = calibration.groupBy(*keys, alpha).agg(F.count(F.lit(1)).alias("_c"))
     ranked = running_totals(values, keys, [alpha], {"_cum": "_c"}, totals={"_n": "_c"})
     swept = with_levels(ranked, levels)
-    # rounding guards products such as 0.1 * 10 that fall just below a whole number
-    from_top = F.floor(F.round(F.col("sig_level") * (F.col("_n") + 1), 9))
+    from_top = F.floor(F.col("sig_level") * (F.col("_n") + 1))
     from_top = F.least(F.greatest(from_top, F.lit(1)), F.col("_n"))
     target = F.col("_n") + 1 - from_top
     hit = (F.col("_cum") - F.col("_c") < target) & (target <= F.col("_cum"))
@@ -83,7 +83,7 @@ def conformal_quantiles(calibration: DataFrame, keys: list[str], levels, alpha:
 
 def conformal_intervals(test: DataFrame, quantiles: DataFrame, keys: list[str]) -> DataFrame:
     """pred -/+ alpha_s * scale for every test row and significance level of its calibration set."""
-    joined = test.join(quantiles, keys)
+    joined = join_on(test, quantiles, keys)
     half = F.col("alpha_s") * F.col("scale")
     return joined.select(
         *test.columns, "sig_level", (F.col("pred") - half).alias("lower"), (F.col("pred") + half).alias("upper")

@@ -13,17 +13,17 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import ordered
-from ..sources.shared import materialise
+from ..functions.joining import join_on
 from ..functions.scalar import (
     correlation_two_tail_p,
     count_where,
-    finite_or_null,
     is_infinite,
     one_tail_p,
     ratio,
     share,
     strict_reach,
 )
+from ..sources.shared import materialise
 
 MIN_ROWS = 2
 ENCE_BIN_ROWS = 20
@@ -117,12 +117,12 @@ def gated(value: Column, n: str = "n") -> Column:
 # --- classification: ranks, kappa with order, K classes ----------------------------------------
 
 
-def auc(df: DataFrame, keys: list[str], score: str = "prob", label: str = "y", span=(0.0, 1.0)) -> DataFrame:
+def auc(df: DataFrame, keys: list[str], score: str = "prob", label: str = "y") -> DataFrame:
     """Area under the ROC curve: concordant pairs plus half the ties over all pairs."""
     per_score = df.groupBy(*keys, score).agg(
         count_where(F.col(label) == 1).alias("_p"), count_where(F.col(label) == 0).alias("_q")
     )
-    ranked = ordered.running_totals(per_score, keys, [score], {"_cq": "_q"}, span=span)
+    ranked = ordered.running_totals(per_score, keys, [score], {"_cq": "_q"})
     below = F.col("_cq") - F.col("_q") / 2
     sums = ranked.groupBy(*keys).agg(
         F.sum(F.col("_p") * below).alias("_u"), F.sum(_d("_p")).alias("_n1"), F.sum(_d("_q")).alias("_n0")
@@ -245,7 +245,7 @@ def _banded(df: DataFrame, keys: list[str], delta: str) -> DataFrame:
         *keys, "prob", "rows", F.col("_e.at").alias("at"), F.col("_e.kind").alias("kind"), F.col("_e.r").alias("r"), F.col("_e.o").alias("o")
     )
     total = ordered.running_totals(
-        line, keys, ["at", "kind"], {"_cr": "r", "_co": "o"}, span=(0.0, 1.0), totals={"_n": "r"}
+        line, keys, ["at", "kind"], {"_cr": "r", "_co": "o"}, totals={"_n": "r"}
     )
     sign = F.col("kind") - 1
     rank = F.col("_cr") - (F.col("rows") - 1) / 2 - (F.col("_n") + 1) / 2
@@ -269,7 +269,7 @@ def weighted_fit(points: DataFrame, keys: list[str], truth: str, estimate: str,
     )
     t, e = F.col(truth) - F.col("_mt"), F.col(estimate) - F.col("_me")
     diff = F.col(truth) - F.col(estimate)
-    joined = points.join(mean, keys) if keys else ordered.with_scalars(points, mean)
+    joined = join_on(points, mean, keys) if keys else ordered.with_scalars(points, mean)
     sums = joined.groupBy(*keys).agg(
         F.sum(w).alias("_w"),
         F.sum(w * diff * diff).alias("_sse"),
@@ -296,10 +296,10 @@ def calibration(df: DataFrame, keys: list[str], deltas=(0.05,), p_values: bool =
     keys = [*keys, "delta"]
     points = materialise(_banded(swept, keys, "delta"), "calibration")
     fit = weighted_fit(points, keys, "observed", "prob", "rows")
-    ro = ordered.average_ranks(points, keys, "observed", "_ro", weight="rows", span=(0.0, 1.0)).drop("_n", "c")
-    ranked = points.join(ro, [*keys, "observed"])
+    ro = ordered.average_ranks(points, keys, "observed", "_ro", weight="rows").drop("_n", "c")
+    ranked = join_on(points, ro, [*keys, "observed"])
     rho = ordered.weighted_pearson(ranked, keys, "_ro", "_rp", "rows", "spearman")
-    out = fit.join(rho, keys)
+    out = join_on(fit, rho, keys)
     if p_values:
         for name in ("pearson", "spearman"):
             # a positive correlation is expected
@@ -328,7 +328,7 @@ def class_statistics(df: DataFrame, keys: list[str], delta: float = 0.05, p_valu
     cal = calibration(df, keys, (delta,), p_values).drop("delta")
     names = ["rmse", "mad", "r2", "pearson", "spearman"] + (["pearson_p", "spearman_p"] if p_values else [])
     cal = cal.select(*keys, *[F.col(c).alias(f"{c}_cal") for c in names])
-    wide = base.join(auc(df, keys), keys).join(cal, keys)
+    wide = join_on(join_on(base, auc(df, keys), keys), cal, keys)
     return wide.select(
         *keys, "n", "n1", "n0", *[gated(F.col(c)).alias(c) for c in wide.columns if c not in {*keys, "n", "n1", "n0"}]
     )
@@ -360,7 +360,7 @@ def regression_fit(df: DataFrame, keys: list[str]) -> DataFrame:
         "n",
         gated(F.col("rmse")).alias("rmse"),
         gated(F.col("mad")).alias("mad"),
-        gated(F.when(varies & ~F.col("_inf"), 1 - ratio("_mse", "_vy"))).alias("r2"),
+        gated(F.when(varies, F.when(F.col("_inf"), F.lit(float("-inf"))).otherwise(1 - ratio("_mse", "_vy")))).alias("r2"),
         gated(
             F.when(varies & F.col("_varp") & ~F.col("_inf"), ratio("_cov", F.col("_sp") * F.col("_sy")))
         ).alias("pearson"),
@@ -414,10 +414,8 @@ def ence_bins(df: DataFrame, keys: list[str], id_col: str = "id", bin_rows: int
     rows = df.select(
         *keys, id_col, (F.col("pred") - F.col("y")).alias("_err"), estimated_variance().alias("_var")
     )
-    # infinite variances share a finite order value, so that buckets stay defined
-    ordered_by = F.when(is_infinite("_var"), F.lit(1.7e308)).otherwise(F.col("_var"))
-    rows = materialise(rows.withColumn("_ord", ordered_by), "variances")
-    placed = ordered.row_positions(rows, keys, "_ord", id_col, "_rn").withColumnRenamed("_rn_n", "_n")
+    rows = materialise(rows, "variances")
+    placed = ordered.row_positions(rows, keys, "_var", id_col, "_rn").withColumnRenamed("_rn_n", "_n")
     bins = F.greatest(F.floor(F.col("_n") / bin_rows), F.lit(1))
     size, extra = F.floor(F.col("_n") / bins), F.col("_n") % bins
     at = F.col("_rn") - 1
@@ -437,9 +435,12 @@ def ence_bins(df: DataFrame, keys: list[str], id_col: str = "id", bin_rows: int
 
 
 def ence(df: DataFrame, keys: list[str], id_col: str = "id", bin_rows: int = ENCE_BIN_ROWS) -> DataFrame:
-    """Expected normalised calibration error; NULL with infinite, inf with zero variances."""
+    """Expected normalised calibration error; NULL with infinite variances.
+
+    A bin of zero variances gives inf, but one whose errors are zero as well does not count.
+    """
     gap = F.abs(F.col("rmse") - F.col("rmv"))
-    term = F.when(F.col("rmv") == 0, F.lit(float("inf"))).otherwise(gap / F.col("rmv"))
+    term = F.when(F.col("rmv") > 0, gap / F.col("rmv")).when(F.col("rmse") > 0, F.lit(float("inf")))
     return ence_bins(df, keys, id_col, bin_rows).groupBy(*keys).agg(
         F.when(~F.bool_or(is_infinite("rmv")), F.avg(term)).alias("ence")
     )
@@ -457,13 +458,9 @@ def regression_statistics(df: DataFrame, keys: list[str], level: float = 0.32, i
     fit = regression_fit(at_level, keys)
     rho = ordered.spearman(at_level, keys, "pred", "y", "spearman")
     of_level = interval_statistics(at_level, keys).drop("sig_level")
-    wide = (
-        fit.join(rho, keys, "left")
-        .join(of_level, keys, "left")
-        .join(expected_calibration_error(df, keys), keys, "left")
-        .join(ence(at_level, keys, id_col), keys, "left")
-        .join(width_residual_spearman(at_level, keys), keys, "left")
-    )
+    wide = fit
+    for part in (rho, of_level, expected_calibration_error(df, keys), ence(at_level, keys, id_col), width_residual_spearman(at_level, keys)):
+        wide = join_on(wide, part, keys, "left")
     if p_values:
         wide = with_correlation_p(with_correlation_p(wide, "pearson"), "spearman")
     stats = [c for c in wide.columns if c not in {*keys, "n"}]
@@ -489,7 +486,7 @@ def activity_summary(df: DataFrame, keys: list[str], value: str) -> DataFrame:
         F.avg(value).alias("mean"),
         F.stddev_pop(value).alias("sd"),
     )
-    return basic.join(ordered.exact_quantiles(df, keys, value, {"median": 0.5}), keys)
+    return join_on(basic, ordered.exact_quantiles(df, keys, value, {"median": 0.5}), keys)
 
 
 def class_summary(df: DataFrame, keys: list[str], label: str = "y") -> DataFrame:

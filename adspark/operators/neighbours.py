@@ -18,6 +18,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window as W, functions as F, types as T
 
 from ..functions.distance import as_matrix, block_distances
+from ..functions.joining import join_on
 from ..functions.ordered import with_scalars
 from ..sources.shared import materialise
 
@@ -114,7 +115,7 @@ def lay_out(rows: DataFrame, space: Space, pivots: np.ndarray | None = None) ->
 
 def attach(df: DataFrame, per_group: DataFrame, keys: list[str]) -> DataFrame:
     """Add per-group columns; without group keys the one row comes as scalar subqueries."""
-    return df.join(per_group, keys) if keys else with_scalars(df, per_group)
+    return join_on(df, per_group, keys) if keys else with_scalars(df, per_group)
 
 
 def _route(queries: DataFrame, cells: DataFrame, space: Space, bound, columns: list[str]) -> DataFrame:
@@ -158,14 +159,13 @@ def block_reduce(queries: DataFrame, layout: Layout, bound, kernel, schema: T.St
     )
     salt = F.xxhash64("point")
     left = (
-        routed.drop("_xblocks")
-        .join(blocks, [*keys, "_cell"])
+        join_on(routed.drop("_xblocks"), blocks, [*keys, "_cell"])
         .withColumn("_qb", F.pmod(salt, F.col("_qblocks")).cast("int"))
         .withColumn("_xb", F.explode(F.sequence(F.lit(0), F.col("_xblocks") - 1)))
         .select(*q_names, "_cell", "_qb", "_xb")
     )
     right = (
-        layout.points.join(blocks, [*keys, "_cell"])
+        join_on(layout.points, blocks, [*keys, "_cell"])
         .withColumn("_xb", F.pmod(salt, F.col("_xblocks")).cast("int"))
         .withColumn("_qb", F.explode(F.sequence(F.lit(0), F.col("_qblocks") - 1)))
         # fresh attributes: both sides may come from the same rows
@@ -207,9 +207,9 @@ def back_to_rows(rows: DataFrame, layout: Layout, per_point: DataFrame, columns:
     """Give every row the result of its distinct point; NULL where the point has none."""
     space = layout.space
     points = layout.points.select(*space.keys, "point", space.features)
-    values = points.join(per_point.select(*space.keys, "point", *columns), [*space.keys, "point"], "left")
+    values = join_on(points, per_point.select(*space.keys, "point", *columns), [*space.keys, "point"], "left")
     keyed = rows.select(*space.keys, space.id, space.features)
-    return keyed.join(values, [*space.keys, space.features]).select(*space.keys, space.id, *columns)
+    return join_on(keyed, values, [*space.keys, space.features]).select(*space.keys, space.id, *columns)
 
 
 def _within_kth(k: int, self_join: bool):
@@ -265,7 +265,7 @@ def nearest_points(train: Layout, test: Layout | None, k: int) -> DataFrame:
     best = partial.withColumn("_rn", F.row_number().over(order)).where(F.col("_rn") <= k)
     lists = best.groupBy(*space.keys, "point").agg(F.sort_array(F.collect_list("dist")).alias("dists"))
     weights = queries.select(*space.keys, "point", "weight")
-    return materialise(weights.join(lists, [*space.keys, "point"], "left"), "nearest")
+    return materialise(join_on(weights, lists, [*space.keys, "point"], "left"), "nearest")
 
 
 def sum_within(train: Layout, radii: DataFrame) -> DataFrame:
@@ -305,7 +305,7 @@ def any_within(train: Layout, test: Layout, limits: DataFrame, width: int) -> Da
     ``limits`` holds (keys, point, limits array<double>) of the training points.
     """
     space = train.space
-    bounded = replace(train, points=train.points.join(limits, [*space.keys, "point"]))
+    bounded = replace(train, points=join_on(train.points, limits, [*space.keys, "point"]))
 
     def kernel(q, d, x):
         reach = np.stack([np.asarray(v, dtype=float) for v in x["limits"]])

@@ -10,6 +10,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+from ..functions.joining import join_on
 from ..functions.scalar import is_infinite, ratio
 from .shift import EXPECTED_SIGN, expected_sign, is_significant
 
@@ -60,7 +61,7 @@ def mask_losers(avg: DataFrame, p_values: DataFrame, keys: list[str], value: str
 
     ``p_values`` holds (keys, metric, p) of the one-tail test; a missing p is not significant.
     """
-    joined = avg.join(p_values.select(*keys, "metric", "p"), [*keys, "metric"], "left")
+    joined = join_on(avg, p_values.select(*keys, "metric", "p"), [*keys, "metric"], "left")
     sign = expected_sign()
     fits = is_significant(F.col("p"), level) & F.coalesce(F.col(value) * sign > 0, F.lit(False))
     worst = -sign * F.lit(INFINITY)
@@ -201,7 +202,7 @@ def plot_table(df: DataFrame, x: list[str], subset: str = "subset", value: str =
     filled = df.groupBy(*x, "metric", subset).agg(F.count(value).alias("_n"))
     sides = filled.groupBy(*x, "metric").agg(F.count_if(F.col("_n") > 0).alias("_s"), F.count(F.lit(1)).alias("_t"))
     kept = sides.where((F.col("_s") == F.col("_t")) & (F.col("_t") >= 2)).select(*x, "metric")
-    return df.join(kept, [*x, "metric"], "left_semi")
+    return join_on(df, kept, [*x, "metric"], "left_semi")
 
 
 def percentile_bands(df: DataFrame, keys: list[str], value: str = "value", cover: float = 0.95) -> DataFrame:

@@ -11,7 +11,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..functions.hashing import order_bucket, order_key
-from ..functions.ordered import running_totals
+from ..functions.joining import join_on
+from ..functions.ordered import running_totals, value_buckets
 from ..functions.scalar import is_infinite
 from ..sources.shared import materialise, spread
 from . import metrics as M
@@ -51,11 +52,11 @@ def class_metrics(df: DataFrame, keys: list[str], wanted: list[str], delta: floa
     counted = [m for m in wanted if m in forms]
     wide = base.select(*keys, "n", *[M.gated(forms[m]).alias(m) for m in counted])
     if "auc" in wanted:
-        wide = wide.join(M.auc(df, keys), keys, "left")
+        wide = join_on(wide, M.auc(df, keys), keys, "left")
     calibrated = [m for m in wanted if m in CALIBRATION_METRICS]
     if calibrated:
         cal = M.calibration(df, keys, (delta,), p_values=False)
-        wide = wide.join(cal.select(*keys, *[F.col(m[: -len("_cal")]).alias(m) for m in calibrated]), keys, "left")
+        wide = join_on(wide, cal.select(*keys, *[F.col(m[: -len("_cal")]).alias(m) for m in calibrated]), keys, "left")
     gated = wide.select(*keys, *[M.gated(F.col(m)).alias(m) for m in wanted])
     return M.to_long(gated, keys, wanted)
 
@@ -78,7 +79,7 @@ def value_metrics(df: DataFrame, keys: list[str], wanted: list[str], level: floa
     for names, make in parts.values():
         chosen = [m for m in names if m in wanted]
         if chosen:
-            wide = wide.join(make().select(*keys, *chosen), keys, "left")
+            wide = join_on(wide, make().select(*keys, *chosen), keys, "left")
     return M.to_long(wide.select(*keys, *[M.gated(F.col(m)).alias(m) for m in wanted]), keys, wanted)
 
 
@@ -94,7 +95,7 @@ def merge_subsets(inside: DataFrame, outside: DataFrame, id_col: str = "id") ->
     both = inside.withColumn("inside", F.lit(True)).unionByName(outside.withColumn("inside", F.lit(False)))
     counts = both.groupBy(id_col).agg(F.count(F.lit(1)).alias("_n"))
     checked = counts.where(F.assert_true(F.col("_n") == 1, F.lit("ids of the subsets overlap")).isNull())
-    return both.join(checked.drop("_n"), id_col)
+    return join_on(both, checked.drop("_n"), [id_col])
 
 
 def value_strata(df: DataFrame, keys: list[str], value: str = "y", bins: int = STRATA_BINS) -> DataFrame:
@@ -112,7 +113,7 @@ def value_strata(df: DataFrame, keys: list[str], value: str = "y", bins: int = S
     at = F.floor((F.col(value) - F.col("_lo")) / width)
     clipped = F.least(F.greatest(at, F.lit(0)), F.col("_b") - 1)
     stratum = F.when(F.col("_hi") > F.col("_lo"), clipped).otherwise(0).cast("int")
-    return df.join(span, keys).withColumn("stratum", stratum).drop("_lo", "_hi", "_b")
+    return join_on(df, span, keys).withColumn("stratum", stratum).drop("_lo", "_hi", "_b")
 
 
 def _one_sided(df: DataFrame, keys: list[str], score: str) -> DataFrame:
@@ -172,8 +173,8 @@ def redraw(
         if attempt == MAX_TRIES - 1 or failed.isEmpty():
             kept.append(drawn)
             break
-        kept.append(drawn.join(failed, group, "left_anti"))
-        wanted = rows.join(failed, keys)
+        kept.append(join_on(drawn, failed, group, "left_anti"))
+        wanted = join_on(rows, failed, keys)
     return reduce(lambda a, b: a.unionByName(b), kept)
 
 
@@ -188,13 +189,14 @@ def smallest_by_hash(keyed: DataFrame, group: list[str], quota: DataFrame, quota
     cut = keyed.withColumn("_b", order_bucket(F.col("_h"), digits))
     counts = cut.groupBy(*group, "_b").agg(F.count(F.lit(1)).alias("_c"))
     order = W.partitionBy(*group).orderBy("_b").rowsBetween(W.unboundedPreceding, 0)
-    upto = counts.withColumn("_cum", F.sum("_c").over(order)).join(quota, quota_keys)
+    upto = counts.withColumn("_cum", F.sum("_c").over(order))
+    upto = join_on(upto, quota, quota_keys)
     # the first bucket whose running count reaches the quota (none for a quota of zero)
     before = F.col("_cum") - F.col("_c")
     edge = upto.where((before < F.col("_quota")) & (F.col("_quota") <= F.col("_cum"))).select(
         *group, F.col("_b").alias("_edge"), (F.col("_quota") - before).alias("_left")
     )
-    placed = cut.join(materialise(edge, "edges"), group, "left")
+    placed = join_on(cut, materialise(edge, "edges"), group, "left")
     sure = placed.where(F.col("_edge").isNull() | (F.col("_b") != F.col("_edge"))).select(
         *columns, F.coalesce(F.col("_b") < F.col("_edge"), F.lit(False)).alias("inside")
     )
@@ -232,7 +234,7 @@ def shift_p_values(shifts: DataFrame, keys: list[str], tails=("one", "two")) ->
     original = shifts.where(F.col("perm") == ORIGINAL).select(*keys, "metric", F.col("shift").alias("_orig"))
     random = shifts.where(F.col("perm") != ORIGINAL).select(*keys, "metric", F.col("shift").alias("_rand"))
     tail = F.explode(F.array(*[F.lit(t) for t in tails])).alias("tail")
-    pairs = original.join(random, [*keys, "metric"], "left").select("*", tail)
+    pairs = join_on(original, random, [*keys, "metric"], "left").select("*", tail)
     one = F.col("tail") == "one"
     seen = F.when(one, F.col("_rand") * expected_sign()).otherwise(F.abs("_rand"))
     own = F.when(one, F.col("_orig") * expected_sign()).otherwise(F.abs("_orig"))
@@ -305,13 +307,13 @@ def permuted_shifts(df, keys, wanted, n=1000, seed=42, kind="class", method="xxh
         F.count_if(F.col("inside")).alias("_i"), F.count_if(~F.col("inside")).alias("_o")
     )
     usable = sizes.where((F.col("_i") >= M.MIN_ROWS) & (F.col("_o") >= M.MIN_ROWS)).select(*keys)
-    strata = strata.join(usable, keys, "left_semi")
+    strata = join_on(strata, usable, keys, "left_semi")
     check = delta if kind == "class" and set(wanted) & set(CALIBRATION_METRICS) - {"rmse_cal"} else None
     drawn = redraw(strata, keys, n, seed, score, method=method, delta=check)
     both = with_original(strata, drawn).drop("stratum", "inside")
     group = [*keys, "perm", "subset"]
     if extra:  # intervals per significance level come back by row id
-        both = both.select(*keys, "id", "perm", "subset").join(rows.drop("inside"), [*keys, "id"])
+        both = join_on(both.select(*keys, "id", "perm", "subset"), rows.drop("inside"), [*keys, "id"])
     values = metrics_of(kind)(both, group, wanted)
     return materialise(shift_metrics(values, [*keys, "perm"]).select(*keys, "perm", "metric", "shift"), "shifts")
 
@@ -331,7 +333,7 @@ def class_rule_flags(df: DataFrame, keys: list[str], delta: float = 0.05) -> Dat
     base = M.confusion(df, keys)
     points = M.observed_probability(df.withColumn("delta", F.lit(delta)), keys)
     same = points.groupBy(*keys).agg((F.min("observed") == F.max("observed")).alias("constant_observed"))
-    return base.join(same, keys, "left").select(
+    return join_on(base, same, keys, "left").select(
         *keys,
         (F.col("n") < M.MIN_ROWS).alias("too_few"),
         ((F.col("n1") == 0) | (F.col("n0") == 0)).alias("one_class"),
@@ -357,7 +359,7 @@ def value_rule_flags(df: DataFrame, keys: list[str], level: float = 0.32) -> Dat
     )
 
 
-# Flags that explain a missing value of a metric (besides too_few).
+# Flags that explain a missing value of a metric, besides too_few (fixed values).
 MISSING_RULES = {
     "ba": ["one_class"], "mcc": ["one_class"], "auc": ["one_class"], "kappa": ["one_class"],
     "strat_brier": ["one_class"], "rmse_cal": [],
@@ -385,12 +387,12 @@ def not_computable(flags: DataFrame, keys: list[str], wanted: list[str]) -> Data
 
 def unexpected_missing(long: DataFrame, ruled_out: DataFrame, keys: list[str]) -> DataFrame:
     """Missing metric values that no rule explains."""
-    return long.where(F.col("value").isNull()).join(ruled_out, [*keys, "metric"], "left_anti")
+    return join_on(long.where(F.col("value").isNull()), ruled_out, [*keys, "metric"], "left_anti")
 
 
 def unexpected_infinite(long: DataFrame, flags: DataFrame, keys: list[str]) -> DataFrame:
     """Infinite values; only ENCE may be infinite, and only with zero-width intervals."""
-    infinite = long.where(is_infinite("value")).join(flags.select(*keys, "some_zero_width"), keys, "left")
+    infinite = join_on(long.where(is_infinite("value")), flags.select(*keys, "some_zero_width"), keys, "left")
     expected = (F.col("metric") == "ence") & F.coalesce("some_zero_width", F.lit(False))
     return infinite.where(~expected).drop("some_zero_width")
 
@@ -399,12 +401,11 @@ def unexpected_infinite(long: DataFrame, flags: DataFrame, keys: list[str]) -> D
 
 
 def harmonic(n: Column) -> Column:
-    """1 + 1/2 + ... + 1/n; the asymptotic series beyond ten thousand terms (exact to 1e-16)."""
-    terms = F.aggregate(
-        F.sequence(F.lit(1).cast("bigint"), F.least(n, F.lit(10000))), F.lit(0.0), lambda s, i: s + 1.0 / i
-    )
-    series = F.ln(n) + 0.5772156649015329 + 1 / (2 * n) - 1 / (12 * n * n)
-    return F.when(n <= 10000, terms).otherwise(series)
+    """1 + 1/2 + ... + 1/n: the series of the digamma function at n + 20, less the last 20 terms."""
+    x = n.cast("double") + 20
+    y = 1 / (x * x)
+    series = F.ln(x) + 0.5772156649015329 + 1 / (2 * x) - y / 12 + y * y / 120 - y * y * y / 252 + y * y * y * y / 240
+    return series - reduce(lambda a, b: a + b, [1 / (n + i) for i in range(1, 21)])
 
 
 def adjust_p_values(df: DataFrame, keys: list[str], p: str = "p", out: str = "p_adjusted") -> DataFrame:
@@ -413,17 +414,17 @@ def adjust_p_values(df: DataFrame, keys: list[str], p: str = "p", out: str = "p_
     Works on the distinct p-values: equal ones share the adjustment of their last rank.
     """
     values = df.where(F.col(p).isNotNull()).groupBy(*keys, p).agg(F.count(F.lit(1)).alias("_c"))
-    ranked = running_totals(values, keys, [p], {"_rank": "_c"}, span=(0.0, 1.0), totals={"_m": "_c"})
-    raw = ranked.withColumn("_q", F.col(p) * F.col("_m") * harmonic(F.col("_m")) / F.col("_rank"))
-    bucketed = raw.withColumn("_b", F.least(F.floor(F.col(p) * 256), F.lit(255)))
+    placed = value_buckets(values, keys, p).withColumnRenamed("_bucket", "_b")
+    ranked = running_totals(placed, keys, [p], {"_rank": "_c"}, bucket=F.col("_b"), totals={"_m": "_c"})
+    bucketed = ranked.withColumn("_q", F.col(p) * F.col("_m") * harmonic(F.col("_m")) / F.col("_rank"))
     # smallest value from here to the largest p: later buckets, then the rest of the own bucket
     least = bucketed.groupBy(*keys, "_b").agg(F.min("_q").alias("_min"))
     after = W.partitionBy(*keys).orderBy(F.col("_b").desc()).rowsBetween(W.unboundedPreceding, -1)
     later = least.select(*keys, "_b", F.min("_min").over(after).alias("_later"))
     inside = W.partitionBy(*keys, "_b").orderBy(F.col(p).desc()).rowsBetween(W.unboundedPreceding, 0)
-    own = bucketed.withColumn("_own", F.min("_q").over(inside)).join(later, [*keys, "_b"])
+    own = join_on(bucketed.withColumn("_own", F.min("_q").over(inside)), later, [*keys, "_b"])
     adjusted = own.select(*keys, p, F.least(F.lit(1.0), F.col("_own"), F.col("_later")).alias(out))
-    return df.join(adjusted, [*keys, p], "left").select(*df.columns, out)
+    return join_on(df, adjusted, [*keys, p], "left").select(*df.columns, out)
 
 
 def is_significant(p: Column, level: float = 0.05) -> Column:

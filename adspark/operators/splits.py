@@ -6,6 +6,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window as W, functions as F, types as T
 
 from ..functions.hashing import order_key
+from ..functions.joining import join_on
 from ..functions.ordered import hash_rank
 
 
@@ -49,7 +50,7 @@ def stratified_split(df: DataFrame, id_col: str, stratum: str, fraction: float,
     ranked = hash_rank(hashed, [*keys, stratum], "_h", id_col, "_rn")
     quotas = stratum_quotas(df, keys, stratum, fraction)
     role = F.when(F.col("_rn") <= F.col("quota"), F.lit("test")).otherwise(F.lit("train"))
-    return ranked.join(quotas, [*keys, stratum]).select(*df.columns, role.alias("role"))
+    return join_on(ranked, quotas, [*keys, stratum]).select(*df.columns, role.alias("role"))
 
 
 def random_split(df: DataFrame, id_col: str, fraction: float, seed: int, keys: list[str] = ()) -> DataFrame:
@@ -73,11 +74,14 @@ def value_bins(df: DataFrame, keys: list[str], value: str) -> DataFrame:
     )
     at = F.floor((F.col(value) - F.col("_lo")) / (F.col("_hi") - F.col("_lo")) * (F.col("_edges") - 1)) + 1
     binned = F.when((F.col("_edges") >= 2) & (F.col("_hi") > F.col("_lo")), at).otherwise(1)
-    return df.join(span, keys).withColumn("bin", binned.cast("int")).drop("_lo", "_hi", "_edges")
+    return join_on(df, span, keys).withColumn("bin", binned.cast("int")).drop("_lo", "_hi", "_edges")
 
 
 def _merged_bins(sizes: dict[int, int]) -> dict[int, int]:
-    """New bin of every bin so that no bin holds a single row (at most 101 bins)."""
+    """New bin of every bin so that no bin holds a single row (at most 101 bins).
+
+    The order of the steps is part of the rule: single bins join each other first, then neighbours.
+    """
     single = sorted(b for b, n in sizes.items() if n == 1)
     target = {b: b for b in sizes}
     if not single:
@@ -137,7 +141,7 @@ def with_value_strata(df: DataFrame, keys: list[str], value: str) -> DataFrame:
     rows = df if keys else df.withColumn("_all", F.lit(0))
     binned = value_bins(rows, grouped, value)
     merged = merge_single_bins(binned, grouped)
-    return binned.join(merged, [*grouped, "bin"]).select(*df.columns, "stratum")
+    return join_on(binned, merged, [*grouped, "bin"]).select(*df.columns, "stratum")
 
 
 def k_folds(df: DataFrame, id_col: str, stratum: str, k: int, seed: int, keys: list[str] = ()) -> DataFrame:

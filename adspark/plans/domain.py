@@ -370,7 +370,7 @@ def e20(t):
     "median",
 )
 def e20m(t):
-    return ordered.exact_quantiles(bit_distance_counts(t), ["sides"], "dist", {"median": 0.5}, weight="pairs", span=(0.0, 1.0))
+    return ordered.exact_quantiles(bit_distance_counts(t), ["sides"], "dist", {"median": 0.5}, weight="pairs")
 
 
 @query("b19_all_copies", "SELECT min(c) > 1 AS all_duplicated FROM (SELECT count(*) AS c FROM sign_bits WHERE NOT is_test GROUP BY b) AS x", [SIGN_BITS])

@@ -11,8 +11,8 @@ from .registry import query
 from .testbed import CLASS, DESCRIPTORS, REG, class_scores, reg_predictions
 from .domain import TREES, tree_outputs
 
-LEVELS = (0.0, 0.1, 0.2, 0.32, 0.5, 0.9)
-LEVELS_CTE = "levels AS (SELECT unnest([0.0, 0.1, 0.2, 0.32, 0.5, 0.9]::DOUBLE[]) AS sig_level)"
+LEVELS = (0.0, 0.1, 0.2, 0.32, 0.5, 0.7, 0.9)
+LEVELS_CTE = "levels AS (SELECT unnest([0.0, 0.1, 0.2, 0.32, 0.5, 0.7, 0.9]::DOUBLE[]) AS sig_level)"
 
 # --- Venn-ABERS: the first three weeks calibrate the later ones -----------------------------------
 
@@ -171,7 +171,7 @@ CONFORMAL = """conformal AS (SELECT id, endpoint, test_set, fold, y, pred, exp(h
 alphas AS (SELECT endpoint, id, fold, abs(y - pred) / scale AS alpha FROM conformal WHERE test_set = 'F')"""
 QUANTILES = """quantiles AS (
   SELECT endpoint, sig_level, max(alpha) FILTER (rn = s) AS alpha_s
-  FROM (SELECT a.*, l.sig_level, least(greatest(floor(round(l.sig_level * (a.n + 1), 9)), 1), a.n) AS s
+  FROM (SELECT a.*, l.sig_level, least(greatest(floor(l.sig_level * (a.n + 1)), 1), a.n) AS s
         FROM (SELECT endpoint, alpha, row_number() OVER (PARTITION BY endpoint ORDER BY alpha DESC) AS rn, count(*) OVER (PARTITION BY endpoint) AS n FROM alphas) a, levels l) AS x
   GROUP BY endpoint, sig_level)"""
 CONF = [REG[0], LEVELS_CTE, CONFORMAL, QUANTILES]

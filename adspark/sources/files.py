@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
+from ..functions.joining import join_on
+
 
 def read_delimited(spark: SparkSession, path: str, schema: T.StructType | str, sep: str = ",") -> DataFrame:
     """Delimited file(s) with a header and an explicit schema."""
@@ -38,11 +40,16 @@ def read_with_path_fields(spark: SparkSession, path: str, schema, pattern_by_nam
     return files.select("*", *path_fields(pattern_by_name))
 
 
-def write_partitioned(df: DataFrame, path: str, by: list[str], fmt: str = "parquet") -> None:
-    """One folder per combination of the partition columns, a bounded number of files each."""
-    df.repartition(*by, F.pmod(F.xxhash64(*df.columns), F.lit(4))).write.partitionBy(*by).format(fmt).option(
-        "header", True
-    ).save(path)
+def write_partitioned(df: DataFrame, path: str, by: list[str], fmt: str = "parquet", rows_per_file: int = 1_000_000) -> None:
+    """One folder per combination of the partition columns, with files of about ``rows_per_file`` rows.
+
+    A value that holds most rows is written by many tasks, one that holds few by a single one.
+    """
+    sizes = df.groupBy(*by).agg(F.ceil(F.count(F.lit(1)) / rows_per_file).alias("_files"))
+    cut = join_on(df, sizes, by)
+    part = F.pmod(F.xxhash64(*df.columns), F.col("_files"))
+    dealt = cut.repartition(*by, part).drop("_files")
+    dealt.write.partitionBy(*by).format(fmt).option("header", True).option("maxRecordsPerFile", rows_per_file).save(path)
 
 
 def read_bundle(spark: SparkSession, path: str, schema=None, **chosen) -> DataFrame:

@@ -9,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from adspark.functions import ordered
+from adspark.functions import scalar
 from adspark.functions.scalar import incomplete_beta, strict_reach
 from adspark.operators import calibrate as V
 from adspark.operators import intervals as I
@@ -74,7 +75,7 @@ def test_regression_metrics_handle_infinity_and_constants(spark):
     rows = [(1, 1.0, 1.5), (1, 2.0, float("inf")), (2, 3.0, 1.0), (2, 3.0, 2.0), (3, 1.0, 2.0), (3, 2.0, 2.0)]
     df = spark.createDataFrame(rows, "g int, y double, pred double")
     got = {r.g: r for r in M.regression_fit(df, ["g"]).collect()}
-    assert math.isinf(got[1].rmse) and got[1].r2 is None and got[1].pearson is None
+    assert math.isinf(got[1].rmse) and got[1].r2 == -math.inf and got[1].pearson is None
     assert got[2].r2 is None and got[2].pearson is None
     assert got[3].pearson is None and got[3].r2 is not None
 
@@ -89,6 +90,32 @@ def test_ence_bins(spark):
     assert math.isinf(M.ence(zero, ["g"]).first().ence)
 
 
+def test_ence_leaves_out_bins_without_width_and_error(spark):
+    exact = [(1, i, 1.0, 1.0, 1.0, 1.0) for i in range(20)]
+    wide = [(1, 20 + i, 1.0, 2.0, 0.0, 4.0) for i in range(20)]
+    df = spark.createDataFrame(exact + wide, "g int, id int, y double, pred double, lower double, upper double")
+    assert M.ence(df, ["g"]).first().ence == pytest.approx(0.5)
+    endless = [(1, 40 + i, 1.0, 1.0, -math.inf, math.inf) for i in range(20)]
+    assert M.ence(df.unionByName(spark.createDataFrame(endless, df.schema)), ["g"]).first().ence is None
+
+
+def test_buckets_follow_skewed_values(spark):
+    values = np.exp(np.random.default_rng(1).normal(0, 4, 20_000)).tolist() + [math.inf, -math.inf]
+    df = spark.createDataFrame([(None, v) for v in values], "g int, v double")
+    sizes = [r["count"] for r in ordered.value_buckets(df, ["g"], "v").groupBy("_bucket").count().collect()]
+    assert max(sizes) <= 2 * len(values) / 1024 + 5
+    placed = ordered.running_totals(df.withColumn("one", F.lit(1)), ["g"], ["v"], {"pos": "one"}).orderBy("pos").collect()
+    assert [r.v for r in placed] == sorted(values) and [r.pos for r in placed] == list(range(1, len(values) + 1))
+
+
+def test_upper_tail_of_the_normal(spark):
+    z = [-40.0, -8.0, -3.5, -1.0, 0.0, 0.3, 1.6448536269514722, 3.4, 3.6, 6.0, 20.0, 37.0, math.inf, -math.inf, None]
+    df = spark.createDataFrame([(v,) for v in z], "z double")
+    got = [r[0] for r in df.select(scalar.normal_upper_tail("z")).collect()]
+    assert got[-1] is None
+    assert got[:-1] == pytest.approx([0.5 * math.erfc(v / math.sqrt(2)) for v in z[:-1]], rel=1e-12, abs=1e-300)
+
+
 def test_row_positions_with_a_hot_value(spark):
     values = [2.0] * 60 + [1.0, 3.0, 3.0] + [0.5 * i for i in range(20)]
     df = spark.createDataFrame([(1, i, v) for i, v in enumerate(values)], "g int, id int, v double")
