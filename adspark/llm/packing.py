@@ -10,9 +10,11 @@ that fits best, judged by the residual capacities of tokens, documents and atten
 from __future__ import annotations
 
 import os
+import string
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -22,7 +24,7 @@ from .common import parts, written
 
 GROUP_TOKENS = 16 << 20
 #: Words whose ids a task keeps at once are up to twice as many.
-KNOWN_WORDS = 300_000
+KNOWN_WORDS = 400_000
 
 
 @dataclass(frozen=True)
@@ -36,12 +38,20 @@ class Capacity:
     rule: str = "norm"
 
 
+#: Characters that byte-level vocabularies print for the 256 bytes: printable ones as they are, the
+#: others from 256 on.
+_PRINTED = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or 174 <= b <= 255]
+_REST = [b for b in range(256) if b not in _PRINTED]
+BYTE_LETTER = {b: chr(b) for b in _PRINTED} | {b: chr(256 + k) for k, b in enumerate(_REST)}
+
+
 class WordIds:
     """Token ids of texts, word by word, as little-endian unsigned 32-bit bytes.
 
     The tokenizer's pre-tokens never cross a space, so a text's ids are those of its words in turn. It
     lower-cases what is not a special token (these begin with ``<|``), so words are kept without
-    capitals from A to Z.
+    capitals from A to Z. A word of Latin letters with punctuation after it has two pre-tokens, the
+    letters and the punctuation; its letters go straight to the tokenizer's model.
     """
 
     def __init__(self, path: str):
@@ -50,24 +60,54 @@ class WordIds:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.encode = getattr(self.tokenizer, "encode_batch_fast", self.tokenizer.encode_batch)
+        self.model = self.tokenizer.model
         # words of late, and those of the time before
         self.known: dict[bytes, bytes] = {}
         self.past: dict[bytes, bytes] = {}
 
+    def _letters(self, word: str) -> bytes:
+        printed = word if word.isascii() else "".join([BYTE_LETTER[b] for b in word.encode()])
+        return np.array([t.id for t in self.model.tokenize(printed)], dtype="<u4").tobytes()
+
+    def _learn(self, words: list[bytes]) -> None:
+        known, slow, ends = self.known, [], []
+        for word in words:
+            text = word.decode()
+            core = text.rstrip(string.punctuation)
+            if core.isalpha() and core == core.lower() and max(core) < "\u0250":
+                if len(core) == len(text):
+                    known[word] = self._letters(core)
+                else:
+                    ends.append((word, core, text[len(core) :].encode()))
+            else:
+                slow.append(word)
+        slow += {end for _, _, end in ends if end not in known}
+        if slow:
+            found = self.encode([w.decode() for w in slow], add_special_tokens=False)
+            known.update(zip(slow, (np.array(e.ids, dtype="<u4").tobytes() for e in found)))
+        for word, core, end in ends:
+            letters = known.get(data := core.encode()) or self.past.get(data)
+            if letters is None:
+                letters = known[data] = self._letters(core)
+            known[word] = letters + known[end]
+
     def ids(self, texts: list[bytes]) -> list[bytes]:
         split = [(t if b"<|" in t else t.lower()).split() for t in texts]
         if len(self.known) > KNOWN_WORDS:
             self.known, self.past = {}, self.known
         wanted = set().union(*split).difference(self.known)
         self.known.update((w, self.past[w]) for w in wanted if w in self.past)
-        new = list(wanted.difference(self.past))
-        if new:
-            found = self.encode([w.decode() for w in new], add_special_tokens=False)
-            self.known.update(zip(new, (np.array(e.ids, dtype="<u4").tobytes() for e in found)))
+        self._learn(list(wanted.difference(self.past)))
         get = self.known.__getitem__
         return [b"".join(map(get, words)) for words in split]
 
 
+@lru_cache(maxsize=1)
+def word_ids(path: str) -> WordIds:
+    """The tokenizer of a Python worker, which keeps its words from task to task."""
+    return WordIds(path)
+
+
 def token_pieces(
     docs: DataFrame, tokenizer: str, limit: int = 4096, end_id: int = 1, keep_ids: bool = False, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
@@ -82,7 +122,7 @@ def token_pieces(
     end = np.array([end_id], dtype="<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = WordIds(tokenizer)
+        encoder = word_ids(tokenizer)
         for batch in batches:
             at, n = 0, batch.num_rows
             while at < n:
