@@ -105,6 +105,22 @@ def midpoint(lower: Column, upper: Column) -> Column:
     return F.when(is_infinite(lower) & is_infinite(upper), F.lit(0.0)).otherwise((lower + upper) / 2)
 
 
+def midpoint_checks(df: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, n, unbounded, mismatched): intervals without bounds, and where a missing mid-point does not go with one.
+
+    The mid-point of an interval is missing (NaN) exactly when the interval has no bound on either
+    side; a bound that is NULL counts as a mismatch.
+    """
+    lower, upper = F.col("lower"), F.col("upper")
+    unbounded = (lower == F.lit(float("-inf"))) & (upper == F.lit(float("inf")))
+    missing = F.isnan((lower + upper) / 2)
+    return df.groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("n"),
+        F.count_if(F.coalesce(unbounded, F.lit(False))).alias("unbounded"),
+        F.count_if(F.coalesce(unbounded != missing, F.lit(True)) | lower.isNull() | upper.isNull()).alias("mismatched"),
+    )
+
+
 def acp(per_split: DataFrame, keys: list[str]) -> DataFrame:
     """Aggregated conformal intervals: medians of the bounds over the splits (a small, fixed number).
 

@@ -130,11 +130,31 @@ def auc(df: DataFrame, keys: list[str], score: str = "prob", label: str = "y") -
     return sums.select(*keys, ratio("_u", F.col("_n1") * F.col("_n0")).alias("auc"))
 
 
+def probability_sum(probs) -> Column:
+    """Sum of a row's class probabilities."""
+    return F.aggregate(probs, F.lit(0.0), lambda s, p: s + p)
+
+
+def checked_probabilities(probs, tolerance: float = 0.02) -> Column:
+    """Class probabilities as they are; an error where they miss the sum 1 by more than the tolerance."""
+    probs = F.col(probs) if isinstance(probs, str) else probs
+    fine = F.assert_true(F.abs(probability_sum(probs) - 1) <= tolerance, F.lit("class probabilities do not add up to 1"))
+    return F.when(fine.isNull(), probs)
+
+
+def renormalised(probs) -> Column:
+    """Class probabilities divided by their sum."""
+    probs = F.col(probs) if isinstance(probs, str) else probs
+    return F.transform(probs, lambda p: p / probability_sum(probs))
+
+
 def pairwise_auc(df: DataFrame, keys: list[str], classes: list, probs: str = "probs", label: str = "label") -> DataFrame:
     """Mean over unordered class pairs of the AUC of both directions (more than two classes).
 
-    ``probs`` is the array of class probabilities in the order of ``classes``.
+    ``probs`` is the array of class probabilities in the order of ``classes``; they are checked and
+    divided by their sum first.
     """
+    df = df.withColumn(probs, renormalised(checked_probabilities(probs)))
     pairs = [(i, j) for i in range(len(classes)) for j in range(len(classes)) if i != j]
     entries = F.array(*[
         F.struct(F.lit(f"{min(i, j)}-{max(i, j)}").alias("pair"), F.lit(i).alias("i"), F.lit(j).alias("j"))

@@ -29,6 +29,7 @@ CHANCE = {
     "scc": 0.0, "r2_cal": 0.0, "pearson_cal": 0.0, "spearman_cal": 0.0,
 }
 
+# Names shown in reports (fixed values).
 PRETTY = {
     "ba": "Balanced Accuracy", "mcc": "MCC", "kappa": "Kappa", "auc": "AUC",
     "precision_1": "Precision (class 1)", "precision_0": "Precision (class 0)",
@@ -107,13 +108,14 @@ def average_wins(df: DataFrame, method: str, test_set: str, test_sets: list[str]
 
 
 def win_sums(df: DataFrame, keys: list[str], complete: bool) -> DataFrame:
-    """Sum of percentages per test set and whether it is plausible.
+    """Sum of percentages per test set, whether it is plausible, and whether methods shared wins.
 
-    Without missing differences some method wins everything, so the sum is at least 100.
+    Without missing differences some method wins everything, so the sum is at least 100; with some
+    missing it stays at 100 or below. More than 100 means that methods tied for a win.
     """
     sums = df.groupBy(*keys).agg(F.round(F.sum("percent_wins"), 2).alias("total"))
-    ok = F.col("total") >= 100 if complete else F.col("total") >= 0
-    return sums.withColumn("ok", ok)
+    ok = F.col("total") >= 100 if complete else F.col("total") <= 100
+    return sums.withColumns({"ok": ok, "shared": F.col("total") > 100})
 
 
 def complete_scenarios(df: DataFrame, keys: list[str], method: str, expected: int) -> DataFrame:
@@ -234,7 +236,3 @@ def split_scenario(label: str, names: list[str]) -> list[Column]:
     wrong = F.raise_error(F.concat(F.lit("unexpected scenario label: "), F.col(label)))
     safe = F.when(F.size(parts) == len(names), parts).otherwise(wrong.cast("array<string>"))
     return [safe[i].alias(n) for i, n in enumerate(names)]
-
-
-def known_signs() -> list[str]:
-    return list(EXPECTED_SIGN)

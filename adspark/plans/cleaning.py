@@ -237,8 +237,9 @@ def b14(t):
 
 @query(
     "b14_integrity_asserted",
-    """SELECT count_if(NOT is_test) AS train_rows, count_if(NOT is_test) AS train_ids, 0::BIGINT AS train_missing,
-              count_if(is_test) AS test_rows, count_if(is_test) AS test_ids, 0::BIGINT AS test_missing, 0::BIGINT AS shared_ids FROM descriptors""",
+    """SELECT count_if(NOT is_test) AS train_rows, count(DISTINCT id) FILTER (NOT is_test) AS train_ids, count_if(label IS NULL AND NOT is_test) AS train_missing,
+              count_if(is_test) AS test_rows, count(DISTINCT id) FILTER (is_test) AS test_ids, count_if(label IS NULL AND is_test) AS test_missing,
+              (SELECT count(*) FROM (SELECT id FROM descriptors GROUP BY id HAVING count(DISTINCT is_test) > 1) AS s) AS shared_ids FROM descriptors""",
     [DESCRIPTORS],
 )
 def b14a(t):

@@ -202,15 +202,15 @@ def e11(t):
 
 # --- RDN on given tree outputs --------------------------------------------------------------------
 
-# the first ten descriptor values, mapped to [0, 1], stand for the outputs of ten trees
-TREES = """trees AS (SELECT id, y, is_test, list_transform(f[1:10], lambda v: v / 2 + 0.5::DOUBLE) AS p FROM descriptors)"""
+# the descriptor values, mapped to [0, 1], stand for the outputs of as many trees
+TREES = """trees AS (SELECT id, y, is_test, list_transform(f, lambda v: v / 2 + 0.5::DOUBLE) AS p FROM descriptors)"""
 TRUE_P = "list_transform(p, lambda v: CASE WHEN y = 1 THEN v ELSE 1 - v END)"
 AGREE = f"""agree AS (SELECT id, is_test, list_avg(list_transform(tp, lambda v: CASE WHEN v > 0.5 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END)) AS a, list_stddev_pop(tp) AS s
   FROM (SELECT id, is_test, {TRUE_P} AS tp FROM trees) AS x)"""
 
 
 def tree_outputs(t):
-    p = F.transform(F.slice("features", 1, 10), lambda v: v / 2 + 0.5)
+    p = F.transform("features", lambda v: v / 2 + 0.5)
     return descriptors(t).withColumn("trees", p)
 
 

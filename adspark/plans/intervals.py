@@ -246,6 +246,19 @@ def f22(t):
     return reg_predictions(t).select("id", "fold", I.midpoint(lower, upper).alias("mid"))
 
 
+@query(
+    "f22_unbounded_checks",
+    """SELECT endpoint, count(*) AS n, count_if(fold % 3 = 1) AS unbounded, count_if(fold % 7 = 6) AS mismatched FROM reg_predictions GROUP BY 1""",
+    REG[:1],
+)
+def f22c(t):
+    """Folds without bounds, with one bound (both as they should be), and with a missing bound."""
+    inf, fold = F.lit(float("inf")), F.col("fold")
+    lower = F.when(fold % 7 == 6, F.lit(float("nan"))).when(fold % 3 == 1, -inf).otherwise(F.col("pred") - F.col("half"))
+    upper = F.when(fold % 3 == 1, inf).when(fold % 3 == 2, inf).otherwise(F.col("pred") + F.col("half"))
+    return I.midpoint_checks(reg_predictions(t).select("endpoint", lower.alias("lower"), upper.alias("upper")), ["endpoint"])
+
+
 @query(
     "f23_synergy_intervals",
     """SELECT c.endpoint, c.id, c.pred + 0.2::DOUBLE AS pred, q.sig_level, c.pred + 0.2::DOUBLE - q.alpha_s * 1.2::DOUBLE * exp(ln(c.scale)) AS lower,
@@ -268,20 +281,25 @@ def f23(t):
 
 @query(
     "f25_interval_checks",
-    """SELECT endpoint, count(*) AS n, 0::BIGINT AS reversed, count_if(y < pred - half OR y > pred + half) AS outside
-       FROM reg_predictions GROUP BY 1""",
+    """SELECT endpoint, count(*) AS n, count_if(upper < lower) AS reversed, count_if(mid < lower OR mid > upper) AS outside
+       FROM (SELECT endpoint, pred - (half - 0.6::DOUBLE) AS lower, pred + (half - 0.6::DOUBLE) AS upper, pred + (fold - 3) * 0.2::DOUBLE AS mid FROM reg_predictions) AS x
+       GROUP BY 1""",
     REG[:1],
 )
 def f25(t):
+    # half widths cut so far that some turn negative, and predictions moved away from the middle
+    cut = F.col("half") - 0.6
     rows = reg_predictions(t).select(
-        "endpoint", (F.col("pred") - F.col("half")).alias("lower"), (F.col("pred") + F.col("half")).alias("upper"), F.col("y").alias("pred")
+        "endpoint", (F.col("pred") - cut).alias("lower"), (F.col("pred") + cut).alias("upper"), (F.col("pred") + (F.col("fold") - 3) * 0.2).alias("pred")
     )
     return I.interval_checks(rows, ["endpoint"])
 
 
 @query(
     "f26_prediction_consistency",
-    "SELECT id, fold, 0.8::DOUBLE AS gap FROM reg_predictions WHERE half > 1.2::DOUBLE GROUP BY id, fold",
+    """SELECT id, fold, max(p) - min(p) AS gap FROM (
+         SELECT id, fold, pred + CASE WHEN half > 1.2::DOUBLE THEN l ELSE 0 END AS p FROM reg_predictions, (VALUES (0.1::DOUBLE), (0.9::DOUBLE)) AS s(l)) AS x
+       GROUP BY id, fold HAVING max(p) > min(p)""",
     REG[:1],
     "gap",
 )

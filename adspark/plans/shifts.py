@@ -124,15 +124,15 @@ def h5(t):
     "h6_not_computable",
     """SELECT endpoint, fold, subset, metric FROM (
          SELECT endpoint, fold, subset, unnest(['ba', 'recall_1', 'precision_1']) AS metric,
-                unnest([n1 = 0 OR n0 = 0, n1 = 0, tp + fp = 0]) AS out FROM confusion) AS x WHERE out""",
+                unnest([n < 2 OR n1 = 0 OR n0 = 0, n < 2 OR n1 = 0, n < 2 OR tp + fp = 0]) AS out FROM confusion) AS x WHERE out""",
     [*CLASS[:2], "class_subsets AS (SELECT endpoint, test_set || '/' || (id % 40) AS fold, 0 AS perm, id, y, prob, CASE WHEN inside THEN 'Inside' ELSE 'Outside' END AS subset FROM class_scores)", PERM_CONFUSION],
 )
 def h6(t):
     small = F.concat_ws("/", "test_set", (F.col("id") % 40).cast("string")).alias("fold")
     subset = F.when(F.col("inside"), "Inside").otherwise("Outside").alias("subset")
     rows = class_scores(t).select("endpoint", small, "id", "y", "prob", subset)
-    flags = H.class_rule_flags(rows, ["endpoint", "fold", "subset"]).drop("too_few")
-    return H.not_computable(flags.withColumn("too_few", F.lit(False)), ["endpoint", "fold", "subset"], ["ba", "recall_1", "precision_1"]).drop("reasons")
+    flags = H.class_rule_flags(rows, ["endpoint", "fold", "subset"])
+    return H.not_computable(flags, ["endpoint", "fold", "subset"], ["ba", "recall_1", "precision_1"]).drop("reasons")
 
 
 @query("h7_p_values", "SELECT endpoint, fold, metric, tail, shift, p FROM pvals", PERM, "shift p")

@@ -193,9 +193,26 @@ def c10(t):
     """SELECT endpoint, min(year) FILTER (part = 'train') AS train_first, min(year) FILTER (part = 'update1') AS update1_first,
               min(year) FILTER (part = 'update2') AS update2_first, min(year) FILTER (part = 'holdout') AS holdout_first,
               max(year) FILTER (part = 'train') AS train_last, max(year) FILTER (part = 'update1') AS update1_last,
-              max(year) FILTER (part = 'update2') AS update2_last, max(year) FILTER (part = 'holdout') AS holdout_last, true AS ordered
+              max(year) FILTER (part = 'update2') AS update2_last, max(year) FILTER (part = 'holdout') AS holdout_last,
+              coalesce(max(year) FILTER (part = 'train') < min(year) FILTER (part = 'update1'), true)
+                AND coalesce(max(year) FILTER (part = 'update1') < min(year) FILTER (part = 'update2'), true)
+                AND coalesce(max(year) FILTER (part = 'update2') < min(year) FILTER (part = 'holdout'), true) AS ordered
        FROM (SELECT endpoint, part, year::INT AS year FROM temporal) AS x GROUP BY endpoint""",
     [TEMPORAL],
 )
 def c10t(t):
     return S.time_order_report(temporal_parts(t), ["endpoint"])
+
+
+@query(
+    "c10_time_order_violated",
+    """SELECT endpoint, coalesce(max(year) FILTER (part = 'train') < min(year) FILTER (part = 'update1'), true)
+                AND coalesce(max(year) FILTER (part = 'update1') < min(year) FILTER (part = 'update2'), true)
+                AND coalesce(max(year) FILTER (part = 'update2') < min(year) FILTER (part = 'holdout'), true) AS ordered
+       FROM (SELECT endpoint, CASE WHEN part = 'train' AND endpoint < '3' THEN 'holdout' ELSE part END AS part, year FROM temporal) AS x GROUP BY endpoint""",
+    [TEMPORAL],
+)
+def c10v(t):
+    """The same report where some endpoints have their oldest rows in the last part."""
+    late = F.when((F.col("part") == "train") & (F.col("endpoint") < "3"), "holdout").otherwise(F.col("part"))
+    return S.time_order_report(temporal_parts(t).withColumn("part", late), ["endpoint"]).select("endpoint", "ordered")

@@ -95,7 +95,8 @@ THREE = """three AS (
   SELECT endpoint, test_set, fold,
          CASE WHEN value < 20 THEN 0 WHEN value < 80 THEN 1 ELSE 2 END AS label,
          CASE WHEN k + value < 55 THEN 0 WHEN k + value < 140 THEN 1 ELSE 2 END AS predicted,
-         [20.0::DOUBLE / (20 + value + k), value / (20 + value + k), k / (20.0::DOUBLE + value + k)] AS probs
+         list_transform([20.0::DOUBLE / (20 + value + k), value / (20 + value + k), k / (20.0::DOUBLE + value + k)],
+                        lambda p: p * (0.99::DOUBLE + (k % 3) * 0.01::DOUBLE)) AS probs
   FROM events_base)"""
 
 
@@ -108,7 +109,8 @@ def three_classes(t):
         "endpoint", "test_set", "fold",
         F.when(v < 20, 0).when(v < 80, 1).otherwise(2).alias("label"),
         F.when(k + v < 55, 0).when(k + v < 140, 1).otherwise(2).alias("predicted"),
-        F.array(20.0 / total, v / total, k / total).alias("probs"),
+        # sums of 0.99, 1 and 1.01: within the tolerance, but ranks change by dividing by them
+        F.transform(F.array(20.0 / total, v / total, k / total), lambda p: p * (F.lit(0.99) + (k % 3) * 0.01)).alias("probs"),
     )
 
 
@@ -119,7 +121,7 @@ def three_classes(t):
                 (count_if(hit)::DOUBLE * count_if(NOT hit)) AS auc
          FROM (SELECT *, rank() OVER (PARTITION BY endpoint, a, b ORDER BY s) +
                       (count(*) OVER (PARTITION BY endpoint, a, b, s) - 1) / 2.0::DOUBLE AS rk
-               FROM (SELECT endpoint, a, b, label = a AS hit, probs[a + 1] AS s
+               FROM (SELECT endpoint, a, b, label = a AS hit, probs[a + 1] / list_sum(probs) AS s
                      FROM three, (VALUES (0,1),(1,0),(0,2),(2,0),(1,2),(2,1)) AS p(a, b)
                      WHERE label IN (a, b)) AS x) AS y
          GROUP BY endpoint, a, b) AS z GROUP BY endpoint""",
@@ -164,7 +166,7 @@ def g7(t):
     "brier",
 )
 def g8(t):
-    return three_classes(t).groupBy("endpoint", "test_set").agg(F.avg(M.one_hot_brier("probs", "label")).alias("brier"))
+    return three_classes(t).groupBy("endpoint", "test_set").agg(F.avg(M.one_hot_brier(M.checked_probabilities("probs"), "label")).alias("brier"))
 
 
 @query(
@@ -178,11 +180,22 @@ def g8(t):
 )
 def g9(t):
     return three_classes(t).groupBy("endpoint", "test_set").agg(
-        F.avg(M.log_loss("probs", "label", 3)).alias("log_loss"),
+        F.avg(M.log_loss(M.checked_probabilities("probs"), "label", 3)).alias("log_loss"),
         F.avg(M.log_loss("probs", "label", 3, ordinal=True)).alias("ordinal_log_loss"),
     )
 
 
+@query(
+    "g8_probability_sums",
+    """SELECT endpoint, count(*) AS n, count_if(abs(list_sum(probs) * (1 + fold * 0.01::DOUBLE) - 1) > 0.02::DOUBLE) AS beyond FROM three GROUP BY 1""",
+    [CLASS[0], THREE],
+)
+def g8s(t):
+    """Rows whose probabilities, blown up by the fold, no longer pass the check of their sum."""
+    off = F.abs(M.probability_sum("probs") * (1 + F.col("fold") * 0.01) - 1) > 0.02
+    return three_classes(t).groupBy("endpoint").agg(F.count(F.lit(1)).alias("n"), F.count_if(off).alias("beyond"))
+
+
 @query("g10_stratified_brier", f"SELECT {K}, (loss_1 + loss_0) / 2 AS strat_brier FROM confusion", CONF, "strat_brier")
 def g10(t):
     return M.confusion(class_subsets(t), KEYS).select(*KEYS, M.stratified_brier().alias("strat_brier"))
