@@ -474,7 +474,9 @@ def width_residual_spearman(df: DataFrame, keys: list[str]) -> DataFrame:
 
 def regression_statistics(df: DataFrame, keys: list[str], level: float = 0.32, id_col: str = "id", p_values: bool = True) -> DataFrame:
     """All regression statistics; ``df`` holds one row per test row and significance level."""
+    # five of the six parts need the rows of one level only: they are written once, and narrow
     at_level = df.where(F.abs(F.col("sig_level") - level) < 1e-9)
+    at_level = materialise(at_level.select(*keys, id_col, "sig_level", "y", "pred", "lower", "upper"), "level")
     fit = regression_fit(at_level, keys)
     rho = ordered.spearman(at_level, keys, "pred", "y", "spearman")
     of_level = interval_statistics(at_level, keys).drop("sig_level")

@@ -64,6 +64,8 @@ def class_metrics(df: DataFrame, keys: list[str], wanted: list[str], delta: floa
 def value_metrics(df: DataFrame, keys: list[str], wanted: list[str], level: float = 0.32) -> DataFrame:
     """(keys, metric, value) of the requested regression metrics; rows as in regression_statistics."""
     at_level = df.where(F.abs(F.col("sig_level") - level) < 1e-9)
+    if set(wanted) & {"spearman", "ence", "scc"}:  # several passes over the rows
+        at_level = materialise(at_level.select(*keys, "id", "sig_level", "y", "pred", "lower", "upper"), "level")
     parts = {
         "fit": (("rmse", "r2", "pearson"), lambda: M.regression_fit(at_level, keys)),
         "rank": (("spearman",), lambda: M.ordered.spearman(at_level, keys, "pred", "y", "spearman")),

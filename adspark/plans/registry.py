@@ -76,6 +76,6 @@ def query(name: str, sql: str | None = None, ctes: list[str] | None = None, doub
 
 def load_all() -> dict[str, Query]:
     """Import every module with registered queries."""
-    from . import cleaning, domain, intervals, joins, modelling, reporting, scanning, shifts, splitting, statistics  # noqa: F401
+    from . import cleaning, domain, intervals, joins, missing_keys, modelling, reporting, scanning, shifts, splitting, statistics  # noqa: F401
 
     return REGISTRY

@@ -1,6 +1,6 @@
-"""Registered queries against their SQL twins on the smallest tables.
+"""Every registered query against its SQL twin on the smallest tables.
 
-A spread of queries by default; FULL_CATALOG=1 runs all of them (about ten minutes).
+The queries of the document operators have their own tests. QUICK_CATALOG=1 runs every fifth query.
 """
 
 from __future__ import annotations
@@ -13,31 +13,31 @@ import __spark_entry__ as entry
 from tests.check_catalog import compare, duck
 
 FOLDER = "/root/testdata/sf0.001"
-# the twins of the permutation tests expect every first redraw to be varied, which tiny groups are not
+# the twins of the permutation tests expect every first redraw to be varied, which tiny groups are
+# not; one twin joins on an id that is unique on the larger tables only
 LARGER = "/root/testdata/sf0.01"
-SOME = """a2_tsv_scan a5_metadata_from_paths b2_endpoint_rows b5b_ids_by_key b7_rule_rejects b9_dedup_classes
-b10_dedup_values b17_text_fingerprints c1_temporal_split c3_stratified_split c7_repeated_splits d9_band_self_join
-d11_pairwise_overlap d14_step_lookup e6_dknn_thresholds e10_nunc_status e11_tanimoto_status e14_rdn_thresholds
-f9_venn_abers f12_cvap f18_conformal_quantiles f21_aggregated_intervals g5_auc g12_calibration_statistics
-g16_spearman g22_ence g27_activity_per_fold_and_merged h3_redraws h7_p_values h13_global_adjustment i4_wins
-i5_masked_shifts i12_trend_table i15_merged_statistics""".split()
+ON_LARGER = ("h", "d6", "c10_split_report")
+# queries whose right result on the smallest tables is empty
+MAY_BE_EMPTY: set[str] = set()
 
-QUERIES, TWINS = entry.queries(), entry.oracle_sql()
+QUERIES = {n: q for n, q in entry.queries().items() if n != "pipeline" and not n.startswith("op")}
+TWINS = {n: s for n, s in entry.oracle_sql().items() if n in QUERIES}
+CHOSEN = sorted(QUERIES)[:: 5 if os.environ.get("QUICK_CATALOG") else 1]
 
 
-@pytest.mark.parametrize("name", sorted(QUERIES) if os.environ.get("FULL_CATALOG") else SOME)
+@pytest.mark.parametrize("name", CHOSEN)
 def test_query_equals_its_twin(spark, name):
-    folder = LARGER if name.startswith(("h", "d6")) else FOLDER
+    folder = LARGER if name.startswith(ON_LARGER) else FOLDER
     df = QUERIES[name](spark, folder)
     if name in TWINS:
         problem = compare(df, duck(folder), TWINS[name])
-        assert problem is None or problem.startswith("no rows"), problem
+        assert problem is None or name in MAY_BE_EMPTY and problem.startswith("no rows"), problem
     else:
         assert df.collect()
 
 
 def test_every_twin_has_a_query():
-    assert set(TWINS) <= set(QUERIES)
+    assert set(entry.oracle_sql()) <= set(entry.queries())
 
 
 def test_flagship_has_a_stable_schema(spark):
