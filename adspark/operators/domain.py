@@ -6,7 +6,7 @@ the mean neighbour distance) and RDN (dk-NN thresholds weighted by model agreeme
 
 from __future__ import annotations
 
-from dataclasses import replace
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -47,6 +47,23 @@ def nearest_mean(train: DataFrame, test: DataFrame | None, space: Space, k: int)
     return near.select(*space.keys, space.id, mean_of("dists").alias("d_mean"))
 
 
+@dataclass
+class Prepared:
+    """Layouts and neighbour lists of a training and a test side, worked out once for several methods."""
+
+    train: Layout
+    test: Layout
+    own: DataFrame
+    new: DataFrame
+
+
+def prepare(train: DataFrame, test: DataFrame, space: Space, k: int) -> Prepared:
+    """What the methods share: points of both sides and the ``k`` nearest training rows of every point."""
+    reference = lay_out(train, space)
+    queries = lay_out(test, space, reference.pivots)
+    return Prepared(reference, queries, nearest_points(reference, None, k), nearest_points(reference, queries, k))
+
+
 # --- 1-NN similarity -------------------------------------------------------------------------
 
 
@@ -80,12 +97,11 @@ def nunc_training_stats(near: DataFrame, space: Space, value: Column, weight: Co
     )
 
 
-def nunc_status(train: DataFrame, test: DataFrame, space: Space, ks: list[int]) -> DataFrame:
+def nunc_status(train: DataFrame, test: DataFrame, space: Space, ks: list[int], shared: Prepared | None = None) -> DataFrame:
     """(keys, id, ad_param, d_mean, z, inside): inside iff the upper tail of z exceeds 5 %."""
-    reference = lay_out(train, space)
-    queries = lay_out(test, space, reference.pivots)
-    own = nearest_points(reference, None, max(ks))
-    new = back_to_rows(test, queries, nearest_points(reference, queries, max(ks)), ["dists"])
+    shared = shared or prepare(train, test, space, max(ks))
+    own = shared.own
+    new = back_to_rows(test, shared.test, shared.new, ["dists"])
     means = lambda: F.explode(
         F.array(*[F.struct(F.lit(k).alias("k"), mean_of(F.slice("dists", 1, k)).alias("m")) for k in ks])
     ).alias("_m")
@@ -124,7 +140,7 @@ def reference_values(near: DataFrame, space: Space, ks: list[int]) -> DataFrame:
     return materialise(per_group.select(*space.keys, F.transform("_rs", lambda s: s["r"]).alias("radii")), "radii")
 
 
-def point_limits(train: Layout, ks: list[int], nearest_only: bool = False, fill_zero: bool = True) -> DataFrame:
+def point_limits(train: Layout, ks: list[int], nearest_only: bool = False, fill_zero: bool = True, own: DataFrame | None = None) -> DataFrame:
     """(keys, point, limits): one distance threshold per k for every training point.
 
     The threshold is the mean distance to *all* other training rows within the reference value
@@ -132,7 +148,7 @@ def point_limits(train: Layout, ks: list[int], nearest_only: bool = False, fill_
     smallest non-zero threshold of the group.
     """
     space = train.space
-    near = nearest_points(train, None, max(ks))
+    near = nearest_points(train, None, max(ks)) if own is None else own
     radii = reference_values(near, space, ks)
     if nearest_only:
 
@@ -172,10 +188,10 @@ def dknn_thresholds(train: DataFrame, space: Space, ks: list[int], nearest_only:
     return back_to_rows(train, layout, point_limits(layout, ks, nearest_only, fill_zero), ["limits"])
 
 
-def status_from_limits(train: Layout, limits: DataFrame, test: DataFrame, params: list) -> DataFrame:
+def status_from_limits(train: Layout, limits: DataFrame, test: DataFrame, params: list, queries: Layout | None = None) -> DataFrame:
     """(keys, id, ad_param, inside): some training point has ``limit >= distance``."""
     space = train.space
-    queries = lay_out(test, space, train.pivots)
+    queries = lay_out(test, space, train.pivots) if queries is None else queries
     flags = back_to_rows(test, queries, any_within(train, queries, limits, len(params)), ["inside"])
     never = F.array(*[F.lit(False)] * len(params))
     values = F.arrays_zip(
@@ -186,8 +202,13 @@ def status_from_limits(train: Layout, limits: DataFrame, test: DataFrame, params
     )
 
 
-def dknn_status(train: DataFrame, test: DataFrame, space: Space, ks: list[int], nearest_only: bool = False) -> DataFrame:
+def dknn_status(
+    train: DataFrame, test: DataFrame, space: Space, ks: list[int], nearest_only: bool = False, shared: Prepared | None = None
+) -> DataFrame:
     """dk-NN status for every requested k: (keys, id, ad_param, inside)."""
+    if shared:
+        limits = point_limits(shared.train, ks, nearest_only, own=shared.own)
+        return status_from_limits(shared.train, limits, test, ks, shared.test)
     layout = lay_out(train, space)
     return status_from_limits(layout, point_limits(layout, ks, nearest_only), test, ks)
 
@@ -230,19 +251,19 @@ def scale_by_k(k: int) -> float:
     return 1 / 3 if k < 31 else 1 / 2 if k < 41 else 1.0
 
 
-def rdn_status(train: DataFrame, test: DataFrame, space: Space, k: int, scale: float = 1.0) -> DataFrame:
+def rdn_status(train: DataFrame, test: DataFrame, space: Space, k: int, scale: float = 1.0, shared: Prepared | None = None) -> DataFrame:
     """RDN status; ``train`` carries the agreement weight W of each row in ``weight``.
 
     Rows with equal features may differ in W; the largest threshold decides for their point.
     """
-    layout = lay_out(train.select(*space.keys, space.id, space.features), space)
-    limits = back_to_rows(train, layout, point_limits(layout, [k]), ["limits"])
+    layout = shared.train if shared else lay_out(train.select(*space.keys, space.id, space.features), space)
+    limits = back_to_rows(train, layout, point_limits(layout, [k], own=shared.own if shared else None), ["limits"])
     weighted = weighted_limits(limits, train.select(*space.keys, space.id, "weight"), space, scale)
     rows = join_on(train.select(*space.keys, space.id, space.features), weighted, [*space.keys, space.id])
     largest = F.array(F.max(F.col("limits")[0])).alias("limits")
     per_point = rows.groupBy(*space.keys, space.features).agg(F.min(space.id).alias("point"), largest)
     per_point = materialise(per_point.select(*space.keys, "point", "limits"), "limits")
-    return status_from_limits(layout, per_point, test, [k])
+    return status_from_limits(layout, per_point, test, [k], shared.test if shared else None)
 
 
 def weighted_limits(limits: DataFrame, weights: DataFrame, space: Space, scale: float = 1.0) -> DataFrame:
@@ -257,19 +278,20 @@ def weighted_limits(limits: DataFrame, weights: DataFrame, space: Space, scale:
 # --- all methods -----------------------------------------------------------------------------
 
 
-def inside_outside(method: str, train: DataFrame, test: DataFrame, space: Space, param) -> DataFrame:
+def inside_outside(method: str, train: DataFrame, test: DataFrame, space: Space, param, shared: Prepared | None = None) -> DataFrame:
     """(keys, id, inside) by one of ``Tanimoto``, ``dkNN``, ``UNC`` or ``RDN``.
 
-    RDN needs a ``weight`` column on the training rows (see ``models.agreement_weights``).
+    RDN needs a ``weight`` column on the training rows (see ``models.agreement_weights``). ``shared``
+    holds what several methods on the same rows have in common.
     """
     if method == "Tanimoto":
         status = nearest_status(train, test, space, [param])
     elif method == "UNC":
-        status = nunc_status(train, test, space, [param])
+        status = nunc_status(train, test, space, [param], shared)
     elif method == "dkNN":
-        status = dknn_status(train, test, space, [param])
+        status = dknn_status(train, test, space, [param], shared=shared)
     elif method == "RDN":
-        status = rdn_status(train, test, space, param)
+        status = rdn_status(train, test, space, param, shared=shared)
     else:
         raise ValueError(f"unknown domain method {method!r}")
     return status.select(*space.keys, space.id, "inside")

@@ -47,10 +47,7 @@ def class_metrics(df: DataFrame, keys: list[str], wanted: list[str], delta: floa
     unknown = set(wanted) - {*COUNT_METRICS, "auc", *CALIBRATION_METRICS}
     if unknown:
         raise ValueError(f"unknown classification metrics {sorted(unknown)}")
-    base = M.confusion(df, keys)
-    forms = {"ba": M.balanced_accuracy(), "mcc": M.mcc(), "kappa": M.kappa(), "strat_brier": M.stratified_brier()}
-    counted = [m for m in wanted if m in forms]
-    wide = base.select(*keys, "n", *[M.gated(forms[m]).alias(m) for m in counted])
+    wide = _count_metrics(M.confusion(df, keys), keys, wanted)
     if "auc" in wanted:
         wide = join_on(wide, M.auc(df, keys), keys, "left")
     calibrated = [m for m in wanted if m in CALIBRATION_METRICS]
@@ -61,6 +58,12 @@ def class_metrics(df: DataFrame, keys: list[str], wanted: list[str], delta: floa
     return M.to_long(gated, keys, wanted)
 
 
+def _count_metrics(confusion: DataFrame, keys: list[str], wanted: list[str]) -> DataFrame:
+    """(keys, n, metrics) of those wanted that follow from the confusion counts and squared losses."""
+    forms = {"ba": M.balanced_accuracy(), "mcc": M.mcc(), "kappa": M.kappa(), "strat_brier": M.stratified_brier()}
+    return confusion.select(*keys, "n", *[M.gated(forms[m]).alias(m) for m in wanted if m in forms])
+
+
 def value_metrics(df: DataFrame, keys: list[str], wanted: list[str], level: float = 0.32) -> DataFrame:
     """(keys, metric, value) of the requested regression metrics; rows as in regression_statistics."""
     at_level = df.where(F.abs(F.col("sig_level") - level) < 1e-9)
@@ -207,9 +210,133 @@ def smallest_by_hash(keyed: DataFrame, group: list[str], quota: DataFrame, quota
     return sure.unionByName(split.select(*columns, (F.col("_rn") <= F.col("_left")).alias("inside")))
 
 
-def with_original(df: DataFrame, redraws: DataFrame) -> DataFrame:
+def permuted_confusion(
+    strata: DataFrame, keys: list[str], n: int, seed: int, score: str = "prob", id_col: str = "id", method: str = "xxhash64"
+) -> DataFrame:
+    """Confusion counts and losses of both sides of ``n`` redraws: (keys, perm, subset, n, n1, ...).
+
+    The same redraws as ``redraw`` makes, but no copy of a row is written or shuffled: rows meet all
+    their redraws within a task and are added up there. A stratum of m rows has about sqrt(m) hash
+    buckets for each redraw; their counts show in which one its quota ends, and only the rows of that
+    bucket, about sqrt(m) again, travel one by one.
+    """
+    hit = M.predicted_class(score).alias("_hit")
+    loss = ((F.col(score) - F.col("y")) * (F.col(score) - F.col("y"))).alias("_loss")
+    sizes = strata.groupBy(*keys, "stratum").agg(F.count_if("inside").alias("_quota"), F.count(F.lit(1)).alias("_size"))
+    sizes = materialise(sizes.select("*", F.ceil(F.sqrt("_size")).alias("_buckets")).drop("_size"), "quota")
+    rows = join_on(strata.select(*keys, "stratum", id_col, "y", F.col(score).alias("_score"), hit, loss), sizes, [*keys, "stratum"])
+    cell = [*keys, "stratum", "perm"]
+    order = W.partitionBy(*cell).orderBy("_at").rowsBetween(W.unboundedPreceding, 0)
+
+    def placed(copies: DataFrame, attempt: int) -> DataFrame:
+        parts = [F.col(id_col), *[F.col(k) for k in keys], F.col("perm"), F.lit(seed), F.lit(attempt)]
+        first = F.conv(F.substring("_h", 1, 8), 16, 10).cast("bigint")
+        return copies.withColumn("_h", order_key(parts, method)).withColumn("_at", F.shiftright(first * F.col("_buckets"), 32))
+
+    kept = []
+    todo = rows.withColumn("perm", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
+    for attempt in range(MAX_TRIES):
+        counts = placed(todo, attempt).groupBy(*cell, "_quota", "_at").agg(F.count(F.lit(1)).alias("_c"))
+        upto = counts.withColumn("_cum", F.sum("_c").over(order))
+        before = F.col("_cum") - F.col("_c")
+        here = (before < F.col("_quota")) & (F.col("_quota") <= F.col("_cum"))
+        edges = upto.groupBy(*cell).agg(
+            F.coalesce(F.max(F.when(here, F.col("_at"))), F.lit(-1)).alias("_edge"),
+            F.coalesce(F.max(F.when(here, F.col("_quota") - before)), F.lit(0)).cast("int").alias("_left"),
+        )
+        packed = edges.groupBy(*keys, "stratum").agg(F.collect_list(F.struct("perm", "_edge", "_left")).alias("_edges"))
+        copies = join_on(rows, materialise(packed, "edges"), [*keys, "stratum"]).withColumn("_e", F.explode("_edges"))
+        copies = placed(copies.drop("_edges").select("*", "_e.perm", "_e._edge", "_e._left"), attempt)
+        each = materialise(_side_sums(copies, [*keys, "perm"], cell, id_col), "redrawn")
+        varied = F.lit(True)
+        for side in ("in", "out"):
+            for low, high in ((f"{side}_low", f"{side}_high"), (f"{side}_y_low", f"{side}_y_high")):
+                varied = varied & F.coalesce(F.col(low) < F.col(high), F.lit(False))
+        failed = materialise(each.where(~varied).select(*keys, "perm"), "failed")
+        if attempt == MAX_TRIES - 1 or failed.isEmpty():
+            kept.append(each)
+            break
+        kept.append(each.where(varied))
+        again = failed.groupBy(*keys).agg(F.collect_list("perm").alias("_perms"))
+        todo = join_on(rows, again, keys).withColumn("perm", F.explode("_perms")).drop("_perms")
+    every = reduce(lambda a, b: a.unionByName(b), kept)
+    sides = []
+    for side, subset in (("in", "Inside"), ("out", "Outside")):
+        c = lambda name, side=side: F.col(f"{side}_{name}")
+        sides.append(
+            every.where(c("n") > 0).select(
+                *keys, "perm", F.lit(subset).alias("subset"), *[c(x).alias(x) for x in ("n", "n1", "n0", "tp", "fp", "tn", "fn")],
+                F.try_divide(c("s1") + c("s0"), c("n")).alias("brier"),
+                F.try_divide(c("s1"), c("n1")).alias("loss_1"), F.try_divide(c("s0"), c("n0")).alias("loss_0"),
+            )
+        )
+    return sides[0].unionByName(sides[1])
+
+
+def _side_sums(copies: DataFrame, group: list[str], cell: list[str], id_col: str) -> DataFrame:
+    """Sums of both sides of every redraw from rows that know their bucket and the one where the quota ends."""
+    entry = F.struct("_h", F.col(id_col).alias("id"), F.col("y").cast("int").alias("y"), "_hit", "_loss", "_score")
+    cells = {"tp": (1, 1), "fp": (0, 1), "tn": (0, 0), "fn": (1, 0)}
+
+    def wanted(y, hit, loss, sc, total, least, most):
+        """Sum columns of a side, by aggregate functions that take a condition and a value."""
+        out = {name: total((y == a) & (hit == b), F.lit(1).cast("bigint")) for name, (a, b) in cells.items()}
+        out |= {"s1": total(y == 1, loss), "s0": total(y == 0, loss)}
+        return out | {"low": least(sc), "high": most(sc), "y_low": least(y), "y_high": most(y)}
+
+    def of_rows(side):
+        return wanted(
+            F.col("y").cast("int"), F.col("_hit"), F.col("_loss"), F.col("_score"),
+            lambda condition, value: F.coalesce(F.sum(F.when(side & condition, value)), F.lit(0).cast("bigint")),
+            lambda value: F.min(F.when(side, value)), lambda value: F.max(F.when(side, value)),
+        )
+
+    sides = {"in": F.col("_at") < F.col("_edge"), "out": F.col("_at") > F.col("_edge")}
+    sure = [v.alias(f"{s}_{k}") for s, condition in sides.items() for k, v in of_rows(condition).items()]
+    edge = F.sort_array(F.collect_list(F.when(F.col("_at") == F.col("_edge"), entry))).alias("_list")
+    met = copies.groupBy(*cell).agg(*sure, edge, F.max("_left").alias("_left"))
+    size = F.size("_list")
+    lists = {"in": F.slice("_list", 1, F.col("_left")), "out": F.slice("_list", F.col("_left") + 1, F.greatest(size - F.col("_left"), F.lit(0)))}
+
+    def of_list(rows):
+        def count(a, b):
+            return F.size(F.filter(rows, lambda x: (x["y"] == a) & (x["_hit"] == b))).cast("bigint")
+
+        def losses(a):
+            return F.aggregate(rows, F.lit(0.0), lambda total, x: total + F.when(x["y"] == a, x["_loss"]).otherwise(0.0))
+
+        def values(field):
+            return F.transform(rows, lambda x: x[field])
+
+        out = {name: count(a, b) for name, (a, b) in cells.items()} | {"s1": losses(1), "s0": losses(0)}
+        for name, field in (("", "_score"), ("y_", "y")):
+            out |= {f"{name}low": F.array_min(values(field)), f"{name}high": F.array_max(values(field))}
+        return out
+
+    joined = []
+    for side, rows in lists.items():
+        for name, value in of_list(rows).items():
+            known = F.col(f"{side}_{name}")
+            both = F.least(known, value) if name.endswith("low") else F.greatest(known, value) if name.endswith("high") else known + value
+            joined.append(both.alias(f"{side}_{name}"))
+    cells_done = met.select(*group, *joined)
+    final = []
+    for side in lists:
+        final += [F.sum(f"{side}_{k}").alias(f"{side}_{k}") for k in (*cells, "s1", "s0")]
+        final += [F.min(f"{side}_{k}").alias(f"{side}_{k}") for k in ("low", "y_low")]
+        final += [F.max(f"{side}_{k}").alias(f"{side}_{k}") for k in ("high", "y_high")]
+    out = cells_done.groupBy(*group).agg(*final)
+    for side in lists:
+        c = lambda name, side=side: F.col(f"{side}_{name}")
+        out = out.withColumns({f"{side}_n1": c("tp") + c("fn"), f"{side}_n0": c("fp") + c("tn")})
+        out = out.withColumn(f"{side}_n", c("n1") + c("n0"))
+    return out
+
+
+def with_original(df: DataFrame, redraws: DataFrame | None) -> DataFrame:
     """Original split (perm -1) and redraws, with ``subset`` Inside / Outside."""
-    both = df.withColumn("perm", F.lit(ORIGINAL)).unionByName(redraws)
+    both = df.withColumn("perm", F.lit(ORIGINAL))
+    both = both if redraws is None else both.unionByName(redraws)
     return both.withColumn("subset", F.when(F.col("inside"), "Inside").otherwise("Outside"))
 
 
@@ -310,6 +437,12 @@ def permuted_shifts(df, keys, wanted, n=1000, seed=42, kind="class", method="xxh
     )
     usable = sizes.where((F.col("_i") >= M.MIN_ROWS) & (F.col("_o") >= M.MIN_ROWS)).select(*keys)
     strata = join_on(strata, usable, keys, "left_semi")
+    if kind == "class" and set(wanted) <= set(COUNT_METRICS):
+        group = [*keys, "perm", "subset"]
+        own = with_original(strata.select(*keys, "id", "y", score, "inside"), None)
+        counted = M.confusion(own, group).unionByName(permuted_confusion(strata, keys, n, seed, score, method=method))
+        values = M.to_long(_count_metrics(counted, group, wanted), group, wanted)
+        return materialise(shift_metrics(values, [*keys, "perm"]).select(*keys, "perm", "metric", "shift"), "shifts")
     check = delta if kind == "class" and set(wanted) & set(CALIBRATION_METRICS) - {"rmse_cal"} else None
     drawn = redraw(strata, keys, n, seed, score, method=method, delta=check)
     both = with_original(strata, drawn).drop("stratum", "inside")

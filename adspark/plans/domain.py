@@ -283,10 +283,11 @@ FOUR_ALL = [*RDN_ALL, TEST_NEAR, TEST_MEANS, NUNC, SIGN_BITS, BIT_PAIRS, TANIMOT
 def four_methods(t):
     train, test = train_test(with_weight(tree_outputs(t)))
     bit_train, bit_test = train_test(bit_rows(t))
+    shared = D.prepare(train, test, DENSE, 3)
     parts = [
-        D.inside_outside("dkNN", train, test, DENSE, 3).withColumn("ad_method", F.lit("dkNN")),
-        D.inside_outside("RDN", train, test, DENSE, 3).withColumn("ad_method", F.lit("RDN")),
-        D.inside_outside("UNC", train, test, DENSE, 3).withColumn("ad_method", F.lit("UNC")),
+        D.inside_outside("dkNN", train, test, DENSE, 3, shared).withColumn("ad_method", F.lit("dkNN")),
+        D.inside_outside("RDN", train, test, DENSE, 3, shared).withColumn("ad_method", F.lit("RDN")),
+        D.inside_outside("UNC", train, test, DENSE, 3, shared).withColumn("ad_method", F.lit("UNC")),
         D.inside_outside("Tanimoto", bit_train, bit_test, BITS, 0.35).withColumn("ad_method", F.lit("Tanimoto")),
     ]
     return reduce(lambda a, b: a.unionByName(b), parts)
@@ -324,10 +325,11 @@ def e19(t):
     ks = [1, 2, 3, 4, 5, 6]
     train, test = train_test(descriptors(t))
     bit_train, bit_test = train_test(bit_rows(t))
+    shared = D.prepare(train, test, DENSE, max(ks))
     parts = {
         "Tanimoto": D.nearest_status(bit_train, bit_test, BITS, THRESHOLDS),
-        "dkNN": D.dknn_status(train, test, DENSE, ks),
-        "UNC": D.nunc_status(train, test, DENSE, ks),
+        "dkNN": D.dknn_status(train, test, DENSE, ks, shared=shared),
+        "UNC": D.nunc_status(train, test, DENSE, ks, shared),
     }
     status = reduce(
         lambda a, b: a.unionByName(b),

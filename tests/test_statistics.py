@@ -247,6 +247,18 @@ def test_value_strata_follow_inside(spark):
     assert [got[v] for v in two] == [0, 0, 1, 2, 3, 4, 4]
 
 
+@pytest.mark.parametrize("method", ["md5", "xxhash64"])
+def test_counted_redraws_are_those_made_row_by_row(spark, method):
+    rng = np.random.default_rng(8)
+    rows = [(g, i, int(rng.random() < 0.4), float(np.round(rng.random(), 2)), bool(rng.random() < 0.6)) for g, m in ((None, 60), (1, 7), (2, 4)) for i in range(m)]
+    df = spark.createDataFrame(rows, "g int, id int, y int, prob double, inside boolean").withColumn("stratum", F.col("y"))
+    drawn = H.redraw(df, ["g"], 30, 5, method=method).withColumn("subset", F.when(F.col("inside"), "Inside").otherwise("Outside"))
+    want = M.confusion(drawn, ["g", "perm", "subset"]).select("g", "perm", "subset", "n", "n1", "n0", "tp", "fp", "tn", "fn", F.round("brier", 9), F.round("loss_1", 9), F.round("loss_0", 9))
+    got = H.permuted_confusion(df, ["g"], 30, 5, method=method)
+    got = got.select("g", "perm", "subset", "n", "n1", "n0", "tp", "fp", "tn", "fn", F.round("brier", 9), F.round("loss_1", 9), F.round("loss_0", 9))
+    assert sorted(map(tuple, got.collect()), key=str) == sorted(map(tuple, want.collect()), key=str)
+
+
 def test_redraws_keep_stratum_sizes_and_retry(spark):
     rows = [(1, i, i % 2, [0.2, 0.8, 0.5][i % 3], i % 2, i < 14) for i in range(24)]
     df = spark.createDataFrame(rows, "g int, id int, y int, prob double, stratum int, inside boolean")
