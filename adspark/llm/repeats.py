@@ -31,6 +31,8 @@ from .common import parts, written
 GRAM = 32
 #: Starts of windows handled at once, to bound the memory for a very long text.
 STRETCH = 1 << 21
+#: Single windows that are sorted in a task before they are shuffled.
+WINDOWS = 1 << 20
 ROWS_PER_PART = 400_000
 #: A run in one number: 24 bits of the text's checksum, 31 of its first start, 8 of its length.
 _LEN_BITS, _LO_BITS = 8, 31
@@ -133,24 +135,66 @@ def _rows_of(batch: pa.RecordBatch, window: int) -> pa.RecordBatch:
             for column, value in zip(columns, values):
                 column.append(value.view(np.int64))
     k1, k2, doc, run = (np.concatenate(c) if c else np.empty(0, dtype=np.int64) for c in columns)
+    return _with_done(k1, k2, doc, run)
+
+
+def _with_done(k1: np.ndarray, k2: np.ndarray, doc: np.ndarray, run: np.ndarray) -> pa.RecordBatch:
+    """Rows in the order of their digits, of which repeats come after the others and without digits."""
     order = np.lexsort((run, doc, k2, k1))
     k1, k2, doc, run = k1[order], k2[order], doc[order], run[order]
     done = _later(k1, k2, doc, run)[1]
-    return pa.RecordBatch.from_arrays([pa.array(x) for x in (done, k1, k2, doc, run)], schema=_ROWS)
-
-
-def _windows_of(batch: pa.RecordBatch, window: int) -> Iterator[pa.RecordBatch]:
-    """Pass 3 digits, all bytes of each window, of the open runs in a batch of (doc, tag, text, runs)."""
-    for doc, tag, text, runs in zip(*(batch.column(i).to_pylist() for i in range(4))):
-        data = text.encode()
-        lo, hi = unpack(np.array(runs, dtype=np.int64))
-        starts = np.concatenate([np.arange(a, b + 1) for a, b in zip(lo, hi)])
-        for at in range(0, len(starts), 1 << 18):
-            part = starts[at : at + (1 << 18)]
-            raw = b"".join([xxhash.xxh3_128_digest(data[s : s + window]) for s in part.tolist()])
-            keys = np.frombuffer(raw, dtype=np.int64).reshape(-1, 2)
-            values = [np.zeros(len(part), dtype=bool), keys[:, 0].copy(), keys[:, 1].copy(), np.full(len(part), doc), _pack(tag, part, part)]
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in values], schema=_ROWS)
+    doc_done, run_done = _joined(doc[done], run[done])
+    none, rest = np.zeros(len(doc_done), dtype=np.int64), ~done
+    values = [
+        np.repeat([False, True], [rest.sum(), len(none)]),
+        np.concatenate([k1[rest], none]),
+        np.concatenate([k2[rest], none]),
+        np.concatenate([doc[rest], doc_done]),
+        np.concatenate([run[rest], run_done]),
+    ]
+    return pa.RecordBatch.from_arrays([pa.array(x) for x in values], schema=_ROWS)
+
+
+def _joined(doc: np.ndarray, run: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Runs that follow each other in a document as one run, as far as its length fits."""
+    if not len(doc):
+        return doc, run
+    order = np.lexsort((run, doc))
+    doc, run = doc[order], run[order]
+    lo, hi = unpack(run)
+    tag = run >> _TAG
+    fresh = np.ones(len(doc), dtype=bool)
+    fresh[1:] = (doc[1:] != doc[:-1]) | (tag[1:] != tag[:-1]) | (lo[1:] != hi[:-1] + 1)
+    # a chain is cut wherever another length limit is reached
+    first = lo[np.maximum.accumulate(np.where(fresh, np.arange(len(doc)), 0))]
+    piece = (hi - first) >> (_LEN_BITS - 1)
+    fresh[1:] |= piece[1:] != piece[:-1]
+    starts = np.flatnonzero(fresh)
+    last = np.append(starts[1:], len(doc)) - 1
+    return doc[starts], (run[starts] >> _LEN_BITS << _LEN_BITS) | (hi[last] - lo[starts])
+
+
+def _windows_of(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.RecordBatch]:
+    """Pass 3 digits, all bytes of each window, of the open runs in batches of (doc, tag, text, runs)."""
+    parts: list[tuple[np.ndarray, ...]] = []
+    held = 0
+    for batch in batches:
+        for i in range(batch.num_rows):
+            doc, tag, text, runs = (batch.column(c)[i].as_py() for c in range(4))
+            data = text.encode()
+            lo, hi = unpack(np.array(runs, dtype=np.int64))
+            starts = np.concatenate([np.arange(a, b + 1) for a, b in zip(lo, hi)])
+            for at in range(0, len(starts), WINDOWS):
+                part = starts[at : at + WINDOWS]
+                raw = b"".join([xxhash.xxh3_128_digest(data[s : s + window]) for s in part.tolist()])
+                keys = np.frombuffer(raw, dtype=np.int64).reshape(-1, 2)
+                parts.append((keys[:, 0], keys[:, 1], np.full(len(part), doc), _pack(tag, part, part)))
+                held += len(part)
+                if held >= WINDOWS:
+                    yield _with_done(*map(np.concatenate, zip(*parts)))
+                    parts, held = [], 0
+    if parts:
+        yield _with_done(*map(np.concatenate, zip(*parts)))
 
 
 def _mark(rows: DataFrame, partitions: int, open_groups: bool) -> DataFrame:
@@ -232,14 +276,14 @@ def repeated_runs(keyed: DataFrame, window: int) -> DataFrame:
             yield _rows_of(batch, window)
 
     def emit_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            yield from _windows_of(batch, window)
+        yield from _windows_of(batches, window)
 
     text = keyed.select("doc", "tag", "text")
     marks = written(_mark(text.mapInArrow(emit, _ROWS_DDL), partitions, open_groups=True), "run-marks")
     still = _by_document(marks.where("open"))
-    windows = text.join(still, ["doc", "tag"]).select("doc", "tag", "text", "runs").mapInArrow(emit_windows, _ROWS_DDL)
-    single = written(_mark(windows, partitions, open_groups=False), "window-marks")
+    # the texts with open runs are written, so that their shuffle is over before that of the windows
+    texts = written(text.join(still, ["doc", "tag"]).select("doc", "tag", "text", "runs"), "open-texts")
+    single = written(_mark(texts.mapInArrow(emit_windows, _ROWS_DDL), partitions, open_groups=False), "window-marks")
     return marks.where("NOT open").unionByName(single)
 
 
