@@ -63,7 +63,3 @@ def occurrences(text: Column, characters: str) -> Column:
 def parts(rows: int, least: int, per_part: int) -> int:
     """Number of partitions for so many rows."""
     return max(least, math.ceil(rows / per_part))
-
-
-def unsigned(crc: int) -> int:
-    return crc & 0xFFFFFFFF

@@ -1,13 +1,17 @@
 """Near-duplicates by SimHash with an index of byte positions.
 
-A fingerprint has 64 bits in 8 bytes. Two fingerprints that differ in at most 2 bits differ in at
-most 2 bytes, so they share at least 6 positional bytes: the guaranteed minimum. An inverted index
-on single bytes would have 2,048 lists that all grow with the corpus, so the index lists are keyed by
-several positions at once: of four pairs of bytes at least two are whole, hence every linked pair
-meets in one of the six lists of two byte pairs each. Within a list the shared positional bytes of
-each pair are tallied, pairs below 6 are dropped and the rest is verified bit by bit. A list longer
-than ``LIST`` is keyed again by two more whole bytes of the remaining four, six ways, after which it
-holds 65,536 distinct fingerprints at most, whatever the size of the corpus.
+A fingerprint has 64 bits in 8 bytes. Two fingerprints that differ in at most ``bits`` bits differ in
+at most as many bytes, so they share at least 8 - bits positional bytes: the guaranteed minimum. An
+inverted index on single bytes would have 2,048 lists that all grow with the corpus, so the index
+lists are keyed by several positions at once, chosen so that every linked pair meets in one of them:
+
+- up to 2 bits: of four pairs of bytes at least two are whole, which makes six lists of four bytes;
+- up to 5 bits: at least three bytes are whole, which makes 56 lists of three bytes.
+
+Within a list the shared positional bytes of each pair are tallied, pairs below the minimum are
+dropped and the rest is verified bit by bit. A list longer than ``LIST`` is keyed again by a part of
+the other bits that must be whole too: two of the other four bytes, or one of six chunks of the other
+40 bits.
 
 Only distinct fingerprints enter the index, so copies cost nothing.
 """
@@ -29,10 +33,30 @@ from .components import components
 LIST = 2000
 ROWS_PER_PART = 200_000
 
-#: The index: positions of the bytes that must agree, as (first level, second level after it).
-PAIRS = [(0, 1), (2, 3), (4, 5), (6, 7)]
-FIRST = [a + b for a, b in combinations(PAIRS, 2)]
-SECOND = [[more for more in combinations([p for p in range(8) if p not in used], 2)] for used in FIRST]
+def _mask(positions) -> int:
+    """Bit mask of byte positions as a signed 64-bit number."""
+    mask = sum(0xFF << (8 * p) for p in positions)
+    return mask - (1 << 64) if mask >= 1 << 63 else mask
+
+
+def _chunks(mask: int, n: int) -> list[int]:
+    """``n`` masks that part the bits outside ``mask``."""
+    free = [b for b in range(64) if not mask >> b & 1]
+    parts = [sum(1 << b for b in free[i::n]) for i in range(n)]
+    return [m - (1 << 64) if m >= 1 << 63 else m for m in parts]
+
+
+def index_masks(bits: int) -> tuple[list[int], list[list[int]]]:
+    """Masks of the index lists' keys, and for each those of the lists that replace a long one."""
+    if not 0 <= bits <= 5:
+        raise ValueError("the index guarantees links of up to 5 bits")
+    if bits > 2:
+        first = [_mask(p) for p in combinations(range(8), 3)]
+        return first, [[m | c for c in _chunks(m, 6)] for m in first]
+    pairs = [(0, 1), (2, 3), (4, 5), (6, 7)]
+    whole = [a + b for a, b in combinations(pairs, 2)]
+    rest = [[p for p in range(8) if p not in used] for used in whole]
+    return [_mask(p) for p in whole], [[_mask(p + more) for more in combinations(other, 2)] for p, other in zip(whole, rest)]
 
 
 def fingerprint_of(data: bytes, shingle: int = 3) -> int:
@@ -77,15 +101,6 @@ def fingerprints(docs: DataFrame, shingle: int = 3, id_col: str = "doc_id", text
     return narrow.mapInArrow(run, f"doc_id {kind}, tag long, fp long")
 
 
-def _key(fp: Column, positions: tuple[int, ...]) -> Column:
-    mask = sum(0xFF << (8 * p) for p in positions)
-    return fp.bitwiseAND(F.lit(mask - (1 << 64) if mask >= 1 << 63 else mask))
-
-
-def _keys(fp: Column, tables: list[tuple[int, ...]]) -> Column:
-    return F.array(*[F.struct(F.lit(n).alias("t"), _key(fp, p).alias("k")) for n, p in enumerate(tables)])
-
-
 def _roots(parent: np.ndarray, at: np.ndarray) -> np.ndarray:
     at = parent[at]
     while not np.array_equal(up := parent[at], at):
@@ -144,28 +159,25 @@ def _linked(indexed: DataFrame, bits: int, partitions: int) -> DataFrame:
         if rest.shape[1]:
             yield out(rest)
 
-    dealt = indexed.select(F.col("t").cast("long"), "k", "fp").repartition(partitions, "t", "k").sortWithinPartitions("t", "k")
+    dealt = indexed.select("t", "k", "fp").repartition(partitions, "t", "k").sortWithinPartitions("t", "k")
     return dealt.mapInArrow(run, "a long, b long")
 
 
 def near_links(distinct: DataFrame, bits: int = 2) -> DataFrame:
-    """Links (a, b) that join all fingerprints of (fp) differing in at most ``bits`` (up to 2) bits."""
-    if not 0 <= bits <= 2:
-        raise ValueError("the index guarantees links of up to 2 bits")
+    """Links (a, b) that join all fingerprints of (fp) differing in at most ``bits`` (up to 5) bits."""
+    first, second = index_masks(bits)
     rows = distinct.count()
-    entry = F.explode(_keys(F.col("fp"), FIRST)).alias("e")
-    index = distinct.select("fp", entry).select(F.col("e.t").alias("t"), F.col("e.k").alias("k"), "fp")
-    lengths = index.groupBy("t", "k").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    lengths = written(lengths, "lists")
-    partitions = parts(6 * rows, distinct.sparkSession.sparkContext.defaultParallelism, ROWS_PER_PART)
-    placed = index.join(lengths, ["t", "k"])
-    again = F.lit(None)
-    for n in range(len(FIRST)):
-        tables = [_key(F.col("fp"), FIRST[n] + more) for more in SECOND[n]]
-        keyed = F.array(*[F.struct(F.lit(100 + 10 * n + m).alias("t"), k.alias("k")) for m, k in enumerate(tables)])
-        again = F.when(F.col("t") == n, keyed).otherwise(again)
+    masks = F.array(*[F.lit(m).cast("long") for m in first])
+    keys = F.transform(masks, lambda m, i: F.struct(i.cast("long").alias("t"), F.col("fp").bitwiseAND(m).alias("k")))
+    index = distinct.select("fp", F.explode(keys).alias("e")).select("e.t", "e.k", "fp")
+    lengths = written(index.groupBy("t", "k").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "lists")
+    partitions = parts(len(first) * rows, distinct.sparkSession.sparkContext.defaultParallelism, ROWS_PER_PART)
+    # a long list is replaced by several shorter ones
+    finer = F.array(*[F.array(*[F.lit(m).cast("long") for m in more]) for more in second])
+    own = F.element_at(finer, F.col("t").cast("int") + 1)
+    again = F.transform(own, lambda m, i: F.struct((100 + 10 * F.col("t") + i).alias("t"), F.col("fp").bitwiseAND(m).alias("k")))
     lists = F.when(F.col("n") <= LIST, F.array(F.struct("t", "k"))).otherwise(again)
-    dealt = placed.select("fp", F.explode(lists).alias("e")).select(F.col("e.t").alias("t"), F.col("e.k").alias("k"), "fp")
+    dealt = index.join(lengths, ["t", "k"]).select("fp", F.explode(lists).alias("e")).select("e.t", "e.k", "fp")
     return _linked(dealt, bits, partitions)
 
 

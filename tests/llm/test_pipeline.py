@@ -47,7 +47,7 @@ def test_one_of_each_group_stays(stages):
         changed = False
         for a, fa in prints.items():
             for b, fb in prints.items():
-                if (fa ^ fb).bit_count() <= 2 and group[a] > group[b]:
+                if (fa ^ fb).bit_count() <= corpus_pipeline.NEAR_BITS and group[a] > group[b]:
                     group[a], changed = group[b], True
     assert sorted(r["doc_id"] for r in stages[2]) == sorted(set(group.values()))
 

@@ -48,7 +48,7 @@ def linked(spark, prints, bits=2):
     return {r["node"] & (2**64 - 1): r["component"] & (2**64 - 1) for r in rows}
 
 
-@pytest.mark.parametrize("bits", [0, 1, 2])
+@pytest.mark.parametrize("bits", [0, 2, 3, 5])
 @pytest.mark.parametrize("longest", [2000, 3])
 def test_links_are_those_of_all_pairs(spark, monkeypatch, bits, longest):
     monkeypatch.setattr(S, "LIST", longest)  # 3: most lists are keyed again
@@ -58,7 +58,7 @@ def test_links_are_those_of_all_pairs(spark, monkeypatch, bits, longest):
         base = rng.getrandbits(64)
         for k in range(4):
             prints[len(prints)] = base
-            for _ in range(rng.randint(0, 3)):
+            for _ in range(rng.randint(0, bits + 1)):
                 base ^= 1 << rng.randrange(64)
     prints[len(prints)] = 0
     want = classes(prints, bits)
@@ -68,6 +68,21 @@ def test_links_are_those_of_all_pairs(spark, monkeypatch, bits, longest):
     }
 
 
+@pytest.mark.parametrize("bits", range(6))
+def test_every_linked_pair_meets_in_a_list(bits):
+    rng = random.Random(bits)
+    first, second = S.index_masks(bits)
+    for _ in range(300):
+        a = rng.getrandbits(64)
+        b = a
+        for at in rng.sample(range(64), bits):
+            b ^= 1 << at
+        met = [n for n, m in enumerate(first) if (a ^ b) & m & (2**64 - 1) == 0]
+        assert met and all(any((a ^ b) & m & (2**64 - 1) == 0 for m in second[n]) for n in met)
+    with pytest.raises(ValueError):
+        S.index_masks(6)
+
+
 def test_links_in_lists_is_exact():
     rng = np.random.default_rng(1)
     fp = np.unique(rng.integers(0, 1 << 9, 300).astype(np.uint64))
