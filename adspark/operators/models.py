@@ -34,8 +34,21 @@ def balanced_weights(df: DataFrame, label: str = "y") -> DataFrame:
     return weighted.drop("_n", "_n1")
 
 
-def fit_regressor(train: DataFrame, seed: int, trees: int = 100, depth: int = 30):
-    """Forest of regression trees, a third of the features per split."""
+def bounded(train: DataFrame, fit_rows: int | None) -> DataFrame:
+    """About ``fit_rows`` training rows, chosen by hash of their id; all of them without a bound.
+
+    Trees without a depth limit grow with their rows and meet on the driver, so a forest on very many
+    rows needs the bound.
+    """
+    if fit_rows is None:
+        return train
+    share = min(1.0, fit_rows / max(1, train.count()))
+    return train.where(F.pmod(F.xxhash64("id"), F.lit(1 << 30)) < int(share * (1 << 30)))
+
+
+def fit_regressor(train: DataFrame, seed: int, trees: int = 100, depth: int = 30, fit_rows: int | None = None):
+    """Forest of regression trees, a third of the features per split, on at most about ``fit_rows`` rows."""
+    train = bounded(train, fit_rows)
     forest = RandomForestRegressor(
         featuresCol=_VEC, labelCol="y", numTrees=trees, maxDepth=depth, featureSubsetStrategy="onethird", seed=seed
     )
@@ -48,13 +61,15 @@ def classifier(seed: int, trees: int = 101, depth: int = 30) -> RandomForestClas
     )
 
 
-def fit_classifier(train: DataFrame, seed: int, trees: int = 101, depth: int = 30, grid: dict | None = None):
+def fit_classifier(train: DataFrame, seed: int, trees: int = 101, depth: int = 30, grid: dict | None = None, fit_rows: int | None = None):
     """Forest of classification trees, balanced classes, square root of the features per split.
 
+    At most about ``fit_rows`` rows are fitted.
+
     A ``grid`` (parameter name -> values) with more than one point is searched by 2-fold
     cross-validation on the balanced accuracy; one point is simply fitted.
     """
-    rows = with_vector(balanced_weights(train))
+    rows = with_vector(balanced_weights(bounded(train, fit_rows)))
     forest = classifier(seed, trees, depth)
     options = [len(v) for v in (grid or {}).values()]
     if not any(n > 1 for n in options):
@@ -128,14 +143,12 @@ def union_all(parts: list[DataFrame]) -> DataFrame:
 def native_intervals(train: DataFrame, test: DataFrame, levels, seed: int, trees: int = 100, depth: int = 30, variant: str = "PI") -> DataFrame:
     """Plain forest with ENS or PI intervals for every level (confidence = 100 (1 - level))."""
     scored = materialise(score_values(fit_regressor(train, seed, trees, depth), test), "native")
-    out = []
-    for level in levels:
-        confidence = int(round(100 * (1 - level), 2))
-        make = intervals.ensemble_interval if variant == "ENS" else intervals.percentile_interval
-        bounds = make(F.col("pred"), F.col("trees"), confidence)
-        part = scored.withColumn("_i", bounds).withColumn("sig_level", F.lit(float(level)))
-        out.append(part.select("id", "pred", "sig_level", "_i.lower", "_i.upper"))
-    return union_all(out)
+    make = intervals.ensemble_interval if variant == "ENS" else intervals.percentile_interval
+    each = [
+        F.struct(F.lit(float(level)).alias("sig_level"), make(F.col("pred"), F.col("trees"), int(round(100 * (1 - level), 2))).alias("i"))
+        for level in levels
+    ]
+    return scored.select("id", "pred", F.explode(F.array(*each)).alias("_e")).select("id", "pred", "_e.sig_level", "_e.i.lower", "_e.i.upper")
 
 
 def _calibrated(fit_rows: DataFrame, calibration: DataFrame, test: DataFrame, name: str, index: int, seed: int, trees: int, depth: int):

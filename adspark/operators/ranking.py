@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..functions.joining import join_on
 from ..functions.scalar import is_infinite, ratio
-from .shift import EXPECTED_SIGN, expected_sign, is_significant
+from .shift import expected_sign, is_significant
 
 INFINITY = float("inf")
 

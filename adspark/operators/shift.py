@@ -20,6 +20,8 @@ from . import metrics as M
 ORIGINAL = -1
 MAX_TRIES = 10
 STRATA_BINS = 5
+# half width of the band in which the quota of a redraw ends: standard deviations, and rows on top
+BAND = (6.0, 10.0)
 
 # Expected sign of Inside minus Outside when the domain works (fixed values).
 EXPECTED_SIGN = {
@@ -216,49 +218,48 @@ def permuted_confusion(
     """Confusion counts and losses of both sides of ``n`` redraws: (keys, perm, subset, n, n1, ...).
 
     The same redraws as ``redraw`` makes, but no copy of a row is written or shuffled: rows meet all
-    their redraws within a task and are added up there. A stratum of m rows has about sqrt(m) hash
-    buckets for each redraw; their counts show in which one its quota ends, and only the rows of that
-    bucket, about sqrt(m) again, travel one by one.
+    their redraws within a task and are added up there. In a stratum of m rows of which q are wanted,
+    the hash at which the quota ends lies near q / m of the range; rows clearly below or above are
+    added up at once, and only those within a band of about sqrt(m) rows travel one by one. The
+    counts show whether the band held the end; if it did not, that redraw gets a wider band.
     """
     hit = M.predicted_class(score).alias("_hit")
     loss = ((F.col(score) - F.col("y")) * (F.col(score) - F.col("y"))).alias("_loss")
-    sizes = strata.groupBy(*keys, "stratum").agg(F.count_if("inside").alias("_quota"), F.count(F.lit(1)).alias("_size"))
-    sizes = materialise(sizes.select("*", F.ceil(F.sqrt("_size")).alias("_buckets")).drop("_size"), "quota")
-    rows = join_on(strata.select(*keys, "stratum", id_col, "y", F.col(score).alias("_score"), hit, loss), sizes, [*keys, "stratum"])
-    cell = [*keys, "stratum", "perm"]
-    order = W.partitionBy(*cell).orderBy("_at").rowsBetween(W.unboundedPreceding, 0)
-
-    def placed(copies: DataFrame, attempt: int) -> DataFrame:
+    sizes = strata.groupBy(*keys, "stratum").agg(F.count_if("inside").alias("_quota"), F.count(F.lit(1)).alias("_m"))
+    sizes = materialise(sizes, "quota")
+    rows = strata.select(*keys, "stratum", id_col, "y", F.col(score).alias("_score"), hit, loss)
+    every_perm = F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("perm")
+
+    def drawn(todo: DataFrame | None, attempt: int, wide: float) -> DataFrame:
+        share = F.col("_quota") / F.col("_m")
+        margin = (F.lit(BAND[0]) * F.sqrt(F.col("_m") * share * (1 - share)) + BAND[1]) / F.col("_m") * wide
+        limits = sizes.select(*keys, "stratum", "_quota", _hex_limit(share - margin).alias("_lo"), _hex_limit(share + margin).alias("_hi"))
+        placed = join_on(rows, limits, [*keys, "stratum"])
+        placed = placed.select("*", every_perm) if todo is None else join_on(placed, todo, keys).withColumn("perm", F.explode("_perms")).drop("_perms")
         parts = [F.col(id_col), *[F.col(k) for k in keys], F.col("perm"), F.lit(seed), F.lit(attempt)]
-        first = F.conv(F.substring("_h", 1, 8), 16, 10).cast("bigint")
-        return copies.withColumn("_h", order_key(parts, method)).withColumn("_at", F.shiftright(first * F.col("_buckets"), 32))
+        return materialise(_side_sums(placed.withColumn("_h", order_key(parts, method)), [*keys, "perm"], id_col), "redrawn")
 
-    kept = []
-    todo = rows.withColumn("perm", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
+    def listed(df: DataFrame) -> DataFrame | None:
+        found = materialise(df.groupBy(*keys).agg(F.collect_list("perm").alias("_perms")), "again")
+        return None if found.isEmpty() else found
+
+    varied = F.lit(True)
+    for side in ("in", "out"):
+        for low, high in ((f"{side}_low", f"{side}_high"), (f"{side}_y_low", f"{side}_y_high")):
+            varied = varied & F.coalesce(F.col(low) < F.col(high), F.lit(False))
+    kept, todo = [], None
     for attempt in range(MAX_TRIES):
-        counts = placed(todo, attempt).groupBy(*cell, "_quota", "_at").agg(F.count(F.lit(1)).alias("_c"))
-        upto = counts.withColumn("_cum", F.sum("_c").over(order))
-        before = F.col("_cum") - F.col("_c")
-        here = (before < F.col("_quota")) & (F.col("_quota") <= F.col("_cum"))
-        edges = upto.groupBy(*cell).agg(
-            F.coalesce(F.max(F.when(here, F.col("_at"))), F.lit(-1)).alias("_edge"),
-            F.coalesce(F.max(F.when(here, F.col("_quota") - before)), F.lit(0)).cast("int").alias("_left"),
-        )
-        packed = edges.groupBy(*keys, "stratum").agg(F.collect_list(F.struct("perm", "_edge", "_left")).alias("_edges"))
-        copies = join_on(rows, materialise(packed, "edges"), [*keys, "stratum"]).withColumn("_e", F.explode("_edges"))
-        copies = placed(copies.drop("_edges").select("*", "_e.perm", "_e._edge", "_e._left"), attempt)
-        each = materialise(_side_sums(copies, [*keys, "perm"], cell, id_col), "redrawn")
-        varied = F.lit(True)
-        for side in ("in", "out"):
-            for low, high in ((f"{side}_low", f"{side}_high"), (f"{side}_y_low", f"{side}_y_high")):
-                varied = varied & F.coalesce(F.col(low) < F.col(high), F.lit(False))
-        failed = materialise(each.where(~varied).select(*keys, "perm"), "failed")
-        if attempt == MAX_TRIES - 1 or failed.isEmpty():
+        wide, each = 1.0, drawn(todo, attempt, 1.0)
+        while (missed := listed(each.where(~F.col("_held")))) is not None:  # hardly ever
+            wide *= 5
+            each = each.where("_held").unionByName(drawn(missed, attempt, wide))
+        if attempt == MAX_TRIES - 1:
             kept.append(each)
             break
         kept.append(each.where(varied))
-        again = failed.groupBy(*keys).agg(F.collect_list("perm").alias("_perms"))
-        todo = join_on(rows, again, keys).withColumn("perm", F.explode("_perms")).drop("_perms")
+        todo = listed(each.where(~varied))
+        if todo is None:
+            break
     every = reduce(lambda a, b: a.unionByName(b), kept)
     sides = []
     for side, subset in (("in", "Inside"), ("out", "Outside")):
@@ -273,8 +274,16 @@ def permuted_confusion(
     return sides[0].unionByName(sides[1])
 
 
-def _side_sums(copies: DataFrame, group: list[str], cell: list[str], id_col: str) -> DataFrame:
-    """Sums of both sides of every redraw from rows that know their bucket and the one where the quota ends."""
+def _hex_limit(share: Column) -> Column:
+    """A share of the hash range as leading hexadecimal digits; beyond the range before or after all hashes."""
+    number = F.floor(F.greatest(F.least(share, F.lit(1.0)), F.lit(0.0)) * F.lit(float(1 << 32))).cast("bigint")
+    digits = F.lpad(F.lower(F.hex(number)), 8, "0")
+    return F.when(share <= 0, "").when(share >= 1, "g").otherwise(digits)
+
+
+def _side_sums(copies: DataFrame, group: list[str], id_col: str) -> DataFrame:
+    """Sums of both sides of every redraw, and ``_held``: the quota ended within the band of every stratum."""
+    cell = [*group, "stratum"]
     entry = F.struct("_h", F.col(id_col).alias("id"), F.col("y").cast("int").alias("y"), "_hit", "_loss", "_score")
     cells = {"tp": (1, 1), "fp": (0, 1), "tn": (0, 0), "fn": (1, 0)}
 
@@ -291,11 +300,13 @@ def _side_sums(copies: DataFrame, group: list[str], cell: list[str], id_col: str
             lambda value: F.min(F.when(side, value)), lambda value: F.max(F.when(side, value)),
         )
 
-    sides = {"in": F.col("_at") < F.col("_edge"), "out": F.col("_at") > F.col("_edge")}
+    sides = {"in": F.col("_h") < F.col("_lo"), "out": F.col("_h") > F.col("_hi")}
     sure = [v.alias(f"{s}_{k}") for s, condition in sides.items() for k, v in of_rows(condition).items()]
-    edge = F.sort_array(F.collect_list(F.when(F.col("_at") == F.col("_edge"), entry))).alias("_list")
-    met = copies.groupBy(*cell).agg(*sure, edge, F.max("_left").alias("_left"))
+    band = F.sort_array(F.collect_list(F.when(~sides["in"] & ~sides["out"], entry))).alias("_list")
+    left = (F.max("_quota") - F.count_if(sides["in"])).cast("int").alias("_left")
+    met = copies.groupBy(*cell).agg(*sure, band, left)
     size = F.size("_list")
+    met = met.withColumn("_held", (F.col("_left") >= 0) & (F.col("_left") <= size)).withColumn("_left", F.greatest("_left", F.lit(0)))
     lists = {"in": F.slice("_list", 1, F.col("_left")), "out": F.slice("_list", F.col("_left") + 1, F.greatest(size - F.col("_left"), F.lit(0)))}
 
     def of_list(rows):
@@ -319,8 +330,8 @@ def _side_sums(copies: DataFrame, group: list[str], cell: list[str], id_col: str
             known = F.col(f"{side}_{name}")
             both = F.least(known, value) if name.endswith("low") else F.greatest(known, value) if name.endswith("high") else known + value
             joined.append(both.alias(f"{side}_{name}"))
-    cells_done = met.select(*group, *joined)
-    final = []
+    cells_done = met.select(*group, "_held", *joined)
+    final = [F.bool_and("_held").alias("_held")]
     for side in lists:
         final += [F.sum(f"{side}_{k}").alias(f"{side}_{k}") for k in (*cells, "s1", "s0")]
         final += [F.min(f"{side}_{k}").alias(f"{side}_{k}") for k in ("low", "y_low")]
@@ -438,10 +449,7 @@ def permuted_shifts(df, keys, wanted, n=1000, seed=42, kind="class", method="xxh
     usable = sizes.where((F.col("_i") >= M.MIN_ROWS) & (F.col("_o") >= M.MIN_ROWS)).select(*keys)
     strata = join_on(strata, usable, keys, "left_semi")
     if kind == "class" and set(wanted) <= set(COUNT_METRICS):
-        group = [*keys, "perm", "subset"]
-        own = with_original(strata.select(*keys, "id", "y", score, "inside"), None)
-        counted = M.confusion(own, group).unionByName(permuted_confusion(strata, keys, n, seed, score, method=method))
-        values = M.to_long(_count_metrics(counted, group, wanted), group, wanted)
+        values = _counted_values(strata, keys, wanted, n, seed, score, method)
         return materialise(shift_metrics(values, [*keys, "perm"]).select(*keys, "perm", "metric", "shift"), "shifts")
     check = delta if kind == "class" and set(wanted) & set(CALIBRATION_METRICS) - {"rmse_cal"} else None
     drawn = redraw(strata, keys, n, seed, score, method=method, delta=check)
@@ -453,6 +461,21 @@ def permuted_shifts(df, keys, wanted, n=1000, seed=42, kind="class", method="xxh
     return materialise(shift_metrics(values, [*keys, "perm"]).select(*keys, "perm", "metric", "shift"), "shifts")
 
 
+def _counted_values(strata: DataFrame, keys: list[str], wanted: list[str], n: int, seed: int, score: str, method: str) -> DataFrame:
+    group = [*keys, "perm", "subset"]
+    own = with_original(strata.select(*keys, "id", "y", score, "inside"), None)
+    counted = M.confusion(own, group).unionByName(permuted_confusion(strata, keys, n, seed, score, method=method))
+    return M.to_long(_count_metrics(counted, group, wanted), group, wanted)
+
+
+def metrics_per_redraw(df: DataFrame, keys: list[str], wanted: list[str], n: int = 1000, seed: int = 42, method: str = "xxhash64") -> DataFrame:
+    """Count metrics of both sides of the original split (perm -1) and of every redraw: (keys, perm, subset, metric, value)."""
+    if not set(wanted) <= set(COUNT_METRICS):
+        raise ValueError("only metrics of the confusion counts and losses")
+    strata = df.select(*keys, "id", "y", "prob", "inside", F.col("y").alias("stratum"))
+    return _counted_values(strata, keys, wanted, n, seed, "prob", method)
+
+
 def _per_row(rows: DataFrame, keys: list[str]) -> DataFrame:
     """One row per id of a table with one row per id and significance level."""
     return rows.groupBy(*keys, "id").agg(

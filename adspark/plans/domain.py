@@ -375,6 +375,53 @@ def e20m(t):
     return ordered.exact_quantiles(bit_distance_counts(t), ["sides"], "dist", {"median": 0.5}, weight="pairs")
 
 
+FOLD_PAIRS = "fold_pairs AS MATERIALIZED (SELECT id, other, is_test, d, (id % 3)::VARCHAR AS fold FROM bit_pairs WHERE id % 3 = other % 3)"
+
+
+def median_distances(train_rows, test_rows, by, merged=False):
+    """(sides, by, median) of the distances within a group; ``merged`` adds all groups taken together."""
+    space = Space(metric="jaccard", by=(by,))
+    train = lay_out(train_rows, space)
+    test = lay_out(test_rows, space, train.pivots)
+    own = distance_counts(train, None).withColumn("sides", F.lit("train-train"))
+    counts = own.unionByName(distance_counts(train, test).withColumn("sides", F.lit("train-test")))
+    if merged:
+        counts = counts.withColumn(by, F.explode(F.array(F.col(by), F.lit("merged"))))
+    counts = counts.groupBy("sides", by, "dist").agg(F.sum("pairs").alias("pairs"))
+    return ordered.exact_quantiles(counts, ["sides", by], "dist", {"median": 0.5}, weight="pairs")
+
+
+@query(
+    "e20_distance_medians_per_fold",
+    """SELECT 'train-train' AS sides, f.fold, median(d) AS median FROM fold_pairs p, (VALUES ('0'), ('1'), ('2'), ('merged')) AS f(fold)
+       WHERE NOT is_test AND id < other AND f.fold IN (p.fold, 'merged') GROUP BY f.fold
+       UNION ALL SELECT 'train-test', f.fold, median(d) FROM fold_pairs p, (VALUES ('0'), ('1'), ('2'), ('merged')) AS f(fold)
+       WHERE is_test AND f.fold IN (p.fold, 'merged') GROUP BY f.fold""",
+    [SIGN_BITS, BIT_PAIRS, FOLD_PAIRS],
+    "median",
+)
+def e20f(t):
+    rows = bit_rows(t).withColumn("fold", (F.col("id") % 3).cast("string"))
+    return median_distances(*train_test(rows), "fold", merged=True)
+
+
+@query(
+    "e20_distance_medians_per_update",
+    f"""SELECT 'train-train' AS sides, u.n AS step, median({JACCARD.format(a='a.b', b='b.b')}) AS median
+        FROM sign_bits a, sign_bits b, (VALUES (1), (2), (3)) AS u(n) WHERE a.id < b.id AND a.id % 4 < u.n AND b.id % 4 < u.n GROUP BY u.n
+        UNION ALL SELECT 'train-test', u.n, median({JACCARD.format(a='a.b', b='b.b')})
+        FROM sign_bits a, sign_bits b, (VALUES (1), (2), (3)) AS u(n) WHERE a.id % 4 = u.n AND b.id % 4 < u.n GROUP BY u.n""",
+    [SIGN_BITS],
+    "median",
+)
+def e20u(t):
+    """Update n is tested on the rows of its part and trained on those of all parts before."""
+    part = (F.col("id") % 4).cast("int")
+    train = bit_rows(t).withColumn("step", F.explode(F.filter(F.array(*[F.lit(n) for n in (1, 2, 3)]), lambda n: n > part)))
+    test = bit_rows(t).withColumn("step", part).where("step > 0")
+    return median_distances(train, test, "step")
+
+
 @query("b19_all_copies", "SELECT min(c) > 1 AS all_duplicated FROM (SELECT count(*) AS c FROM sign_bits WHERE NOT is_test GROUP BY b) AS x", [SIGN_BITS])
 def b19(t):
     return D.all_copies(train_test(bit_rows(t))[0], BITS)

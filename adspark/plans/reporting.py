@@ -10,9 +10,9 @@ from ..operators import shift as H
 from ..operators.domain import tag_subsets
 from ..sources.shared import materialise
 from .registry import query
-from .shifts import SIGN
+from .shifts import LABEL, SEED, SIGN
 from .statistics import BA, CONFUSION, KAPPA, MCC, PRECISION_0, PRECISION_1, RECALL_0, RECALL_1, gate
-from .testbed import ALGORITHMS, CLASS, CLASS_RUNS, DOMAINS, REG_ALL, class_runs, class_scores, reg_predictions, reg_subsets, with_intervals
+from .testbed import CLASS, CLASS_RUNS, DOMAINS, REG_ALL, class_runs, class_scores, reg_predictions, reg_subsets, with_intervals
 
 RUN = ["endpoint", "test_set", "fold", "algorithm", "ad_method"]
 SCENARIO = ["endpoint", "test_set", "algorithm", "ad_method"]
@@ -31,13 +31,40 @@ RUN_SHIFTS = """raw_shifts AS (
          max(value) FILTER (subset = 'Inside') - max(value) FILTER (subset = 'Outside') AS shift
   FROM vals WHERE subset <> 'All' GROUP BY ALL)"""
 AVERAGE = "average AS MATERIALIZED (SELECT endpoint, test_set, algorithm, ad_method, metric, avg(shift) AS shift FROM raw_shifts GROUP BY ALL)"
-# stand-in p-values: a fixed decreasing function of the absolute average shift; weak ones are missing
-STAND_IN = "stand_in AS (SELECT endpoint, test_set, algorithm, ad_method, metric, 1 / (1 + 2000 * shift * shift) AS p FROM average WHERE abs(shift) > 0.08)"
+# permutation p-values of every scenario with enough rows on both sides; folds are taken together
+REDRAWS, SIDE_ROWS = 100, 100
+S = "endpoint, test_set, algorithm, ad_method"
+USABLE = f"usable AS (SELECT {S} FROM class_runs GROUP BY ALL HAVING count_if(inside) >= {SIDE_ROWS} AND count_if(NOT inside) >= {SIDE_ROWS})"
+S_DRAWN = f"""s_drawn AS MATERIALIZED (
+  SELECT {S}, perm, y, prob, rn <= q AS inside FROM (
+    SELECT c.endpoint, c.test_set, c.algorithm, c.ad_method, p.perm, c.y, c.prob, quota.q,
+           row_number() OVER (PARTITION BY c.endpoint, c.test_set, c.algorithm, c.ad_method, p.perm, c.y
+             ORDER BY md5(concat_ws('|', c.id, c.endpoint, c.test_set, c.algorithm, c.ad_method, p.perm, {SEED}, 0)), c.id) AS rn
+    FROM class_runs c JOIN (SELECT {S}, y, count_if(inside) AS q FROM class_runs GROUP BY ALL) quota USING ({S}, y) SEMI JOIN usable USING ({S}),
+         (SELECT unnest(range({REDRAWS})) AS perm) p) AS r)"""
+S_SUBSETS = f"""s_subsets AS (
+  SELECT {S}, -1 AS perm, y, prob, CASE WHEN inside THEN 'Inside' ELSE 'Outside' END AS subset FROM class_runs SEMI JOIN usable USING ({S})
+  UNION ALL SELECT {S}, perm, y, prob, CASE WHEN inside THEN 'Inside' ELSE 'Outside' END FROM s_drawn)"""
+S_CONFUSION = CONFUSION.replace("endpoint, test_set, subset", f"{S}, perm, subset").replace("FROM class_subsets", "FROM s_subsets").replace("confusion AS (", "s_confusion AS MATERIALIZED (")
+S_VALUES = f"""s_vals AS (
+  SELECT {S}, perm, subset, unnest(['ba', 'mcc', 'kappa', 'strat_brier']) AS metric,
+         unnest([{gate(BA)}, {gate(MCC)}, {gate(KAPPA)}, {gate('(loss_1 + loss_0) / 2')}]) AS value FROM s_confusion)"""
+S_SHIFTS = f"""s_shifts AS MATERIALIZED (
+  SELECT {S}, perm, metric, max(value) FILTER (subset = 'Inside') - max(value) FILTER (subset = 'Outside') AS shift FROM s_vals GROUP BY ALL)"""
+S_P = f"""tested AS MATERIALIZED (
+  SELECT o.endpoint, o.test_set, o.algorithm, o.ad_method, o.metric, t.tail,
+         avg(CASE WHEN t.tail = 'one' THEN (r.shift * {SIGN.replace('metric', 'o.metric')} >= o.shift * {SIGN.replace('metric', 'o.metric')})::INT
+                  ELSE (abs(r.shift) >= abs(o.shift))::INT END) FILTER (r.shift IS NOT NULL) AS p
+  FROM s_shifts o JOIN s_shifts r ON r.endpoint = o.endpoint AND r.test_set = o.test_set AND r.algorithm = o.algorithm AND r.ad_method = o.ad_method
+         AND r.metric = o.metric AND r.perm >= 0, (VALUES ('one'), ('two')) AS t(tail)
+  WHERE o.perm = -1 GROUP BY ALL)"""
+ONE_TAIL = f"one_tail AS (SELECT {S}, metric, p FROM tested WHERE tail = 'one')"
+P_VALUES = [USABLE, S_DRAWN, S_SUBSETS, S_CONFUSION, S_VALUES, S_SHIFTS, S_P, ONE_TAIL]
 MASKED = f"""masked AS MATERIALIZED (
   SELECT a.endpoint, a.test_set, a.algorithm, a.ad_method, a.metric,
          CASE WHEN coalesce(round(p.p, 2) <= 0.05, false) AND coalesce(a.shift * {SIGN.replace('metric', 'a.metric')} > 0, false) THEN a.shift
               ELSE -{SIGN.replace('metric', 'a.metric')} * 'infinity'::DOUBLE END AS shift
-  FROM average a LEFT JOIN stand_in p USING (endpoint, test_set, algorithm, ad_method, metric))"""
+  FROM average a LEFT JOIN one_tail p USING ({S}, metric))"""
 
 
 def gaps_cte(source: str, name: str) -> str:
@@ -79,14 +106,22 @@ def average_shifts(t):
     return R.average_over(raw_shifts(t), SCENARIO)
 
 
-def stand_in_p(average):
-    p = 1 / (1 + 2000 * F.col("shift") * F.col("shift"))
-    return average.where(F.abs("shift") > 0.08).select(*SCENARIO, "metric", p.alias("p"))
+def scenario_p_values(t):
+    """(scenario, metric, tail, p) by redraws within the classes of every scenario that has enough rows."""
+    rows = class_runs(t)
+    sides = rows.groupBy(*SCENARIO).agg(F.count_if("inside").alias("i"), F.count_if(~F.col("inside")).alias("o"))
+    usable = sides.where((F.col("i") >= SIDE_ROWS) & (F.col("o") >= SIDE_ROWS)).select(*SCENARIO)
+    rows = rows.join(usable, SCENARIO, "left_semi")
+    return materialise(H.permutation_test(rows, SCENARIO, METRICS, REDRAWS, SEED, method="md5").drop("shift"), "tested")
+
+
+def one_tail(t):
+    return scenario_p_values(t).where("tail = 'one'").drop("tail")
 
 
 def masked_shifts(t):
     average = materialise(average_shifts(t), "average")
-    return R.mask_losers(average, stand_in_p(average), SCENARIO)
+    return R.mask_losers(average, one_tail(t), SCENARIO)
 
 
 def method_gaps(t):
@@ -171,7 +206,7 @@ def i4b(t):
 @query(
     "i5_masked_shifts",
     "SELECT endpoint, test_set, algorithm, ad_method, metric, CASE WHEN isinf(shift) THEN NULL ELSE shift END AS shift, isinf(shift) AS lost FROM masked",
-    [*AVG, STAND_IN, MASKED],
+    [*AVG, *P_VALUES, MASKED],
     "shift",
 )
 def i5(t):
@@ -184,7 +219,7 @@ def i5(t):
     """SELECT endpoint, test_set, ad_method, count_if(coalesce(gap <= 0.01, false)) AS raw_wins,
               100 * count_if(coalesce(gap <= 0.01, false)) / (4 * count(DISTINCT algorithm))::DOUBLE AS percent_wins
        FROM masked_gaps GROUP BY 1, 2, 3""",
-    [*AVG, STAND_IN, MASKED, gaps_cte("masked", "masked_gaps")],
+    [*AVG, *P_VALUES, MASKED, gaps_cte("masked", "masked_gaps")],
     "percent_wins",
 )
 def i5w(t):
@@ -194,23 +229,21 @@ def i5w(t):
 
 @query(
     "d3_shifts_with_p_values",
-    "SELECT a.endpoint, a.test_set, a.algorithm, a.ad_method, a.metric, a.shift, p.p FROM average a JOIN stand_in p USING (endpoint, test_set, algorithm, ad_method, metric)",
-    [*AVG, STAND_IN],
+    "SELECT a.endpoint, a.test_set, a.algorithm, a.ad_method, a.metric, a.shift, p.p FROM average a JOIN one_tail p USING (endpoint, test_set, algorithm, ad_method, metric)",
+    [*AVG, *P_VALUES],
     "shift p",
 )
 def d3(t):
-    average = materialise(average_shifts(t), "average")
-    return average.join(stand_in_p(average), [*SCENARIO, "metric"])
+    return average_shifts(t).join(one_tail(t), [*SCENARIO, "metric"])
 
 
 @query(
     "d4_scenarios_without_p_value",
-    "SELECT a.endpoint, a.test_set, a.algorithm, a.ad_method, a.metric FROM average a ANTI JOIN stand_in p USING (endpoint, test_set, algorithm, ad_method, metric)",
-    [*AVG, STAND_IN],
+    "SELECT a.endpoint, a.test_set, a.algorithm, a.ad_method, a.metric FROM average a ANTI JOIN one_tail p USING (endpoint, test_set, algorithm, ad_method, metric)",
+    [*AVG, *P_VALUES],
 )
 def d4(t):
-    average = materialise(average_shifts(t), "average")
-    return average.join(stand_in_p(average), [*SCENARIO, "metric"], "left_anti").drop("shift")
+    return average_shifts(t).join(one_tail(t), [*SCENARIO, "metric"], "left_anti").drop("shift")
 
 
 @query(
@@ -238,7 +271,7 @@ def i7(t):
     """SELECT endpoint, test_set, round(sum(percent_wins), 2) AS total, round(sum(percent_wins), 2) <= 100 AS ok, round(sum(percent_wins), 2) > 100 AS shared FROM (
          SELECT endpoint, test_set, ad_method, 100 * count_if(coalesce(gap <= 0.01, false)) / (4 * count(DISTINCT algorithm))::DOUBLE AS percent_wins
          FROM masked_gaps GROUP BY 1, 2, 3) AS w GROUP BY 1, 2""",
-    [*AVG, STAND_IN, MASKED, gaps_cte("masked", "masked_gaps")],
+    [*AVG, *P_VALUES, MASKED, gaps_cte("masked", "masked_gaps")],
     "total",
 )
 def i7m(t):
@@ -294,22 +327,33 @@ def i11(t):
     return R.better_than(statistics_long(t), ["ad_method", "algorithm", "subset"], {m: R.CHANCE[m] for m in ("ba", "mcc", "kappa")})
 
 
-LABELLED = f"""labelled AS (
-  SELECT a.*, CASE WHEN round(p.p, 2) <= 0.05 AND a.shift * {SIGN.replace('metric', 'a.metric')} > 0 THEN CASE WHEN round(p.p, 2) <= 0.01 THEN '**' ELSE '*' END
-                   WHEN round(p.p, 2) <= 0.05 THEN CASE WHEN round(p.p, 2) <= 0.01 THEN 'xx' ELSE 'x' END ELSE '' END AS label
-  FROM average a LEFT JOIN stand_in p USING (endpoint, test_set, algorithm, ad_method, metric))"""
+LABELLED = [
+    f"""judged AS (
+  SELECT t.*, a.shift AS average_shift, CASE WHEN t.tail = 'one' THEN a.shift * {SIGN.replace('metric', 't.metric')} <= 0 END AS wrong_sign
+  FROM tested t JOIN average a USING ({S}, metric))""",
+    f"""judged_adjusted AS (
+  SELECT f.*, least(1.0::DOUBLE, min(q) OVER (PARTITION BY tail ORDER BY p DESC RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)) AS p_adjusted FROM (
+    SELECT *, p * m * (SELECT sum(1.0::DOUBLE / i) FROM range(1, m + 1) AS r(i)) / cume AS q FROM (
+      SELECT *, count(*) OVER (PARTITION BY tail) AS m, count(*) OVER (PARTITION BY tail ORDER BY p RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS cume
+      FROM judged WHERE p IS NOT NULL) AS g) AS f)""",
+    f"""sides_of AS (
+  SELECT {S}, metric, max(p) FILTER (tail = 'one') AS one_raw, max(p_adjusted) FILTER (tail = 'one') AS one_adjusted,
+         max(p) FILTER (tail = 'two') AS two_raw, max(p_adjusted) FILTER (tail = 'two') AS two_adjusted, bool_or(wrong_sign) AS wrong_sign
+  FROM judged_adjusted GROUP BY ALL)""",
+    f"""labelled AS (SELECT a.*, coalesce({LABEL}, '') AS label FROM average a LEFT JOIN sides_of USING ({S}, metric))""",
+]
 
 
 def labelled_shifts(t):
+    """Average shifts with the label of their raw and adjusted p-values."""
     average = materialise(average_shifts(t), "average")
-    joined = average.join(stand_in_p(average), [*SCENARIO, "metric"], "left")
-    significant, strong = F.round("p", 2) <= 0.05, F.round("p", 2) <= 0.01
-    right = F.col("shift") * H.expected_sign() > 0
-    label = (
-        F.when(significant & right & strong, "**").when(significant & right, "*")
-        .when(significant & strong, "xx").when(significant, "x").otherwise("")
-    )
-    return joined.withColumn("label", label)
+    judged = scenario_p_values(t).join(average.withColumnRenamed("shift", "average_shift"), [*SCENARIO, "metric"])
+    flag = F.when((F.col("tail") == "one") & F.col("average_shift").isNotNull(), H.wrong_sign())
+    adjusted = H.adjust_p_values(judged.withColumn("wrong_sign", flag), ["tail"])
+    wide = H.tails_side_by_side(adjusted, SCENARIO)
+    labels = wide.select(*SCENARIO, "metric", H.significance_label().alias("label"))
+    joined = average.join(labels, [*SCENARIO, "metric"], "left")
+    return joined.withColumn("label", F.coalesce("label", F.lit("")))
 
 
 TREND_COLS = "right_sign one_tail_raw one_tail_adjusted two_tail_raw two_tail_adjusted"
@@ -322,7 +366,7 @@ TREND_COLS = "right_sign one_tail_raw one_tail_adjusted two_tail_raw two_tail_ad
                  count_if(shift IS NOT NULL AND label = '*') AS one_tail_raw, count_if(shift IS NOT NULL AND label = '**') AS one_tail_adjusted,
                  count_if(shift IS NOT NULL AND label = 'x') AS two_tail_raw, count_if(shift IS NOT NULL AND label = 'xx') AS two_tail_adjusted
           FROM labelled GROUP BY 1, 2, 3) AS c""",
-    [*AVG, STAND_IN, LABELLED],
+    [*AVG, *P_VALUES, *LABELLED],
     " ".join(f"{c}_percent" for c in TREND_COLS.split()),
 )
 def i12(t):

@@ -7,10 +7,10 @@ from pyspark.sql import functions as F
 from ..operators import shift as H
 from .registry import query
 from .statistics import BA, CONFUSION, KAPPA, MCC, gate
-from .testbed import CLASS, REG, REG_ALL, class_scores, class_subsets, reg_predictions, with_intervals
+from .testbed import CLASS, REG, class_scores, reg_predictions, with_intervals
 
 GROUP = ["endpoint", "fold"]
-PERMS = 100
+PERMS = 1000
 SEED = 42
 
 # --- SQL twin of the redraws: attempt 0 suffices because every group has varied scores ----------------
@@ -110,9 +110,7 @@ def h3(t):
 
 @query("h4_metrics_per_redraw", f"SELECT {KP.replace('perm', 'perm::INT AS perm')}, metric, value FROM vals", PERM[:-2], "value")
 def h4(t):
-    drawn = H.redraw(strata_rows(t), GROUP, PERMS, SEED, method="md5")
-    both = H.with_original(strata_rows(t), drawn)
-    return H.class_metrics(both, [*GROUP, "perm", "subset"], list(H.COUNT_METRICS))
+    return H.metrics_per_redraw(class_scores(t), GROUP, list(H.COUNT_METRICS), PERMS, SEED, method="md5")
 
 
 @query("h5_shift_metrics", "SELECT endpoint, fold, perm::INT AS perm, metric, shift FROM shifts", PERM[:-1], "shift")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import ordered
-from ..functions.scalar import correlation_two_tail_p, count_where
+from ..functions.scalar import correlation_two_tail_p
 from ..operators import metrics as M
 from .registry import query
 from .testbed import (

@@ -12,7 +12,11 @@ _LOCAL: dict[str, str] = {}
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """Folder named by ``spark.checkpoint.dir``; a temporary one only for local sessions."""
+    """Folder named by ``spark.checkpoint.dir``; a temporary one only for local sessions.
+
+    The folder must be one that all executors share; a path without a scheme, or with ``file:``, may
+    be a mounted share, so it is taken as it is.
+    """
     folder = spark.conf.get(_SETTING, None)
     if folder:
         return folder.rstrip("/")
@@ -36,11 +40,15 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: A table in this many splits or more is read as it is; fewer splits hold a few GB at most.
+FEW_SPLITS = 32
+
+
 def spread(df: DataFrame) -> DataFrame:
-    """Repartition input that comes in fewer partitions than the session runs tasks.
+    """Deal a small table out to more tasks, up to ``FEW_SPLITS`` or what the session runs.
 
-    Small files hold few bytes but may stand for much work (redraws, levels, pairs); large inputs
-    already have more partitions than tasks and pass unchanged.
+    Small files hold few bytes but may stand for much work (redraws, levels, pairs). Only tables of
+    few splits are shuffled, however many cores there are.
     """
-    tasks = df.sparkSession.sparkContext.defaultParallelism
+    tasks = min(FEW_SPLITS, df.sparkSession.sparkContext.defaultParallelism)
     return df if df.rdd.getNumPartitions() >= tasks else df.repartition(tasks)
