@@ -43,6 +43,9 @@ TEMPLATES = [
     ("Proprietary", "All rights reserved."),
 ]
 
+#: Words of the templates that running text is full of.
+FREQUENT = {"all", "any", "by", "is", "of", "or", "the", "this", "to", "under", "work"}
+
 WORD = r"[a-z]+|[0-9]+(?:\.[0-9]+)*"
 
 
@@ -60,10 +63,13 @@ def _weights(templates: list[tuple[str, str]]) -> tuple[list[tuple[int, str, str
 
 
 def _distinctive(rows: list[tuple[int, str, str, float]], threshold: float) -> list[str]:
-    """Words without which no line reaches the threshold: per template the heaviest, until the rest is too light."""
+    """Words without which no line reaches the threshold: per template the longest, until the rest is too light.
+
+    Long words are rarer in running text than short ones of the same weight; frequent words come last.
+    """
     chosen: set[str] = set()
     for t in sorted({r[0] for r in rows}):
-        own = sorted(((x, w) for a, _, w, x in rows if a == t), reverse=True)
+        own = sorted(((x, w) for a, _, w, x in rows if a == t), key=lambda p: (p[1] in FREQUENT, -len(p[1]), p[1]))
         while math.sqrt(sum(x * x for x, w in own if w not in chosen)) >= threshold - 1e-6:
             chosen.add(next(w for x, w in own if w not in chosen))
     return sorted(chosen)
@@ -85,10 +91,11 @@ def own_licences(files: DataFrame, templates: list[tuple[str, str]], threshold:
     likely = files.where(F.lower("text").rlike(pattern))
     lines = likely.select("path", "file", F.posexplode(F.split("text", "\n")).alias("line", "content"))
     lines = lines.where(F.col("content").rlike(r"[^\x20\x09-\x0D]"))
-    found = lines.withColumn("words", F.regexp_extract_all(F.lower("content"), F.lit(f"({WORD})"), F.lit(1)))
+    found = lines.where(F.lower("content").rlike(pattern))
+    found = found.withColumn("words", F.regexp_extract_all(F.lower("content"), F.lit(f"({WORD})"), F.lit(1)))
     first = lines.groupBy("path", "file").agg(F.min("line").alias("first"), F.max("line").alias("last"))
     # a line is known by its file and number; repeated rows of a file are one file
-    counted = found.where(F.col("words").cast("string").rlike(pattern)).select("path", "file", "line", "words").distinct()
+    counted = found.select("path", "file", "line", "words").distinct()
     counted = counted.select("path", "file", "line", F.explode("words").alias("word"))
     counted = counted.groupBy("path", "file", "line", "word").agg(F.count("*").alias("k")).join(known, "word", "left")
     value = F.col("k") * F.coalesce("idf", F.lit(unseen))
