@@ -46,53 +46,101 @@ def vocabulary(path: str) -> tuple[dict[str, float], int, float]:
 
 
 class Trie:
-    """Forward scores and token counts of prefixes. A node is [score, count, children]."""
+    """Forward scores and token counts of prefixes.
 
-    def __init__(self, scores: dict[str, float], longest: int, byte_score: float, nodes: int = NODES):
-        self.scores, self.longest, self.byte_score, self.most = scores, longest, byte_score, nodes
-        self.root: list = [0.0, 0, {}]
-        self.size = 1
+    Nodes are numbers; an edge is a dictionary entry from (node, letter), packed in one number, to a
+    node. So the trie is three flat containers, whatever its size.
+    """
 
-    def step(self, word: str, end: int, path: list) -> tuple[float, int]:
+    def __init__(self, scores: dict[str, float], longest: int, byte_score: float, nodes: int = NODES):
+        self.scores, self.byte_score, self.most = scores, byte_score, nodes
+        # lengths that pieces with the same last two letters have; single letters are always tried
+        lengths: dict[str, set[int]] = {}
+        for piece in scores:
+            if len(piece) > 1:
+                lengths.setdefault(piece[-2:], {1}).add(len(piece))
+        self.lengths = {tail: tuple(sorted(found)) for tail, found in lengths.items()}
+        self.clear()
+
+    def clear(self) -> None:
+        self.edges: dict[int, int] = {}
+        self.best, self.tokens = [0.0], [0]
+
+    @property
+    def size(self) -> int:
+        return len(self.best)
+
+    def step(self, word: str, end: int, path: list[int], best: list[float], tokens: list[int]) -> tuple[float, int]:
         """Best score, and fewest tokens among equals, of ``word[:end]`` from those of shorter prefixes."""
-        letter = word[end - 1]
-        least = len(letter.encode())
-        best, count = -path[end - 1][0] - self.byte_score * least, path[end - 1][1] + least
+        least = len(word[end - 1].encode())
+        score = best[path[end - 1]] + self.byte_score * least
+        count = tokens[path[end - 1]] + least
         get = self.scores.get
-        for start in range(max(0, end - self.longest), end):
-            score = get(word[start:end])
-            if score is not None:
-                before = path[start]
-                found = (-before[0] - score, before[1] + 1)
-                if found < (best, count):
-                    best, count = found
-        return -best, count
+        for length in self.lengths.get(word[end - 2 : end], (1,)) if end > 1 else (1,):
+            if length > end:
+                break
+            piece = get(word[end - length : end])
+            if piece is not None:
+                before = path[end - length]
+                value = best[before] + piece
+                if value > score or value == score and tokens[before] + 1 < count:
+                    score, count = value, tokens[before] + 1
+        return score, count
 
     def count(self, word: str) -> int:
         """Tokens of a pre-token; new nodes are added on the way."""
         if len(word) > LONGEST_IN_TRIE:
-            path = [(0.0, 0)]
+            best, tokens, path = [0.0], [0], [0]
             for end in range(1, len(word) + 1):
-                path.append(self.step(word, end, path))
-            return path[-1][1]
+                score, count = self.step(word, end, path, best, tokens)
+                best.append(score)
+                tokens.append(count)
+                path.append(end)
+            return tokens[-1]
         if self.size > self.most:
-            self.root, self.size = [0.0, 0, {}], 1
-        node, path = self.root, [self.root]
+            self.clear()
+        edges, best, tokens = self.edges, self.best, self.tokens
+        node, path = 0, [0]
         for end, letter in enumerate(word, 1):
-            after = node[2].get(letter)
-            if after is None:
-                score, count = self.step(word, end, path)
-                after = node[2][letter] = [score, count, {}]
-                self.size += 1
-            path.append(after)
-            node = after
-        return node[1]
+            edge = node << 21 | ord(letter)
+            node = edges.get(edge)
+            if node is None:
+                score, count = self.step(word, end, path, best, tokens)
+                node = edges[edge] = len(best)
+                best.append(score)
+                tokens.append(count)
+            path.append(node)
+        return tokens[node]
+
+
+class Counts:
+    """A trie and the terminal counts of the words of late, and of the time before."""
+
+    def __init__(self, path: str):
+        self.trie = Trie(*vocabulary(path))
+        self.known: dict[bytes, int] = {}
+        self.past: dict[bytes, int] = {}
+
+    def of(self, words: Counter) -> int:
+        """Tokens of all words together."""
+        if len(self.known) > NODES:
+            self.known, self.past = {}, self.known
+        known, total = self.known, 0
+        for word, times in words.items():
+            n = known.get(word)
+            if n is None:
+                n = self.past.get(word)
+                if n is None:
+                    n = self.trie.count(WORD_START + word.decode())
+                known[word] = n
+            total += n * times
+        return total
 
 
 @lru_cache(maxsize=1)
-def trie_of(path: str) -> tuple[Trie, dict[bytes, int]]:
-    """The trie of a Python worker and the terminal counts by word, kept from task to task."""
-    return Trie(*vocabulary(path)), {}
+def counts_of(path: str) -> Counts:
+    """The counts of a Python worker, kept from task to task."""
+    return Counts(path)
 
 
 def token_counts(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -106,20 +154,12 @@ def token_counts(docs: DataFrame, model: str, id_col: str = "doc_id", text_col:
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        trie, known = trie_of(model)
+        known = counts_of(model)
         for batch in batches:
             counts: list[list[int]] = [[], [], []]
             for text in batch.column(1):
                 words = Counter((text.as_py() or "").encode().split())
-                if len(known) > NODES:
-                    known.clear()
-                total = 0
-                for word, times in words.items():
-                    n = known.get(word)
-                    if n is None:
-                        n = known[word] = trie.count(WORD_START + word.decode())
-                    total += n * times
-                for column, value in zip(counts, (words.total(), len(words), total)):
+                for column, value in zip(counts, (words.total(), len(words), known.of(words))):
                     column.append(value)
             columns = [batch.column(0), *[pa.array(c, pa.int64()) for c in counts]]
             yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_pretokens", "n_distinct", "n_tokens"])
