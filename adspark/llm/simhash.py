@@ -82,7 +82,7 @@ def fingerprint_of(data: bytes, shingle: int = 3) -> int:
     return sum(1 << int(b) for b in set_bits)
 
 
-def _tag(text_col: str) -> Column:
+def tag_of(text_col: str) -> Column:
     """Checksum of a text, to tell apart rows with the same id."""
     return F.crc32(F.coalesce(F.col(text_col).cast("string"), F.lit("")))
 
@@ -97,7 +97,7 @@ def fingerprints(docs: DataFrame, shingle: int = 3, id_col: str = "doc_id", text
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), fp], names=["doc_id", "tag", "fp"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    narrow = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"), _tag(text_col).alias("tag"))
+    narrow = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"), tag_of(text_col).alias("tag"))
     return narrow.mapInArrow(run, f"doc_id {kind}, tag long, fp long")
 
 
@@ -208,18 +208,22 @@ def near_duplicates(
     )
 
 
+def one_of_each_root(docs: DataFrame, found: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """Rows of ``docs`` that stay, one for each root in ``found`` (doc_id, tag, root)."""
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "tag")).alias("x")
+    kept = written(found.groupBy("root").agg(first).select(F.col("x.doc_id").alias("kept_id"), F.col("x.tag").alias("kept_tag")), "kept")
+    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col(id_col).alias("id"), tag_of(text_col).alias("tag"))
+    stay = rows.join(kept, rows["id"].eqNullSafe(kept["kept_id"]) & (rows["tag"] == kept["kept_tag"]), "left_semi")
+    return stay.dropDuplicates(["id", "tag"]).select("row.*")
+
+
 def keep_one_of_each(docs: DataFrame, bits: int = 2, shingle: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Rows of ``docs``, with all columns, of which one stays for each component of near-duplicates.
 
     It is the row with the smallest id (NULL is the largest), then with the smallest checksum of its
     text; of rows with equal id and text one stays.
     """
-    found = _rooted(docs, bits, shingle, id_col, text_col)
-    first = F.min(F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "tag")).alias("x")
-    kept = written(found.groupBy("root").agg(first).select(F.col("x.doc_id").alias("kept_id"), F.col("x.tag").alias("kept_tag")), "kept")
-    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col(id_col).alias("id"), _tag(text_col).alias("tag"))
-    stay = rows.join(kept, rows["id"].eqNullSafe(kept["kept_id"]) & (rows["tag"] == kept["kept_tag"]), "left_semi")
-    return stay.dropDuplicates(["id", "tag"]).select("row.*")
+    return one_of_each_root(docs, _rooted(docs, bits, shingle, id_col, text_col), id_col, text_col)
 
 
 def op9_simhash(spark, folder: str) -> DataFrame:
