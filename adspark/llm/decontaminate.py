@@ -2,11 +2,14 @@
 
 The test items form inverted indexes of bounded size; documents stream past them. An item's BM25
 weights are divided by their sum, so a passage's score is the share of the item that it covers and
-one threshold suits items of any length. Items are grouped by length (16, 32, 64, ... words); for a
-group of up to L words passages are 2 L words long and begin every L words, hence any stretch of L
-words lies whole within one. For each passage block-max WAND skips items, and blocks of items, whose
-upper bound misses the threshold; retrieved items are verified by the word shingles of their
-question and answer. Documents are never shuffled.
+one threshold suits items of any length. An item of two parts has up to three entries: the whole, and
+its question and answer if they have five words or more, each with weights of its own. Entries are
+grouped by length (16, 32, 64, ... words); for a group of up to L words passages are 2 L words long
+and begin every L words, hence any stretch of L words lies whole within one. For each passage
+block-max WAND skips entries, and blocks of entries, whose upper bound misses the threshold; what is
+retrieved is verified by the word shingles of the question and answer. Passages without any shingle
+that the verification would count are not searched, which changes no result. Documents are never
+shuffled.
 """
 
 from __future__ import annotations
@@ -28,6 +31,8 @@ K1, B = 1.2, 0.75
 INDEX_WORDS = 100_000
 BLOCKS = 64
 SHINGLE = 5
+#: Bits of the hashes that mark shingles of the items.
+MARK_BITS = 20
 PUNCTUATION = string.punctuation.encode()
 
 
@@ -51,10 +56,20 @@ def overlap(wanted: list[bytes], words: list[bytes]) -> float:
     return len(want & {tuple(words[i : i + n]) for i in range(len(words) - n + 1)}) / len(want)
 
 
+def run_hashes(ids: np.ndarray, size: int) -> np.ndarray:
+    """Hash, of ``MARK_BITS`` bits, of each run of ``size`` terms."""
+    values = np.zeros(len(ids) - size + 1, dtype=np.uint64)
+    for i in range(size):
+        values = (values ^ (ids[i : len(ids) - size + 1 + i].view(np.uint64) + np.uint64(1))) * np.uint64(0x9E3779B97F4A7C15)
+        values ^= values >> np.uint64(29)
+    return (values >> np.uint64(64 - MARK_BITS)).astype(np.int64)
+
+
 @dataclass
 class Index:
-    """Items of one length group: posting lists with share-of-item weights, and the maxima of their blocks.
+    """Entries of one length group: posting lists with share-of-entry weights, and the maxima of their blocks.
 
+    ``items`` are the entries (id, question, answer, kind); one of a part has no words in the other.
     ``lists`` and the rows of ``blocks`` (term x block of items) go by the number of the term, ``most``
     is the maximum of each row.
     """
@@ -64,10 +79,20 @@ class Index:
     lists: dict[int, tuple[np.ndarray, np.ndarray]]
     blocks: np.ndarray
     block_items: int
+    #: by size of shingle, the marked hashes of the shingles that verify an entry
+    marks: dict[int, np.ndarray]
 
     def __post_init__(self):
         self.most = self.blocks.max(axis=1)
 
+    def held(self, ids: np.ndarray) -> np.ndarray:
+        """Number of places before each one of a text where a shingle of some entry may begin."""
+        places = np.zeros(len(ids) + 1, dtype=np.int64)
+        for size, marked in self.marks.items():
+            if size <= len(ids):
+                places[1 : len(ids) - size + 2] += marked[run_hashes(ids, size)]
+        return np.cumsum(places)
+
     def search(self, terms: list[int], threshold: float) -> list[tuple[int, float]]:
         """Items whose score reaches the threshold, by block-max WAND over the lists of distinct terms."""
         cursors = [[self.lists[t], 0, self.most[t], self.blocks[t]] for t in terms if t in self.lists]
@@ -111,6 +136,21 @@ class Index:
                     c[1] = int(np.searchsorted(c[0][0], item))
 
 
+WHOLE, QUESTION, ANSWER = range(3)
+
+
+def entries_of(item: tuple) -> list[tuple]:
+    """An item (id, question, answer) as a whole, and each of its two parts that has a shingle of full length."""
+    name, question, answer = item
+    out = [(name, question, answer, WHOLE)] if question or answer else []
+    if question and answer:
+        if len(question) >= SHINGLE:
+            out.append((name, question, [], QUESTION))
+        if len(answer) >= SHINGLE:
+            out.append((name, [], answer, ANSWER))
+    return out
+
+
 def build_indexes(items: list[tuple], df: dict[bytes, int], n: int, mean_words: float) -> tuple[dict[bytes, int], list[Index]]:
     """Numbers of the terms, and indexes by length group, of (id, question words, answer words).
 
@@ -119,13 +159,13 @@ def build_indexes(items: list[tuple], df: dict[bytes, int], n: int, mean_words:
     term = {w: t for t, w in enumerate(sorted({w for _, q, a in items for w in q + a}))}
     groups = defaultdict(list)
     for item in sorted(items, key=lambda x: (x[0] is None, x[0])):
-        size = len(item[1]) + len(item[2])
-        if size:
-            groups[max(16, 1 << (size - 1).bit_length())].append(item)
+        for entry in entries_of(item):
+            size = len(entry[1]) + len(entry[2])
+            groups[max(16, 1 << (size - 1).bit_length())].append(entry)
     out = []
     for length, members in sorted(groups.items()):
         postings = defaultdict(list)
-        for k, (_, question, answer) in enumerate(members):
+        for k, (_, question, answer, _) in enumerate(members):
             counts = Counter(question + answer)
             size = sum(counts.values())
             weights = {
@@ -140,16 +180,26 @@ def build_indexes(items: list[tuple], df: dict[bytes, int], n: int, mean_words:
         blocks = np.zeros((len(term), math.ceil(len(members) / block_items)))
         for t, (ids, weights) in lists.items():
             np.maximum.at(blocks[t], ids // block_items, weights)
-        out.append(Index(length, members, lists, blocks, block_items))
+        marks: dict[int, np.ndarray] = {}
+        for _, *sides, _ in members:
+            for side in filter(None, sides):
+                size = min(SHINGLE, len(side))
+                marked = marks.setdefault(size, np.zeros(1 << MARK_BITS, dtype=bool))
+                marked[run_hashes(np.array([term[w] for w in side], dtype=np.int64), size)] = True
+        out.append(Index(length, members, lists, blocks, block_items, marks))
     return term, out
 
 
-def passages(ids: np.ndarray, index: Index, threshold: float) -> Iterator[tuple[int, list[int]]]:
+def passages(ids: np.ndarray, index: Index, threshold: float, verified: float) -> Iterator[tuple[int, list[int]]]:
     """Start and distinct terms of the passages in which some block of items may reach the threshold.
 
     ``ids`` are the terms of a text's words, -1 for words in no item. First the lists' maxima are
-    added up for all passages at once, then the blocks' maxima for those that are left.
+    added up for all passages at once, then the blocks' maxima for those that are left. If shingles
+    are to be verified, passages go that have none from ``length`` words before to as many after.
     """
+    held = index.held(ids) if verified > 0 else None
+    if held is not None and not held[-1]:
+        return
     bound = np.zeros(len(ids) + 1)
     known = ids >= 0
     bound[1:][known] = index.most[ids[known]]
@@ -157,6 +207,9 @@ def passages(ids: np.ndarray, index: Index, threshold: float) -> Iterator[tuple[
     starts = np.arange(0, max(1, len(ids) - index.length), index.length)
     ends = np.minimum(starts + 2 * index.length, len(ids))
     likely = np.flatnonzero(bound[ends] - bound[starts] >= threshold - 1e-9)
+    if held is not None:
+        first, stop = np.maximum(0, starts[likely] - index.length), np.minimum(starts[likely] + 3 * index.length, len(ids))
+        likely = likely[held[stop] > held[first]]
     for s, e in zip(starts[likely].tolist(), ends[likely].tolist()):
         terms = np.unique(ids[s:e])
         if terms[0] < 0:
@@ -166,20 +219,28 @@ def passages(ids: np.ndarray, index: Index, threshold: float) -> Iterator[tuple[
 
 
 def leaks_of(words: list[bytes], term: dict[bytes, int], indexes: list[Index], threshold: float, verified: float) -> dict:
-    """item id -> [score, question overlap, answer overlap, passages] of the verified items of one text."""
+    """item id -> [score, question overlap, answer overlap, passages] of the verified items of one text.
+
+    Score and passages are those of the whole if it was found, else of the question, else of the answer.
+    """
     found: dict = {}
     get = term.get
     ids = np.array([get(w, -1) for w in words], dtype=np.int64)
     for index in indexes if (ids >= 0).any() else ():
-        for start, terms in passages(ids, index, threshold):
+        for start, terms in passages(ids, index, threshold, verified):
             for k, score in index.search(terms, threshold):
-                item, question, answer = index.items[k]
+                item, question, answer, kind = index.items[k]
                 near = words[max(0, start - index.length) : start + 3 * index.length]
                 q, a = overlap(question, near), overlap(answer, near)
                 if q >= verified or (len(answer) >= SHINGLE and a >= verified):
-                    old = found.get(item, [0.0, 0.0, 0.0, 0])
-                    found[item] = [max(old[0], score), max(old[1], q), max(old[2], a), old[3] + 1]
-    return found
+                    kinds = found.setdefault(item, {})
+                    old = kinds.get(kind, [0.0, 0.0, 0.0, 0])
+                    kinds[kind] = [max(old[0], score), max(old[1], q), max(old[2], a), old[3] + 1]
+    out = {}
+    for item, kinds in found.items():
+        first = kinds[min(kinds)]
+        out[item] = [first[0], max(x[1] for x in kinds.values()), max(x[2] for x in kinds.values()), first[3]]
+    return out
 
 
 def decontaminate(
@@ -195,7 +256,9 @@ def decontaminate(
 
     ``items`` has (item_id, question, answer). A pair is returned if a passage covers ``threshold`` of
     the item by BM25 weight and holds ``verified`` of the 5-word shingles of its question, or of its
-    answer if that has five words at least. Items without words, and NULL or empty texts, match
+    answer if that has five words at least; or if it covers ``threshold`` of one part of five words or
+    more, and holds ``verified`` of that part's shingles. ``score`` is the share of the
+    whole, or of the part if only that was found. Items without words, and NULL or empty texts, match
     nothing. Repeated documents give their own rows; a repeated item id is one item with its largest
     values. Other input columns are left out. Items are indexed ``index_words`` words at a time: each
     index goes to all tasks and has that bound, and documents are read once for each.

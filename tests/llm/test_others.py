@@ -114,6 +114,21 @@ def test_planted_items_are_found(spark, words_of_an_index):
     assert D.decontaminate(frame, table.limit(0)).collect() == [] and D.decontaminate(frame.limit(0), table).collect() == []
 
 
+def test_a_question_or_a_long_answer_alone_is_found(spark):
+    rng = random.Random(8)
+    items = [(i, prose(rng, q) + "?", prose(rng, a)) for i, (q, a) in enumerate([(12, 12), (40, 6), (6, 40), (30, 30), (20, 3), (100, 5)] * 3)]
+    docs, want = [], set()
+    for i, q, a in items:
+        for part, found in ((q, True), (a, len(a.split()) >= 5), (" ".join(q.split()[: len(q.split()) // 4]), False)):
+            docs.append((len(docs), f"{prose(rng, rng.randint(0, 300))} {part.upper()} {prose(rng, rng.randint(0, 300))}"))
+            if found:
+                want.add((docs[-1][0], i))
+    table = spark.createDataFrame(items, "item_id long, question string, answer string")
+    rows = D.decontaminate(spark.createDataFrame(docs, "doc_id long, text string"), table).collect()
+    assert {(r["doc_id"], r["item_id"]) for r in rows} == want and len(rows) == len(want)
+    assert all(r["score"] >= 0.6 and r["n_passages"] >= 1 for r in rows)
+
+
 def test_query_finds_what_stands_whole_in_documents(spark):
     rows = QUERIES["op5_decontamination"](spark, FOLDER).collect()
     texts = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{FOLDER}/documents.parquet").collect()}
