@@ -130,7 +130,8 @@ def apply_bitmaps(docs: DataFrame, bitmaps: DataFrame, id_col: str = "doc_id", t
     """(doc_id, kept, n_lines, n_dropped) of every row of ``docs``: the text without the lines of its bitmap."""
     tagged = _tagged(docs, id_col, text_col)
     marks = bitmaps.select(F.col("doc").alias("d"), F.col("tag").alias("t"), "words")
-    joined = tagged.join(marks, tagged["doc"].eqNullSafe(marks["d"]) & (tagged["tag"] == marks["t"]), "left")
+    # texts and bitmaps meet by sorting at any size: a corpus has too many bitmaps to send to every task
+    joined = tagged.join(marks.hint("merge"), tagged["doc"].eqNullSafe(marks["d"]) & (tagged["tag"] == marks["t"]), "left")
     # every word has its place, so a line finds its bit at once
     last = F.element_at("words", -1)["word"]
     entries = F.map_from_entries("words")
