@@ -15,7 +15,7 @@ from ..functions.joining import join_on
 from ..functions.ordered import running_totals, value_buckets
 from ..functions.scalar import is_infinite
 from ..sources.shared import materialise, spread
-from . import metrics as M
+from . import metrics as M, redraws as R
 
 ORIGINAL = -1
 MAX_TRIES = 10
@@ -33,6 +33,7 @@ EXPECTED_SIGN = {
 
 COUNT_METRICS = ("ba", "mcc", "kappa", "strat_brier")
 CALIBRATION_METRICS = ("rmse_cal", "r2_cal", "pearson_cal", "spearman_cal")
+VALUE_METRICS = ("rmse", "mad", "r2", "pearson", "spearman", "validity", "efficiency", "ece", "ence", "scc")
 
 
 def expected_sign(metric="metric") -> Column:
@@ -72,7 +73,7 @@ def value_metrics(df: DataFrame, keys: list[str], wanted: list[str], level: floa
     if set(wanted) & {"spearman", "ence", "scc"}:  # several passes over the rows
         at_level = materialise(at_level.select(*keys, "id", "sig_level", "y", "pred", "lower", "upper"), "level")
     parts = {
-        "fit": (("rmse", "r2", "pearson"), lambda: M.regression_fit(at_level, keys)),
+        "fit": (("rmse", "mad", "r2", "pearson"), lambda: M.regression_fit(at_level, keys)),
         "rank": (("spearman",), lambda: M.ordered.spearman(at_level, keys, "pred", "y", "spearman")),
         "level": (("validity", "efficiency"), lambda: M.interval_statistics(at_level, keys).drop("sig_level")),
         "ece": (("ece",), lambda: M.expected_calibration_error(df, keys)),
@@ -425,13 +426,13 @@ def permutation_test(
     n: int = 1000,
     seed: int = 42,
     kind: str = "class",
-    method: str = "xxhash64",
+    method: str = "remix",
     tails=("one", "two"),
     delta: float = 0.05,
 ) -> DataFrame:
     """p-values of the requested shift-metrics for every group: (keys, metric, tail, shift, p).
 
-    Groups in which no requested metric can be computed are dropped before any redraw.
+    With the method ``remix`` no row is copied for a redraw, but for the calibration metrics. Groups in which no requested metric can be computed are dropped before any redraw.
     """
     return shift_p_values(permuted_shifts(df, keys, wanted, n, seed, kind, method, delta), keys, tails)
 
@@ -448,6 +449,14 @@ def permuted_shifts(df, keys, wanted, n=1000, seed=42, kind="class", method="xxh
     )
     usable = sizes.where((F.col("_i") >= M.MIN_ROWS) & (F.col("_o") >= M.MIN_ROWS)).select(*keys)
     strata = join_on(strata, usable, keys, "left_semi")
+    if method == "remix":
+        copied = [m for m in wanted if m in CALIBRATION_METRICS]
+        others = [m for m in wanted if m not in copied]
+        found = [permuted_shifts(df, keys, copied, n, seed, kind, "xxhash64", delta)] if copied else []
+        if others:
+            values = drawn_class_values(strata, keys, others, n, seed) if kind == "class" else drawn_value_metrics(strata, rows, keys, others, n, seed)
+            found.append(shift_metrics(values, [*keys, "perm"]).select(*keys, "perm", "metric", "shift"))
+        return materialise(reduce(lambda a, b: a.unionByName(b), found), "shifts")
     if kind == "class" and set(wanted) <= set(COUNT_METRICS):
         values = _counted_values(strata, keys, wanted, n, seed, score, method)
         return materialise(shift_metrics(values, [*keys, "perm"]).select(*keys, "perm", "metric", "shift"), "shifts")
@@ -468,6 +477,125 @@ def _counted_values(strata: DataFrame, keys: list[str], wanted: list[str], n: in
     return M.to_long(_count_metrics(counted, group, wanted), group, wanted)
 
 
+def _for_sides(sums: DataFrame, keys: list[str], columns) -> DataFrame:
+    """(keys, perm, subset, columns) of both sides; ``columns`` makes them from a function of a sum's name."""
+    sides = []
+    for side, subset in (("in", "Inside"), ("out", "Outside")):
+        made = columns(lambda name, side=side: F.col(f"{side}_{name}"))
+        sides.append(sums.select(*keys, "perm", F.lit(subset).alias("subset"), *[v.alias(k) for k, v in made.items()]))
+    return sides[0].unionByName(sides[1])
+
+
+def drawn_class_values(strata: DataFrame, keys: list[str], wanted: list[str], n: int, seed: int) -> DataFrame:
+    """(keys, perm, subset, metric, value) of count metrics and AUC, original split and redraws, by ``redraws``."""
+    group = [*keys, "perm", "subset"]
+    own = class_metrics(with_original(strata.select(*keys, "id", "y", "prob", "inside"), None), group, wanted)
+    hit, y = M.predicted_class("prob"), F.col("y")
+    loss = (F.col("prob") - y) * (F.col("prob") - y)
+    values = {"y": y, "prob": F.col("prob"), "s1": F.when(y == 1, loss), "s0": F.when(y == 0, loss)}
+    for name, (a, b) in {"tp": (1, 1), "fp": (0, 1), "tn": (0, 0), "fn": (1, 0)}.items():
+        values[name] = ((y == a) & (hit == b)).cast("int")
+    drawn = R.draw(R.layout(strata, keys, values, seed), keys, n, list(values), ["y", "prob"])
+
+    def confusion(c):
+        counts = {x: c(x).cast("long") for x in ("tp", "fp", "tn", "fn")}
+        n1, n0 = counts["tp"] + counts["fn"], counts["fp"] + counts["tn"]
+        out = counts | {"n": c("n").cast("long"), "n1": n1, "n0": n0}
+        return out | {"loss_1": F.try_divide(c("s1"), n1.cast("double")), "loss_0": F.try_divide(c("s0"), n0.cast("double"))}
+
+    counted = _for_sides(drawn.sums, keys, confusion)
+    some = [m for m in wanted if m in COUNT_METRICS]
+    parts = [own]
+    if some:
+        parts.append(M.to_long(_count_metrics(counted, group, some), group, some))
+    if "auc" in wanted:
+        ranked = join_on(R.auc_per_redraw(drawn, keys), counted.select(*group, "n"), group)
+        parts.append(ranked.select(*group, F.lit("auc").alias("metric"), M.gated(F.col("value")).alias("value")))
+    return reduce(lambda a, b: a.unionByName(b), parts)
+
+
+def drawn_value_metrics(strata: DataFrame, rows: DataFrame, keys: list[str], wanted: list[str], n: int, seed: int, level: float = 0.32) -> DataFrame:
+    """(keys, perm, subset, metric, value) of regression metrics, original split and redraws, by ``redraws``.
+
+    ``rows`` has one row per id and significance level, ``strata`` one per id.
+    """
+    if set(wanted) - set(VALUE_METRICS):
+        raise ValueError(f"unknown regression metrics {sorted(set(wanted) - set(VALUE_METRICS))}")
+    group = [*keys, "perm", "subset"]
+    split = with_original(strata.select(*keys, "id", "inside"), None).select(*keys, "id", "perm", "subset")
+    own = value_metrics(join_on(split, rows.drop("inside"), [*keys, "id"]), group, wanted, level)
+    # levels are a parameter of the intervals, a few numbers
+    levels = sorted(r[0] for r in rows.select("sig_level").distinct().collect() if r[0] is not None)
+    at = {k: F.abs(F.col("sig_level") - x) < 1e-9 for k, x in enumerate(levels)}
+    wide = M.width()
+    per_level = []
+    for k, here in at.items():
+        per_level += [
+            F.max(F.when(here, 1).otherwise(0)).alias(f"held{k}"),
+            F.max(F.when(here, M.missed().cast("int"))).alias(f"missed{k}"),
+            F.max(F.when(here & ~is_infinite(wide), wide)).alias(f"width{k}"),
+            F.max(F.when(here, is_infinite(wide).cast("int"))).alias(f"endless{k}"),
+        ]
+    chosen = next((k for k, x in enumerate(levels) if abs(x - level) < 1e-9), None)
+    if chosen is None:
+        return own
+    pivoted = rows.groupBy(*keys, "id").agg(*per_level)
+    # sums of squares lose nothing if values lie around zero
+    finite = F.when(~is_infinite("pred"), F.col("pred"))
+    means = strata.groupBy(*keys).agg(F.avg("y").alias("_my"), F.avg(finite).alias("_mp"))
+    table = join_on(join_on(strata, pivoted, [*keys, "id"]), materialise(means, "means"), keys)
+    held, infinite = F.col(f"held{chosen}"), is_infinite("pred")
+    y, p, d = F.col("y") - F.col("_my"), F.when(infinite, 0.0).otherwise(F.col("pred") - F.col("_mp")), F.col("pred") - F.col("y")
+    error = F.when(infinite, 0.0).otherwise(d)
+    sums = {
+        "held": held, "infinite": held * infinite.cast("int"), "dd": held * error * error, "d": held * F.abs(error),
+        "y1": held * y, "yy": held * y * y, "p1": held * p, "pp": held * p * p, "yp": held * y * p,
+    } | {f"{name}{k}": F.col(f"{name}{k}") for k in at for name in ("held", "missed", "width", "endless")}
+    half = F.when(F.col(f"endless{chosen}") == 1, float("inf")).otherwise(F.col(f"width{chosen}") / 2)
+    tie = F.conv(F.substring(F.md5(F.col("id").cast("string")), 1, 13), 16, 10).cast("double") / float(1 << 52)
+    values = sums | {"y": F.col("y"), "pred": F.col("pred"), "error": d, "variance": half * half, "residual": F.abs(d), "tie": tie}
+    drawn = R.draw(R.layout(table, keys, values, seed), keys, n, list(sums), ["y", "pred"])
+
+    def statistics(c):
+        n = c("held")
+
+        def mean(name):
+            return F.try_divide(c(name), n)
+
+        vy, vp = mean("yy") - mean("y1") * mean("y1"), mean("pp") - mean("p1") * mean("p1")
+        vary, some = c("y_low") < c("y_high"), c("infinite") > 0
+        endless = lambda value, flag: F.when(flag, float("inf")).otherwise(value)
+        gaps = F.array(*[F.abs(F.try_divide(c(f"missed{k}"), c(f"held{k}")) - F.lit(x)) for k, x in enumerate(levels)])
+        gaps = F.filter(gaps, lambda x: x.isNotNull())
+        return {
+            "n": n,
+            "rmse": endless(F.sqrt(mean("dd")), some),
+            "mad": endless(mean("d"), some),
+            "r2": F.when(vary, F.when(some, float("-inf")).otherwise(1 - F.try_divide(mean("dd"), vy))),
+            "pearson": F.when(vary & (c("pred_low") < c("pred_high")) & ~some, F.try_divide(mean("yp") - mean("y1") * mean("p1"), F.sqrt(vp) * F.sqrt(vy))),
+            "validity": 1 - F.try_divide(c(f"missed{chosen}"), n),
+            "efficiency": endless(F.try_divide(c(f"width{chosen}"), n), c(f"endless{chosen}") > 0),
+            "ece": F.aggregate(gaps, F.lit(0.0), lambda a, x: a + x, lambda a: F.try_divide(a, F.size(gaps).cast("double"))),
+        }
+
+    wide = materialise(_for_sides(drawn.sums, keys, statistics), "side-metrics")
+    summed = [m for m in wanted if m in wide.columns]
+    parts = [own]
+    if summed:
+        parts.append(M.to_long(wide.select(*group, *[M.gated(F.col(m)).alias(m) for m in summed]), group, summed))
+    here = F.col("held") == 1
+    ranked = {
+        "spearman": lambda: R.spearman_per_redraw(drawn, keys, "pred", "y", here),
+        "scc": lambda: R.spearman_per_redraw(drawn, keys, "variance", "residual", here & ~is_infinite("variance")),
+        "ence": lambda: R.ence_per_redraw(drawn, keys, "variance", "error", "tie", M.ENCE_BIN_ROWS, here),
+    }
+    for name, make in ranked.items():
+        if name in wanted:
+            found = join_on(make(), wide.select(*group, "n"), group)
+            parts.append(found.select(*group, F.lit(name).alias("metric"), M.gated(F.col("value")).alias("value")))
+    return reduce(lambda a, b: a.unionByName(b), parts)
+
+
 def metrics_per_redraw(df: DataFrame, keys: list[str], wanted: list[str], n: int = 1000, seed: int = 42, method: str = "xxhash64") -> DataFrame:
     """Count metrics of both sides of the original split (perm -1) and of every redraw: (keys, perm, subset, metric, value)."""
     if not set(wanted) <= set(COUNT_METRICS):
@@ -476,6 +604,15 @@ def metrics_per_redraw(df: DataFrame, keys: list[str], wanted: list[str], n: int
     return _counted_values(strata, keys, wanted, n, seed, "prob", method)
 
 
+def value_metrics_per_redraw(df: DataFrame, keys: list[str], wanted: list[str], n: int = 1000, seed: int = 42, level: float = 0.32) -> DataFrame:
+    """Regression metrics of both sides of the original split (perm -1) and of every redraw: (keys, perm, subset, metric, value).
+
+    ``df`` has one row per id and significance level.
+    """
+    rows = df.select(*keys, "id", "y", "pred", "inside", "lower", "upper", "sig_level")
+    return drawn_value_metrics(value_strata(_per_row(rows, keys), keys), rows, keys, wanted, n, seed, level)
+
+
 def _per_row(rows: DataFrame, keys: list[str]) -> DataFrame:
     """One row per id of a table with one row per id and significance level."""
     return rows.groupBy(*keys, "id").agg(

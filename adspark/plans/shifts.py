@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import shift as H
+from ..operators import redraws as R, shift as H
 from .registry import query
 from .statistics import BA, CONFUSION, KAPPA, MCC, gate
-from .testbed import CLASS, REG, class_scores, reg_predictions, with_intervals
+from .testbed import CLASS, EVENT_PREDICTIONS, EVENTS_BASE, REG, class_scores, event_predictions, reg_predictions, with_intervals
 
 GROUP = ["endpoint", "fold"]
 PERMS = 1000
@@ -213,19 +213,104 @@ def h16(t):
     return H.complete_subsets(class_scores(t).join(hours, "id"), ["endpoint", "fold", "hour"])
 
 
+# --- SQL twins of the remixed redraws ------------------------------------------------------------------
+
+
+def remixed(source: str, stratum: str) -> list[str]:
+    """CTEs that make all redraws of (id, endpoint, fold, inside, ...) row by row: ``redrawn`` adds perm and the new side."""
+    p = R.PRIME
+    part = lambda i: f"('0x' || substr(h, {1 + 8 * i}, 8))::BIGINT"
+    return [
+        f"""parted AS (
+  SELECT * EXCLUDE (h), {part(0)} % {p - 1} + 1 AS ka, {part(1)} % {p} AS kb, {part(2)} % {p} AS kc
+  FROM (SELECT *, md5(concat_ws('|', id, endpoint, fold, {SEED})) AS h FROM {source}) AS x)""",
+        f"""redrawn AS MATERIALIZED (
+  SELECT * EXCLUDE (rn, q, ka, kb, kc, inside), CASE WHEN rn <= q THEN 'Inside' ELSE 'Outside' END AS subset FROM (
+    SELECT c.*, p.perm, quota.q, row_number() OVER (PARTITION BY c.endpoint, c.fold, p.perm, c.{stratum} ORDER BY {R.key_sql('ka', 'kb', 'kc', 'p.perm')}) AS rn
+    FROM parted c JOIN (SELECT endpoint, fold, {stratum}, count_if(inside) AS q FROM parted GROUP BY ALL) quota
+           ON quota.endpoint = c.endpoint AND quota.fold = c.fold AND quota.{stratum} = c.{stratum},
+         (SELECT unnest(range({PERMS}::BIGINT)) AS perm) p) AS r
+  UNION ALL BY NAME SELECT * EXCLUDE (ka, kb, kc, inside), -1 AS perm, CASE WHEN inside THEN 'Inside' ELSE 'Outside' END AS subset FROM parted)""",
+    ]
+
+
+AUC_SHIFTS = """areas AS (
+  SELECT endpoint, fold, perm, subset, sum(p * below) / (sum(p)::DOUBLE * sum(q)::DOUBLE) AS value FROM (
+    SELECT *, sum(q) OVER (PARTITION BY endpoint, fold, perm, subset ORDER BY prob) - q / 2.0::DOUBLE AS below FROM (
+      SELECT endpoint, fold, perm, subset, prob, count_if(y = 1) AS p, count_if(y = 0) AS q FROM redrawn GROUP BY ALL) AS g) AS w
+  GROUP BY ALL),
+shifts AS (
+  SELECT endpoint, fold, perm, 'auc' AS metric, max(value) FILTER (subset = 'Inside') - max(value) FILTER (subset = 'Outside') AS shift
+  FROM areas GROUP BY ALL)"""
+
+
+@query(
+    "h7_auc_p_values",
+    "SELECT endpoint, fold, metric, tail, shift, p FROM pvals",
+    [*CLASS[:2], *remixed("(SELECT id, endpoint, fold, y, prob, inside FROM class_scores)", "y"), AUC_SHIFTS, P_VALUES],
+    "shift p",
+)
+def h7_auc(t):
+    """AUC of 1,000 redraws, by prefix totals in score order."""
+    return H.permutation_test(class_scores(t), GROUP, ["auc"], n=PERMS, seed=SEED)
+
+
+#: Ten levels, in elevenths but for that of the statistics, so that no mean ends on a half of the last printed digit.
+LEVELS = (0.32, *(i / 11 for i in range(1, 10)))
+MOMENTS = ["rmse", "mad", "r2", "pearson", "validity", "efficiency", "ece"]
+
+
+def _moment_sql() -> str:
+    reach = lambda x: f"half * (1.5::DOUBLE - {x}::DOUBLE)"
+    missed = lambda x: f"avg((y < pred - {reach(x)} OR y > pred + {reach(x)})::INT)"
+    gaps = " + ".join(f"abs({missed(x)} - {x}::DOUBLE)" for x in LEVELS)
+    forms = [
+        "sqrt(avg((pred - y) * (pred - y)))",
+        "avg(abs(pred - y))",
+        "1 - avg((pred - y) * (pred - y)) / var_pop(y)",
+        "corr(pred, y)",
+        f"1 - {missed(0.32)}",
+        f"avg((pred + {reach(0.32)}) - (pred - {reach(0.32)}))",
+        f"({gaps}) / {len(LEVELS)}",
+    ]
+    return f"SELECT endpoint, fold, perm::INT AS perm, subset, unnest({MOMENTS}) AS metric, unnest([{', '.join(forms)}]) AS value FROM redrawn GROUP BY endpoint, fold, perm, subset"
+
+
+@query(
+    "h4_regression_metrics_per_redraw",
+    _moment_sql(),
+    [
+        EVENTS_BASE,
+        EVENT_PREDICTIONS,
+        STRATA.replace("reg_predictions", "event_predictions"),
+        *remixed("(SELECT id, endpoint, fold, y, pred, half, inside, stratum FROM strata)", "stratum"),
+    ],
+    "value",
+)
+def h4_regression(t):
+    """Seven regression metrics of 1,000 redraws at all ten levels, from sums over the sides."""
+    rows = with_intervals(event_predictions(t), LEVELS).drop("half")
+    return H.value_metrics_per_redraw(rows, GROUP, MOMENTS, PERMS, SEED)
+
+
+#: Calibration ranks the observed probabilities of every redraw anew, so it copies rows; 1,000 of these take too long here.
+CALIBRATION_PERMS = 20
+
+
 @query("h11_classification_family")
 def h11(t):
     """All nine classification shift-metrics, one- and two-tail, over the folds of each endpoint."""
-    wanted = [*H.COUNT_METRICS, "auc", *H.CALIBRATION_METRICS]
-    tested = H.permutation_test(class_scores(t), GROUP, wanted, n=20, seed=SEED)
-    return H.family_p_values(tested, ["endpoint"], ["fold"])
+    rows = class_scores(t)
+    tested = H.permutation_test(rows, GROUP, [*H.COUNT_METRICS, "auc"], n=PERMS, seed=SEED)
+    calibrated = H.permutation_test(rows, GROUP, list(H.CALIBRATION_METRICS), n=CALIBRATION_PERMS, seed=SEED)
+    return H.family_p_values(tested.unionByName(calibrated), ["endpoint"], ["fold"])
 
 
 @query("h11_regression_family")
 def h11r(t):
-    """All nine regression shift-metrics over the folds of each endpoint."""
-    rows = with_intervals(reg_predictions(t), (0.1, 0.32, 0.5)).drop("half")
+    """All nine regression shift-metrics over the folds of each endpoint, with 1,000 redraws and ten levels."""
+    rows = with_intervals(reg_predictions(t)).drop("half")
     rows = rows.withColumn("id", F.concat_ws("/", "id", "test_set"))
     wanted = ["rmse", "r2", "pearson", "spearman", "validity", "efficiency", "ece", "ence", "scc"]
-    tested = H.permutation_test(rows, ["endpoint", "fold"], wanted, n=5, seed=SEED, kind="value")
+    tested = H.permutation_test(rows, ["endpoint", "fold"], wanted, n=PERMS, seed=SEED, kind="value")
     return H.family_p_values(tested, ["endpoint"], ["fold"])

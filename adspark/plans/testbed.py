@@ -159,6 +159,20 @@ REG_INTERVALS = """reg_intervals AS (
   FROM reg_subsets r, (SELECT unnest([0.0, 0.1, 0.2, 0.32, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9]::DOUBLE[]) AS sig_level) s)"""
 
 REG = [REG_PREDICTIONS, REG_SUBSETS]
+
+
+def event_predictions(t: Tables) -> DataFrame:
+    """(id, endpoint, fold, y, pred, half, inside): a regression over the events."""
+    # roots, so that no mean ends on a half of the last printed digit
+    pred = F.col("value") * 0.8 + F.sqrt(F.col("k") + 1.0) * 1.5
+    return events_base(t).select(
+        "id", "endpoint", "fold", F.col("value").alias("y"), pred.alias("pred"), F.sqrt(F.col("k") + 4.0).alias("half"), (F.col("k") < 70).alias("inside")
+    )
+
+
+EVENT_PREDICTIONS = """event_predictions AS (
+  SELECT id, endpoint, fold, value AS y, value * 0.8::DOUBLE + sqrt(k + 1.0::DOUBLE) * 1.5::DOUBLE AS pred, sqrt(k + 4.0::DOUBLE) AS half, k < 70 AS inside
+  FROM events_base)"""
 REG_ALL = [*REG, REG_INTERVALS]
 
 # --- descriptors from embeddings -----------------------------------------------------------------
