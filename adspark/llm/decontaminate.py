@@ -33,6 +33,8 @@ BLOCKS = 64
 SHINGLE = 5
 #: Bits of the hashes that mark shingles of the items.
 MARK_BITS = 20
+#: Types of item ids.
+ID_TYPES = {"tinyint": pa.int8(), "smallint": pa.int16(), "int": pa.int32(), "bigint": pa.int64(), "string": pa.string()}
 PUNCTUATION = string.punctuation.encode()
 
 
@@ -65,37 +67,44 @@ def run_hashes(ids: np.ndarray, size: int) -> np.ndarray:
     return (values >> np.uint64(64 - MARK_BITS)).astype(np.int64)
 
 
+@dataclass
+class Marks:
+    """Shingles that verify an entry: by size, for each hash the groups that hold such a shingle, a bit each."""
+
+    by_size: dict[int, np.ndarray]
+
+    def places(self, ids: np.ndarray) -> np.ndarray:
+        """For each place of a text the groups of which a shingle may begin there."""
+        out = np.zeros(len(ids), dtype=np.uint32)
+        for size, marked in self.by_size.items():
+            if size <= len(ids):
+                out[: len(ids) - size + 1] |= marked[run_hashes(ids, size)]
+        return out
+
+
 @dataclass
 class Index:
     """Entries of one length group: posting lists with share-of-entry weights, and the maxima of their blocks.
 
     ``items`` are the entries (id, question, answer, kind); one of a part has no words in the other.
-    ``lists`` and the rows of ``blocks`` (term x block of items) go by the number of the term, ``most``
-    is the maximum of each row.
+    ``lists`` goes by the number of the term; ``rows`` tells the row of ``blocks`` (term x block of items)
+    for each term, the first one, of zeros, for those that the group does not hold; ``most`` is the
+    maximum of each term's row.
     """
 
     length: int
     items: list[tuple]
     lists: dict[int, tuple[np.ndarray, np.ndarray]]
+    rows: np.ndarray
     blocks: np.ndarray
     block_items: int
-    #: by size of shingle, the marked hashes of the shingles that verify an entry
-    marks: dict[int, np.ndarray]
 
     def __post_init__(self):
-        self.most = self.blocks.max(axis=1)
-
-    def held(self, ids: np.ndarray) -> np.ndarray:
-        """Number of places before each one of a text where a shingle of some entry may begin."""
-        places = np.zeros(len(ids) + 1, dtype=np.int64)
-        for size, marked in self.marks.items():
-            if size <= len(ids):
-                places[1 : len(ids) - size + 2] += marked[run_hashes(ids, size)]
-        return np.cumsum(places)
+        self.most = self.blocks.max(axis=1)[self.rows]
 
     def search(self, terms: list[int], threshold: float) -> list[tuple[int, float]]:
         """Items whose score reaches the threshold, by block-max WAND over the lists of distinct terms."""
-        cursors = [[self.lists[t], 0, self.most[t], self.blocks[t]] for t in terms if t in self.lists]
+        cursors = [[self.lists[t], 0, self.most[t], self.blocks[self.rows[t]]] for t in terms if t in self.lists]
         found = []
         eps = 1e-9
         while True:
@@ -151,8 +160,8 @@ def entries_of(item: tuple) -> list[tuple]:
     return out
 
 
-def build_indexes(items: list[tuple], df: dict[bytes, int], n: int, mean_words: float) -> tuple[dict[bytes, int], list[Index]]:
-    """Numbers of the terms, and indexes by length group, of (id, question words, answer words).
+def build_indexes(items: list[tuple], df: dict[bytes, int], n: int, mean_words: float) -> tuple[dict[bytes, int], list[Index], Marks]:
+    """Numbers of the terms, indexes by length group and their marks, of (id, question words, answer words).
 
     ``df`` counts the items with a word, out of ``n`` items of ``mean_words`` words.
     """
@@ -162,7 +171,8 @@ def build_indexes(items: list[tuple], df: dict[bytes, int], n: int, mean_words:
         for entry in entries_of(item):
             size = len(entry[1]) + len(entry[2])
             groups[max(16, 1 << (size - 1).bit_length())].append(entry)
-    out = []
+    out: list[Index] = []
+    marks: dict[int, np.ndarray] = {}
     for length, members in sorted(groups.items()):
         postings = defaultdict(list)
         for k, (_, question, answer, _) in enumerate(members):
@@ -177,29 +187,31 @@ def build_indexes(items: list[tuple], df: dict[bytes, int], n: int, mean_words:
                 postings[term[w]].append((k, x / total))
         lists = {t: (np.array([k for k, _ in p]), np.array([x for _, x in p])) for t, p in postings.items()}
         block_items = math.ceil(len(members) / BLOCKS)
-        blocks = np.zeros((len(term), math.ceil(len(members) / block_items)))
-        for t, (ids, weights) in lists.items():
-            np.maximum.at(blocks[t], ids // block_items, weights)
-        marks: dict[int, np.ndarray] = {}
-        for _, *sides, _ in members:
-            for side in filter(None, sides):
-                size = min(SHINGLE, len(side))
-                marked = marks.setdefault(size, np.zeros(1 << MARK_BITS, dtype=bool))
-                marked[run_hashes(np.array([term[w] for w in side], dtype=np.int64), size)] = True
-        out.append(Index(length, members, lists, blocks, block_items, marks))
-    return term, out
-
-
-def passages(ids: np.ndarray, index: Index, threshold: float, verified: float) -> Iterator[tuple[int, list[int]]]:
+        rows = np.zeros(len(term), dtype=np.int32)
+        blocks = np.zeros((len(lists) + 1, math.ceil(len(members) / block_items)))
+        for row, (t, (ids, weights)) in enumerate(lists.items(), start=1):
+            rows[t] = row
+            np.maximum.at(blocks[row], ids // block_items, weights)
+        for _, question, answer, _ in members:
+            # an answer of fewer words verifies nothing
+            for side in (question, answer if len(answer) >= SHINGLE else []):
+                if side:
+                    size = min(SHINGLE, len(side))
+                    marked = marks.setdefault(size, np.zeros(1 << MARK_BITS, dtype=np.uint32))
+                    marked[run_hashes(np.array([term[w] for w in side], dtype=np.int64), size)] |= np.uint32(1 << len(out))
+        out.append(Index(length, members, lists, rows, blocks, block_items))
+    return term, out, Marks(marks)
+
+
+def passages(ids: np.ndarray, index: Index, threshold: float, begins: np.ndarray | None) -> Iterator[tuple[int, list[int]]]:
     """Start and distinct terms of the passages in which some block of items may reach the threshold.
 
     ``ids`` are the terms of a text's words, -1 for words in no item. First the lists' maxima are
-    added up for all passages at once, then the blocks' maxima for those that are left. If shingles
-    are to be verified, passages go that have none from ``length`` words before to as many after.
+    added up for all passages at once, then the blocks' maxima for those that are left. ``begins``
+    tells where a shingle to be verified may begin; passages go that have none from ``length`` words
+    before to as many after.
     """
-    held = index.held(ids) if verified > 0 else None
-    if held is not None and not held[-1]:
-        return
+    held = None if begins is None else np.concatenate([[0], np.cumsum(begins)])
     bound = np.zeros(len(ids) + 1)
     known = ids >= 0
     bound[1:][known] = index.most[ids[known]]
@@ -214,11 +226,11 @@ def passages(ids: np.ndarray, index: Index, threshold: float, verified: float) -
         terms = np.unique(ids[s:e])
         if terms[0] < 0:
             terms = terms[1:]
-        if index.blocks[terms].sum(axis=0).max() >= threshold - 1e-9:
+        if index.blocks[index.rows[terms]].sum(axis=0).max() >= threshold - 1e-9:
             yield s, terms.tolist()
 
 
-def leaks_of(words: list[bytes], term: dict[bytes, int], indexes: list[Index], threshold: float, verified: float) -> dict:
+def leaks_of(words: list[bytes], term: dict[bytes, int], indexes: list[Index], marks: Marks, threshold: float, verified: float) -> dict:
     """item id -> [score, question overlap, answer overlap, passages] of the verified items of one text.
 
     Score and passages are those of the whole if it was found, else of the question, else of the answer.
@@ -226,8 +238,13 @@ def leaks_of(words: list[bytes], term: dict[bytes, int], indexes: list[Index], t
     found: dict = {}
     get = term.get
     ids = np.array([get(w, -1) for w in words], dtype=np.int64)
-    for index in indexes if (ids >= 0).any() else ():
-        for start, terms in passages(ids, index, threshold, verified):
+    places = marks.places(ids) if verified > 0 else None
+    some = (1 << len(indexes)) - 1 if places is None else int(np.bitwise_or.reduce(places, initial=0))
+    for g, index in enumerate(indexes):
+        if not some >> g & 1:
+            continue
+        begins = None if places is None else places >> np.uint32(g) & np.uint32(1)
+        for start, terms in passages(ids, index, threshold, begins):
             for k, score in index.search(terms, threshold):
                 item, question, answer, kind = index.items[k]
                 near = words[max(0, start - index.length) : start + 3 * index.length]
@@ -261,7 +278,8 @@ def decontaminate(
     whole, or of the part if only that was found. Items without words, and NULL or empty texts, match
     nothing. Repeated documents give their own rows; a repeated item id is one item with its largest
     values. Other input columns are left out. Items are indexed ``index_words`` words at a time: each
-    index goes to all tasks and has that bound, and documents are read once for each.
+    index goes to all tasks and has that bound, and documents are read once for each. An ``item_id`` is a
+    whole number or a string; the documents' id may be of any type.
     """
     spark = docs.sparkSession
     kind, item_kind = (d.schema[c].dataType.simpleString() for d, c in ((docs, id_col), (items, "item_id")))
@@ -299,11 +317,13 @@ def decontaminate(
                 ids = batch.column(0).take(pa.array(columns[0], pa.int64()))
                 arrays = [pa.array(c, t) for c, t in zip(columns[2:], [pa.float64()] * 3 + [pa.int64()])]
                 names = ["doc_id", "item_id", "score", "question_overlap", "answer_overlap", "n_passages"]
-                yield pa.RecordBatch.from_arrays([ids, pa.array(columns[1]).cast(item_type), *arrays], names=names)
+                yield pa.RecordBatch.from_arrays([ids, pa.array(columns[1], item_type), *arrays], names=names)
 
         return narrow.mapInArrow(run, schema)
 
-    item_type = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[item_kind]
+    if item_kind not in ID_TYPES:
+        raise ValueError(f"item_id must be a whole number or a string, not {item_kind}")
+    item_type = ID_TYPES[item_kind]
     result = scan(0)
     for b in range(1, blocks):
         result = result.unionByName(scan(b))

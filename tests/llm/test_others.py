@@ -76,7 +76,7 @@ def test_search_finds_all_above_the_threshold():
     items = [(i, [w.encode() for w in q], [w.encode() for w in a]) for i, q, a in items]
     df = {w.encode(): n for w, n in df.items()}
     mean = sum(len(q) + len(a) for _, q, a in items) / len(items)
-    term, indexes = D.build_indexes(items, df, len(items), mean)
+    term, indexes, _ = D.build_indexes(items, df, len(items), mean)
     for index in indexes:
         weights = {t: dict(zip(ids.tolist(), x.tolist())) for t, (ids, x) in index.lists.items()}
         for threshold in (0.3, 0.6, 0.9):
