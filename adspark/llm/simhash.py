@@ -73,7 +73,11 @@ def fingerprint_of(data: bytes, shingle: int = 3) -> int:
         stops = (ends[shingle - 1 :] - 1).tolist()
         digest = xxhash.xxh64_intdigest
         hashes = [digest(joined[a:b], 42) for a, b in zip(starts, stops)]
-    values = np.array(hashes, dtype="<u8")
+    return majority(np.array(hashes, dtype="<u8"))
+
+
+def majority(values: np.ndarray) -> int:
+    """The bits that are set in over half of the numbers."""
     counts = np.zeros(64, dtype=np.int64)
     for at in range(0, len(values), 1 << 16):  # bounded memory for very long texts
         bits = np.unpackbits(values[at : at + (1 << 16)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")

@@ -1,16 +1,18 @@
-"""Near copies by exact Jaccard similarity of word shingles.
-
-Candidates come from the prefix filter: with the shingles of all texts in one common order, two texts
-of similarity t or more share one of the first n - ceil(t n) + 1 shingles of each, n being the text's
-own number. Shingles that a sample of texts finds frequent come last in the order, the others go by
-their hash; any order gives the same links. Texts that meet in a list are compared by size and by
-a bitmap of 256 bits in which each shingle flips one bit: texts whose bitmaps differ in more bits than
-their sets may differ in shingles are no pair. What is left is verified on the texts themselves, so
-links are those of all pairs.
-
-Large groups of near copies would make pairs by the square. They are linked before, by a few MinHash
-keys: texts with the same key are verified against the least of them. Pairs that are in one component
-already are not made again.
+"""Near copies by SimHash and exact Jaccard similarity of word shingles.
+
+Large groups of near copies would make pairs by the square. They are linked first: texts whose SimHash
+fingerprints differ in few bits, found by the byte-position index of ``simhash``, and texts that share a
+MinHash key are verified against the least text of their group.
+
+SimHash alone misses copies with more than a few changed words, so the rest is found by the prefix
+filter: with the shingles of all texts in one common order, two texts of similarity t or more share
+one of the first n - ceil(t n) + 1 shingles of each, n being the text's own number. Shingles that a
+sample of texts finds frequent come last in the order, the others go by their hash; any order gives
+the same links. Texts that meet in a list, and are not in one component yet, are compared by size and by
+a short bitmap in which each shingle flips one bit: texts whose bitmaps differ in more bits than their
+sets may differ in shingles are no pair. Pairs that are left are compared by a bitmap that grows with
+the text, which lets little but true pairs pass; only these are verified on the texts themselves. Links
+are those of all pairs.
 """
 
 from __future__ import annotations
@@ -26,14 +28,18 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from .common import parts, written
 from .components import components
-from .simhash import one_of_each_root, tag_of
+from .simhash import majority, near_links, one_of_each_root, tag_of
 
 #: MinHash keys of a text for the first links, and minima in a key.
 BANDS, ROWS = 8, 4
 #: Texts in the sample for frequent shingles, texts of it that make one frequent, and the most of them.
 SAMPLE, FREQUENT, MOST_FREQUENT = 5000, 3, 100_000
-#: Longest list that is compared row against row at once.
-SHORT = 64
+#: Longest list that is compared row against row at once, and longest one that a single task compares.
+SHORT, LONG = 64, 4000
+#: SimHash bits in which texts of the first links differ at most.
+NEAR_BITS = 2
+#: Bits of the long bitmap for each shingle, at least, and the fewest of a bitmap.
+BITS_EACH, FEWEST_BITS = 4, 256
 ROWS_PER_PART = 200_000
 
 _FACTORS = np.random.default_rng(42).integers(1, 1 << 63, (BANDS * ROWS, 1), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -46,10 +52,15 @@ def shingles(text: str | None, size: int) -> list[bytes]:
     return [b" ".join(words[i : i + n]) for i in range(len(words) - n + 1)] if n else []
 
 
+def all_hashes(text: str | None, size: int) -> np.ndarray:
+    """Hashes of all shingles, repeated ones too."""
+    digest = xxhash.xxh64_intdigest
+    return np.array([digest(s, 42) for s in shingles(text, size)], dtype=np.uint64)
+
+
 def hashes(text: str | None, size: int) -> np.ndarray:
     """Hashes of the distinct shingles, in order."""
-    digest = xxhash.xxh64_intdigest
-    return np.unique(np.array([digest(s, 42) for s in shingles(text, size)], dtype=np.uint64))
+    return np.unique(all_hashes(text, size))
 
 
 def similarity(a: frozenset, b: frozenset) -> float:
@@ -77,6 +88,20 @@ def bitmap(values: np.ndarray) -> np.ndarray:
     return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64)
 
 
+def long_bitmap(values: np.ndarray) -> bytes:
+    """As ``bitmap``, with a power of two of bits that follows the number of shingles."""
+    bits = 1 << max(FEWEST_BITS, BITS_EACH * len(values)).bit_length() - 1
+    odd = np.bincount((values >> np.uint64(8)).astype(np.int64) & (bits - 1), minlength=bits) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
+
+
+def bitmaps_differ(a: bytes, b: bytes) -> int:
+    """Bits in which two long bitmaps differ, the longer one folded to the length of the other."""
+    x, y = sorted((np.frombuffer(v, dtype=np.uint64) for v in (a, b)), key=len)
+    y = np.bitwise_xor.reduce(y.reshape(-1, len(x)), axis=0)
+    return int(np.bitwise_count(x ^ y).sum())
+
+
 def minima(values: np.ndarray) -> np.ndarray:
     """MinHash keys: each of several minima of the remixed hashes."""
     if not len(values):
@@ -145,28 +170,47 @@ def _frequent(texts: DataFrame, size: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _sketches(texts: DataFrame, size: int, least: float) -> DataFrame:
-    """(key, n, bitmap, bands, prefix) of each text."""
+    """(key, n, fp, bitmap, bands, prefix, long) of each different text."""
     shared = texts.sparkSession.sparkContext.broadcast(_frequent(texts, size))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            n, lists = [], ([], [], [])
+            n, prints, lists, long = [], [], ([], [], []), []
             for text in batch.column(1):
-                values = hashes(text.as_py(), size)
+                every = all_hashes(text.as_py(), size)
+                values = np.unique(every)
                 n.append(len(values))
+                prints.append(majority(every) if len(every) else 0)
+                long.append(long_bitmap(values))
                 for column, x in zip(lists, (bitmap(values), minima(values), prefix(values, shared.value, least).view(np.int64))):
                     column.append(x)
-            arrays = [pa.array(column, pa.list_(pa.int64())) for column in lists]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), *arrays], names=["key", "n", "bitmap", "bands", "prefix"])
+            fp = pa.array(np.array(prints, dtype=np.uint64).view(np.int64))
+            arrays = [pa.array(n, pa.int64()), fp, *[pa.array(column, pa.list_(pa.int64())) for column in lists], pa.array(long, pa.binary())]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *arrays], names=["key", "n", "fp", "bitmap", "bands", "prefix", "long"])
+
+    schema = "key long, n long, fp long, bitmap array<long>, bands array<long>, prefix array<long>, long binary"
+    return texts.select("key", "text").mapInArrow(run, schema).dropDuplicates(["key"])
 
-    schema = "key long, n long, bitmap array<long>, bands array<long>, prefix array<long>"
-    return texts.select("key", "text").mapInArrow(run, schema)
+
+def _likely(pairs: DataFrame, sketches: DataFrame, least: float) -> DataFrame:
+    """Pairs (a, b) whose long bitmaps differ in no more bits than similar sets may differ in shingles."""
+    sides = pairs
+    for c in "ab":
+        sides = sides.join(sketches.select(F.col("key").alias(c), F.col("n").alias(f"n_{c}"), F.col("long").alias(f"long_{c}")), c)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n = batch.column(2).to_numpy() + batch.column(3).to_numpy()
+            differ = np.array([bitmaps_differ(x.as_py(), y.as_py()) for x, y in zip(batch.column(4), batch.column(5))], dtype=np.int64)
+            yield batch.select([0, 1]).filter(pa.array(differ <= n * (1 - least) / (1 + least) + 1e-9))
+
+    return sides.select("a", "b", "n_a", "n_b", "long_a", "long_b").mapInArrow(run, "a long, b long")
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, size: int, least: float) -> DataFrame:
     """Pairs (a, b) of keys whose texts are similar."""
     keys = pairs.select(F.col("a").alias("key")).unionByName(pairs.select(F.col("b").alias("key"))).distinct()
-    needed = written(texts.join(keys, "key", "left_semi"), "candidate-texts")
+    needed = written(texts.join(keys, "key", "left_semi").dropDuplicates(["key"]), "candidate-texts")
     sides = pairs
     for c in "ab":
         sides = sides.join(needed.select(F.col("key").alias(c), F.col("text").alias(f"text_{c}")), c)
@@ -182,8 +226,12 @@ def _verified(pairs: DataFrame, texts: DataFrame, size: int, least: float) -> Da
 
 
 def _first_pairs(sketches: DataFrame) -> DataFrame:
-    """Pairs of texts with a MinHash key in common, each with the least of its list."""
+    """Pairs of texts with a MinHash key or a group of near fingerprints in common, each with the least of its list."""
+    prints = written(sketches.select("fp").distinct(), "prints")
+    near = components(near_links(prints, NEAR_BITS))
+    groups = sketches.join(near, sketches["fp"] == near["node"], "left")
     index = sketches.select("key", F.posexplode("bands").alias("t", "k"))
+    index = index.unionByName(groups.select("key", F.lit(-1).alias("t"), F.coalesce("component", "fp").alias("k")))
     lists = index.groupBy("t", "k").agg(F.min("key").alias("a"), F.count("*").alias("n")).where("n > 1")
     return index.join(lists, ["t", "k"]).where("key != a").select("a", F.col("key").alias("b")).distinct()
 
@@ -208,17 +256,27 @@ def _other_pairs(sketches: DataFrame, joined: DataFrame, least: float) -> DataFr
         yield from (_batch(a, b) for a, b in pairs_in_lists(rest, least))
 
     partitions = parts(rows, sketches.sparkSession.sparkContext.defaultParallelism, ROWS_PER_PART)
+    # a long list is cut into blocks, and every two of them are a list of their own
+    counts = written(index.groupBy("k").agg(F.count("*").alias("rows"), F.min("component").alias("c0"), F.max("component").alias("c1")).where("c0 < c1"), "lists")
+    blocks = F.ceil(F.col("rows") / (LONG // 2)).cast("int")
+    own = F.pmod(F.col("key"), blocks).cast("int")
+    others = F.transform(F.sequence(F.lit(0), blocks - 1), lambda j: F.xxhash64("k", F.least(own, j), F.greatest(own, j)))
+    index = index.join(counts.select("k", "rows"), "k")
+    index = index.withColumn("k", F.explode(F.when(F.col("rows") > LONG, others).otherwise(F.array("k")))).drop("rows")
     dealt = index.repartition(partitions, "k").sortWithinPartitions("k", "component")
     return dealt.mapInArrow(run, "a long, b long").distinct()
 
 
 def similar_links(texts: DataFrame, least: float = 0.8, shingle: int = 5) -> DataFrame:
-    """Links (a, b) that join all keys of (key, text) with texts of Jaccard similarity ``least`` or more."""
+    """Links (a, b) that join all keys of (key, text) with texts of Jaccard similarity ``least`` or more; rows of a key are equal."""
     sketches = written(_sketches(texts, shingle, least), "sketches")
-    first = written(_verified(written(_first_pairs(sketches), "first-pairs"), texts, shingle, least), "first-links")
-    joined = components(first)
-    other = written(_other_pairs(sketches, joined, least), "other-pairs")
-    return first.unionByName(written(_verified(other, texts, shingle, least), "other-links"))
+
+    def links(pairs: DataFrame, name: str) -> DataFrame:
+        likely = written(_likely(written(pairs, f"{name}-pairs"), sketches, least), f"{name}-likely")
+        return written(_verified(likely, texts, shingle, least), f"{name}-links")
+
+    first = links(_first_pairs(sketches), "first")
+    return first.unionByName(links(_other_pairs(sketches, components(first), least), "other"))
 
 
 def _key(text: Column) -> Column:
@@ -232,8 +290,7 @@ def keep_one_of_similar(docs: DataFrame, least: float = 0.8, shingle: int = 5, i
     texts without words, and NULL, are equal. The row that stays is that of ``simhash.keep_one_of_each``.
     """
     key, text = _key(F.col(text_col)).alias("key"), F.col(text_col).cast("string").alias("text")
-    texts = written(docs.select(key, text).dropDuplicates(["key"]), "distinct-texts")
-    joined = components(similar_links(texts, least, shingle))
+    joined = components(similar_links(docs.select(key, text), least, shingle))
     marks = docs.select(F.col(id_col).alias("doc_id"), tag_of(text_col).alias("tag"), key)
     found = marks.join(joined, marks["key"] == joined["node"], "left").select("doc_id", "tag", F.coalesce("component", "key").alias("root"))
     return one_of_each_root(docs, found, id_col, text_col)

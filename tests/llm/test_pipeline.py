@@ -8,8 +8,8 @@ import zlib
 import pytest
 
 import corpus_pipeline
-from adspark.llm import simhash
 from tests.llm.test_repeats import brute
+from tests.llm.test_similar import kept as kept_of_all_pairs
 
 FOLDER = "/root/testdata/sf0.001"
 
@@ -40,16 +40,9 @@ def test_rejected_documents_go(spark, stages):
 
 
 def test_one_of_each_group_stays(stages):
-    prints = {r["doc_id"]: simhash.fingerprint_of((r["text"] or "").encode()) for r in stages[1]}
-    group = {d: d for d in prints}
-    changed = True
-    while changed:
-        changed = False
-        for a, fa in prints.items():
-            for b, fb in prints.items():
-                if (fa ^ fb).bit_count() <= corpus_pipeline.NEAR_BITS and group[a] > group[b]:
-                    group[a], changed = group[b], True
-    assert sorted(r["doc_id"] for r in stages[2]) == sorted(set(group.values()))
+    rows = sorted(stages[1], key=lambda r: r["doc_id"])
+    want = {rows[i]["doc_id"] for i in kept_of_all_pairs([r["text"] for r in rows])}
+    assert {r["doc_id"] for r in stages[2]} == want and len(want) < len(rows)
 
 
 def test_repeated_passages_go(stages):

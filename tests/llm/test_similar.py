@@ -7,6 +7,7 @@ from itertools import combinations
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from adspark.llm import similar
@@ -69,11 +70,25 @@ def test_stage_keeps_one_of_each_group_of_similar_texts(spark, corpus):
 
 def test_without_first_links_and_with_frequent_shingles(spark, corpus, monkeypatch):
     monkeypatch.setattr(similar, "_first_pairs", lambda sketches: spark.createDataFrame([], "a long, b long"))
-    monkeypatch.setattr(similar, "SHORT", 4)
+    monkeypatch.setattr(similar, "LONG", 8)
     rows = similar.keep_one_of_similar(frame(spark, corpus)).collect()
     assert sorted(r["doc_id"] for r in rows) == kept(corpus)
 
 
+def test_first_links_come_from_simhash_and_minhash(spark, corpus):
+    rng = random.Random(4)
+    base = words(rng, 400)
+    texts = [" ".join(base), " ".join(changed(rng, base, 1)), " ".join(words(rng, 400))]
+    frame_ = spark.createDataFrame(list(enumerate(texts)), "key long, text string")
+    sketches = similar._sketches(frame_, 5, 0.8)
+    assert {tuple(r) for r in similar._first_pairs(sketches).collect()} == {(0, 1)}
+    # without MinHash keys the fingerprints still find the pair
+    prints = {r["key"]: r["fp"] & (1 << 64) - 1 for r in sketches.collect()}
+    near = (prints[0] ^ prints[1]).bit_count() <= similar.NEAR_BITS
+    alone = similar._first_pairs(sketches.withColumn("bands", F.array().cast("array<long>"))).collect()
+    assert {tuple(r) for r in alone} == ({(0, 1)} if near else set())
+
+
 def test_prefixes_of_similar_sets_meet_and_bitmaps_bound_the_difference():
     rng = np.random.default_rng(3)
     for _ in range(300):
@@ -85,5 +100,6 @@ def test_prefixes_of_similar_sets_meet_and_bitmaps_bound_the_difference():
         both = len(np.intersect1d(a, b))
         differ = len(a) + len(b) - 2 * both
         assert np.bitwise_count((similar.bitmap(a) ^ similar.bitmap(b)).view(np.uint64)).sum() <= differ
+        assert similar.bitmaps_differ(similar.long_bitmap(a), similar.long_bitmap(b)) <= differ
         if both >= 0.8 * (both + differ):
             assert len(np.intersect1d(similar.prefix(a, frequent, 0.8), similar.prefix(b, frequent, 0.8)))
