@@ -2,7 +2,8 @@
 
 Large groups of near copies would make pairs by the square. They are linked first: texts whose SimHash
 fingerprints differ in few bits, found by the byte-position index of ``simhash``, and texts that share a
-MinHash key are verified against the least text of their group.
+MinHash key are verified against the least text of their group, and then those that share a list of
+the prefix filter against one text of the list.
 
 SimHash alone misses copies with more than a few changed words, so the rest is found by the prefix
 filter: with the shingles of all texts in one common order, two texts of similarity t or more share
@@ -36,6 +37,8 @@ BANDS, ROWS = 8, 4
 SAMPLE, FREQUENT, MOST_FREQUENT = 5000, 3, 100_000
 #: Longest list that is compared row against row at once, and longest one that a single task compares.
 SHORT, LONG = 64, 4000
+#: Times that the texts of a list are compared with one of them before all are with each other.
+TURNS = 2
 #: SimHash bits in which texts of the first links differ at most.
 NEAR_BITS = 2
 #: Bits of the long bitmap for each shingle, at least, and the fewest of a bitmap.
@@ -236,13 +239,47 @@ def _first_pairs(sketches: DataFrame) -> DataFrame:
     return index.join(lists, ["t", "k"]).where("key != a").select("a", F.col("key").alias("b")).distinct()
 
 
-def _other_pairs(sketches: DataFrame, joined: DataFrame, least: float) -> DataFrame:
+def _open_lists(sketches: DataFrame, joined: DataFrame) -> DataFrame:
+    """(k, key): shingles of the prefixes with their texts, of those lists that hold texts of several components."""
+    index = sketches.select(F.explode("prefix").alias("k"), "key")
+    named = _named(index, joined)
+    lists = named.groupBy("k").agg(F.min("component").alias("c0"), F.max("component").alias("c1")).where("c0 < c1").select("k")
+    return index.join(written(lists, "lists"), "k")
+
+
+def _named(rows: DataFrame, joined: DataFrame) -> DataFrame:
+    """Rows of (key, ...) with the component of the text."""
+    return rows.join(joined, rows["key"] == joined["node"], "left").withColumn("component", F.coalesce("component", "key")).drop("node")
+
+
+def _sizes(sketches: DataFrame, suffix: str = "") -> DataFrame:
+    """What tells quickly whether two texts may be similar: (key, n, b0..b3), the names with a suffix."""
+    return sketches.select(F.col("key").alias(f"key{suffix}"), F.col("n").alias(f"n{suffix}"), *[F.col("bitmap")[w].alias(f"b{w}{suffix}") for w in range(4)])
+
+
+def _star_pairs(lists: DataFrame, sketches: DataFrame, joined: DataFrame, least: float, turn: int) -> DataFrame:
+    """Pairs of texts in the same list and different components, each with one text of the list: no more than the list is long.
+
+    Which text that is depends on the list and the turn, so that one far from the others does little harm.
+    """
+    rows = written(_named(lists, joined), "list-rows")
+    first = F.min(F.struct(F.xxhash64("key", "k", F.lit(turn)).alias("order"), "key", "component")).alias("m")
+    met = rows.join(rows.groupBy("k").agg(first), "k").where(F.col("component") != F.col("m.component"))
+    pairs = met.select(F.least("key", "m.key").alias("key_a"), F.greatest("key", "m.key").alias("key_b")).distinct()
+    sides = pairs.join(_sizes(sketches, "_a"), "key_a").join(_sizes(sketches, "_b"), "key_b")
+    smaller, larger = F.least("n_a", "n_b"), F.greatest("n_a", "n_b")
+    differ = sum((F.bit_count(F.col(f"b{w}_a").bitwiseXOR(F.col(f"b{w}_b"))) for w in range(4)), F.lit(0))
+    possible = (smaller >= F.lit(least) * larger - 1e-9) & (differ <= (F.col("n_a") + F.col("n_b")) * ((1 - least) / (1 + least)) + 1e-9)
+    return sides.where(possible).select(F.col("key_a").alias("a"), F.col("key_b").alias("b"))
+
+
+def _other_pairs(lists: DataFrame, sketches: DataFrame, joined: DataFrame, least: float) -> DataFrame:
     """Pairs of texts that share a shingle of their prefixes, may be similar and are in different components."""
-    named = sketches.join(joined, sketches["key"] == joined["node"], "left")
-    component = F.coalesce("component", "key").alias("component")
-    bits = [F.col("bitmap")[w].alias(f"b{w}") for w in range(4)]
-    index = named.select(F.explode("prefix").alias("k"), "key", component, "n", *bits)
-    rows = sketches.agg(F.sum(F.size("prefix"))).first()[0] or 0
+    named = _named(lists, joined)
+    counts = named.groupBy("k").agg(F.count("*").alias("rows"), F.min("component").alias("c0"), F.max("component").alias("c1"))
+    counts = written(counts.where("c0 < c1").select("k", "rows"), "lists")
+    rows = counts.agg(F.sum("rows")).first()[0] or 0
+    index = named.join(counts, "k").join(_sizes(sketches), "key").select("k", "key", "component", "n", "b0", "b1", "b2", "b3", "rows")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rest = np.empty((8, 0), dtype=np.int64)
@@ -257,11 +294,9 @@ def _other_pairs(sketches: DataFrame, joined: DataFrame, least: float) -> DataFr
 
     partitions = parts(rows, sketches.sparkSession.sparkContext.defaultParallelism, ROWS_PER_PART)
     # a long list is cut into blocks, and every two of them are a list of their own
-    counts = written(index.groupBy("k").agg(F.count("*").alias("rows"), F.min("component").alias("c0"), F.max("component").alias("c1")).where("c0 < c1"), "lists")
     blocks = F.ceil(F.col("rows") / (LONG // 2)).cast("int")
     own = F.pmod(F.col("key"), blocks).cast("int")
     others = F.transform(F.sequence(F.lit(0), blocks - 1), lambda j: F.xxhash64("k", F.least(own, j), F.greatest(own, j)))
-    index = index.join(counts.select("k", "rows"), "k")
     index = index.withColumn("k", F.explode(F.when(F.col("rows") > LONG, others).otherwise(F.array("k")))).drop("rows")
     dealt = index.repartition(partitions, "k").sortWithinPartitions("k", "component")
     return dealt.mapInArrow(run, "a long, b long").distinct()
@@ -275,8 +310,13 @@ def similar_links(texts: DataFrame, least: float = 0.8, shingle: int = 5) -> Dat
         likely = written(_likely(written(pairs, f"{name}-pairs"), sketches, least), f"{name}-likely")
         return written(_verified(likely, texts, shingle, least), f"{name}-links")
 
-    first = links(_first_pairs(sketches), "first")
-    return first.unionByName(links(_other_pairs(sketches, components(first), least), "other"))
+    found = links(_first_pairs(sketches), "first")
+    joined = components(found)
+    lists = written(_open_lists(sketches, joined), "open-lists")
+    for turn in range(TURNS):
+        found = found.unionByName(links(_star_pairs(lists, sketches, joined, least, turn), "star"))
+        joined = components(found)
+    return found.unionByName(links(_other_pairs(lists, sketches, joined, least), "other"))
 
 
 def _key(text: Column) -> Column:
