@@ -18,8 +18,11 @@ from ..functions.ordered import with_scalars
 from ..sources.shared import materialise
 from . import calibrate, intervals, splits
 from .domain import agreement_classification, agreement_regression, agreement_weight, spread_of
+from .trees import Forest
 
 _VEC = "_vector"
+#: Rows that a forest is fitted on, about, unless a caller sets another bound, and rows that are worth a task.
+FIT_ROWS, ROWS_PER_TASK = 20_000, 2_000
 
 
 def with_vector(df: DataFrame, features: str = "features") -> DataFrame:
@@ -34,19 +37,22 @@ def balanced_weights(df: DataFrame, label: str = "y") -> DataFrame:
     return weighted.drop("_n", "_n1")
 
 
-def bounded(train: DataFrame, fit_rows: int | None) -> DataFrame:
+def bounded(train: DataFrame, fit_rows: int | None = FIT_ROWS) -> DataFrame:
     """About ``fit_rows`` training rows, chosen by hash of their id; all of them without a bound.
 
     Trees without a depth limit grow with their rows and meet on the driver, so a forest on very many
-    rows needs the bound.
+    rows needs the bound. Rows are put into as many tasks as their number is worth: every level of the
+    trees is a job over all of them.
     """
     if fit_rows is None:
         return train
-    share = min(1.0, fit_rows / max(1, train.count()))
-    return train.where(F.pmod(F.xxhash64("id"), F.lit(1 << 30)) < int(share * (1 << 30)))
+    n = train.count()
+    share = min(1.0, fit_rows / max(1, n))
+    chosen = train.where(F.pmod(F.xxhash64("id"), F.lit(1 << 30)) < int(share * (1 << 30)))
+    return chosen.coalesce(max(1, min(n, fit_rows) // ROWS_PER_TASK))
 
 
-def fit_regressor(train: DataFrame, seed: int, trees: int = 100, depth: int = 30, fit_rows: int | None = None):
+def fit_regressor(train: DataFrame, seed: int, trees: int = 100, depth: int = 30, fit_rows: int | None = FIT_ROWS):
     """Forest of regression trees, a third of the features per split, on at most about ``fit_rows`` rows."""
     train = bounded(train, fit_rows)
     forest = RandomForestRegressor(
@@ -61,7 +67,7 @@ def classifier(seed: int, trees: int = 101, depth: int = 30) -> RandomForestClas
     )
 
 
-def fit_classifier(train: DataFrame, seed: int, trees: int = 101, depth: int = 30, grid: dict | None = None, fit_rows: int | None = None):
+def fit_classifier(train: DataFrame, seed: int, trees: int = 101, depth: int = 30, grid: dict | None = None, fit_rows: int | None = FIT_ROWS):
     """Forest of classification trees, balanced classes, square root of the features per split.
 
     At most about ``fit_rows`` rows are fitted.
@@ -105,19 +111,12 @@ def native_classes(model, rows: DataFrame) -> DataFrame:
 
 
 def with_tree_outputs(model, rows: DataFrame, probability: bool = False) -> DataFrame:
-    """Input columns plus ``trees``: per-tree prediction, or probability of class 1."""
-    out = with_vector(rows)
-    names = []
-    for i, tree in enumerate(model.trees):
-        name = f"_t{i}"
-        if probability:
-            tree.setPredictionCol("").setRawPredictionCol("").setProbabilityCol(name)
-        else:
-            tree.setPredictionCol(name)
-        out = tree.transform(out)
-        names.append(name)
-    each = [class_1_probability(n) if probability else F.col(n) for n in names]
-    return out.select(*rows.columns, F.array(*each).alias("trees"))
+    """Input columns plus ``trees``: per-tree prediction, or probability of class 1.
+
+    ``model`` is a fitted forest, or the ``Forest`` made of it if several tables are scored.
+    """
+    forest = model if isinstance(model, Forest) else Forest(rows.sparkSession, model, probability)
+    return rows.withColumn("trees", forest.outputs("features"))
 
 
 def score_values(model, rows: DataFrame) -> DataFrame:
@@ -152,7 +151,7 @@ def native_intervals(train: DataFrame, test: DataFrame, levels, seed: int, trees
 
 
 def _calibrated(fit_rows: DataFrame, calibration: DataFrame, test: DataFrame, name: str, index: int, seed: int, trees: int, depth: int):
-    model = fit_regressor(fit_rows, seed, trees, depth)
+    model = Forest(test.sparkSession, fit_regressor(fit_rows, seed, trees, depth))
     tag = F.lit(index).alias(name)
     cal = score_values(model, calibration).select(tag, "id", "y", "pred", "spread", "scale")
     new = score_values(model, test).select(tag, "id", "pred", "spread", "scale")
@@ -269,7 +268,7 @@ def agreement_weights(train: DataFrame, seed: int, regression: bool, trees: int
             forest = RandomForestClassifier(
                 featuresCol=_VEC, labelCol="y", numTrees=trees, maxDepth=depth, featureSubsetStrategy="sqrt", seed=seed
             )
-            model = forest.fit(with_vector(fit_rows))
+            model = forest.fit(with_vector(bounded(fit_rows)))
         scored = with_tree_outputs(model, numbered.where(own), probability=not regression)
         measure = agreement_regression if regression else agreement_classification
         agree, std = measure("trees", "y")

@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 from adspark.operators import intervals as I
 from adspark.operators import models as M
+from adspark.operators.trees import Forest, Nodes, runs_of_trees
 from adspark.sources.shared import materialise
 
 SMALL = {"trees": 8, "depth": 4}
@@ -85,3 +87,60 @@ def test_component_count_is_capped(rows):
     scores, explained = M.principal_components(rows, "features", 10, 4)
     assert len(explained) == 4 and sum(explained) == pytest.approx(100)
     assert len(scores.first().components) == 4
+
+
+def test_nodes_walk_a_tree_grown_by_hand():
+    # x0 <= 1 ? 10 : (x1 <= -2 ? 20 : 30), and a tree of one leaf
+    table = pd.DataFrame(
+        [(0, 0, 0, 1.0, 1, 2, 0.0), (0, 1, -1, None, -1, -1, 10.0), (0, 2, 1, -2.0, 3, 4, 0.0), (0, 3, -1, None, -1, -1, 20.0), (0, 4, -1, None, -1, -1, 30.0), (7, 0, -1, None, -1, -1, 5.0)],
+        columns=["tree", "node", "feature", "threshold", "left", "right", "value"],
+    )
+    nodes = Nodes.of(table.sample(frac=1, random_state=1))
+    x = np.array([[1.0, 9.0], [1.5, -2.0], [1.5, 0.0], [np.nan, np.nan], [np.inf, -np.inf]])
+    assert nodes.outputs(x).tolist() == [[10, 5], [20, 5], [30, 5], [30, 5], [20, 5]]
+    assert nodes.outputs(x[:0]).shape == (0, 2)
+    with pytest.raises(ValueError):
+        Nodes.of(table[table["node"] != 1])
+
+
+def test_runs_of_trees():
+    assert runs_of_trees([], 10) == []
+    assert runs_of_trees([4, 6, 1], 10) == [(0, 2), (2, 3)]
+    assert runs_of_trees([50, 3, 50], 10) == [(0, 1), (1, 2), (2, 3)]
+
+
+def test_trees_as_nodes_equal_the_trees_themselves(spark, rows):
+    for target, fit in (("value", M.fit_regressor), ("label", M.fit_classifier)):
+        train, test = sides(rows, target)
+        model = fit(train, 1, **SMALL)
+        chained = M.with_vector(test)
+        for i, tree in enumerate(model.trees):
+            tree.setPredictionCol(f"p{i}" if target == "value" else "")
+            if target == "label":
+                tree.setRawPredictionCol("").setProbabilityCol(f"p{i}")
+            chained = tree.transform(chained)
+        want = {r.id: [r[f"p{i}"] if target == "value" else r[f"p{i}"][1] for i in range(8)] for r in chained.collect()}
+        for most in (1, 40, 4_000_000):
+            forest = Forest(spark, model, target == "label", most)
+            assert len(forest.runs) == {1: 8, 4_000_000: 1}.get(most, len(forest.runs))
+            got = M.with_tree_outputs(forest, test)
+            plan = got._jdf.queryExecution().executedPlan().toString()
+            assert plan.count("ArrowEvalPython") == len(forest.runs)
+            assert {r.id: pytest.approx(r.trees) for r in got.collect()} == want
+
+
+def test_rows_without_features_and_clashing_columns(spark, rows):
+    train, test = sides(rows, "value")
+    forest = Forest(spark, M.fit_regressor(train, 1, **SMALL))
+    odd = spark.createDataFrame([(1, None, "a"), (2, [0.0, None, 1.0, 2.0], "b"), (2, [0.0, None, 1.0, 2.0], "b")], "id int, features array<double>, node string")
+    got = M.with_tree_outputs(forest, odd).collect()
+    assert [r.node for r in got] == ["a", "b", "b"] and got[0].trees is None and len(got[1].trees) == 8 and got[1].trees == got[2].trees
+    assert M.with_tree_outputs(forest, odd.limit(0)).collect() == []
+    with pytest.raises(Exception, match="4 features"):
+        M.with_tree_outputs(forest, spark.createDataFrame([([1.0],)], "features array<double>")).collect()
+
+
+def test_a_bound_keeps_about_that_many_rows(rows):
+    train, _ = sides(rows, "value")
+    assert M.bounded(train).count() == 120 and 20 <= M.bounded(train, 50).count() <= 80
+    assert M.bounded(train.limit(0)).count() == 0
