@@ -126,8 +126,8 @@ def score_values(model, rows: DataFrame) -> DataFrame:
     return out.withColumn("scale", F.exp("spread"))
 
 
-def in_parallel(jobs: list[Callable[[], DataFrame]], threads: int = 4) -> list[DataFrame]:
-    """Run independent fits side by side; every fit is itself a distributed job."""
+def in_parallel(jobs: list[Callable], threads: int = 8) -> list:
+    """Run independent fits side by side; every fit is itself a distributed job, of few tasks if its rows are few."""
     with ThreadPoolExecutor(threads) as pool:
         return [f.result() for f in [pool.submit(j) for j in jobs]]
 
