@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 import random
+import textwrap
 import zlib
 from collections import Counter
 
@@ -210,11 +211,83 @@ def test_licences(spark):
     assert L.license_scan(files).count() == len(rows) and L.license_scan(files.limit(0)).collect() == []
 
 
-def test_lines_without_a_distinctive_word_stay_under_the_threshold():
-    rows, idf, _ = L._weights(L.TEMPLATES)
-    words = set(L._distinctive(rows, 0.8))
-    for t in range(len(L.TEMPLATES)):
-        assert math.sqrt(sum(x * x for a, _, w, x in rows if a == t and w not in words)) < 0.8
+def plain_nearest(text, templates, threshold):
+    """All windows of all templates with plain counts: {(licence, cosine)} at the threshold or above."""
+    bags = [Counter(L._words(t)) for _, t in templates]
+    df = Counter(w for b in bags for w in b)
+    idf = lambda w: math.log((1 + len(bags)) / (1 + df[w])) + 1
+    words, near = L._words(text), set()
+    for (licence, _), bag in zip(templates, bags):
+        norm = math.sqrt(sum((k * idf(w)) ** 2 for w, k in bag.items()))
+        for s in range(len(words)):
+            window = Counter(words[s : s + sum(bag.values())])
+            dot = sum(k * bag[w] * idf(w) ** 2 for w, k in window.items())
+            cosine = dot / norm / math.sqrt(sum((k * idf(w)) ** 2 for w, k in window.items()))
+            if words[s] in bag and cosine >= threshold:
+                near.add((licence, round(cosine, 9)))
+    return near
+
+
+def test_windows_against_plain_counts():
+    rng = random.Random(7)
+    templates = [("A", "one two two three four"), ("B", "two five"), ("C", "one one six seven three two nine"), (L.FALLBACK, "six")]
+    matcher, pool = L.Matcher(templates, 0.8), "one two three four five six seven nine ten eleven".split()
+    hits = 0
+    for _ in range(400):
+        text = "".join(rng.choice(pool) + rng.choice([" ", "\n", "\n# ", ", "]) for _ in range(rng.randrange(14)))
+        near = plain_nearest(text, templates, 0.8)
+        own = {x for x in near if x[0] != L.FALLBACK} or near
+        got = matcher.best(text)
+        assert (got is None) == (not own)
+        if got:
+            hits += 1
+            assert got[1] == max(c for _, c in own) and (got[0], got[1]) in own
+    assert 50 < hits < 400
+
+
+GNU = """ * This program is free software; you can redistribute it and/or modify
+ * it under the terms of the GNU General Public License as published by
+ * the Free Software Foundation; either version 2 of the License, or
+ * (at your option) any later version.
+"""
+
+
+def test_headers_and_licence_files():
+    matcher, texts = L.Matcher(L.TEMPLATES, 0.8), {}
+    for licence, text in L.TEMPLATES:
+        texts.setdefault(licence, []).append(text)
+    long = {licence: max(own, key=len) for licence, own in texts.items()}
+    wrapped = "\n".join("# " + line for line in textwrap.wrap(long["Apache-2.0"], 40))
+    code = "\n".join(f"value_{k} = compute(argument_{k}, other_{k})" for k in range(200))
+    expected = [
+        ('// Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License.', "Apache-2.0"),
+        ("# This file is licensed under the MIT License. See LICENSE for details.", "MIT"),
+        ("Copyright 2019 Jane. Released under the MIT License.", "MIT"),
+        ("/*\n" + GNU + " */\n" + code, "GPL-2.0"),
+        (GNU.replace("version 2", "version 3").replace("GNU General", "GNU Lesser General"), "LGPL-3.0"),
+        (wrapped + "\n" + code, "Apache-2.0"),
+        ("MIT License\n\nCopyright (c) 2020 Someone\n\n" + long["MIT"].replace("AUTHORS OR", "CONTRIBUTORS, AUTHORS OR"), "MIT"),
+        ("Copyright (c) 2001, Someone. All rights reserved.\n\n" + long["BSD-2-Clause"] + "\n" + code, "BSD-2-Clause"),
+        ("Copyright (c) 2001, Someone. All rights reserved.\n\n" + long["BSD-3-Clause"].replace("copyright holder nor", "University nor"), "BSD-3-Clause"),
+        ("(c) Someone. All Rights Reserved.", "Proprietary"),
+        (long["ISC"].lower(), "ISC"),
+    ]
+    for text, licence in expected:
+        assert matcher.best(text)[0] == licence, text
+    for text in ("", "\n \n", code, "the licence agreement was released to the public under other terms", "SPDX-License-Identifier: EUPL-1.2"):
+        assert matcher.best(text) is None
+    # in the middle of a long line or text a notice is no sign of a licence file; very long texts are read whole
+    filler = "word " * 300_000
+    assert matcher.best(filler + "released under the MIT License. " + filler) == ("MIT", 1.0, False)
+    assert matcher.best(filler + "\nReleased under the MIT License.") == ("MIT", 1.0, True)
+
+
+def test_licence_files_by_name(spark):
+    middle = "word " * 50 + "Released under the MIT License. " + "word " * 50
+    rows = [("a/LICENSE.txt", 1, middle), ("a/x", 2, "x"), ("b/mylicense", 3, middle), ("b/x", 4, "x")]
+    files = spark.createDataFrame(rows, "path string, file int, text string")
+    got = {r["file"]: (r["licence"], r["origin"]) for r in L.license_scan(files).collect()}
+    assert got == {1: ("MIT", "own"), 2: ("MIT", "inherited"), 3: ("MIT", "own"), 4: (None, "none")}
 
 
 def test_twin_of_the_scan(spark):
