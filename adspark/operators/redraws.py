@@ -86,17 +86,18 @@ class Layout:
     groups: DataFrame
 
 
-def layout(strata: DataFrame, keys: list[str], values: dict[str, Column], seed: int, id_col: str = "id") -> Layout:
+def layout(strata: DataFrame, keys: list[str], values: dict[str, Column], seed: int, id_col: str = "id", drawn_by: list[str] | None = None) -> Layout:
     """Number groups and strata of (keys, id, stratum, inside, ...) and keep what the redraws need of each row.
 
-    Rows with one id have one key and go together. A missing value is 0.
+    Rows with one id have one key and go together. A missing value is 0. A row's key depends on its id and
+    on the columns ``drawn_by``, by default all keys: groups that differ only in other keys share their draws.
     """
     number = F.monotonically_increasing_id()
     counted = strata.groupBy(*keys, "stratum").agg(F.count_if("inside").alias("_q"), F.count(F.lit(1)).alias("_m"))
     counted = materialise(counted, "strata")
     groups = materialise(counted.select(*keys).distinct().withColumn("_group", number), "groups")
     cells = materialise(join_on(counted, groups, keys).withColumn("_cell", number), "cells")
-    parts = [p.alias(f"_{name}") for p, name in zip(key_parts([F.col(id_col), *[F.col(k) for k in keys], F.lit(seed)]), "abc")]
+    parts = [p.alias(f"_{name}") for p, name in zip(key_parts([F.col(id_col), *[F.col(k) for k in (keys if drawn_by is None else drawn_by)], F.lit(seed)]), "abc")]
     numbers = [F.coalesce(v.cast("double"), F.lit(0.0)).alias(name) for name, v in values.items()]
     kept = strata.select(*keys, "stratum", *parts, *numbers)
     rows = join_on(kept, cells.select(*keys, "stratum", "_group", "_cell"), [*keys, "stratum"])
@@ -261,16 +262,20 @@ class Drawn:
     ends: DataFrame
 
 
-def draw(lay: Layout, keys: list[str], n: int, values: list[str], varied: list[str]) -> Drawn:
+def draw(lay: Layout, keys: list[str], n: int, values: list[str], varied: list[str], by_stratum: bool = False) -> Drawn:
     """Sums of ``n`` redraws of every group; one without variety on a side is drawn again, ten times at most.
 
-    The redraw ``perm`` in attempt ``t`` has the number perm + t n.
+    The redraw ``perm`` in attempt ``t`` has the number perm + t n. ``by_stratum``: one of ``varied`` is the same
+    in all rows of a stratum and differs between strata; a group with a side of one stratum, which no draw
+    can vary, is not drawn again.
     """
     ok = F.lit(True)
     for side in ("in", "out"):
         for v in varied:
             ok = ok & (F.col(f"{side}_{v}_low") < F.col(f"{side}_{v}_high"))
     plan = lay.groups.select("_group", F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")).alias("_draws"))
+    fixed = (F.count_if(F.col("_q") > 0) < 2) | (F.count_if(F.col("_q") < F.col("_m")) < 2)
+    stuck = lay.cells.groupBy("_group").agg((fixed & F.lit(by_stratum)).alias("_stuck")).where("_stuck").select("_group")
     sums, ends = [], []
     for attempt in range(MAX_TRIES):
         limit = materialise(limits(lay, plan), "limits")
@@ -278,12 +283,13 @@ def draw(lay: Layout, keys: list[str], n: int, values: list[str], varied: list[s
         number = F.get("_draws", F.col("_place"))
         each = materialise(numbered.withColumns({"_number": number, "perm": (number % n).cast("int")}).drop("_draws", "_place"), "side-sums")
         last = attempt == MAX_TRIES - 1
-        good = each if last else each.where(ok)
+        again = each.where(~ok).join(stuck, "_group", "left_anti")
+        good = each if last else each.where(ok).unionByName(each.where(~ok).join(stuck, "_group", "left_semi"))
         sums.append(good)
         ends.append(limit)
         if last:
             break
-        again = each.where(~ok).groupBy("_group").agg(F.sort_array(F.collect_list(F.col("_number") + n)).alias("_draws"))
+        again = again.groupBy("_group").agg(F.sort_array(F.collect_list(F.col("_number") + n)).alias("_draws"))
         plan = materialise(again, "again")
         if plan.isEmpty():
             break

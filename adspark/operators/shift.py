@@ -429,15 +429,18 @@ def permutation_test(
     method: str = "remix",
     tails=("one", "two"),
     delta: float = 0.05,
+    drawn_by: list[str] | None = None,
 ) -> DataFrame:
     """p-values of the requested shift-metrics for every group: (keys, metric, tail, shift, p).
 
-    With the method ``remix`` no row is copied for a redraw, but for the calibration metrics. Groups in which no requested metric can be computed are dropped before any redraw.
+    With the method ``remix`` no row is copied for a redraw, but for the calibration metrics; groups of one
+    ``drawn_by`` (some of the keys, by default all) then share the order in which rows are drawn. Groups in
+    which no requested metric can be computed are dropped before any redraw.
     """
-    return shift_p_values(permuted_shifts(df, keys, wanted, n, seed, kind, method, delta), keys, tails)
+    return shift_p_values(permuted_shifts(df, keys, wanted, n, seed, kind, method, delta, drawn_by), keys, tails)
 
 
-def permuted_shifts(df, keys, wanted, n=1000, seed=42, kind="class", method="xxhash64", delta=0.05) -> DataFrame:
+def permuted_shifts(df, keys, wanted, n=1000, seed=42, kind="class", method="xxhash64", delta=0.05, drawn_by=None) -> DataFrame:
     """Shift-metrics of the original split and of all redraws: (keys, perm, metric, shift)."""
     score = "prob" if kind == "class" else "pred"
     extra = [] if kind == "class" else [c for c in ("lower", "upper", "sig_level") if c in df.columns]
@@ -454,7 +457,7 @@ def permuted_shifts(df, keys, wanted, n=1000, seed=42, kind="class", method="xxh
         others = [m for m in wanted if m not in copied]
         found = [permuted_shifts(df, keys, copied, n, seed, kind, "xxhash64", delta)] if copied else []
         if others:
-            values = drawn_class_values(strata, keys, others, n, seed) if kind == "class" else drawn_value_metrics(strata, rows, keys, others, n, seed)
+            values = drawn_class_values(strata, keys, others, n, seed, drawn_by) if kind == "class" else drawn_value_metrics(strata, rows, keys, others, n, seed)
             found.append(shift_metrics(values, [*keys, "perm"]).select(*keys, "perm", "metric", "shift"))
         return materialise(reduce(lambda a, b: a.unionByName(b), found), "shifts")
     if kind == "class" and set(wanted) <= set(COUNT_METRICS):
@@ -486,7 +489,7 @@ def _for_sides(sums: DataFrame, keys: list[str], columns) -> DataFrame:
     return sides[0].unionByName(sides[1])
 
 
-def drawn_class_values(strata: DataFrame, keys: list[str], wanted: list[str], n: int, seed: int) -> DataFrame:
+def drawn_class_values(strata: DataFrame, keys: list[str], wanted: list[str], n: int, seed: int, drawn_by: list[str] | None = None) -> DataFrame:
     """(keys, perm, subset, metric, value) of count metrics and AUC, original split and redraws, by ``redraws``."""
     group = [*keys, "perm", "subset"]
     own = class_metrics(with_original(strata.select(*keys, "id", "y", "prob", "inside"), None), group, wanted)
@@ -495,7 +498,7 @@ def drawn_class_values(strata: DataFrame, keys: list[str], wanted: list[str], n:
     values = {"y": y, "prob": F.col("prob"), "s1": F.when(y == 1, loss), "s0": F.when(y == 0, loss)}
     for name, (a, b) in {"tp": (1, 1), "fp": (0, 1), "tn": (0, 0), "fn": (1, 0)}.items():
         values[name] = ((y == a) & (hit == b)).cast("int")
-    drawn = R.draw(R.layout(strata, keys, values, seed), keys, n, list(values), ["y", "prob"])
+    drawn = R.draw(R.layout(strata, keys, values, seed, drawn_by=drawn_by), keys, n, list(values), ["y", "prob"], by_stratum=True)
 
     def confusion(c):
         counts = {x: c(x).cast("long") for x in ("tp", "fp", "tn", "fn")}

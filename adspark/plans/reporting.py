@@ -7,10 +7,12 @@ from pyspark.sql import functions as F
 from ..operators import metrics as M
 from ..operators import ranking as R
 from ..operators import shift as H
+from ..operators.clean import big_enough
 from ..operators.domain import tag_subsets
+from ..operators.redraws import PRIME, key_sql
 from ..sources.shared import materialise
 from .registry import query
-from .shifts import LABEL, SEED, SIGN
+from .shifts import LABEL, PERMS, SEED, SIGN
 from .statistics import BA, CONFUSION, KAPPA, MCC, PRECISION_0, PRECISION_1, RECALL_0, RECALL_1, gate
 from .testbed import CLASS, CLASS_RUNS, DOMAINS, REG_ALL, class_runs, class_scores, reg_predictions, reg_subsets, with_intervals
 
@@ -31,35 +33,43 @@ RUN_SHIFTS = """raw_shifts AS (
          max(value) FILTER (subset = 'Inside') - max(value) FILTER (subset = 'Outside') AS shift
   FROM vals WHERE subset <> 'All' GROUP BY ALL)"""
 AVERAGE = "average AS MATERIALIZED (SELECT endpoint, test_set, algorithm, ad_method, metric, avg(shift) AS shift FROM raw_shifts GROUP BY ALL)"
-# permutation p-values of every scenario with enough rows on both sides; folds are taken together
-REDRAWS, SIDE_ROWS = 100, 100
+# permutation p-values of every scenario with enough rows of both classes; folds are taken together. Scenarios of
+# one endpoint and test set have the same rows, so they share one random order of them in each redraw
+PER_CLASS = 25
 S = "endpoint, test_set, algorithm, ad_method"
-USABLE = f"usable AS (SELECT {S} FROM class_runs GROUP BY ALL HAVING count_if(inside) >= {SIDE_ROWS} AND count_if(NOT inside) >= {SIDE_ROWS})"
-S_DRAWN = f"""s_drawn AS MATERIALIZED (
-  SELECT {S}, perm, y, prob, rn <= q AS inside FROM (
-    SELECT c.endpoint, c.test_set, c.algorithm, c.ad_method, p.perm, c.y, c.prob, quota.q,
-           row_number() OVER (PARTITION BY c.endpoint, c.test_set, c.algorithm, c.ad_method, p.perm, c.y
-             ORDER BY md5(concat_ws('|', c.id, c.endpoint, c.test_set, c.algorithm, c.ad_method, p.perm, {SEED}, 0)), c.id) AS rn
-    FROM class_runs c JOIN (SELECT {S}, y, count_if(inside) AS q FROM class_runs GROUP BY ALL) quota USING ({S}, y) SEMI JOIN usable USING ({S}),
-         (SELECT unnest(range({REDRAWS})) AS perm) p) AS r)"""
-S_SUBSETS = f"""s_subsets AS (
-  SELECT {S}, -1 AS perm, y, prob, CASE WHEN inside THEN 'Inside' ELSE 'Outside' END AS subset FROM class_runs SEMI JOIN usable USING ({S})
-  UNION ALL SELECT {S}, perm, y, prob, CASE WHEN inside THEN 'Inside' ELSE 'Outside' END FROM s_drawn)"""
-S_CONFUSION = CONFUSION.replace("endpoint, test_set, subset", f"{S}, perm, subset").replace("FROM class_subsets", "FROM s_subsets").replace("confusion AS (", "s_confusion AS MATERIALIZED (")
+PART = lambda i: f"('0x' || substr(h, {1 + 8 * i}, 8))::BIGINT"
+USABLE = f"""usable AS MATERIALIZED (
+  SELECT {S}, row_number() OVER (ORDER BY {S})::INT AS s FROM (SELECT {S}, count_if(y = 1) AS n1, count_if(y = 0) AS n0 FROM class_runs GROUP BY {S}) AS c
+  WHERE n1 >= {PER_CLASS} AND n0 >= {PER_CLASS})"""
+S_KEYS = f"""s_keys AS MATERIALIZED (
+  SELECT id, endpoint, test_set, y, {PART(0)} % {PRIME - 1} + 1 AS ka, {PART(1)} % {PRIME} AS kb, {PART(2)} % {PRIME} AS kc FROM (
+    SELECT DISTINCT id, endpoint, test_set, y, md5(concat_ws('|', id, endpoint, test_set, {SEED})) AS h FROM class_runs) AS x)"""
+S_ORDER = f"""s_order AS MATERIALIZED (
+  SELECT k.id, k.endpoint, k.test_set, p.perm,
+         row_number() OVER (PARTITION BY k.endpoint, k.test_set, p.perm, k.y ORDER BY {key_sql('k.ka', 'k.kb', 'k.kc', 'p.perm')}) AS rn
+  FROM s_keys k, (SELECT unnest(range({PERMS}::BIGINT)) AS perm) p)"""
+S_ROWS = f"""s_rows AS MATERIALIZED (
+  SELECT s, id, endpoint, test_set, y, prob, inside, count_if(inside) OVER (PARTITION BY s, y) AS q FROM class_runs JOIN usable USING ({S}))"""
+S_SUBSETS = """s_subsets AS (
+  SELECT s, -1 AS perm, y, prob, CASE WHEN inside THEN 'Inside' ELSE 'Outside' END AS subset FROM s_rows
+  UNION ALL SELECT s, o.perm, r.y, r.prob, CASE WHEN o.rn <= r.q THEN 'Inside' ELSE 'Outside' END
+  FROM s_rows r JOIN s_order o USING (id, endpoint, test_set))"""
+S_CONFUSION = CONFUSION.replace("endpoint, test_set, subset", "s, perm, subset").replace("FROM class_subsets", "FROM s_subsets").replace("confusion AS (", "s_confusion AS MATERIALIZED (")
 S_VALUES = f"""s_vals AS (
-  SELECT {S}, perm, subset, unnest(['ba', 'mcc', 'kappa', 'strat_brier']) AS metric,
+  SELECT s, perm, subset, unnest(['ba', 'mcc', 'kappa', 'strat_brier']) AS metric,
          unnest([{gate(BA)}, {gate(MCC)}, {gate(KAPPA)}, {gate('(loss_1 + loss_0) / 2')}]) AS value FROM s_confusion)"""
-S_SHIFTS = f"""s_shifts AS MATERIALIZED (
-  SELECT {S}, perm, metric, max(value) FILTER (subset = 'Inside') - max(value) FILTER (subset = 'Outside') AS shift FROM s_vals GROUP BY ALL)"""
+S_SHIFTS = """s_shifts AS MATERIALIZED (
+  SELECT s, perm, metric, max(value) FILTER (subset = 'Inside') - max(value) FILTER (subset = 'Outside') AS shift FROM s_vals GROUP BY ALL)"""
+OWN_SIGN = SIGN.replace("metric", "o.metric")
 S_P = f"""tested AS MATERIALIZED (
-  SELECT o.endpoint, o.test_set, o.algorithm, o.ad_method, o.metric, t.tail,
-         avg(CASE WHEN t.tail = 'one' THEN (r.shift * {SIGN.replace('metric', 'o.metric')} >= o.shift * {SIGN.replace('metric', 'o.metric')})::INT
-                  ELSE (abs(r.shift) >= abs(o.shift))::INT END) FILTER (r.shift IS NOT NULL) AS p
-  FROM s_shifts o JOIN s_shifts r ON r.endpoint = o.endpoint AND r.test_set = o.test_set AND r.algorithm = o.algorithm AND r.ad_method = o.ad_method
-         AND r.metric = o.metric AND r.perm >= 0, (VALUES ('one'), ('two')) AS t(tail)
-  WHERE o.perm = -1 GROUP BY ALL)"""
+  SELECT {S}, x.metric, x.tail, x.p FROM usable JOIN (
+    SELECT o.s, o.metric, t.tail,
+           avg(CASE WHEN t.tail = 'one' THEN (r.shift * {OWN_SIGN} >= o.shift * {OWN_SIGN})::INT
+                    ELSE (abs(r.shift) >= abs(o.shift))::INT END) FILTER (r.shift IS NOT NULL) AS p
+    FROM s_shifts o JOIN s_shifts r ON r.s = o.s AND r.metric = o.metric AND r.perm >= 0, (VALUES ('one'), ('two')) AS t(tail)
+    WHERE o.perm = -1 GROUP BY ALL) AS x USING (s))"""
 ONE_TAIL = f"one_tail AS (SELECT {S}, metric, p FROM tested WHERE tail = 'one')"
-P_VALUES = [USABLE, S_DRAWN, S_SUBSETS, S_CONFUSION, S_VALUES, S_SHIFTS, S_P, ONE_TAIL]
+P_VALUES = [USABLE, S_KEYS, S_ORDER, S_ROWS, S_SUBSETS, S_CONFUSION, S_VALUES, S_SHIFTS, S_P, ONE_TAIL]
 MASKED = f"""masked AS MATERIALIZED (
   SELECT a.endpoint, a.test_set, a.algorithm, a.ad_method, a.metric,
          CASE WHEN coalesce(round(p.p, 2) <= 0.05, false) AND coalesce(a.shift * {SIGN.replace('metric', 'a.metric')} > 0, false) THEN a.shift
@@ -107,12 +117,12 @@ def average_shifts(t):
 
 
 def scenario_p_values(t):
-    """(scenario, metric, tail, p) by redraws within the classes of every scenario that has enough rows."""
+    """(scenario, metric, tail, p) by redraws within the classes of every scenario that has enough rows of both."""
     rows = class_runs(t)
-    sides = rows.groupBy(*SCENARIO).agg(F.count_if("inside").alias("i"), F.count_if(~F.col("inside")).alias("o"))
-    usable = sides.where((F.col("i") >= SIDE_ROWS) & (F.col("o") >= SIDE_ROWS)).select(*SCENARIO)
+    usable = big_enough(rows, SCENARIO, "y", PER_CLASS).where("usable").select(*SCENARIO)
     rows = rows.join(usable, SCENARIO, "left_semi")
-    return materialise(H.permutation_test(rows, SCENARIO, METRICS, REDRAWS, SEED, method="md5").drop("shift"), "tested")
+    tested = H.permutation_test(rows, SCENARIO, METRICS, PERMS, SEED, drawn_by=["endpoint", "test_set"])
+    return materialise(tested.drop("shift"), "tested")
 
 
 def one_tail(t):

@@ -17,6 +17,8 @@ FOLDER = "/root/testdata/sf0.001"
 # first redraw to be varied
 LARGER = "/root/testdata/sf0.01"
 ON_LARGER = ("c", "d", "g", "h", "i", "j", "k", "l", "m")
+# scenarios too small for the gate are only in the smallest tables
+ON_SMALLER = {"d4_scenarios_without_p_value"}
 # queries whose right result on the smallest tables is empty
 MAY_BE_EMPTY: set[str] = set()
 
@@ -27,7 +29,7 @@ CHOSEN = sorted(QUERIES)[:: 5 if os.environ.get("QUICK_CATALOG") else 1]
 
 @pytest.mark.parametrize("name", CHOSEN)
 def test_query_equals_its_twin(spark, name):
-    folder = LARGER if name.startswith(ON_LARGER) else FOLDER
+    folder = LARGER if name.startswith(ON_LARGER) and name not in ON_SMALLER else FOLDER
     df = QUERIES[name](spark, folder)
     if name in TWINS:
         problem = compare(df, duck(folder), TWINS[name])

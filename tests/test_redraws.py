@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from adspark.operators import redraws as R
+from adspark.operators import redraws as R, shift as H
 
 N, SEED = 23, 5
 
@@ -164,3 +164,29 @@ def test_keys_agree_with_sql():
         for j in range(9):
             sql = R.key_sql(f"{a[i]}::BIGINT", f"{b[i]}::BIGINT", f"{c[i]}::BIGINT", f"{j * 999}::BIGINT")
             assert duckdb.execute(f"SELECT {sql}").fetchall()[0][0] == key[i, j]
+
+
+def test_groups_of_one_draw_share_their_sides(spark):
+    """With the same rows, classes and sides, groups of one ``drawn_by`` have the same shifts; others have their own."""
+    rng = random.Random(5)
+    base = [(i, i % 2, rng.random(), rng.random() < 0.6) for i in range(120)]
+    rows = [(e, m, i, y, p, s) for e in "ab" for m in "xy" for i, y, p, s in base]
+    df = spark.createDataFrame(rows, "e string, m string, id long, y int, prob double, inside boolean")
+
+    def shifts(drawn_by):
+        out = {}
+        for r in H.permuted_shifts(df, ["e", "m"], ["ba", "strat_brier"], 20, 3, method="remix", drawn_by=drawn_by).collect():
+            out.setdefault((r["e"], r["m"]), {})[r["metric"], r["perm"]] = r["shift"]
+        return out
+
+    shared, own = shifts(["e"]), shifts(None)
+    assert shared["a", "x"] == shared["a", "y"] and shared["b", "x"] == shared["b", "y"] and shared["a", "x"] != shared["b", "x"]
+    assert own["a", "x"] != own["a", "y"]
+
+
+def test_side_of_one_class_is_drawn_once(spark):
+    """Outside has one class whatever the draw: metrics of both classes have no shift, and every redraw is there once."""
+    rows = [(i, int(i < 40), 0.01 * i, not 30 <= i < 40) for i in range(80)]
+    df = spark.createDataFrame(rows, "id long, y int, prob double, inside boolean").withColumn("g", F.lit(1))
+    got = H.permuted_shifts(df, ["g"], ["ba"], 15, 3, method="remix").collect()
+    assert sorted(r["perm"] for r in got) == list(range(-1, 15)) and all(r["shift"] is None for r in got)
