@@ -23,6 +23,8 @@ from .common import new_folder, written
 
 FILE_BYTES = 32 << 20
 CHUNK = 1 << 16
+#: Bytes of content unpacked at a time where a member fails.
+STEP = 64
 
 #: Fixed values of the format.
 VERSION = b"WARC/1.1"
@@ -114,7 +116,11 @@ def write_archives(pages: DataFrame, folder: str, file_bytes: int = FILE_BYTES,
 
 
 class Damaged(Exception):
-    pass
+    """A failed check; ``content`` is what a member gave before it failed, ``size`` the bytes it was read from."""
+
+    def __init__(self, why: str, content: bytes = b"", size: int = 0):
+        super().__init__(why)
+        self.content, self.size = content, size
 
 
 def _member(file, at: int, end: int) -> tuple[bytes, int]:
@@ -125,16 +131,35 @@ def _member(file, at: int, end: int) -> tuple[bytes, int]:
         while not unpacker.eof:
             chunk = file.read(min(CHUNK, end - at - read))
             if not chunk:
-                raise Damaged("member ends early")
+                raise Damaged("member ends early", b"".join(out), read)
             read += len(chunk)
             out.append(unpacker.decompress(chunk))
             if len(out) == 1 and len(out[0]) >= 5 and not out[0].startswith(b"WARC/"):
                 raise Damaged("member holds no record")
     except zlib.error as e:
-        raise Damaged(f"member: {e}") from None
+        raise Damaged(f"member: {e}", b"".join(out) + _rest(file, at, read - len(chunk), len(chunk)), read) from None
     return b"".join(out), at + read - len(unpacker.unused_data)
 
 
+def _rest(file, at: int, good: int, bad: int) -> bytes:
+    """Content of a member's ``bad`` bytes after its ``good`` ones, up to the failure.
+
+    zlib drops the output of the call that fails, so those bytes are unpacked again in small steps.
+    """
+    file.seek(at)
+    unpacker, out = zlib.decompressobj(31), []
+    for start in range(0, good, CHUNK):
+        unpacker.decompress(file.read(min(CHUNK, good - start)))
+    packed = file.read(bad)
+    try:
+        while packed and not unpacker.eof:
+            out.append(unpacker.decompress(packed, STEP))
+            packed = unpacker.unconsumed_tail
+    except zlib.error:
+        pass
+    return b"".join(out)
+
+
 def parse(data: bytes, at: int = 0) -> tuple[dict[str, str], bytes, int]:
     """Headers, block and end of the record at a byte of ``data``; raises Damaged if a check fails."""
     split = data.find(b"\r\n\r\n", at)
@@ -161,6 +186,33 @@ def parse(data: bytes, at: int = 0) -> tuple[dict[str, str], bytes, int]:
     return headers, block, end + 4
 
 
+def _inner(data: bytes, whole: bool) -> Iterator[tuple]:
+    """Records and gaps within a member's content: ("record", headers, block) or ("gap", start, end, reason).
+
+    After a failed record the next version line is sought. Of a member that is not ``whole``, a record must
+    state its block digest and be followed by another version line, as the last one is where the member failed.
+    """
+    at, gap, reason = 0, None, ""
+    while at < len(data):
+        try:
+            headers, block, after = parse(data, at)
+            if not whole and not (headers.get("warc-block-digest", "").startswith("sha1:") and VERSION_LINE.match(data, after)):
+                raise Damaged("record not confirmed")
+        except Damaged as why:
+            if gap is None:
+                gap, reason = at, str(why)
+            line = VERSION_LINE.search(data, at + 1)
+            at = line.start() if line else len(data)
+            continue
+        if gap is not None:
+            yield "gap", gap, at, reason
+            gap = None
+        yield "record", headers, block
+        at = after
+    if gap is not None:
+        yield "gap", gap, len(data), reason
+
+
 def _next_start(file, at: int, end: int) -> int:
     """First byte from ``at`` on that looks like the start of a member or of a plain record."""
     tail = b""
@@ -201,11 +253,14 @@ def _plain(file, at: int, end: int) -> tuple[bytes, int]:
 def salvage(file, end: int) -> Iterator[tuple]:
     """Records and gaps of one archive: ("record", offset, length, headers, block) or ("gap", offset, length, reason).
 
-    Each member or plain record must pass its checks (zlib's checksum, version line, length, block
-    digest). After a failure the next byte is sought at which a whole member or record passes; what
-    lies between is a gap. Memory holds one member or record at a time.
+    A member or plain record must pass its checks (zlib's checksum, version line, length, block digest).
+    After a failure the next byte is sought at which a member or record passes; what lies between is a
+    gap. Within a member, records before and after a damaged one are kept, and the lost bytes of its
+    content are a gap at the member's place. Of a member that ends early or fails its checksum, the records
+    before the failure are kept if their block digests hold (``_inner``). Memory holds one member or record
+    at a time.
     """
-    at, gap, reason = 0, None, ""
+    at, gap, reason, kept = 0, None, "", set()
     while at < end:
         file.seek(at)
         head = file.read(7)
@@ -216,20 +271,31 @@ def salvage(file, end: int) -> Iterator[tuple]:
                 data, after = _plain(file, at, end)
             else:
                 raise Damaged("no member or version line")
-            found, inner = [], 0
-            while inner < len(data):
-                headers, block, inner = parse(data, inner)
-                found.append((headers, block))
+            found = list(_inner(data, True))
+            if not any(x[0] == "record" for x in found):
+                raise Damaged(found[0][3] if found else "member holds no record")
         except Damaged as why:
             if gap is None:
                 gap, reason = at, str(why)
+            for x in _inner(why.content, False):
+                if x[0] == "record":
+                    # a member of stored blocks shows its records to the search for plain ones too
+                    kept.add(x[1].get("warc-record-id"))
+                    yield "record", at, why.size, x[1], x[2]
             at = _next_start(file, at + 1, end)
             continue
+        found = [x for x in found if x[0] == "gap" or not kept or x[1].get("warc-record-id") not in kept]
+        if not found:
+            at = after
+            continue
         if gap is not None:
             yield "gap", gap, at - gap, reason
-            gap = None
-        for headers, block in found:
-            yield "record", at, after - at, headers, block
+            gap, kept = None, set()
+        for x in found:
+            if x[0] == "record":
+                yield "record", at, after - at, x[1], x[2]
+            else:
+                yield "gap", at, after - at, f"{x[3]}: bytes {x[1]} to {x[2]} of the content"
         at = after
     if gap is not None:
         yield "gap", gap, end - gap, reason

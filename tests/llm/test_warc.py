@@ -112,6 +112,35 @@ def test_several_records_in_a_member():
     assert salvaged(gzip.compress(b"".join(raw), mtime=0)) == ([0, 1, 2], [])
 
 
+@pytest.mark.parametrize("level", [0, 6])
+def test_damage_within_a_member(level):
+    raw = members(6)
+    starts = [sum(map(len, raw[:i])) for i in range(7)]
+    content = b"".join(raw)
+    pack = lambda data: gzip.compress(data, level, mtime=0)
+    before, after = pack(raw[0].replace(b"page:0>", b"page:90>")), pack(raw[1].replace(b"page:1>", b"page:91>"))
+    # a record that was damaged before it was packed costs itself only, whichever it is
+    for victim in range(6):
+        at = starts[victim] + len(raw[victim]) - 6
+        broken = pack(content[:at] + bytes([content[at] ^ 0x55]) + content[at + 1 :])
+        ids, gaps = salvaged(before + broken + after)
+        assert ids == [90, *[i for i in range(6) if i != victim], 91] and gaps == [(len(before), len(broken))]
+    # junk between records
+    ids, gaps = salvaged(pack(content[: starts[3]] + b"junk" + content[starts[3] :]))
+    assert ids == list(range(6)) and len(gaps) == 1
+    # a cut end keeps what came before it, once, and the records of the members around
+    whole = pack(content)
+    for cut in (9, len(whole) // 2):
+        ids, gaps = salvaged(before + whole[:-cut] + after)
+        inner = [i for i in ids if i < 90]
+        assert ids[0] == 90 and ids[-1] == 91 and inner == list(range(len(inner))) and len(inner) >= (1 if cut > 9 else 5)
+        assert gaps and sum(n for _, n in gaps) <= len(whole)
+    # a flipped byte in the middle: only records that hold are given, each once
+    at = len(whole) // 2
+    ids, _ = salvaged(before + whole[:at] + bytes([whole[at] ^ 0x55]) + whole[at + 1 :] + after)
+    assert ids[0] == 90 and ids[-1] == 91 and len(set(ids)) == len(ids) >= 3
+
+
 def test_gaps_are_rows(spark, tmp_path):
     parts = [gzip.compress(m, mtime=0) for m in members(3)]
     (tmp_path / "x.warc.gz").write_bytes(parts[0] + parts[1][:-9] + parts[2])
