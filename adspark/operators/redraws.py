@@ -22,6 +22,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+from ..functions.digests import md5_heads, xxhash64_on
 from ..functions.joining import join_on
 from ..sources.shared import materialise
 
@@ -63,6 +64,61 @@ def second_key(first: np.ndarray, b: np.ndarray) -> np.ndarray:
     return _fold(first * first + b)
 
 
+class Remixed:
+    """Keys remixed from three numbers of a row; groups are told apart by the columns hashed."""
+
+    names = ("_a", "_b", "_c")
+
+    def __init__(self, seed: int):
+        self.seed = seed
+
+    def columns(self, parts: list[Column]) -> list[Column]:
+        return [p.alias(name) for p, name in zip(key_parts([*parts, F.lit(self.seed)]), self.names)]
+
+    def numbers(self, rows: pd.DataFrame) -> list[np.ndarray]:
+        return [rows[x].to_numpy(dtype=np.int64)[:, None] for x in self.names]
+
+    def keys(self, numbers: list[np.ndarray], part: slice, draws: np.ndarray):
+        """First numbers of the keys of some rows in some redraws, and a function of places that gives the second ones."""
+        a, b, c = (x[part] for x in numbers)
+        first = first_key(a, b, c, draws[None, :])
+        return first, lambda i, j: second_key(first[i, j], b[i, 0])
+
+
+class Hashed:
+    """Keys that are the first 62 bits of ``md5`` or ``xxhash64`` of (id, keys, redraw, seed, attempt), as in ``order_key``.
+
+    The redraw ``p`` in attempt ``t`` has the number p + t n.
+    """
+
+    names = ("_start", "_c")
+
+    def __init__(self, method: str, n: int, seed: int):
+        if method not in ("md5", "xxhash64"):
+            raise ValueError(f"unknown hash method {method!r}")
+        self.method, self.n, self.seed = method, n, seed
+
+    def columns(self, parts: list[Column]) -> list[Column]:
+        start = F.xxhash64(*parts) if self.method == "xxhash64" else F.concat_ws("|", *[p.cast("string") for p in parts], F.lit(""))
+        return [start.alias("_start"), F.pmod(F.xxhash64(*parts), F.lit(PRIME)).alias("_c")]
+
+    def numbers(self, rows: pd.DataFrame) -> list:
+        if self.method == "xxhash64":
+            return [rows["_start"].to_numpy(dtype=np.int64).astype(np.uint64)[:, None]]
+        return [[x.encode() for x in rows["_start"]]]
+
+    def keys(self, numbers: list, part: slice, draws: np.ndarray):
+        perm, attempt = draws % self.n, draws // self.n
+        if self.method == "md5":
+            whole = md5_heads(numbers[0][part], [b"%d|%d|%d" % (p, self.seed, t) for p, t in zip(perm, attempt)])
+        else:
+            seed = np.array([[self.seed]])
+            whole = xxhash64_on(xxhash64_on(numbers[0][part], perm[None, :]), seed, not -(1 << 31) <= self.seed < 1 << 31)
+            whole = xxhash64_on(whole, attempt[None, :])
+        whole = (whole >> np.uint64(2)).astype(np.int64)
+        return whole >> 31, lambda i, j: whole[i, j] & PRIME
+
+
 def key_sql(a: str, b: str, c: str, draw: str) -> str:
     """The whole key as a SQL expression."""
     u = f"(({a}) * (2 * ({draw}) + 1) + ({b})) % {PRIME}"
@@ -77,32 +133,44 @@ def key_sql(a: str, b: str, c: str, draw: str) -> str:
 class Layout:
     """Rows with numbers for their group and stratum.
 
-    ``rows`` has (_row, _group, _cell, _a, _b, _c, values...), ``cells`` (_group, _cell, _q, _m) for each group
-    and stratum, ``groups`` the keys of each group.
+    ``rows`` has (_row, _group, _cell, what ``order`` makes keys from, values...), ``cells`` (_group, _cell, _q, _m)
+    for each group and stratum, ``groups`` the keys of each group.
     """
 
     rows: DataFrame
     cells: DataFrame
     groups: DataFrame
-
-
-def layout(strata: DataFrame, keys: list[str], values: dict[str, Column], seed: int, id_col: str = "id", drawn_by: list[str] | None = None) -> Layout:
+    order: Remixed | Hashed
+
+
+def layout(
+    strata: DataFrame,
+    keys: list[str],
+    values: dict[str, Column],
+    seed: int,
+    id_col: str = "id",
+    drawn_by: list[str] | None = None,
+    order: Remixed | Hashed | None = None,
+    optional: tuple[str, ...] = (),
+) -> Layout:
     """Number groups and strata of (keys, id, stratum, inside, ...) and keep what the redraws need of each row.
 
-    Rows with one id have one key and go together. A missing value is 0. A row's key depends on its id and
-    on the columns ``drawn_by``, by default all keys: groups that differ only in other keys share their draws.
+    Rows with one id have one key and go together. A missing value is 0, but for ``optional`` ones, which are
+    for least and largest only. A row's key depends on its id and on the columns ``drawn_by``, by default all
+    keys: groups that differ only in other keys share their draws. Ranked statistics need remixed keys.
     """
+    order = order or Remixed(seed)
     number = F.monotonically_increasing_id()
     counted = strata.groupBy(*keys, "stratum").agg(F.count_if("inside").alias("_q"), F.count(F.lit(1)).alias("_m"))
     counted = materialise(counted, "strata")
     groups = materialise(counted.select(*keys).distinct().withColumn("_group", number), "groups")
     cells = materialise(join_on(counted, groups, keys).withColumn("_cell", number), "cells")
-    parts = [p.alias(f"_{name}") for p, name in zip(key_parts([F.col(id_col), *[F.col(k) for k in (keys if drawn_by is None else drawn_by)], F.lit(seed)]), "abc")]
-    numbers = [F.coalesce(v.cast("double"), F.lit(0.0)).alias(name) for name, v in values.items()]
+    parts = order.columns([F.col(id_col), *[F.col(k) for k in (keys if drawn_by is None else drawn_by)]])
+    numbers = [(v.cast("double") if name in optional else F.coalesce(v.cast("double"), F.lit(0.0))).alias(name) for name, v in values.items()]
     kept = strata.select(*keys, "stratum", *parts, *numbers)
     rows = join_on(kept, cells.select(*keys, "stratum", "_group", "_cell"), [*keys, "stratum"])
-    rows = materialise(rows.select(number.alias("_row"), "_group", "_cell", "_a", "_b", "_c", *values), "redraw-rows")
-    return Layout(rows, cells.select("_group", "_cell", "_q", "_m"), groups)
+    rows = materialise(rows.select(number.alias("_row"), "_group", "_cell", *order.names, *values), "redraw-rows")
+    return Layout(rows, cells.select("_group", "_cell", "_q", "_m"), groups, order)
 
 
 def _tasks() -> Column:
@@ -110,8 +178,13 @@ def _tasks() -> Column:
 
 
 def _salted(lay: Layout) -> DataFrame:
-    """Rows with the task of their stratum, an int as in ``_for_tasks``, so that both sides hash alike."""
-    return lay.rows.join(lay.cells.select("_cell", _tasks().alias("_tasks")), "_cell").withColumn("_task", F.pmod(F.col("_c"), F.col("_tasks")).cast("int")).drop("_tasks")
+    """Rows with the task of their stratum, an int as in ``_for_tasks``, so that both sides hash alike.
+
+    Dealt to a set number of partitions: few bytes stand for much work, and would be put together.
+    """
+    partitions = int(lay.rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    salted = lay.rows.join(lay.cells.select("_cell", _tasks().alias("_tasks")), "_cell").withColumn("_task", F.pmod(F.col("_c"), F.col("_tasks")).cast("int")).drop("_tasks")
+    return salted.repartition(partitions, "_cell", "_task")
 
 
 def _for_tasks(cells: DataFrame, *columns: str) -> DataFrame:
@@ -122,40 +195,42 @@ def _for_tasks(cells: DataFrame, *columns: str) -> DataFrame:
 # --- limits --------------------------------------------------------------------------------------
 
 
-def _near(rows: pd.DataFrame, plan: pd.DataFrame) -> pd.DataFrame:
+def _near(rows: pd.DataFrame, plan: pd.DataFrame, order: Remixed | Hashed) -> pd.DataFrame:
     """Of some rows of a stratum: how many keys lie below the band of each redraw, and the keys within."""
     draws = np.asarray(plan["_draws"].iloc[0], dtype=np.int64)
     low, high = int(plan["_low"].iloc[0]), int(plan["_high"].iloc[0])
-    a, b, c = (rows[x].to_numpy(dtype=np.int64)[:, None] for x in ("_a", "_b", "_c"))
+    numbers = order.numbers(rows)
     below, where, keys = np.zeros(len(draws), dtype=np.int64), [], []
     for s in range(0, len(rows), ROW_CHUNK):
         part = slice(s, s + ROW_CHUNK)
         for d in range(0, len(draws), REDRAW_CHUNK):
-            first = first_key(a[part], b[part], c[part], draws[None, d : d + REDRAW_CHUNK])
+            first, second = order.keys(numbers, part, draws[d : d + REDRAW_CHUNK])
             below[d : d + REDRAW_CHUNK] += (first < low).sum(axis=0)
             i, j = np.nonzero((first >= low) & (first <= high))
             where.append(j + d)
-            keys.append((first[i, j] << 31) + second_key(first[i, j], b[part][i, 0]))
+            keys.append((first[i, j] << 31) + second(i, j))
     where, keys = np.concatenate(where), np.concatenate(keys)
-    order = np.argsort(where, kind="stable")
-    cuts = np.searchsorted(where[order], np.arange(1, len(draws)))
-    return pd.DataFrame({"_cell": plan["_cell"].iloc[0], "_place": np.arange(len(draws)), "_below": below, "_keys": np.split(keys[order], cuts)})
+    by_draw = np.argsort(where, kind="stable")
+    cuts = np.searchsorted(where[by_draw], np.arange(1, len(draws)))
+    return pd.DataFrame({"_cell": plan["_cell"].iloc[0], "_place": np.arange(len(draws)), "_below": below, "_keys": np.split(keys[by_draw], cuts)})
 
 
-def limits(lay: Layout, plan: DataFrame) -> DataFrame:
+def limits(lay: Layout, plan: DataFrame, band: tuple[float, float] | None = None) -> DataFrame:
     """(_group, _cell, _m, _draws, _limits): the largest Inside key of every redraw of every stratum.
 
     ``plan`` has (_group, _draws): the numbers of the redraws. A band that missed the end of a quota is
     made wider for its stratum.
     """
+    deviations, extra = band or BAND
+    order = lay.order
     rows, todo, wide, found = _salted(lay), join_on(lay.cells, plan, ["_group"]), 1.0, []
     while True:
         share = F.col("_q") / F.col("_m")
-        margin = (F.lit(BAND[0]) * F.sqrt(F.col("_m") * share * (1 - share)) + BAND[1]) / F.col("_m") * wide
-        band = todo.withColumns({"_low": F.floor((share - margin) * PRIME).cast("long"), "_high": F.ceil((share + margin) * PRIME).cast("long")})
-        tasks = _for_tasks(band, "_draws", "_low", "_high")
+        margin = (F.lit(deviations) * F.sqrt(F.col("_m") * share * (1 - share)) + extra) / F.col("_m") * wide
+        near = todo.withColumns({"_low": F.floor((share - margin) * PRIME).cast("long"), "_high": F.ceil((share + margin) * PRIME).cast("long")})
+        tasks = _for_tasks(near, "_draws", "_low", "_high")
         each = rows.groupBy("_cell", "_task").cogroup(tasks.groupBy("_cell", "_task")).applyInPandas(
-            lambda r, p: _near(r, p) if len(r) and len(p) else pd.DataFrame({"_cell": [], "_place": [], "_below": [], "_keys": []}, dtype=object),
+            lambda r, p: _near(r, p, order) if len(r) and len(p) else pd.DataFrame({"_cell": [], "_place": [], "_below": [], "_keys": []}, dtype=object),
             "_cell long, _place int, _below long, _keys array<long>",
         )
         met = each.groupBy("_cell", "_place").agg(F.sum("_below").alias("_below"), F.sort_array(F.flatten(F.collect_list("_keys"))).alias("_keys"))
@@ -177,11 +252,12 @@ def limits(lay: Layout, plan: DataFrame) -> DataFrame:
 class Sides:
     """Which of some rows are Inside, for all redraws a chunk at a time; rows may be of several strata."""
 
-    def __init__(self, rows: pd.DataFrame, plan: pd.DataFrame):
-        self.a, self.b, self.c = (rows[x].to_numpy(dtype=np.int64)[:, None] for x in ("_a", "_b", "_c"))
+    def __init__(self, rows: pd.DataFrame, plan: pd.DataFrame, order: Remixed | Hashed | None = None):
+        self.order = order or Remixed(0)  # the seed is in the rows' numbers
+        self.numbers, self.rows = self.order.numbers(rows), len(rows)
         at = plan["_cell"].to_numpy()
-        order = np.argsort(at)
-        self.stratum = order[np.searchsorted(at[order], rows["_cell"].to_numpy())]
+        by_cell = np.argsort(at)
+        self.stratum = by_cell[np.searchsorted(at[by_cell], rows["_cell"].to_numpy())]
         self.draws = np.array([np.asarray(x) for x in plan["_draws"]], dtype=np.int64)[0]
         self.limits = np.array([np.asarray(x) for x in plan["_limits"]], dtype=np.int64)
 
@@ -189,27 +265,29 @@ class Sides:
         """(slice of redraws, matrix of rows and redraws that is true Inside)."""
         for d in range(0, len(self.draws), REDRAW_CHUNK):
             part = slice(d, d + REDRAW_CHUNK)
-            inside = np.empty((len(self.a), len(self.draws[part])), dtype=bool)
-            for s in range(0, len(self.a), ROW_CHUNK):
+            inside = np.empty((self.rows, len(self.draws[part])), dtype=bool)
+            for s in range(0, self.rows, ROW_CHUNK):
                 r = slice(s, s + ROW_CHUNK)
-                first = first_key(self.a[r], self.b[r], self.c[r], self.draws[None, part])
+                first, second = self.order.keys(self.numbers, r, self.draws[part])
                 limit = self.limits[:, part][self.stratum[r]]
                 top = limit >> 31
                 inside[r] = first < top
                 i, j = np.nonzero(first == top)
-                inside[r][i, j] = second_key(first[i, j], self.b[r][i, 0]) <= (limit[i, j] & PRIME)
+                inside[r][i, j] = second(i, j) <= (limit[i, j] & PRIME)
             yield part, inside
 
 
 # --- sums over the sides ---------------------------------------------------------------------------
 
 
-def _sums(rows: pd.DataFrame, plan: pd.DataFrame, values: list[str], varied: list[str]) -> pd.DataFrame:
+def _sums(rows: pd.DataFrame, plan: pd.DataFrame, values: list[str], varied: list[str], order: Remixed | Hashed) -> pd.DataFrame:
     """Sums Inside of the values, and least and largest of the varied ones on both sides, of some rows of a stratum."""
-    sides = Sides(rows, plan)
+    sides = Sides(rows, plan, order)
     x = rows[values].to_numpy(dtype=np.float64)
     columns = {v: rows[v].to_numpy(dtype=np.float64) for v in varied}
-    orders = {v: np.argsort(y, kind="stable") for v, y in columns.items()}
+    # missing values come last and are left out
+    orders = {v: np.argsort(y, kind="stable")[: len(y) - np.isnan(y).sum()] for v, y in columns.items()}
+    orders = {v: by_value for v, by_value in orders.items() if len(by_value)}
     out = {"_place": np.arange(len(sides.draws))} | {f"in_{v}": np.zeros(len(sides.draws)) for v in ["n", *values]}
     for side in ("in", "out"):
         out |= {f"{side}_{v}_{end}": np.full(len(sides.draws), np.inf if end == "low" else -np.inf) for v in varied for end in ("low", "high")}
@@ -220,8 +298,8 @@ def _sums(rows: pd.DataFrame, plan: pd.DataFrame, values: list[str], varied: lis
         out["in_n"][part] = inside.sum(axis=0)
         for k, v in enumerate(values):
             out[f"in_{v}"][part] = total[:, k]
-        for v, order in orders.items():
-            y, ordered = columns[v][order], inside[order]
+        for v, by_value in orders.items():
+            y, ordered = columns[v][by_value], inside[by_value]
             for side, matrix in (("in", ordered), ("out", ~ordered)):
                 some = matrix.any(axis=0)
                 out[f"{side}_{v}_low"][part] = np.where(some, y[matrix.argmax(axis=0)], np.inf)
@@ -238,11 +316,12 @@ def side_sums(lay: Layout, ends: DataFrame, values: list[str], varied: list[str]
     extremes = [f"{side}_{v}_{end}" for side in ("in", "out") for v in varied for end in ("low", "high")]
     schema = "_group long, _place int, " + ", ".join(f"{c} double" for c in [*columns, *extremes])
     tasks = _for_tasks(ends, "_draws", "_limits")
+    order = lay.order
 
     def add(rows: pd.DataFrame, plan: pd.DataFrame) -> pd.DataFrame:
         if not len(rows) or not len(plan):
             return pd.DataFrame({c: [] for c in ["_group", "_place", *columns, *extremes]}, dtype=object)
-        return _sums(rows, plan, values, varied)
+        return _sums(rows, plan, values, varied, order)
 
     each = _salted(lay).groupBy("_cell", "_task").cogroup(tasks.groupBy("_cell", "_task")).applyInPandas(add, schema)
     least_or_most = [(F.min if c.endswith("low") else F.max)(c).alias(c) for c in extremes]
@@ -262,12 +341,14 @@ class Drawn:
     ends: DataFrame
 
 
-def draw(lay: Layout, keys: list[str], n: int, values: list[str], varied: list[str], by_stratum: bool = False) -> Drawn:
+def draw(
+    lay: Layout, keys: list[str], n: int, values: list[str], varied: list[str], by_stratum: bool = False, band: tuple[float, float] | None = None
+) -> Drawn:
     """Sums of ``n`` redraws of every group; one without variety on a side is drawn again, ten times at most.
 
     The redraw ``perm`` in attempt ``t`` has the number perm + t n. ``by_stratum``: one of ``varied`` is the same
     in all rows of a stratum and differs between strata; a group with a side of one stratum, which no draw
-    can vary, is not drawn again.
+    can vary, is not drawn again. ``band``: half width of the band in which a quota ends, by default ``BAND``.
     """
     ok = F.lit(True)
     for side in ("in", "out"):
@@ -278,7 +359,7 @@ def draw(lay: Layout, keys: list[str], n: int, values: list[str], varied: list[s
     stuck = lay.cells.groupBy("_group").agg((fixed & F.lit(by_stratum)).alias("_stuck")).where("_stuck").select("_group")
     sums, ends = [], []
     for attempt in range(MAX_TRIES):
-        limit = materialise(limits(lay, plan), "limits")
+        limit = materialise(limits(lay, plan, band), "limits")
         numbered = side_sums(lay, limit, values, varied).join(plan, "_group")
         number = F.get("_draws", F.col("_place"))
         each = materialise(numbered.withColumns({"_number": number, "perm": (number % n).cast("int")}).drop("_draws", "_place"), "side-sums")

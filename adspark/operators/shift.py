@@ -218,131 +218,26 @@ def permuted_confusion(
 ) -> DataFrame:
     """Confusion counts and losses of both sides of ``n`` redraws: (keys, perm, subset, n, n1, ...).
 
-    The same redraws as ``redraw`` makes, but no copy of a row is written or shuffled: rows meet all
-    their redraws within a task and are added up there. In a stratum of m rows of which q are wanted,
-    the hash at which the quota ends lies near q / m of the range; rows clearly below or above are
-    added up at once, and only those within a band of about sqrt(m) rows travel one by one. The
-    counts show whether the band held the end; if it did not, that redraw gets a wider band.
+    The same redraws as ``redraw`` makes, but no copy of a row is written or shuffled: ``redraws`` works out
+    the hashes of its rows in all redraws within a task, as a matrix, and adds up there.
     """
-    hit = M.predicted_class(score).alias("_hit")
-    loss = ((F.col(score) - F.col("y")) * (F.col(score) - F.col("y"))).alias("_loss")
-    sizes = strata.groupBy(*keys, "stratum").agg(F.count_if("inside").alias("_quota"), F.count(F.lit(1)).alias("_m"))
-    sizes = materialise(sizes, "quota")
-    rows = strata.select(*keys, "stratum", id_col, "y", F.col(score).alias("_score"), hit, loss)
-    every_perm = F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("perm")
-
-    def drawn(todo: DataFrame | None, attempt: int, wide: float) -> DataFrame:
-        share = F.col("_quota") / F.col("_m")
-        margin = (F.lit(BAND[0]) * F.sqrt(F.col("_m") * share * (1 - share)) + BAND[1]) / F.col("_m") * wide
-        limits = sizes.select(*keys, "stratum", "_quota", _hex_limit(share - margin).alias("_lo"), _hex_limit(share + margin).alias("_hi"))
-        placed = join_on(rows, limits, [*keys, "stratum"])
-        placed = placed.select("*", every_perm) if todo is None else join_on(placed, todo, keys).withColumn("perm", F.explode("_perms")).drop("_perms")
-        parts = [F.col(id_col), *[F.col(k) for k in keys], F.col("perm"), F.lit(seed), F.lit(attempt)]
-        return materialise(_side_sums(placed.withColumn("_h", order_key(parts, method)), [*keys, "perm"], id_col), "redrawn")
-
-    def listed(df: DataFrame) -> DataFrame | None:
-        found = materialise(df.groupBy(*keys).agg(F.collect_list("perm").alias("_perms")), "again")
-        return None if found.isEmpty() else found
-
-    varied = F.lit(True)
-    for side in ("in", "out"):
-        for low, high in ((f"{side}_low", f"{side}_high"), (f"{side}_y_low", f"{side}_y_high")):
-            varied = varied & F.coalesce(F.col(low) < F.col(high), F.lit(False))
-    kept, todo = [], None
-    for attempt in range(MAX_TRIES):
-        wide, each = 1.0, drawn(todo, attempt, 1.0)
-        while (missed := listed(each.where(~F.col("_held")))) is not None:  # hardly ever
-            wide *= 5
-            each = each.where("_held").unionByName(drawn(missed, attempt, wide))
-        if attempt == MAX_TRIES - 1:
-            kept.append(each)
-            break
-        kept.append(each.where(varied))
-        todo = listed(each.where(~varied))
-        if todo is None:
-            break
-    every = reduce(lambda a, b: a.unionByName(b), kept)
-    sides = []
-    for side, subset in (("in", "Inside"), ("out", "Outside")):
-        c = lambda name, side=side: F.col(f"{side}_{name}")
-        sides.append(
-            every.where(c("n") > 0).select(
-                *keys, "perm", F.lit(subset).alias("subset"), *[c(x).alias(x) for x in ("n", "n1", "n0", "tp", "fp", "tn", "fn")],
-                F.try_divide(c("s1") + c("s0"), c("n")).alias("brier"),
-                F.try_divide(c("s1"), c("n1")).alias("loss_1"), F.try_divide(c("s0"), c("n0")).alias("loss_0"),
-            )
-        )
-    return sides[0].unionByName(sides[1])
-
-
-def _hex_limit(share: Column) -> Column:
-    """A share of the hash range as leading hexadecimal digits; beyond the range before or after all hashes."""
-    number = F.floor(F.greatest(F.least(share, F.lit(1.0)), F.lit(0.0)) * F.lit(float(1 << 32))).cast("bigint")
-    digits = F.lpad(F.lower(F.hex(number)), 8, "0")
-    return F.when(share <= 0, "").when(share >= 1, "g").otherwise(digits)
-
-
-def _side_sums(copies: DataFrame, group: list[str], id_col: str) -> DataFrame:
-    """Sums of both sides of every redraw, and ``_held``: the quota ended within the band of every stratum."""
-    cell = [*group, "stratum"]
-    entry = F.struct("_h", F.col(id_col).alias("id"), F.col("y").cast("int").alias("y"), "_hit", "_loss", "_score")
-    cells = {"tp": (1, 1), "fp": (0, 1), "tn": (0, 0), "fn": (1, 0)}
-
-    def wanted(y, hit, loss, sc, total, least, most):
-        """Sum columns of a side, by aggregate functions that take a condition and a value."""
-        out = {name: total((y == a) & (hit == b), F.lit(1).cast("bigint")) for name, (a, b) in cells.items()}
-        out |= {"s1": total(y == 1, loss), "s0": total(y == 0, loss)}
-        return out | {"low": least(sc), "high": most(sc), "y_low": least(y), "y_high": most(y)}
-
-    def of_rows(side):
-        return wanted(
-            F.col("y").cast("int"), F.col("_hit"), F.col("_loss"), F.col("_score"),
-            lambda condition, value: F.coalesce(F.sum(F.when(side & condition, value)), F.lit(0).cast("bigint")),
-            lambda value: F.min(F.when(side, value)), lambda value: F.max(F.when(side, value)),
-        )
-
-    sides = {"in": F.col("_h") < F.col("_lo"), "out": F.col("_h") > F.col("_hi")}
-    sure = [v.alias(f"{s}_{k}") for s, condition in sides.items() for k, v in of_rows(condition).items()]
-    band = F.sort_array(F.collect_list(F.when(~sides["in"] & ~sides["out"], entry))).alias("_list")
-    left = (F.max("_quota") - F.count_if(sides["in"])).cast("int").alias("_left")
-    met = copies.groupBy(*cell).agg(*sure, band, left)
-    size = F.size("_list")
-    met = met.withColumn("_held", (F.col("_left") >= 0) & (F.col("_left") <= size)).withColumn("_left", F.greatest("_left", F.lit(0)))
-    lists = {"in": F.slice("_list", 1, F.col("_left")), "out": F.slice("_list", F.col("_left") + 1, F.greatest(size - F.col("_left"), F.lit(0)))}
-
-    def of_list(rows):
-        def count(a, b):
-            return F.size(F.filter(rows, lambda x: (x["y"] == a) & (x["_hit"] == b))).cast("bigint")
-
-        def losses(a):
-            return F.aggregate(rows, F.lit(0.0), lambda total, x: total + F.when(x["y"] == a, x["_loss"]).otherwise(0.0))
-
-        def values(field):
-            return F.transform(rows, lambda x: x[field])
-
-        out = {name: count(a, b) for name, (a, b) in cells.items()} | {"s1": losses(1), "s0": losses(0)}
-        for name, field in (("", "_score"), ("y_", "y")):
-            out |= {f"{name}low": F.array_min(values(field)), f"{name}high": F.array_max(values(field))}
-        return out
-
-    joined = []
-    for side, rows in lists.items():
-        for name, value in of_list(rows).items():
-            known = F.col(f"{side}_{name}")
-            both = F.least(known, value) if name.endswith("low") else F.greatest(known, value) if name.endswith("high") else known + value
-            joined.append(both.alias(f"{side}_{name}"))
-    cells_done = met.select(*group, "_held", *joined)
-    final = [F.bool_and("_held").alias("_held")]
-    for side in lists:
-        final += [F.sum(f"{side}_{k}").alias(f"{side}_{k}") for k in (*cells, "s1", "s0")]
-        final += [F.min(f"{side}_{k}").alias(f"{side}_{k}") for k in ("low", "y_low")]
-        final += [F.max(f"{side}_{k}").alias(f"{side}_{k}") for k in ("high", "y_high")]
-    out = cells_done.groupBy(*group).agg(*final)
-    for side in lists:
-        c = lambda name, side=side: F.col(f"{side}_{name}")
-        out = out.withColumns({f"{side}_n1": c("tp") + c("fn"), f"{side}_n0": c("fp") + c("tn")})
-        out = out.withColumn(f"{side}_n", c("n1") + c("n0"))
-    return out
+    y, hit = F.col("y").cast("int"), M.predicted_class(score)
+    loss = (F.col(score) - F.col("y")) * (F.col(score) - F.col("y"))
+    sums = {"s1": F.when(y == 1, loss), "s0": F.when(y == 0, loss)}
+    for name, (a, b) in {"tp": (1, 1), "fp": (0, 1), "tn": (0, 0), "fn": (1, 0)}.items():
+        sums[name] = ((y == a) & (hit == b)).cast("int")
+    varied = {"_y": y, "_score": F.col(score)}
+    lay = R.layout(strata, keys, sums | varied, seed, id_col, order=R.Hashed(method, n, seed), optional=tuple(varied))
+    drawn = R.draw(lay, keys, n, list(sums), list(varied), band=BAND)
+
+    def counts(c):
+        out = {x: c(x).cast("bigint") for x in ("tp", "fp", "tn", "fn")}
+        n1, n0 = out["tp"] + out["fn"], out["fp"] + out["tn"]
+        brier = F.try_divide(c("s1") + c("s0"), (n1 + n0).cast("double"))
+        losses = {"brier": brier, "loss_1": F.try_divide(c("s1"), n1.cast("double")), "loss_0": F.try_divide(c("s0"), n0.cast("double"))}
+        return {"n": n1 + n0, "n1": n1, "n0": n0} | out | losses
+
+    return _for_sides(drawn.sums, keys, counts).where(F.col("n") > 0)
 
 
 def with_original(df: DataFrame, redraws: DataFrame | None) -> DataFrame:

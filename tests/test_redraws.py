@@ -10,7 +10,9 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from adspark.functions.hashing import order_key
 from adspark.operators import redraws as R, shift as H
+from adspark.sources.shared import materialise
 
 N, SEED = 23, 5
 
@@ -190,3 +192,39 @@ def test_side_of_one_class_is_drawn_once(spark):
     df = spark.createDataFrame(rows, "id long, y int, prob double, inside boolean").withColumn("g", F.lit(1))
     got = H.permuted_shifts(df, ["g"], ["ba"], 15, 3, method="remix").collect()
     assert sorted(r["perm"] for r in got) == list(range(-1, 15)) and all(r["shift"] is None for r in got)
+
+
+@pytest.mark.parametrize("method, seed", [("md5", 5), ("xxhash64", 5), ("xxhash64", 1 << 40)])
+def test_hashed_keys_are_those_of_spark(spark, method, seed):
+    """Also beyond one block of 64 bytes, with missing keys, and of later attempts."""
+    ids = ["a", "é" * 9, "x" * 46, "x" * 60, None]
+    df = spark.createDataFrame([(g, i) for g in ("g", "a longer name", None) for i in ids], "g string, id string")
+    n, draws = 7, np.array([0, 6, 7, 20, 69])
+    order = R.Hashed(method, n, seed)
+    per_draw = [order_key([F.col("id"), F.col("g"), F.lit(int(d % n)), F.lit(seed), F.lit(int(d // n))], method) for d in draws]
+    rows = df.select(*order.columns([F.col("id"), F.col("g")]), F.array(*per_draw).alias("want")).toPandas()
+    first, second = order.keys(order.numbers(rows), slice(0, len(rows)), draws)
+    for i, want in enumerate(rows["want"]):
+        for j, h in enumerate(want):
+            at = np.array([i]), np.array([j])
+            assert (int(first[i, j]) << 31) + int(second(*at)[0]) == int(h[:16], 16) >> 2
+
+
+def test_hashed_redraws_sort_no_copies_of_rows(spark, monkeypatch):
+    """No plan holds rows times redraws: what is written stays near rows plus redraws of each stratum."""
+    written = []
+
+    def watched(df, name):
+        out = materialise(df, name)
+        written.append((name, out.count()))
+        return out
+
+    monkeypatch.setattr(R, "materialise", watched)
+    rows, n = 1500, 200
+    df = spark.range(rows).select(F.lit(1).alias("g"), "id", (F.col("id") % 2).cast("int").alias("y"), (F.col("id") % 97 / 97.0).alias("prob"), (F.col("id") % 5 < 3).alias("inside"))
+    layouts = []
+    monkeypatch.setattr(R, "limits", lambda lay, plan, band=None, real=R.limits: layouts.append(lay.order) or real(lay, plan, band))
+    got = H.metrics_per_redraw(df, ["g"], ["ba"], n, 3, method="md5")
+    assert got.count() == 2 * (n + 1)
+    assert len(layouts) == 1 and isinstance(layouts[0], R.Hashed)
+    assert max(c for _, c in written) <= max(rows, 2 * n)
