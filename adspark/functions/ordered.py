@@ -2,7 +2,7 @@
 
 A plain ``Window.partitionBy(group).orderBy(value)`` sorts a whole group in one task. Here a
 group is cut into order-preserving buckets: every bucket is ordered on its own, and the bucket
-totals are accumulated separately. The borders of the buckets are quantiles of the group's own
+totals are accumulated separately. A group has no more buckets than its rows can fill. The borders of the buckets are quantiles of the group's own
 values, so buckets hold about equal shares however skewed the values are, infinite ones included.
 Equal values are merged into counts before anything is shuffled, so a value that very many rows
 share is one row. Groups whose key is NULL are groups like any other.
@@ -16,22 +16,28 @@ from ..sources.shared import materialise
 from .hashing import order_bucket, order_key
 from .joining import join_on
 
-#: Buckets of a group: two levels of this many.
+#: Most buckets of a group: two levels of this many.
 FAN = 32
+#: Rows that fill a bucket: smaller groups have fewer buckets, so there are far fewer buckets than rows.
+BUCKET_ROWS = 2_000
 #: Rank error of the quantiles that serve as borders: one in this many rows.
 ACCURACY = 10_000
 
 
 def value_buckets(df: DataFrame, keys: list[str], value: str) -> DataFrame:
-    """Add ``_bucket``: place of the value among FAN * FAN - 1 quantiles of its group.
+    """Add ``_bucket``: place of the value among at most FAN * FAN - 1 quantiles of its group.
 
     The borders are written once, so that every use of the result sees the same ones.
     """
     shares = F.array(*[F.lit(i / (FAN * FAN)) for i in range(1, FAN * FAN)])
     number = F.col(value).cast("double")
-    borders = df.groupBy(*keys).agg(F.percentile_approx(number, shares, ACCURACY).alias("_fine"))
-    coarse = F.transform(F.sequence(F.lit(FAN), F.lit(FAN * FAN - FAN), F.lit(FAN)), lambda i: F.element_at("_fine", i))
-    table = materialise(borders.withColumn("_coarse", F.when(F.col("_fine").isNotNull(), coarse)), "borders")
+    borders = df.groupBy(*keys).agg(F.percentile_approx(number, shares, ACCURACY).alias("_all"), F.count(number).alias("_rows"))
+    # a smaller group takes every so many of the quantiles
+    own = F.least(F.ceil(F.col("_rows") / BUCKET_ROWS), F.lit(FAN * FAN))
+    fine = F.filter("_all", lambda b, i: F.floor((i + 1) * own / (FAN * FAN)) > F.floor(i * own / (FAN * FAN)))
+    borders = borders.select(*keys, fine.alias("_fine"))
+    coarse = F.filter("_fine", lambda b, i: (i + 1) % FAN == 0)
+    table = materialise(borders.withColumn("_coarse", coarse), "borders")
     joined = join_on(df, table, keys) if keys else with_scalars(df, table)
 
     def below(borders: Column) -> Column:
@@ -66,18 +72,23 @@ def running_totals(
     offsets = part.select(
         *keys,
         "_bucket",
-        *[F.coalesce(F.sum(f"_part_{c}").over(before), F.lit(0)).alias(f"_off_{c}") for c in summed],
+        *[F.sum(f"_part_{c}").over(before).alias(f"_off_{c}") for c in summed],
         *[F.sum(f"_part_{c}").over(whole).alias(name) for name, c in totals.items()],
     )
-    inside = W.partitionBy(*keys, "_bucket").orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
-    local = df.select(
-        "*", *[F.sum(c).over(inside).alias(f"_run_{name}") for name, c in sums.items()]
+    # the totals before a bucket go ahead of its rows, as one more row: no join, however many buckets there are
+    columns = df.drop("_bucket").columns
+    rows = df.select("*", F.lit(1).alias("_is_row"), *[F.col(c).alias(f"_off_{c}") for c in summed])
+    ahead = offsets.withColumn("_is_row", F.lit(0))
+    line = rows.unionByName(ahead, allowMissingColumns=True)
+    inside = W.partitionBy(*keys, "_bucket").orderBy("_is_row", *order).rowsBetween(W.unboundedPreceding, 0)
+    local = line.select(
+        *columns,
+        "_is_row",
+        *[F.sum(f"_off_{c}").over(inside).alias(f"_run_{name}") for name, c in sums.items()],
+        *[F.first(name).over(inside).alias(f"_whole_{name}") for name in totals],
     )
-    joined = join_on(local, offsets, [*keys, "_bucket"])
-    return joined.select(
-        *df.drop("_bucket").columns,
-        *[(F.col(f"_run_{name}") + F.col(f"_off_{c}")).alias(name) for name, c in sums.items()],
-        *totals,
+    return local.where("_is_row = 1").select(
+        *columns, *[F.col(f"_run_{name}").alias(name) for name in sums], *[F.col(f"_whole_{name}").alias(name) for name in totals]
     )
 
 
