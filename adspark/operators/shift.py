@@ -363,7 +363,7 @@ def permuted_shifts(df, keys, wanted, n=1000, seed=42, kind="class", method="xxh
     both = with_original(strata, drawn).drop("stratum", "inside")
     group = [*keys, "perm", "subset"]
     if extra:  # intervals per significance level come back by row id
-        both = join_on(both.select(*keys, "id", "perm", "subset"), rows.drop("inside"), [*keys, "id"])
+        both = join_on(both.select(*keys, "id", "perm", "subset"), rows.drop("inside").hint("merge"), [*keys, "id"])
     values = metrics_of(kind)(both, group, wanted)
     return materialise(shift_metrics(values, [*keys, "perm"]).select(*keys, "perm", "metric", "shift"), "shifts")
 
@@ -421,7 +421,8 @@ def drawn_value_metrics(strata: DataFrame, rows: DataFrame, keys: list[str], wan
         raise ValueError(f"unknown regression metrics {sorted(set(wanted) - set(VALUE_METRICS))}")
     group = [*keys, "perm", "subset"]
     split = with_original(strata.select(*keys, "id", "inside"), None).select(*keys, "id", "perm", "subset")
-    own = value_metrics(join_on(split, rows.drop("inside"), [*keys, "id"]), group, wanted, level)
+    # tables of all ids look small to the planner, as compressed files are, and would be broadcast
+    own = value_metrics(join_on(split, rows.drop("inside").hint("merge"), [*keys, "id"]), group, wanted, level)
     # levels are a parameter of the intervals, a few numbers
     levels = sorted(r[0] for r in rows.select("sig_level").distinct().collect() if r[0] is not None)
     at = {k: F.abs(F.col("sig_level") - x) < 1e-9 for k, x in enumerate(levels)}
@@ -441,7 +442,7 @@ def drawn_value_metrics(strata: DataFrame, rows: DataFrame, keys: list[str], wan
     # sums of squares lose nothing if values lie around zero
     finite = F.when(~is_infinite("pred"), F.col("pred"))
     means = strata.groupBy(*keys).agg(F.avg("y").alias("_my"), F.avg(finite).alias("_mp"))
-    table = join_on(join_on(strata, pivoted, [*keys, "id"]), materialise(means, "means"), keys)
+    table = join_on(join_on(strata, pivoted.hint("merge"), [*keys, "id"]), materialise(means, "means"), keys)
     held, infinite = F.col(f"held{chosen}"), is_infinite("pred")
     y, p, d = F.col("y") - F.col("_my"), F.when(infinite, 0.0).otherwise(F.col("pred") - F.col("_mp")), F.col("pred") - F.col("y")
     error = F.when(infinite, 0.0).otherwise(d)

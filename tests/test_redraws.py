@@ -11,6 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from adspark.functions.hashing import order_key
+from adspark.functions.joining import join_on
 from adspark.operators import redraws as R, shift as H
 from adspark.sources.shared import materialise
 
@@ -228,3 +229,13 @@ def test_hashed_redraws_sort_no_copies_of_rows(spark, monkeypatch):
     assert got.count() == 2 * (n + 1)
     assert len(layouts) == 1 and isinstance(layouts[0], R.Hashed)
     assert max(c for _, c in written) <= max(rows, 2 * n)
+
+
+def test_regression_redraws_do_not_broadcast_rows(spark, monkeypatch):
+    hints = []
+    monkeypatch.setattr(H, "join_on", lambda a, b, keys, how="inner": hints.append((keys, b._jdf.queryExecution().analyzed().toString())) or join_on(a, b, keys, how))
+    rows = [(1, i, float(i % 13), i % 7 + 0.5, i % 3 > 0, i % 7 - 1.0, i % 7 + 2.0, level) for i in range(60) for level in (0.1, 0.32)]
+    df = spark.createDataFrame(rows, "g int, id int, y double, pred double, inside boolean, lower double, upper double, sig_level double")
+    assert H.value_metrics_per_redraw(df, ["g"], ["rmse", "validity"], 5, 3).count() == 2 * 2 * 6
+    by_id = [plan for keys, plan in hints if "id" in keys]
+    assert len(by_id) == 2 and all("strategy=merge" in plan for plan in by_id)
