@@ -18,6 +18,7 @@ from ..functions.ordered import with_scalars
 from ..sources.shared import materialise
 from . import calibrate, intervals, splits
 from .domain import agreement_classification, agreement_regression, agreement_weight, spread_of
+from .forests import fit_trees
 from .trees import Forest
 
 _VEC = "_vector"
@@ -53,12 +54,14 @@ def bounded(train: DataFrame, fit_rows: int | None = FIT_ROWS) -> DataFrame:
 
 
 def fit_regressor(train: DataFrame, seed: int, trees: int = 100, depth: int = 30, fit_rows: int | None = FIT_ROWS):
-    """Forest of regression trees, a third of the features per split, on at most about ``fit_rows`` rows."""
-    train = bounded(train, fit_rows)
+    """Forest of regression trees, a third of the features per split, on at most about ``fit_rows`` rows.
+
+    Without a bound MLlib fits all rows together.
+    """
     forest = RandomForestRegressor(
         featuresCol=_VEC, labelCol="y", numTrees=trees, maxDepth=depth, featureSubsetStrategy="onethird", seed=seed
     )
-    return forest.fit(with_vector(train))
+    return forest.fit(with_vector(train)) if fit_rows is None else fit_trees(bounded(train, fit_rows), forest)
 
 
 def classifier(seed: int, trees: int = 101, depth: int = 30) -> RandomForestClassifier:
@@ -75,8 +78,11 @@ def fit_classifier(train: DataFrame, seed: int, trees: int = 101, depth: int = 3
     A ``grid`` (parameter name -> values) with more than one point is searched by 2-fold
     cross-validation on the balanced accuracy; one point is simply fitted.
     """
-    rows = with_vector(balanced_weights(bounded(train, fit_rows)))
+    rows = balanced_weights(bounded(train, fit_rows))
     forest = classifier(seed, trees, depth)
+    if not grid and fit_rows is not None:
+        return fit_trees(rows, forest, "_w")
+    rows = with_vector(rows)
     options = [len(v) for v in (grid or {}).values()]
     if not any(n > 1 for n in options):
         fixed = {forest.getParam(k): v[0] for k, v in (grid or {}).items()}
@@ -268,7 +274,7 @@ def agreement_weights(train: DataFrame, seed: int, regression: bool, trees: int
             forest = RandomForestClassifier(
                 featuresCol=_VEC, labelCol="y", numTrees=trees, maxDepth=depth, featureSubsetStrategy="sqrt", seed=seed
             )
-            model = forest.fit(with_vector(bounded(fit_rows)))
+            model = fit_trees(bounded(fit_rows), forest)
         scored = with_tree_outputs(model, numbered.where(own), probability=not regression)
         measure = agreement_regression if regression else agreement_classification
         agree, std = measure("trees", "y")

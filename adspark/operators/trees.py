@@ -16,6 +16,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..sources.shared import shared_folder
+from .forests import Grown
 
 #: Nodes sent to the tasks at once (28 bytes each); a forest with more is scored in several runs of trees.
 MOST_NODES = 4_000_000
@@ -24,14 +25,17 @@ STATES = 1 << 20
 
 
 def node_table(spark: SparkSession, model, probability: bool = False) -> DataFrame:
-    """(tree, node, feature, threshold, left, right, value) of a fitted MLlib forest.
+    """(tree, node, feature, threshold, left, right, value) of a fitted forest, MLlib's or one of ``forests``.
 
     Children are node numbers of the same tree; a leaf has feature -1. ``value`` is the node's
     prediction, or its share of class 1: zero where no row of class 1 was fitted. Features are
     numbers; a split by categories raises ``ValueError``.
     """
-    path = f"{shared_folder(spark)}/forest-{uuid.uuid4().hex}"
-    model.write().save(path)
+    if isinstance(model, Grown):
+        path = model.path
+    else:
+        path = f"{shared_folder(spark)}/forest-{uuid.uuid4().hex}"
+        model.write().save(path)
     n = spark.read.parquet(f"{path}/data").select("treeID", "nodeData.*")
     if n.where("split.numCategories >= 0").head(1):
         raise ValueError("the forest splits by categories; only splits by numbers are known")
@@ -104,7 +108,7 @@ class Forest:
         self.width = model.numFeatures
         self.runs = []
         for first, end in runs_of_trees(sizes, most_nodes):
-            nodes = Nodes.of(table.where(F.col("tree").between(first, end - 1)).toPandas())
+            nodes = Nodes.of(table.where(F.col("tree").between(first, end - 1)).toArrow().to_pandas())
             self.runs.append(spark.sparkContext.broadcast(nodes))
 
     def outputs(self, features: str) -> Column:
