@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from adspark.functions.distance import Pairs, block_distances
 from adspark.operators import domain as D
 from adspark.operators.neighbours import Space, distance_counts, lay_out, nearest_points
 from adspark.streaming.scoring import dknn_stream
@@ -133,3 +134,42 @@ def test_stream_gets_the_batch_result(spark, toy, tmp_path):
     query.awaitTermination(120)
     got = {r.id: r.inside for r in spark.read.parquet(target).collect()}
     assert got == {0: True, 3: False}
+
+
+def test_estimated_pairs_equal_all_distances():
+    """Hits, nearest pairs and bins of the estimated squares, also where they lie on a limit or far from zero."""
+    rng = np.random.default_rng(4)
+    for shift in (0.0, 1e4):
+        a, b = rng.normal(size=(40, 6)) + shift, rng.normal(size=(60, 6)) + shift
+        b[:10] = a[:10]
+        b[10:20] = a[:10]
+        d = block_distances(a, b, "euclidean")
+        for limit in (d[3, 30], 0.0, 1.5, np.inf, -1.0):
+            i, j, found = Pairs(a, b, "euclidean").within(np.full((1, 60), limit))
+            assert set(zip(i, j)) == set(zip(*np.nonzero(d <= limit))) and (found == d[i, j]).all()
+        i, j, found = Pairs(a, b, "euclidean").nearest(3, (np.arange(10), np.arange(10)))
+        for row in range(40):
+            want = np.sort(np.delete(d[row], row) if row < 10 else d[row])[:3]
+            assert np.sort(found[i == row])[:3].tolist() == want.tolist()
+        upper = 64 * d[5, 40] / 7  # the distance lies on the border of a bin
+        number, edges = Pairs(a, b, "euclidean").binned(64, upper)
+        assert (number == np.minimum(np.floor(d / upper * 64), 63)).all() and len(edges) == 65
+    odd = np.array([[np.inf, 0.0], [1.0, 2.0]])
+    number, _ = Pairs(odd, odd, "euclidean").binned(4, 1.0)
+    assert number.tolist() == [[4, 3], [3, 0]]
+    words = rng.integers(0, 1 << 62, (30, 2)).astype(np.uint64)
+    words[:3] = 0
+    for some in (words, np.tile(words, (1, 20))):
+        number, values = Pairs(some, some, "jaccard").ratios()
+        assert (values[number] == block_distances(some, some, "jaccard")).all() and len(np.unique(values)) == len(values)
+
+
+def test_a_block_returns_one_row_a_query_however_many_neighbours(spark):
+    """Neighbours are sent as lists: no row per candidate and block."""
+    rng = np.random.default_rng(5)
+    df = spark.createDataFrame([(i, [float(v) for v in rng.normal(size=3)]) for i in range(60)], "id int, features array<double>")
+    near = {r.point: r.dists for r in nearest_points(lay_out(df, Space(pivots=2, block_rows=8)), None, 20).collect()}
+    x = {r.id: np.array(r.features) for r in df.collect()}
+    for i in x:
+        want = sorted(float(np.linalg.norm(x[i] - x[j])) for j in x if j != i)[:20]
+        assert near[i] == pytest.approx(want)
