@@ -8,6 +8,9 @@ holds some rows and the limits knows the sides of its rows in all redraws, as a
 redraws. Sums of the rows' numbers over such a matrix are one product; ranked statistics run in score
 order within ranges of scores and are carried from range to range as one vector of totals per redraw.
 
+Strata of groups that share their draws meet in one task, where a key is worked out once for all of
+them; those with the same rows and quota share their limits as well.
+
 Tasks hold a bounded number of rows of one stratum or one range, however large a group is, and the
 number of results depends on groups, ranges and redraws, not on rows.
 """
@@ -30,6 +33,10 @@ from ..sources.shared import materialise
 PRIME = (1 << 31) - 1
 #: Rows of a stratum or range in a task, and rows and redraws compared at once.
 TASK_ROWS, ROW_CHUNK, REDRAW_CHUNK = 20_000, 2048, 250
+#: Rows whose remixed keys are worked out at once, so that the matrices stay in the cache.
+KEY_ROWS = 128
+#: Strata that meet in a task because they share their draws, and the rows of all of them, in tasks of one stratum.
+SHARED_CELLS, SHARED_TASKS = 32, 10
 #: Half width of the band in which a quota ends: standard deviations, and rows on top.
 BAND = (6.0, 10.0)
 MAX_TRIES = 10
@@ -47,27 +54,49 @@ def key_parts(parts: list[Column]) -> list[Column]:
     return [number[0] % (PRIME - 1) + 1, number[1] % PRIME, number[2] % PRIME]
 
 
-def _fold(x: np.ndarray) -> np.ndarray:
-    """Remainders by ``PRIME`` of numbers below 2^62."""
-    x = (x & PRIME) + (x >> 31)
-    x = (x & PRIME) + (x >> 31)
-    return np.where(x >= PRIME, x - PRIME, x)
+def _fold(x: np.ndarray, spare: np.ndarray) -> None:
+    """Make numbers smaller without a change of their remainders by ``PRIME``."""
+    np.right_shift(x, 31, out=spare)
+    np.bitwise_and(x, PRIME, out=x)
+    np.add(x, spare, out=x)
+
+
+def _remainder(x: np.ndarray, spare: np.ndarray) -> np.ndarray:
+    """Remainders by ``PRIME`` of any unsigned numbers."""
+    _fold(x, spare)
+    _fold(x, spare)
+    # a number below PRIME becomes very large
+    np.subtract(x, PRIME, out=spare)
+    return np.minimum(x, spare, out=x).view(np.int64)
 
 
 def first_key(a: np.ndarray, b: np.ndarray, c: np.ndarray, draw: np.ndarray) -> np.ndarray:
     """First number of the keys of rows (column vectors) in redraws (a row vector)."""
-    u = _fold(a * (2 * draw + 1) + b)
-    return _fold(_fold(u * u + c) * u + a)
+    a, b, c, draw = (np.asarray(v).astype(np.uint64) for v in (a, b, c, draw))
+    u = a * (2 * draw + 1)
+    spare = np.empty_like(u)
+    u += b
+    _fold(u, spare)
+    _fold(u, spare)
+    # u is below 2^31 + 2 and x below 2^33, so no product passes 2^64
+    x = u * u
+    x += c
+    _fold(x, spare)
+    x *= u
+    x += a
+    return _remainder(x, spare)
 
 
 def second_key(first: np.ndarray, b: np.ndarray) -> np.ndarray:
-    return _fold(first * first + b)
+    x = first.astype(np.uint64) ** 2 + np.asarray(b).astype(np.uint64)
+    return _remainder(x, np.empty_like(x))
 
 
 class Remixed:
     """Keys remixed from three numbers of a row; groups are told apart by the columns hashed."""
 
     names = ("_a", "_b", "_c")
+    block = KEY_ROWS
 
     def __init__(self, seed: int):
         self.seed = seed
@@ -92,6 +121,7 @@ class Hashed:
     """
 
     names = ("_start", "_c")
+    block = ROW_CHUNK
 
     def __init__(self, method: str, n: int, seed: int):
         if method not in ("md5", "xxhash64"):
@@ -133,8 +163,10 @@ def key_sql(a: str, b: str, c: str, draw: str) -> str:
 class Layout:
     """Rows with numbers for their group and stratum.
 
-    ``rows`` has (_row, _group, _cell, what ``order`` makes keys from, values...), ``cells`` (_group, _cell, _q, _m)
-    for each group and stratum, ``groups`` the keys of each group.
+    ``rows`` has (_row, _group, _cell, _share, _salt, what ``order`` makes keys from, values...), ``cells``
+    (_group, _cell, _q, _m, _share, _tasks, _like) for each group and stratum, ``groups`` the keys of each group.
+    Cells of one ``_share`` share their draws and meet in ``_tasks`` tasks, the ``_salt`` of a row; those of one
+    ``_like`` have the same rows and quota.
     """
 
     rows: DataFrame
@@ -161,58 +193,138 @@ def layout(
     """
     order = order or Remixed(seed)
     number = F.monotonically_increasing_id()
-    counted = strata.groupBy(*keys, "stratum").agg(F.count_if("inside").alias("_q"), F.count(F.lit(1)).alias("_m"))
+    by = keys if drawn_by is None else drawn_by
+    alike = {"_x": F.bit_xor(F.xxhash64(id_col)), "_s": F.sum(F.pmod(F.xxhash64(id_col, F.lit(1)), F.lit(PRIME)))} if set(by) != set(keys) else {}
+    counted = strata.groupBy(*keys, "stratum").agg(
+        F.count_if("inside").alias("_q"), F.count(F.lit(1)).alias("_m"), *[v.alias(k) for k, v in alike.items()]
+    )
     counted = materialise(counted, "strata")
     groups = materialise(counted.select(*keys).distinct().withColumn("_group", number), "groups")
-    cells = materialise(join_on(counted, groups, keys).withColumn("_cell", number), "cells")
-    parts = order.columns([F.col(id_col), *[F.col(k) for k in (keys if drawn_by is None else drawn_by)]])
+    cells = materialise(_shares(join_on(counted, groups, keys).withColumn("_cell", number), by, list(alike)), "cells")
+    parts = order.columns([F.col(id_col), *[F.col(k) for k in by]])
     numbers = [(v.cast("double") if name in optional else F.coalesce(v.cast("double"), F.lit(0.0))).alias(name) for name, v in values.items()]
     kept = strata.select(*keys, "stratum", *parts, *numbers)
-    rows = join_on(kept, cells.select(*keys, "stratum", "_group", "_cell"), [*keys, "stratum"])
-    rows = materialise(rows.select(number.alias("_row"), "_group", "_cell", *order.names, *values), "redraw-rows")
-    return Layout(rows, cells.select("_group", "_cell", "_q", "_m"), groups, order)
+    rows = join_on(kept, cells.select(*keys, "stratum", "_group", "_cell", "_share", "_tasks"), [*keys, "stratum"])
+    salt = F.pmod(F.col("_c"), F.col("_tasks")).cast("int").alias("_salt")
+    rows = materialise(rows.select(number.alias("_row"), "_group", "_cell", "_share", salt, *order.names, *values), "redraw-rows")
+    return Layout(rows, cells.select("_group", "_cell", "_q", "_m", "_share", "_tasks", "_like"), groups, order)
+
 
+def _shares(cells: DataFrame, by: list[str], alike: list[str]) -> DataFrame:
+    """Cells with ``_share``, ``_tasks`` and ``_like``; without ``alike`` every cell is by itself."""
+    if not alike:
+        own = F.col("_cell")
+        return cells.withColumns({"_share": own, "_like": own, "_tasks": F.ceil(F.col("_m") / TASK_ROWS).cast("int")})
+    place = F.row_number().over(W.partitionBy(*by, "stratum").orderBy("_q", "_m", *alike, "_cell"))
+    cells = cells.withColumn("_batch", F.floor((place - 1) / SHARED_CELLS))
+    batch, same = W.partitionBy(*by, "stratum", "_batch"), W.partitionBy(*by, "stratum", "_q", "_m", *alike)
+    tasks = F.greatest(F.ceil(F.max("_m").over(batch) / TASK_ROWS), F.ceil(F.sum("_m").over(batch) / (SHARED_TASKS * TASK_ROWS)))
+    return cells.withColumns({"_share": F.min("_cell").over(batch), "_tasks": tasks.cast("int"), "_like": F.min("_cell").over(same)})
 
-def _tasks() -> Column:
-    return F.ceil(F.col("_m") / TASK_ROWS).cast("int")
 
+_TASK = ["_share", "_salt"]
 
-def _salted(lay: Layout) -> DataFrame:
-    """Rows with the task of their stratum, an int as in ``_for_tasks``, so that both sides hash alike.
+
+def _in_shares(rows: DataFrame, tasks: DataFrame, make, schema: str) -> DataFrame:
+    """``make`` of the rows of every task of a share and one row of ``tasks`` for each of its cells.
 
     Dealt to a set number of partitions: few bytes stand for much work, and would be put together.
     """
-    partitions = int(lay.rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    salted = lay.rows.join(lay.cells.select("_cell", _tasks().alias("_tasks")), "_cell").withColumn("_task", F.pmod(F.col("_c"), F.col("_tasks")).cast("int")).drop("_tasks")
-    return salted.repartition(partitions, "_cell", "_task")
+    partitions = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    empty = {c.split()[0]: [] for c in schema.split(", ")}
+    dealt = rows.repartition(partitions, *_TASK)
+    return dealt.groupBy(*_TASK).cogroup(tasks.groupBy(*_TASK)).applyInPandas(
+        lambda r, p: make(r, p) if len(r) and len(p) else pd.DataFrame(empty, dtype=object), schema
+    )
 
 
 def _for_tasks(cells: DataFrame, *columns: str) -> DataFrame:
-    """One row of ``columns`` for every task of a stratum."""
-    return cells.select("_cell", F.explode(F.sequence(F.lit(0), _tasks() - 1)).alias("_task"), *columns)
+    """One row of ``columns`` for every task of a cell."""
+    return cells.select("_share", F.explode(F.sequence(F.lit(0), F.col("_tasks") - 1)).alias("_salt"), "_cell", *columns)
+
+
+class Members:
+    """Cells of a task that have the same redraws: distinct rows by key, and which of them are in which cell."""
+
+    def __init__(self, rows: pd.DataFrame, plan: pd.DataFrame, order: Remixed | Hashed):
+        self.plan, self.order = plan.reset_index(drop=True), order
+        self.draws = np.asarray(plan["_draws"].iloc[0], dtype=np.int64)
+        at = self.plan["_cell"].to_numpy()
+        by_cell = np.argsort(at)
+        place = np.minimum(np.searchsorted(at[by_cell], rows["_cell"].to_numpy()), len(at) - 1)
+        cell = by_cell[place]
+        held = at[cell] == rows["_cell"].to_numpy()
+        rows, cell = rows[held], cell[held]
+        if len(at) == 1:
+            self.rows, self.cell, self.which = rows, cell, np.arange(len(rows))
+            self.distinct = rows
+        else:
+            which = rows.groupby(list(order.names), sort=False, dropna=False).ngroup().to_numpy()
+            by_key = np.argsort(which, kind="stable")
+            self.rows, self.cell, self.which = rows.iloc[by_key], cell[by_key], which[by_key]
+            self.distinct = self.rows.iloc[np.flatnonzero(np.r_[True, self.which[1:] != self.which[:-1]])] if len(rows) else rows
+        self.numbers = order.numbers(self.distinct)
+
+    def blocks(self):
+        """(first distinct row, their number, members as a slice) of some distinct rows at a time."""
+        for s in range(0, len(self.distinct), self.order.block):
+            n = min(self.order.block, len(self.distinct) - s)
+            yield s, n, slice(*np.searchsorted(self.which, [s, s + n]))
+
+    def chunks(self, s: int, n: int):
+        """(slice of redraws, first numbers of keys, function of places that gives the second ones) of a block."""
+        for d in range(0, len(self.draws), REDRAW_CHUNK):
+            part = slice(d, min(d + REDRAW_CHUNK, len(self.draws)))
+            yield part, *self.order.keys(self.numbers, slice(s, s + n), self.draws[part])
+
+
+def _by_redraws(rows: pd.DataFrame, plan: pd.DataFrame, order: Remixed | Hashed):
+    """``Members`` for each list of redraws in a plan."""
+    lists = [np.asarray(x, dtype=np.int64).tobytes() for x in plan["_draws"]]
+    for _, own in plan.groupby(lists, sort=False):
+        yield Members(rows, own, order)
+
+
+def _places(mask: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Rows and columns of the few true places of a matrix."""
+    return np.divmod(np.flatnonzero(mask), mask.shape[1])
+
+
+def _column_counts(mask: np.ndarray) -> np.ndarray:
+    return mask.view(np.uint8).sum(axis=0, dtype=np.uint8 if len(mask) < 256 else np.int64)
 
 
 # --- limits --------------------------------------------------------------------------------------
 
 
 def _near(rows: pd.DataFrame, plan: pd.DataFrame, order: Remixed | Hashed) -> pd.DataFrame:
-    """Of some rows of a stratum: how many keys lie below the band of each redraw, and the keys within."""
-    draws = np.asarray(plan["_draws"].iloc[0], dtype=np.int64)
-    low, high = int(plan["_low"].iloc[0]), int(plan["_high"].iloc[0])
-    numbers = order.numbers(rows)
-    below, where, keys = np.zeros(len(draws), dtype=np.int64), [], []
-    for s in range(0, len(rows), ROW_CHUNK):
-        part = slice(s, s + ROW_CHUNK)
-        for d in range(0, len(draws), REDRAW_CHUNK):
-            first, second = order.keys(numbers, part, draws[d : d + REDRAW_CHUNK])
-            below[d : d + REDRAW_CHUNK] += (first < low).sum(axis=0)
-            i, j = np.nonzero((first >= low) & (first <= high))
-            where.append(j + d)
-            keys.append((first[i, j] << 31) + second(i, j))
-    where, keys = np.concatenate(where), np.concatenate(keys)
-    by_draw = np.argsort(where, kind="stable")
-    cuts = np.searchsorted(where[by_draw], np.arange(1, len(draws)))
-    return pd.DataFrame({"_cell": plan["_cell"].iloc[0], "_place": np.arange(len(draws)), "_below": below, "_keys": np.split(keys[by_draw], cuts)})
+    """Of some rows of some strata: how many keys lie below the band of each redraw, and the keys within."""
+    out = []
+    for m in _by_redraws(rows, plan, order):
+        cells, n_draws = len(m.plan), len(m.draws)
+        low = np.maximum(m.plan["_low"].to_numpy(dtype=np.int64), 0)
+        wide = (np.minimum(m.plan["_high"].to_numpy(dtype=np.int64), PRIME) - low).astype(np.uint64)
+        below = np.zeros((cells, n_draws), dtype=np.int64)
+        found: list[list[tuple[np.ndarray, np.ndarray]]] = [[] for _ in range(cells)]
+        for s, n, own in m.blocks():
+            of_cell = [m.which[own][m.cell[own] == k] - s for k in range(cells)]
+            whole = [len(x) == n and bool((x == np.arange(n)).all()) for x in of_cell]
+            for part, first, second in m.chunks(s, n):
+                for k, at in enumerate(of_cell):
+                    if not len(at):
+                        continue
+                    own_first = first if whole[k] else first[at]
+                    below[k, part] += _column_counts(own_first < low[k])
+                    i, j = _places((own_first - low[k]).view(np.uint64) <= wide[k])
+                    found[k].append((j + part.start, (own_first[i, j] << 31) + second(at[i], j)))
+        for k, cell in enumerate(m.plan["_cell"].tolist()):
+            if not found[k]:
+                continue
+            where, keys = map(np.concatenate, zip(*found[k]))
+            by_draw = np.argsort(where, kind="stable")
+            cuts = np.searchsorted(where[by_draw], np.arange(1, n_draws))
+            out.append(pd.DataFrame({"_cell": cell, "_place": np.arange(n_draws), "_below": below[k], "_keys": np.split(keys[by_draw], cuts)}))
+    return pd.concat(out) if out else pd.DataFrame({"_cell": [], "_place": [], "_below": [], "_keys": []}, dtype=object)
 
 
 def limits(lay: Layout, plan: DataFrame, band: tuple[float, float] | None = None) -> DataFrame:
@@ -223,16 +335,18 @@ def limits(lay: Layout, plan: DataFrame, band: tuple[float, float] | None = None
     """
     deviations, extra = band or BAND
     order = lay.order
-    rows, todo, wide, found = _salted(lay), join_on(lay.cells, plan, ["_group"]), 1.0, []
+    rows = lay.rows.select("_cell", *_TASK, *order.names)
+    # cells with the same rows, quota and redraws have the same limits
+    every = join_on(lay.cells, plan, ["_group"]).withColumn("_rep", F.min("_cell").over(W.partitionBy("_like", "_draws")))
+    every = materialise(every, "wanted")
+    todo, wide, found = every.where("_cell = _rep"), 1.0, []
     while True:
         share = F.col("_q") / F.col("_m")
         margin = (F.lit(deviations) * F.sqrt(F.col("_m") * share * (1 - share)) + extra) / F.col("_m") * wide
         near = todo.withColumns({"_low": F.floor((share - margin) * PRIME).cast("long"), "_high": F.ceil((share + margin) * PRIME).cast("long")})
         tasks = _for_tasks(near, "_draws", "_low", "_high")
-        each = rows.groupBy("_cell", "_task").cogroup(tasks.groupBy("_cell", "_task")).applyInPandas(
-            lambda r, p: _near(r, p, order) if len(r) and len(p) else pd.DataFrame({"_cell": [], "_place": [], "_below": [], "_keys": []}, dtype=object),
-            "_cell long, _place int, _below long, _keys array<long>",
-        )
+        own = rows.join(todo.select("_cell"), "_cell", "left_semi")
+        each = _in_shares(own, tasks, lambda r, p: _near(r, p, order), "_cell long, _place int, _below long, _keys array<long>")
         met = each.groupBy("_cell", "_place").agg(F.sum("_below").alias("_below"), F.sort_array(F.flatten(F.collect_list("_keys"))).alias("_keys"))
         left = (F.col("_q") - F.col("_below")).cast("int")
         # none Inside: before all keys
@@ -242,10 +356,11 @@ def limits(lay: Layout, plan: DataFrame, band: tuple[float, float] | None = None
         listed = ends.groupBy("_cell").agg(entry.alias("_e")).select("_cell", F.col("_e._limit").alias("_limits"))
         out = materialise(todo.join(listed, "_cell"), "limits")
         held = ~F.exists("_limits", lambda x: x.isNull())
-        found.append(out.where(held).select("_group", "_cell", "_m", "_draws", "_limits"))
+        found.append(out.where(held).select(F.col("_cell").alias("_rep"), "_limits"))
         todo = materialise(out.where(~held).drop("_limits"), "missed")
         if todo.isEmpty():
-            return reduce(lambda a, b: a.unionByName(b), found)
+            limit = reduce(lambda a, b: a.unionByName(b), found)
+            return every.join(limit, "_rep").select("_group", "_cell", "_share", "_tasks", "_draws", "_limits")
         wide *= 5
 
 
@@ -254,10 +369,14 @@ class Sides:
 
     def __init__(self, rows: pd.DataFrame, plan: pd.DataFrame, order: Remixed | Hashed | None = None):
         self.order = order or Remixed(0)  # the seed is in the rows' numbers
-        self.numbers, self.rows = self.order.numbers(rows), len(rows)
+        self.rows = len(rows)
         at = plan["_cell"].to_numpy()
         by_cell = np.argsort(at)
-        self.stratum = by_cell[np.searchsorted(at[by_cell], rows["_cell"].to_numpy())]
+        stratum = by_cell[np.searchsorted(at[by_cell], rows["_cell"].to_numpy())]
+        # rows of a stratum follow each other, so that its limits are compared as one line
+        self.place = np.argsort(stratum, kind="stable")
+        self.numbers = self.order.numbers(rows.iloc[self.place])
+        self.starts = np.searchsorted(stratum[self.place], np.arange(len(at) + 1))
         self.draws = np.array([np.asarray(x) for x in plan["_draws"]], dtype=np.int64)[0]
         self.limits = np.array([np.asarray(x) for x in plan["_limits"]], dtype=np.int64)
 
@@ -266,45 +385,93 @@ class Sides:
         for d in range(0, len(self.draws), REDRAW_CHUNK):
             part = slice(d, d + REDRAW_CHUNK)
             inside = np.empty((self.rows, len(self.draws[part])), dtype=bool)
-            for s in range(0, self.rows, ROW_CHUNK):
-                r = slice(s, s + ROW_CHUNK)
-                first, second = self.order.keys(self.numbers, r, self.draws[part])
-                limit = self.limits[:, part][self.stratum[r]]
-                top = limit >> 31
-                inside[r] = first < top
-                i, j = np.nonzero(first == top)
-                inside[r][i, j] = second(i, j) <= (limit[i, j] & PRIME)
+            for k, (a, b) in enumerate(zip(self.starts[:-1].tolist(), self.starts[1:].tolist())):
+                for s in range(a, b, self.order.block):
+                    r = slice(s, min(s + self.order.block, b))
+                    first, second = self.order.keys(self.numbers, r, self.draws[part])
+                    inside[self.place[r]] = _is_inside(first, second, self.limits[k, part])
             yield part, inside
 
 
+def _is_inside(first: np.ndarray, second, limit: np.ndarray) -> np.ndarray:
+    """Rows of one stratum and redraws: whether the key is at most the limit of the redraw."""
+    top = limit >> 31
+    inside = first < top
+    i, j = _places(first == top)
+    if len(i):
+        inside[i, j] = second(i, j) <= (limit[j] & PRIME)
+    return inside
+
+
 # --- sums over the sides ---------------------------------------------------------------------------
 
 
+def _side_ends(rows: pd.DataFrame, column: np.ndarray, draws: np.ndarray, limit: np.ndarray, order: Remixed | Hashed) -> dict[str, np.ndarray]:
+    """Least and largest value on both sides of every redraw, of some rows of a stratum; missing values are left out.
+
+    Rows are looked at from both ends of their order, a few at first, until both sides were met.
+    """
+    by_value = np.argsort(column, kind="stable")[: len(column) - np.isnan(column).sum()]
+    out = {f"{side}_{end}": np.full(len(draws), np.inf if end == "low" else -np.inf) for side in ("in", "out") for end in ("low", "high")}
+    constant = len(by_value) > 0 and column[by_value[0]] == column[by_value[-1]]
+    for end, line in (("low", by_value), ("high", by_value[::-1])):
+        if end == "high" and constant:
+            for k, side in enumerate(("in", "out")):
+                out[f"{side}_high"][met[k]] = column[by_value[0]]
+            break
+        todo, at, size = np.arange(len(draws)), 0, 16
+        met = np.zeros((2, len(draws)), dtype=bool)
+        while len(todo) and at < len(line):
+            some = line[at : at + size]
+            first, second = order.keys(order.numbers(rows.iloc[some]), slice(0, len(some)), draws[todo])
+            inside = _is_inside(first, second, limit[todo])
+            for k, (side, matrix) in enumerate((("in", inside), ("out", ~inside))):
+                new = matrix.any(axis=0) & ~met[k, todo]
+                out[f"{side}_{end}"][todo[new]] = column[some[matrix[:, new].argmax(axis=0)]]
+                met[k, todo[new]] = True
+            todo, at, size = todo[~met[:, todo].all(axis=0)], at + size, min(2 * size, ROW_CHUNK)
+    return out
+
+
 def _sums(rows: pd.DataFrame, plan: pd.DataFrame, values: list[str], varied: list[str], order: Remixed | Hashed) -> pd.DataFrame:
-    """Sums Inside of the values, and least and largest of the varied ones on both sides, of some rows of a stratum."""
-    sides = Sides(rows, plan, order)
-    x = rows[values].to_numpy(dtype=np.float64)
-    columns = {v: rows[v].to_numpy(dtype=np.float64) for v in varied}
-    # missing values come last and are left out
-    orders = {v: np.argsort(y, kind="stable")[: len(y) - np.isnan(y).sum()] for v, y in columns.items()}
-    orders = {v: by_value for v, by_value in orders.items() if len(by_value)}
-    out = {"_place": np.arange(len(sides.draws))} | {f"in_{v}": np.zeros(len(sides.draws)) for v in ["n", *values]}
-    for side in ("in", "out"):
-        out |= {f"{side}_{v}_{end}": np.full(len(sides.draws), np.inf if end == "low" else -np.inf) for v in varied for end in ("low", "high")}
-    for part, inside in sides.chunks():
-        total = np.zeros((inside.shape[1], len(values)))
-        for s in range(0, len(x), ROW_CHUNK):
-            total += inside[s : s + ROW_CHUNK].T.astype(np.float64) @ x[s : s + ROW_CHUNK]
-        out["in_n"][part] = inside.sum(axis=0)
-        for k, v in enumerate(values):
-            out[f"in_{v}"][part] = total[:, k]
-        for v, by_value in orders.items():
-            y, ordered = columns[v][by_value], inside[by_value]
-            for side, matrix in (("in", ordered), ("out", ~ordered)):
-                some = matrix.any(axis=0)
-                out[f"{side}_{v}_low"][part] = np.where(some, y[matrix.argmax(axis=0)], np.inf)
-                out[f"{side}_{v}_high"][part] = np.where(some, y[len(y) - 1 - matrix[::-1].argmax(axis=0)], -np.inf)
-    return pd.DataFrame(out).assign(_group=rows["_group"].iloc[0])
+    """Sums Inside of the values, and least and largest of the varied ones on both sides, of some rows of some strata."""
+    out = []
+    for m in _by_redraws(rows, plan, order):
+        cells, n_draws = len(m.plan), len(m.draws)
+        limits = np.array([np.asarray(x) for x in m.plan["_limits"]], dtype=np.int64)
+        x = m.rows[values].to_numpy(dtype=np.float64)
+        some = np.flatnonzero((x != 0).any(axis=0))
+        x = np.concatenate([np.ones((len(x), 1)), x[:, some]], axis=1)
+        # strata with the same limits have one matrix of sides
+        same: dict[bytes, list[int]] = {}
+        for k in range(cells):
+            same.setdefault(limits[k].tobytes(), []).append(k)
+        twice = len(np.unique(m.which * cells + m.cell)) < len(m.which)
+        total = np.zeros((n_draws, cells, x.shape[1]))
+        for s, n, own in m.blocks():
+            block = np.zeros((n, cells, x.shape[1]))
+            if twice:
+                np.add.at(block, (m.which[own] - s, m.cell[own]), x[own])
+            else:
+                block[m.which[own] - s, m.cell[own]] = x[own]
+            parts = [(ks, np.ascontiguousarray(block[:, ks].reshape(n, -1))) for ks in same.values()]
+            for part, first, second in m.chunks(s, n):
+                for ks, columns in parts:
+                    inside = _is_inside(first, second, limits[ks[0], part])
+                    total[part, ks] += (inside.T.astype(np.float64) @ columns).reshape(-1, len(ks), x.shape[1])
+        group = dict(zip(rows["_cell"].to_numpy(), rows["_group"].to_numpy()))
+        for k, cell in enumerate(m.plan["_cell"].tolist()):
+            own = m.rows[m.cell == k]
+            if not len(own):
+                continue
+            frame = {"_place": np.arange(n_draws), "in_n": total[:, k, 0]} | {f"in_{v}": np.zeros(n_draws) for v in values}
+            for c, v in enumerate(some.tolist()):
+                frame[f"in_{values[v]}"] = total[:, k, 1 + c]
+            for v in varied:
+                ends = _side_ends(own, own[v].to_numpy(dtype=np.float64), m.draws, limits[k], order)
+                frame |= {f"{name[: name.index('_')]}_{v}{name[name.index('_') :]}": found for name, found in ends.items()}
+            out.append(pd.DataFrame(frame).assign(_group=group[cell]))
+    return pd.concat(out)
 
 
 def side_sums(lay: Layout, ends: DataFrame, values: list[str], varied: list[str]) -> DataFrame:
@@ -317,13 +484,10 @@ def side_sums(lay: Layout, ends: DataFrame, values: list[str], varied: list[str]
     schema = "_group long, _place int, " + ", ".join(f"{c} double" for c in [*columns, *extremes])
     tasks = _for_tasks(ends, "_draws", "_limits")
     order = lay.order
-
-    def add(rows: pd.DataFrame, plan: pd.DataFrame) -> pd.DataFrame:
-        if not len(rows) or not len(plan):
-            return pd.DataFrame({c: [] for c in ["_group", "_place", *columns, *extremes]}, dtype=object)
-        return _sums(rows, plan, values, varied, order)
-
-    each = _salted(lay).groupBy("_cell", "_task").cogroup(tasks.groupBy("_cell", "_task")).applyInPandas(add, schema)
+    needed = list(dict.fromkeys([*values, *varied]))
+    rows = lay.rows.select("_group", "_cell", *_TASK, *order.names, *needed)
+    rows = rows.join(ends.select("_cell"), "_cell", "left_semi")
+    each = _in_shares(rows, tasks, lambda r, p: _sums(r, p, values, varied, order), schema)
     least_or_most = [(F.min if c.endswith("low") else F.max)(c).alias(c) for c in extremes]
     inside = each.groupBy("_group", "_place").agg(*[F.sum(c).alias(c) for c in columns], *least_or_most)
     whole = lay.rows.groupBy("_group").agg(F.count(F.lit(1)).cast("double").alias("all_n"), *[F.sum(v).alias(f"all_{v}") for v in values])
@@ -395,6 +559,7 @@ def _with_ranges(rows: DataFrame, score: str, tie: str | None = None) -> DataFra
     A range holds about ``TASK_ROWS`` rows. A score that fills ranges by itself is a range of its own,
     an odd one, whose rows go to several tasks; with ``tie``, a number from 0 to 1, in its order.
     """
+    rows = rows.drop(*_TASK)
     sizes = rows.groupBy("_group").agg(F.count(F.lit(1)).alias("_rows"))
     most = math.ceil((sizes.agg(F.max("_rows")).first()[0] or 1) / TASK_ROWS)
     if most > 1:
@@ -430,19 +595,59 @@ def _in_tasks(rows: DataFrame, tasks: DataFrame, make, schema: str) -> DataFrame
     return rows.groupBy(*_AT).cogroup(tasks.groupBy(*_AT)).applyInPandas(lambda r, p: make(r, p) if len(r) and len(p) else pd.DataFrame(empty, dtype=object), schema)
 
 
+def _tie_blocks(values: np.ndarray) -> list[tuple[int, int, bool]]:
+    """Stretches (start, end, of one value) of sorted values, cut between different ones, of about ``KEY_ROWS`` rows."""
+    edges = np.flatnonzero(np.r_[True, values[1:] != values[:-1], True]).tolist()
+    out, start = [], 0
+    for a, b in zip(edges[:-1], edges[1:]):
+        if b - a > KEY_ROWS:
+            if a > start:
+                out.append((start, a, False))
+            out.append((a, b, True))
+            start = b
+        elif b - start >= KEY_ROWS:
+            out.append((start, b, False))
+            start = b
+    return out if start == len(values) else [*out, (start, len(values), False)]
+
+
 def _concordant(rows: pd.DataFrame, plan: pd.DataFrame, score: str, label: str) -> pd.DataFrame:
-    """Rows of both classes on both sides of every redraw in a range, and pairs in order within it, ties by half."""
+    """Rows of both classes on both sides of every redraw in a range, and pairs in order within it, ties by half.
+
+    Pairs Outside are all pairs, less those with their positive or their negative Inside, and those with both once more.
+    """
     rows = rows.sort_values(score)
     sides = Sides(rows, plan)
     values, positive = rows[score].to_numpy(), rows[label].to_numpy() == 1
     starts = np.flatnonzero(np.r_[True, values[1:] != values[:-1]])
+    tied = np.repeat(np.arange(len(starts)), np.diff(np.r_[starts, len(values)]))
+    p, q = np.add.reduceat(positive, starts, dtype=np.int64), np.add.reduceat(~positive, starts, dtype=np.int64)
+    # pairs in order that a row is in
+    pairs = np.where(positive, (q.cumsum() - 0.5 * q)[tied], (p.sum() - p.cumsum() + 0.5 * p)[tied])
+    columns = np.stack([positive, ~positive, pairs], axis=1).astype(np.float64)
+    blocks = []
+    for a, b, one in _tie_blocks(values):
+        above, below = np.flatnonzero(positive[a:b]), np.flatnonzero(~positive[a:b])
+        x, y = values[a:b][above][:, None], values[a:b][below][None, :]
+        order = None if one else (y < x).astype(np.float32) + np.float32(0.5) * (x == y)
+        blocks.append((a, b, above, below, order))
     out = {"_place": np.arange(len(sides.draws))} | {f"{s}_{x}": np.zeros(len(sides.draws)) for s in ("in", "out") for x in "pqu"}
     for part, inside in sides.chunks():
-        for side, matrix in (("in", inside), ("out", ~inside)):
-            p = np.add.reduceat(matrix & positive[:, None], starts, axis=0, dtype=np.int64)
-            q = np.add.reduceat(matrix & ~positive[:, None], starts, axis=0, dtype=np.int64)
-            out[f"{side}_p"][part], out[f"{side}_q"][part] = p.sum(axis=0), q.sum(axis=0)
-            out[f"{side}_u"][part] = (p * (q.cumsum(axis=0) - 0.5 * q)).sum(axis=0)
+        sums, u = np.zeros((3, inside.shape[1])), np.zeros(inside.shape[1])
+        for a, b, above, below, order in blocks:
+            own = columns[a:b].T @ inside[a:b].astype(np.float64)
+            u += own[0] * sums[1]
+            if order is None:
+                u += 0.5 * own[0] * own[1]
+            elif order.size:
+                matrix = inside[a:b].astype(np.float32)
+                met = order @ matrix[below]
+                met *= matrix[above]
+                u += met.sum(axis=0)
+            sums += own
+        out["in_p"][part], out["in_q"][part], out["in_u"][part] = sums[0], sums[1], u
+        out["out_p"][part], out["out_q"][part] = p.sum() - sums[0], q.sum() - sums[1]
+        out["out_u"][part] = pairs[positive].sum() - sums[2] + u
     return pd.DataFrame(out).assign(_group=rows["_group"].iloc[0], _range=rows["_range"].iloc[0])
 
 

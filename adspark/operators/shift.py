@@ -393,7 +393,7 @@ def drawn_class_values(strata: DataFrame, keys: list[str], wanted: list[str], n:
     values = {"y": y, "prob": F.col("prob"), "s1": F.when(y == 1, loss), "s0": F.when(y == 0, loss)}
     for name, (a, b) in {"tp": (1, 1), "fp": (0, 1), "tn": (0, 0), "fn": (1, 0)}.items():
         values[name] = ((y == a) & (hit == b)).cast("int")
-    drawn = R.draw(R.layout(strata, keys, values, seed, drawn_by=drawn_by), keys, n, list(values), ["y", "prob"], by_stratum=True)
+    drawn = R.draw(R.layout(strata, keys, values, seed, drawn_by=drawn_by), keys, n, [v for v in values if v not in ("y", "prob")], ["y", "prob"], by_stratum=True)
 
     def confusion(c):
         counts = {x: c(x).cast("long") for x in ("tp", "fp", "tn", "fn")}

@@ -239,3 +239,34 @@ def test_regression_redraws_do_not_broadcast_rows(spark, monkeypatch):
     assert H.value_metrics_per_redraw(df, ["g"], ["rmse", "validity"], 5, 3).count() == 2 * 2 * 6
     by_id = [plan for keys, plan in hints if "id" in keys]
     assert len(by_id) == 2 and all("strategy=merge" in plan for plan in by_id)
+
+
+def test_keys_of_shared_draws_are_worked_out_once(monkeypatch):
+    """Strata of groups that share their draws are one task's work: a key for each id and redraw, whatever the groups."""
+    import pandas as pd
+
+    rng = np.random.default_rng(3)
+    ids = pd.DataFrame({x: rng.integers(1, R.PRIME, 300) for x in ("_a", "_b", "_c")})
+    held = {0: ids, 1: ids, 2: ids.iloc[40:]}  # the third cell lacks some rows
+    rows = pd.concat([own.assign(_cell=c, _group=10 + c, v=1.0 + own.index) for c, own in held.items()])
+    quota, draws, order = {0: 90, 1: 200, 2: 130}, np.arange(30), R.Remixed(1)
+    key = {c: order.keys(order.numbers(own), slice(None), draws) for c, own in held.items()}
+    whole = {c: (f << 31) + s(*np.indices(f.shape)) for c, (f, s) in key.items()}
+    limit = {c: np.sort(k, axis=0)[quota[c] - 1] for c, k in whole.items()}
+    worked = []
+    real = R.first_key
+    monkeypatch.setattr(R, "first_key", lambda a, b, c, d: worked.append(len(a) * d.size) or real(a, b, c, d))
+    plan = pd.DataFrame({"_cell": [0, 1, 2], "_draws": [draws] * 3, "_low": [0] * 3, "_high": [R.PRIME] * 3, "_limits": [limit[c] for c in range(3)]})
+    near = R._near(rows, plan, order)
+    assert sum(worked) == 300 * 30
+    for c, own in near.groupby("_cell"):
+        assert (own["_below"] == 0).all()
+        assert all(sorted(k) == sorted(whole[c][:, d]) for d, k in zip(own["_place"], own["_keys"]))
+    worked.clear()
+    sums = R._sums(rows, plan, ["v"], [], order)
+    assert sum(worked) == 300 * 30
+    for c in range(3):
+        own = sums[sums["_group"] == 10 + c]
+        inside = whole[c] <= limit[c]
+        assert (own["in_n"] == quota[c]).all()
+        assert np.allclose(own["in_v"], (inside * (1.0 + held[c].index.to_numpy())[:, None]).sum(axis=0))
