@@ -3,6 +3,8 @@
 A forest is saved to the shared folder and read back as rows (tree, node, feature, threshold, left,
 right, value). Rows of data meet the nodes as arrays within a task: a step moves every row down one
 level in every tree at once, so a plan has one Python step for a run of trees, however many they are.
+The nodes go by way of the driver, which is right for MLlib's models and small forests; the workflows
+score the forests of ``forests`` where their trees are (``Grown.with_trees``).
 """
 
 from __future__ import annotations
@@ -32,10 +34,9 @@ def node_table(spark: SparkSession, model, probability: bool = False) -> DataFra
     numbers; a split by categories raises ``ValueError``.
     """
     if isinstance(model, Grown):
-        path = model.path
-    else:
-        path = f"{shared_folder(spark)}/forest-{uuid.uuid4().hex}"
-        model.write().save(path)
+        return model.node_table(spark, probability)
+    path = f"{shared_folder(spark)}/forest-{uuid.uuid4().hex}"
+    model.write().save(path)
     n = spark.read.parquet(f"{path}/data").select("treeID", "nodeData.*")
     if n.where("split.numCategories >= 0").head(1):
         raise ValueError("the forest splits by categories; only splits by numbers are known")

@@ -2,12 +2,12 @@
 
 MLlib forests have no SQL twin; the ``_checks`` queries count rows that break what must hold, and
 their twins expect none. Forests have full size: 100 trees for values, 101 for classes, no depth
-limit but MLlib's 30, about ``models.FIT_ROWS`` rows.
+limit but MLlib's 30, all training rows.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Window, functions as F
+from pyspark.sql import Column, Window, functions as F
 
 from ..functions.bits import unpack_bits
 from ..operators import domain as D
@@ -270,20 +270,23 @@ def i20(t):
     """Updates T1..T3: train on everything earlier, test on the time point itself."""
     rows = time_points(t)
     status, sizes = [], []
+    runs = [(update, seed) for update in UPDATES for seed in SEEDS]
 
-    def fitted(update: int, seed: int):
-        train, test = rows.where(F.col("time") < update), rows.where(F.col("time") == update)
-        out = M.native_classes(M.fit_classifier(train, seed), test)
-        return out.select(F.lit(f"T{update}").alias("update"), F.lit(seed).alias("seed"), "id", "y", "prob")
+    def of(row) -> Column:
+        """Numbers of the runs that use a row for ``row(update, time)``."""
+        return F.array_compact(F.array(*[F.when(row(F.lit(u), F.col("time")), F.lit(i)) for i, (u, _) in enumerate(runs)]))
 
     for update in UPDATES:
         train, test = rows.where(F.col("time") < update), rows.where(F.col("time") == update)
         tag = F.lit(f"T{update}").alias("update")
         status.append(D.nunc_status(train.drop("y", "time"), test, Space(), [3]).select(tag, "id", "inside"))
         sizes.append(big_enough(test.withColumn("update", F.lit(f"T{update}")), ["update"], "y"))
-    scored = M.in_parallel([lambda u=u, s=s: fitted(u, s) for u in UPDATES for s in SEEDS])
+    model = M.fit_classifier(rows.withColumn("_fits", of(lambda u, time: time < u)), [seed for _, seed in runs])
+    scored = M.native_classes(model, rows.withColumn("_fits", of(lambda u, time: time == u)))
+    update, seed = (F.get(F.array(*[F.lit(v) for v in values]), F.col("_fit")) for values in ([f"T{u}" for u, _ in runs], [s for _, s in runs]))
+    scored = scored.select(update.alias("update"), seed.alias("seed"), "id", "y", "prob")
     usable = M.union_all(sizes).where("usable").select("update")
-    scored = M.union_all(scored).join(M.union_all(status), ["update", "id"]).join(usable, "update", "left_semi")
+    scored = scored.join(M.union_all(status), ["update", "id"]).join(usable, "update", "left_semi")
     return class_statistics(D.tag_subsets(materialise(scored, "updates")), ["update", "seed", "subset"], p_values=False)
 
 
