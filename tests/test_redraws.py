@@ -130,6 +130,15 @@ def test_spearman(drawn, rows):
     compare(R.spearman_per_redraw(drawn, ["g"], "prob", "e"), expected(rows, brute_spearman))
 
 
+def test_ranks_of_both_sides_are_made_once_and_lists_are_not_written(drawn, monkeypatch):
+    written = []
+    monkeypatch.setattr(R, "materialise", lambda df, name: written.append((name, df.columns)) or materialise(df, name))
+    for found in (R.spearman_per_redraw(drawn, ["g"], "prob", "e"), R.auc_per_redraw(drawn, ["g"])):
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        assert "CoGroup" not in plan and "Python" not in plan and "Pandas" not in plan
+    assert "rank-sums" in dict(written) and not any("_other" in columns for _, columns in written)
+
+
 def test_ence(drawn, rows):
     compare(R.ence_per_redraw(drawn, ["g"], "v", "e", "tie", 7), expected(rows, lambda side: brute_ence(side, 7)))
 
