@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import time
+
 import numpy as np
 import pandas as pd
 import pytest
@@ -9,6 +11,7 @@ from pyspark.sql import functions as F
 
 from adspark.operators import intervals as I
 from adspark.operators import models as M
+from adspark.operators.domain import spread_of
 from adspark.operators.trees import Forest, Nodes, runs_of_trees
 from adspark.sources.shared import materialise
 
@@ -144,3 +147,13 @@ def test_a_bound_keeps_about_that_many_rows(rows):
     train, _ = sides(rows, "value")
     assert M.bounded(train).count() == 120 and 20 <= M.bounded(train, 50).count() <= 80
     assert M.bounded(train.limit(0)).count() == 0
+
+
+def test_the_spread_of_a_long_list_takes_its_mean_once(spark):
+    # 20,000 values: 400,000,000 steps with a mean for each of them
+    values = F.sequence(F.lit(1), F.lit(20_000)).cast("array<double>")
+    df = spark.range(2).select("id", F.when(F.col("id") == 0, values).alias("v"))
+    start = time.time()
+    got = {r.id: r.s for r in df.select("id", spread_of("v").alias("s")).collect()}
+    assert time.time() - start < 15
+    assert got[0] == pytest.approx(np.std(np.arange(1, 20_001))) and got[1] is None
